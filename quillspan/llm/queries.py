@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op2_minhash_dedup import near_components
+from .op6_suffix_dedup import suffix_dedup
 from .op7_token_counts import token_counts
 from .op9_packing import pack
 from .store import table
@@ -12,6 +13,10 @@ def op2_minhash_dedup(spark, sf_dir):
     return near_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -20,5 +25,5 @@ def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
+QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
