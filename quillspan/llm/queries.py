@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op1_toxicity import toxicity
 from .op2_minhash_dedup import near_components
 from .op6_suffix_dedup import suffix_dedup
 from .op7_token_counts import token_counts
@@ -9,6 +10,10 @@ from .op9_packing import pack
 from .store import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_dedup(spark, sf_dir):
     return near_components(spark, table(spark, sf_dir, "documents"))
 
@@ -25,5 +30,5 @@ def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {}
