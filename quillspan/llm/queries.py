@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from .op1_toxicity import toxicity
 from .op2_minhash_dedup import near_components
+from .op5_chat_format import SQL as CHAT_SQL
+from .op5_chat_format import chat_format
 from .op6_suffix_dedup import suffix_dedup
 from .op7_token_counts import token_counts
+from .op8_exact_topk import SQL as TOPK_SQL
+from .op8_exact_topk import exact_topk
 from .op9_packing import pack
 from .store import table
 
@@ -18,6 +22,10 @@ def op2_minhash_dedup(spark, sf_dir):
     return near_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark, sf_dir):
+    return chat_format(spark, table(spark, sf_dir, "conversations"))
+
+
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -26,9 +34,13 @@ def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark, sf_dir):
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op5_chat_format": op5_chat_format, "op8_exact_topk": op8_exact_topk, "op1_toxicity": op1_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
+ORACLE_SQL = {"op5_chat_format": CHAT_SQL, "op8_exact_topk": TOPK_SQL}
