@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .op1_toxicity import toxicity
+from .op10_license_scan import license_scan
 from .op2_minhash_dedup import near_components
+from .op3_training_order import training_order
+from .op4_decontamination import decontaminate
 from .op5_chat_format import SQL as CHAT_SQL
 from .op5_chat_format import chat_format
 from .op6_suffix_dedup import suffix_dedup
@@ -22,6 +25,14 @@ def op2_minhash_dedup(spark, sf_dir):
     return near_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_training_order(spark, sf_dir):
+    return training_order(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_format(spark, sf_dir):
     return chat_format(spark, table(spark, sf_dir, "conversations"))
 
@@ -42,5 +53,9 @@ def op9_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_chat_format": op5_chat_format, "op8_exact_topk": op8_exact_topk, "op1_toxicity": op1_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
+def op10_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_training_order": op3_training_order, "op4_decontamination": op4_decontamination, "op10_license_scan": op10_license_scan, "op5_chat_format": op5_chat_format, "op8_exact_topk": op8_exact_topk, "op1_toxicity": op1_toxicity, "op6_suffix_dedup": op6_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op7_token_counts": op7_token_counts, "op9_packing": op9_packing}
 ORACLE_SQL = {"op5_chat_format": CHAT_SQL, "op8_exact_topk": TOPK_SQL}
