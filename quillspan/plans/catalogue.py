@@ -1,10 +1,545 @@
-"""Registered queries of the engine and their SQL equivalents."""
+"""Registered queries: each operator on the provided tables, with the SQL that must give the same rows.
+
+The tables hold no addresses, so operators run on what has their shape: ``documents`` are
+candidate rows, ``benchmark`` the protected set, ``labels`` annotations, and customer, nation and
+region the structured records that are rendered into annotated text.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import spans as S
+from ..functions import text as X
+from ..operators import augment, corpus, model, protect, score, select
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+MODEL_SEED = 3
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def t(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ident(x: str) -> str:
+    return rf"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+TOKEN_SQL = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}]|[\p{L}\p{N}\p{M}]+|[^\s]"
+SCORER_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s,]"
+
+
+def records(spark, sf_dir) -> DataFrame:
+    """Annotated rows rendered from customers."""
+    c = t(spark, sf_dir, "customer").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
+    text, spans = S.render(S.parts(("house_number", F.col("c_custkey")), ("road", F.col("c_mktsegment")), ("unit", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Unit "), F.col("c_custkey") % 100))), ("city", F.col("n_name")), ("country", F.col("r_name"))), ", ")
+    return c.select(F.col("c_custkey").cast("string").alias("id"), "c_custkey", F.col("n_name").alias("nation"), F.lower("r_name").alias("country"), text.alias("text"), spans.alias("components"))
+
+
+REC = """rec AS (
+  SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id, n_name AS nation, lower(r_name) AS country, CAST(c_custkey AS VARCHAR) AS p1, c_mktsegment AS p2,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Unit ' || CAST(c_custkey % 100 AS VARCHAR) END AS p3, n_name AS p4, r_name AS p5,
+    concat_ws(', ', CAST(c_custkey AS VARCHAR), c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'Unit ' || CAST(c_custkey % 100 AS VARCHAR) END, n_name, r_name) AS text
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), span AS (
+  SELECT id, pos, label, raw, CAST(start AS INTEGER) AS s, CAST(start + length(raw) AS INTEGER) AS e FROM (
+    SELECT *, coalesce(sum(length(raw) + 2) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
+      SELECT id, 1 AS pos, 'house_number' AS label, p1 AS raw FROM rec UNION ALL SELECT id, 2, 'road', p2 FROM rec UNION ALL SELECT id, 3, 'unit', p3 FROM rec WHERE p3 IS NOT NULL
+      UNION ALL SELECT id, 4, 'city', p4 FROM rec UNION ALL SELECT id, 5, 'country', p5 FROM rec)))"""
+
+
+def flagship(spark, sf_dir) -> DataFrame:
+    """Records rendered, projected, hash-split and counted by split and field."""
+    r = records(spark, sf_dir)
+    r = r.select(X.hash_split(F.col("id")).alias("split"), F.size(X.tokens(F.col("text"))).alias("n"), F.explode(S.project(F.col("text"), F.col("components"))).alias("c"))
+    return r.groupBy("split", F.col("c.label").alias("field")).agg(F.count("*").alias("spans"), F.sum("n").alias("row_tokens"))
+
+
+# --- scalar functions -------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({ident('text')}) AS identity FROM documents")
+def identity_key(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.digest(X.identity(F.col("text"))).alias("identity"))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))) AS text_key FROM documents")
+def text_key(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.text_key(F.col("text")).alias("text_key"))
+
+
+@query("""SELECT doc_id, CASE WHEN b < 5 THEN 'dev' WHEN b < 10 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT doc_id, CAST(concat('0x', substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 100 AS b FROM documents)""")
+def hash_split(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.hash_split(F.col("doc_id").cast("string")).alias("split"))
+
+
+@query(f"SELECT doc_id, len(k) AS n_tokens, sha256(array_to_string(k, chr(10))) AS tokens_sha FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN_SQL}') AS k FROM documents)")
+def tokenize(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("k"))
+    return d.select("doc_id", F.size("k").cast("long").alias("n_tokens"), X.digest(F.array_join("k", "\n")).alias("tokens_sha"))
+
+
+@query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{SCORER_SQL}')) AS token FROM documents) GROUP BY ALL")
+def token_multiset(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", F.explode(X.scorer_tokens(F.col("text"))).alias("token"))
+    return d.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '^[\p{Latin}\p{Common}\p{Inherited}\n]*$')")
+def script_filter(spark, sf_dir):
+    return t(spark, sf_dir, "documents").where(X.is_latin(F.col("text"))).select("doc_id")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
+def url_host(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", X.url_host(F.col("url")).alias("host"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'TX' WHEN s_suppkey % 3 = 0 THEN 'NY' ELSE 'unknown' END AS state FROM s""")
+def state_codes(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier")
+    name = F.when(F.col("s_suppkey") % 2 == 0, "Texas").when(F.col("s_suppkey") % 3 == 0, "new  york").otherwise("Atlantis")
+    return s.select("s_suppkey", X.state_code(name).alias("state"))
+
+
+@query("""SELECT doc_id, CASE WHEN n >= 1000 THEN printf('%.1f kB', round(n / 1000.0, 1)) ELSE printf('%d B', n) END AS size
+FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents)""")
+def size_text(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.size_text(F.octet_length("text").cast("long")).alias("size"))
+
+
+# --- spans ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {REC} SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY pos) AS pos, label, s AS start, e AS \"end\", raw FROM span JOIN rec USING (id)")
+def render_records(spark, sf_dir):
+    r = records(spark, sf_dir).select("id", "text", F.posexplode("components").alias("pos", "c"))
+    return r.select("id", "text", (F.col("pos") + 1).cast("long").alias("pos"), "c.label", "c.start", "c.end", "c.raw")
+
+
+@query(f"WITH {REC}" + """, p AS (SELECT id, min(s) AS s, max(e) AS e, 'street_address' AS field FROM span WHERE label IN ('house_number', 'road', 'unit') GROUP BY id
+  UNION ALL SELECT id, s, e, label FROM span WHERE label IN ('city', 'country'))
+SELECT p.id, field, s AS start, e AS "end", substr(text, s + 1, e - s) AS raw FROM p JOIN rec USING (id)""")
+def project_fields(spark, sf_dir):
+    r = records(spark, sf_dir).select("id", F.explode(S.project(F.col("text"), F.col("components"))).alias("c"))
+    return r.select("id", F.col("c.label").alias("field"), "c.start", "c.end", "c.raw")
+
+
+@query(f"WITH {REC} SELECT id, c_custkey % 10 NOT IN (1, 2, 3) AS valid FROM rec")
+def validate_spans(spark, sf_dir):
+    r = records(spark, sf_dir)
+    k, c = F.col("c_custkey") % 10, F.col("components")
+    broken = F.when(k == 1, F.transform(c, lambda s: S.span(s["label"], s["start"] + 1, s["end"], s["raw"]))).when(k == 2, F.reverse(c)).when(k == 3, F.concat(c, F.slice(c, 1, 1))).otherwise(c)
+    return r.select("id", S.valid(F.col("text"), broken).alias("valid"))
+
+
+@query(f"WITH {REC} SELECT id, CASE WHEN p3 IS NOT NULL THEN 'building-unit-floor' ELSE 'number-and-road' END AS type FROM rec")
+def address_types(spark, sf_dir):
+    return records(spark, sf_dir).select("id", S.address_type(F.col("components")).alias("type"))
+
+
+@query(f"""WITH {REC} SELECT id, sha256(country || '|' || {ident('p2')} || '|' || {ident('p4')}) AS group_key,
+  sha256(country || '|' || {ident('p2')} || '|city|' || {ident('p4')}) AS street_key FROM rec""")
+def group_keys(spark, sf_dir):
+    r, c = records(spark, sf_dir), F.col("components")
+    return r.select("id", S.group_key(F.col("country"), F.col("text"), c).alias("group_key"), F.get(S.street_keys(F.col("country"), c), 0).alias("street_key"))
+
+
+@query("""SELECT doc_id, len(k) AS tokens, CAST(sum(CASE WHEN g LIKE '%' || chr(10) || '%' THEN 1 ELSE 0 END) AS BIGINT) AS line_breaks, CAST(sum(CASE WHEN g <> '' AND g NOT LIKE '%' || chr(10) || '%' THEN 1 ELSE 0 END) AS BIGINT) AS spaces
+FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+|[^\\s]') AS k, unnest(regexp_extract_all(text, '(\\s*)([\\p{L}\\p{N}\\p{M}]+|[^\\s])', 1)) AS g FROM documents WHERE n_chars <= 512) GROUP BY ALL""".replace("\\\\", "\\"))
+def gap_features(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").where("n_chars <= 512")
+    g = S.gap_features(F.col("text"), F.col("o"))
+    d = d.withColumn("o", S.token_spans(F.col("text"))).where(F.size("o") > 0).withColumn("g", g)
+    count = lambda v: F.size(F.filter("g", lambda x: x == v)).cast("long")
+    return d.select("doc_id", F.size("o").cast("long").alias("tokens"), count("\n").alias("line_breaks"), count(" ").alias("spaces"))
+
+
+@query(f"""WITH {REC}, k AS (SELECT id, label, s, e, raw FROM span)
+SELECT id, field, start, "end" FROM (
+  SELECT id, min(s) AS start, max(e) AS "end", 'street_address' AS field FROM k WHERE label IN ('house_number', 'road') GROUP BY id
+  UNION ALL SELECT id, s, e, 'city' FROM k WHERE label = 'city')""")
+def bio_to_spans(spark, sf_dir):
+    """Tags of each token, made from the records' number, road and city spans, and read back as spans."""
+    r = records(spark, sf_dir).withColumn("o", S.token_spans(F.col("text")))
+    c = F.col("components")
+    end = F.filter(c, lambda s: s["label"] == "road")[0]["end"]
+    city = F.filter(c, lambda s: s["label"] == "city")[0]
+    tag = F.transform("o", lambda o: F.when(o["start"] == 0, "B-street_address").when(o["end"] <= end, "I-street_address").when(o["start"] == city["start"], "B-city").when((o["start"] > city["start"]) & (o["end"] <= city["end"]), "I-city").otherwise("O"))
+    s = r.withColumn("tags", tag).select("id", F.explode(S.bio_to_spans(F.col("text"), F.col("tags"), F.col("o"))).alias("c"))
+    return s.select("id", F.col("c.label").alias("field"), "c.start", "c.end")
+
+
+@query(f"WITH {REC} SELECT id, label, CAST(s + 1 AS INTEGER) + CASE WHEN pos > 1 THEN 1 ELSE 0 END AS start16 FROM (SELECT id, label, pos, s FROM span)")
+def utf16_offsets(spark, sf_dir):
+    """Records with a house sign before the text and one after the first part: offsets in UTF-16 units."""
+    r = records(spark, sf_dir).withColumn("sign", F.concat(F.lit("🏠"), "text"))
+    c = F.transform("components", lambda s, i: S.span(s["label"], s["start"] + 1, s["end"] + 1, s["raw"]))
+    out = r.select("id", F.posexplode(S.utf16(F.col("sign"), c)).alias("pos", "c"))
+    return out.select("id", "c.label", (F.col("c.start") - F.when(F.col("pos") > 0, 0).otherwise(1)).cast("int").alias("start16"))
+
+
+# --- keys, conflicts, protection --------------------------------------------------------------------
+
+
+@query(f"SELECT loose, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT sha256({ident('text')}) AS loose, text FROM documents) GROUP BY loose HAVING count(*) > 1")
+def duplicate_groups(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(X.digest(X.identity(F.col("text"))).alias("loose"), X.digest(F.col("text")).alias("text"))
+    return d.groupBy("loose").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts")).where("n > 1")
+
+
+@query(f"SELECT loose, count(DISTINCT source) AS signatures, count(*) AS rows FROM (SELECT sha256({ident('text')}) AS loose, source FROM documents) GROUP BY loose HAVING count(DISTINCT source) > 1")
+def conflicting_keys(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(X.digest(X.identity(F.col("text"))).alias("loose"), "source")
+    return protect.conflicting(d, "loose", "source")
+
+
+def shingles8(df: DataFrame, id: str) -> DataFrame:
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    d = df.select(id, w.alias("w")).where(F.size("w") >= 8)
+    return d.select(id, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))).alias("s"))
+
+
+SHINGLE_SQL = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
+ds AS (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w)),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+bs AS (SELECT DISTINCT array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT w, unnest(generate_series(1, len(w) - 7)) AS i FROM bw)),
+hit AS (SELECT DISTINCT doc_id FROM ds SEMI JOIN bs USING (s))"""
+
+
+@query(f"WITH {SHINGLE_SQL} SELECT doc_id FROM documents ANTI JOIN hit USING (doc_id)")
+def protected_exclusion(spark, sf_dir):
+    d, b = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    hit = shingles8(d, "doc_id").join(shingles8(b, "item_id").select("s").distinct(), "s", "left_semi").select("doc_id").distinct()
+    return protect.without(d.select("doc_id"), hit, ["doc_id"])
+
+
+@query(f"""WITH {SHINGLE_SQL}, k AS (SELECT doc_id, source, sha256({ident('text')}) AS loose FROM documents),
+c AS (SELECT loose FROM k GROUP BY loose HAVING count(DISTINCT source) > 1)
+SELECT coalesce(CASE WHEN hit.doc_id IS NOT NULL THEN 'protected' WHEN c.loose IS NOT NULL THEN 'conflict' END, 'kept') AS reason, count(*) AS rows
+FROM k LEFT JOIN hit USING (doc_id) LEFT JOIN c USING (loose) GROUP BY 1""")
+def consolidate_reasons(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    hit = shingles8(d, "doc_id").join(shingles8(t(spark, sf_dir, "benchmark"), "item_id").select("s").distinct(), "s", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
+    k = d.select("doc_id", "source", X.digest(X.identity(F.col("text"))).alias("loose"))
+    c = protect.conflicting(k, "loose", "source").select("loose", F.lit(True).alias("bad"))
+    r = k.join(hit, "doc_id", "left").join(c, "loose", "left")
+    return r.groupBy(F.coalesce(corpus.first_reason(("protected", F.col("hit")), ("conflict", F.col("bad"))), F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {REC}, r AS (SELECT c_custkey AS id, {ident('text')} AS loose, p2 || '|' || p4 AS m, text, CAST(c_custkey % 5 AS VARCHAR) AS sig FROM rec)
+SELECT id, CASE WHEN max(id <= 20) OVER (PARTITION BY m) THEN 'protected' WHEN cm > 1 THEN 'model-input-conflict' END AS reason
+FROM r JOIN (SELECT m, count(DISTINCT sig) AS cm FROM r GROUP BY m) USING (m)""")
+def consolidate(spark, sf_dir):
+    """The whole precedence: the first 20 records are protected, model inputs are road and city."""
+    r = records(spark, sf_dir)
+    part = lambda n: S.joined(F.col("components"), n)
+    rows = r.select(F.col("c_custkey").alias("id"), "text", X.identity(F.col("text")).alias("loose"), F.concat_ws("|", part("road"), part("city")).alias("model_input"), (F.col("c_custkey") % 5).cast("string").alias("signature"), F.array().cast("array<string>").alias("street_keys"))
+    guarded = rows.where("id <= 20").select("loose", "street_keys")
+    return corpus.consolidate(rows, guarded).select("id", "reason")
+
+
+@query(f"""WITH k AS (SELECT doc_id, sha256({ident('text')}) AS loose, doc_id % 50 = 0 AS flag FROM documents)
+SELECT doc_id, max(flag) OVER (PARTITION BY loose) AS flag FROM k""")
+def propagate_protection(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", X.digest(X.identity(F.col("text"))).alias("loose"), (F.col("doc_id") % 50 == 0).alias("flag"))
+    return protect.propagate(d, "loose", "flag").select("doc_id", "flag")
+
+
+@query(f"WITH k AS (SELECT doc_id, sha256({ident('text')}) AS loose FROM documents) SELECT loose, min(doc_id) AS doc_id FROM k GROUP BY loose")
+def first_admission(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", X.digest(X.identity(F.col("text"))).alias("loose"))
+    return protect.first_wins(d, ["loose"], ["doc_id"]).select("loose", "doc_id")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+UNION SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3""")
+def matching_any_key(spark, sf_dir):
+    """Ids that match on either of two keys: a union of semi joins."""
+    o = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey"), "o_custkey")
+    c = t(spark, sf_dir, "customer")
+    low = c.where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    seg = spark.createDataFrame([("BUILDING", 3)], "c_mktsegment string, c_nationkey int")
+    keys = low.withColumns({"c_mktsegment": F.lit(None).cast("string"), "c_nationkey": F.lit(None).cast("int")}).unionByName(seg.withColumn("o_custkey", F.lit(None).cast("long")))
+    return protect.matching(o, keys, "o_orderkey", ["o_custkey"], ["c_mktsegment", "c_nationkey"])
+
+
+@query("""SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) OR l_suppkey + 1000000000 IN (SELECT p_partkey FROM part WHERE p_size = 1)""")
+def key_set_overlap(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", F.array(F.col("l_partkey"), F.col("l_suppkey") + 1000000000).alias("keys"))
+    bad = t(spark, sf_dir, "part").where("p_size = 1").select(F.array("p_partkey").alias("keys"))
+    return protect.overlapping(rows, bad, "l_orderkey", "keys")
+
+
+@query("""SELECT o_orderkey AS id, list_sort(list_distinct(list(s))) AS splits FROM (
+  SELECT o_orderkey, CASE WHEN l_suppkey % 3 = 0 THEN 'dev' WHEN l_suppkey % 3 = 1 THEN 'test' ELSE 'train' END AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY 1""")
+def alias_splits(spark, sf_dir):
+    rows = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_suppkey").alias("aliases")).join(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", "left_semi")
+    k = F.col("s_suppkey") % 3
+    known = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("alias"), F.when(k == 0, "dev").when(k == 1, "test").otherwise("train").alias("split"))
+    return protect.alias_splits(rows, known)
+
+
+@query("""SELECT o_orderkey AS id, o_custkey AS key, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0""")
+def entity_enrichment(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("text"))
+    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name", F.lit("even").alias("text"))
+    raw = o.select("key", "id").join(c, "key")
+    return protect.enrich(o, raw, "key").select("id", "key", "c_name")
+
+
+@query("""SELECT n_name AS country, count(c_custkey) AS files, CAST(coalesce(sum(CAST(strlen(c_name) AS BIGINT)), 0) AS BIGINT) AS bytes, CAST(coalesce(max(s.n), 0) AS BIGINT) AS audited
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 97 = 0 LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1) s ON s.s_nationkey = n_nationkey GROUP BY 1""")
+def coverage(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    names = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country"))
+    files = t(spark, sf_dir, "customer").where("c_custkey % 97 = 0").join(names, F.col("c_nationkey") == F.col("k")).select("country", F.octet_length("c_name").cast("long").alias("bytes"))
+    reports = t(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").join(names, F.col("s_nationkey") == F.col("k")).select("country", F.lit(1).cast("long").alias("rows"))
+    return corpus.coverage(names.select("country"), files, reports)
+
+
+@query(f"""WITH {REC}, x AS (SELECT id, CASE WHEN c_custkey % 10 = 1 THEN 'invalid-spans' WHEN c_custkey % 10 = 2 THEN 'replacement-character' WHEN c_custkey % 10 = 3 THEN 'missing-text' ELSE 'ok' END AS reason,
+  CASE WHEN p3 IS NOT NULL THEN 'building-unit-floor' ELSE 'number-and-road' END AS type FROM rec) SELECT reason, type, count(*) AS n FROM x GROUP BY ALL""")
+def audit_reasons(spark, sf_dir):
+    r, k = records(spark, sf_dir), F.col("c_custkey") % 10
+    text = F.when(k == 1, F.concat(F.lit("x"), "text")).when(k == 2, F.concat("text", F.lit("�"))).when(k == 3, F.lit(" ")).otherwise(F.col("text"))
+    a = corpus.audit(r.withColumn("text", text))
+    return a.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason"), "type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {REC}, x AS (SELECT p2 || ' ' || CASE WHEN c_custkey % 2 = 0 THEN p4 ELSE lower(p4) END AS text, p2, lower(p4) AS c, CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS sig FROM rec),
+b AS (SELECT text, count(*) AS n, count(DISTINCT sig) AS sigs, {ident('min(text)')} AS loose FROM x GROUP BY text)
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS texts, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (sigs > 1) AS conflicting,
+  (SELECT count(*) FROM (SELECT loose FROM b GROUP BY loose HAVING count(*) > 1)) AS loose_collisions FROM b""")
+def audit_summary(spark, sf_dir):
+    r = records(spark, sf_dir)
+    part = lambda n: F.filter("components", lambda s: s["label"] == n)[0]["raw"]
+    city = F.when(F.col("c_custkey") % 2 == 0, part("city")).otherwise(F.lower(part("city")))
+    kind = F.when(F.col("c_custkey") % 50 == 0, "road").otherwise("house")
+    text, _ = S.render(S.parts(("road", part("road")), ("city", city)))
+    spans = F.array(S.span(kind, F.lit(0), F.length(part("road")), part("road")))
+    return corpus.summary(r.select(text.alias("text"), spans.alias("components")))
+
+
+# --- selection --------------------------------------------------------------------------------------
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('top|' || CAST(doc_id AS VARCHAR))) AS rn FROM documents) WHERE rn <= 5")
+def hash_topn(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("source", "doc_id")
+    return select.top_n(d, ["source"], [select.hash_rank("doc_id", seed="top")], 5).select("source", "doc_id")
+
+
+@query("""SELECT lang, source, doc_id FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('2026|' || CAST(doc_id AS VARCHAR))) AS rn FROM documents) WHERE rn <= 20""")
+def reservoir_by_stratum(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("lang", "source", "doc_id")
+    return select.top_n(d, ["lang", "source"], [select.hash_rank("doc_id", seed="2026")], 20).select("lang", "source", "doc_id")
+
+
+ROUND = """WITH a AS (SELECT o_orderkey, o_orderpriority AS split, o_orderstatus AS kind, CAST(o_custkey % 7 AS VARCHAR) AS state, o_custkey % 50 AS grp, o_orderkey AS rank FROM orders),
+b AS (SELECT *, row_number() OVER (PARTITION BY split, state, kind, grp ORDER BY rank) AS gr FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY split, state, kind ORDER BY gr, rank) AS tr FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY split, state ORDER BY tr, kind, rank) AS sr FROM c)"""
+
+
+@query(ROUND + " SELECT o_orderkey, split, state, kind, gr, tr, sr FROM d ORDER BY split, sr, state LIMIT 500")
+def round_robin_select(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("split"), F.col("o_orderstatus").alias("kind"), (F.col("o_custkey") % 7).cast("string").alias("state"), (F.col("o_custkey") % 50).alias("grp"), F.col("o_orderkey").alias("rank"))
+    r = select.round_robin(o, "split", "state", "kind", "grp", "rank", limit=500)
+    return r.select("o_orderkey", "split", "state", "kind", *[F.col(c).cast("long").alias(c) for c in ("gr", "tr", "sr")])
+
+
+@query("""SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, n_chars >= 1000 AS complete, row_number() OVER (PARTITION BY n_chars >= 1000, lang, source ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents)
+ORDER BY complete DESC, rn, lang, source LIMIT 250""")
+def review_queue(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("n_chars") >= 1000).alias("complete"))
+    return select.review_queue(d, ["lang", "source"], "complete", "doc_id", 250).select("doc_id", "lang", "source")
+
+
+@query("SELECT source, arg_min(doc_id, sha256(CAST(doc_id AS VARCHAR))) AS doc_id FROM documents GROUP BY source")
+def arg_min_representative(spark, sf_dir):
+    return select.arg_min(t(spark, sf_dir, "documents"), ["source"], X.digest(F.col("doc_id").cast("string")), ["doc_id"])
+
+
+@query()
+def joint_caps(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", (F.col("o_orderstatus") == "F").alias("full"))
+    return select.joint_caps(o, "o_orderkey", "o_orderpriority", "o_custkey", "full", (500, 100), 8)
+
+
+# --- evaluation -------------------------------------------------------------------------------------
+
+
+def gold_and_predictions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Gold records and two models' predictions: fixed corruptions of them."""
+    g = records(spark, sf_dir)
+    k, c = F.col("c_custkey"), F.col("components")
+    drop = lambda n: F.filter(c, lambda s: s["label"] != n)
+    a = F.when(k % 7 == 0, drop("city")).when(k % 5 == 0, drop("house_number")).otherwise(c)
+    swap = F.transform(c, lambda s: S.span(s["label"], s["start"], s["end"], F.when(s["label"] == "country", F.lit("nowhere")).otherwise(F.upper(s["raw"]))))
+    more = F.concat(c, F.array(S.span(F.lit("state"), F.lit(0), F.lit(1), F.lit("X"))))
+    b = F.when(k % 9 == 0, swap).when(k % 4 == 0, more).otherwise(c)
+    p = g.select("id", "c_custkey", "country", F.explode(F.array(F.struct(F.lit("a").alias("model"), a.alias("components")), F.struct(F.lit("b").alias("model"), b.alias("components")))).alias("x"))
+    return g, p.select("id", "c_custkey", "country", "x.*")
+
+
+OUT = f"WITH {REC}" + """, o AS (
+  SELECT c_custkey, id, country, 'a' AS model, f AS field, TRUE AS in_gold, NOT (f = 'city' AND c_custkey % 7 = 0) AS in_pred,
+    NOT (f = 'city' AND c_custkey % 7 = 0) AND NOT (f = 'street_address' AND c_custkey % 7 <> 0 AND c_custkey % 5 = 0) AS correct FROM rec, (VALUES ('street_address'), ('city'), ('country')) v(f)
+  UNION ALL SELECT c_custkey, id, country, 'b', f, f <> 'state', f <> 'state' OR (c_custkey % 9 <> 0 AND c_custkey % 4 = 0), f <> 'state' AND NOT (f = 'country' AND c_custkey % 9 = 0)
+  FROM rec, (VALUES ('street_address'), ('city'), ('country'), ('state')) v(f) WHERE f <> 'state' OR (c_custkey % 9 <> 0 AND c_custkey % 4 = 0)),
+x AS (SELECT c_custkey, id, country, model, min(correct) AS exact FROM o GROUP BY ALL)"""
+F1_SQL = "CAST(sum(correct::INT) AS BIGINT) AS correct, CAST(sum(in_pred::INT) AS BIGINT) AS predicted, CAST(sum(in_gold::INT) AS BIGINT) AS gold, 2.0 * sum(correct::INT) / nullif(sum(in_pred::INT) + sum(in_gold::INT), 0) AS f1"
+
+
+def outcomes(spark, sf_dir) -> DataFrame:
+    return score.field_outcomes(*gold_and_predictions(spark, sf_dir))
+
+
+@query(OUT + f" SELECT model, field, {F1_SQL} FROM o GROUP BY ALL")
+def field_f1(spark, sf_dir):
+    return score.field_report(outcomes(spark, sf_dir))
+
+
+@query(OUT + f" SELECT model, {F1_SQL} FROM o GROUP BY ALL")
+def micro_f1(spark, sf_dir):
+    return score.field_report(outcomes(spark, sf_dir), ["model"])
+
+
+@query(OUT + " SELECT avg(r) AS macro, count(*) AS groups FROM (SELECT country, avg(exact::INT) AS r FROM x WHERE model = 'a' GROUP BY country)")
+def country_macro(spark, sf_dir):
+    x = score.row_outcomes(outcomes(spark, sf_dir)).where("model = 'a'").join(records(spark, sf_dir).select("id", "country"), "id")
+    return score.macro(x, "country")
+
+
+@query(OUT + """ SELECT count(*) FILTER (a.exact AND b.exact) AS "both", count(*) FILTER (a.exact AND NOT b.exact) AS only_a, count(*) FILTER (NOT a.exact AND b.exact) AS only_b,
+  count(*) FILTER (NOT a.exact AND NOT b.exact) AS neither, CAST(0 AS BIGINT) AS unmatched FROM x a JOIN x b USING (id) WHERE a.model = 'a' AND b.model = 'b'""")
+def paired_flips(spark, sf_dir):
+    x = score.row_outcomes(outcomes(spark, sf_dir))
+    return score.paired(x.where("model = 'a'"), x.where("model = 'b'"))
+
+
+@query(OUT + " SELECT CASE WHEN NOT in_gold THEN 'extra' WHEN NOT in_pred THEN 'missing' ELSE 'changed' END AS kind, field, count(*) AS n FROM o WHERE NOT correct AND model = 'b' GROUP BY ALL")
+def confusions(spark, sf_dir):
+    g, p = gold_and_predictions(spark, sf_dir)
+    return score.confusions(g, p.where("model = 'b'"))
+
+
+@query(f"WITH {REC}" + """ SELECT label, count(*) FILTER (NOT gone) AS tp, CAST(0 AS BIGINT) AS fp, count(*) FILTER (gone) AS fn FROM (
+  SELECT label, (label = 'city' AND c_custkey % 7 = 0) OR (label = 'house_number' AND c_custkey % 7 <> 0 AND c_custkey % 5 = 0) AS gone FROM span JOIN rec USING (id)) GROUP BY label""")
+def span_prf(spark, sf_dir):
+    g, p = gold_and_predictions(spark, sf_dir)
+    return score.span_prf(g.select("id", F.col("components").alias("gold")).join(p.where("model = 'a'").select("id", F.col("components").alias("pred")), "id"))
+
+
+@query(OUT + """ SELECT country, scope, count(*) AS rows, count(*) FILTER (exact) AS exact FROM (
+  SELECT c.country, s.scope, exact FROM x, (VALUES ('all'), ('third')) s(scope), LATERAL (VALUES (x.country), ('all')) c(country) WHERE model = 'a' AND (s.scope = 'all' OR c_custkey % 3 = 0)) GROUP BY ALL""")
+def scope_rollup(spark, sf_dir):
+    x = score.row_outcomes(outcomes(spark, sf_dir)).where("model = 'a'").join(records(spark, sf_dir).select("id", "c_custkey", "country"), "id")
+    return score.scope_rollup(x, "country", {"all": F.lit(True), "third": F.col("c_custkey") % 3 == 0}, "exact")
+
+
+Z2 = "1.95996398454 * 1.95996398454"
+
+
+@query(f"""SELECT source, k AS correct, n AS total, 100 * ((p + {Z2} / (2 * n)) / (1 + {Z2} / n) - h) AS low, 100 * ((p + {Z2} / (2 * n)) / (1 + {Z2} / n) + h) AS high FROM (
+  SELECT source, k, n, p, 1.95996398454 * sqrt(p * (1 - p) / n + {Z2} / (4.0 * n * n)) / (1 + {Z2} / n) AS h FROM (
+    SELECT source, CAST(sum(quality) AS BIGINT) AS k, count(*) AS n, sum(quality) / CAST(count(*) AS DOUBLE) AS p FROM documents JOIN labels USING (doc_id) GROUP BY source))""")
+def wilson_by_source(spark, sf_dir):
+    g = t(spark, sf_dir, "documents").select("doc_id", "source").join(t(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.sum("quality").alias("correct"), F.count("*").alias("total"))
+    low, high = score.wilson(F.col("correct"), F.col("total"))
+    return g.select("source", "correct", "total", low.alias("low"), high.alias("high"))
+
+
+@query("""SELECT count(*) AS rows, count(*) FILTER (r <= 1) AS top1, count(*) FILTER (r <= 2) AS top2, count(*) FILTER (r <= 4) AS top4, count(*) FILTER (r <= 8) AS top8
+FROM (SELECT CASE WHEN o_orderkey % 10 < 8 THEN o_orderkey % 10 + 1 END AS r FROM orders)""")
+def topk_recall(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    c = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("k") - F.col("k") % 10 + i)
+    return score.topk_recall(o.select(F.col("k").alias("gold"), c.alias("candidates")))
+
+
+@query("SELECT source, n, (sum(n) OVER ()) / (CAST(count(*) OVER () AS DOUBLE) * n) AS weight FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def inverse_freq_weights(spark, sf_dir):
+    return score.inverse_frequency(t(spark, sf_dir, "documents"), "source")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_quantiles(spark, sf_dir):
+    return score.nearest_rank(t(spark, sf_dir, "events"), "value", {"median": 0.5, "p95": 0.95}, ["event_type"])
+
+
+@query("""SELECT lang, source, (sum(n) OVER w - n) / (sum(n) OVER (PARTITION BY lang)) AS lower, sum(n) OVER w / (sum(n) OVER (PARTITION BY lang)) AS upper
+FROM (SELECT lang, source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY ALL) WINDOW w AS (PARTITION BY lang ORDER BY source ROWS UNBOUNDED PRECEDING)""")
+def percent_stack(spark, sf_dir):
+    g = t(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").cast("double").alias("n"))
+    return score.percent_stack(g, "source", "n", "lang")
+
+
+@query(f"WITH {REC}" + """, v(cohort) AS (VALUES ('complete'), ('no-postcode'), ('no-city'), ('no-street'), ('lowercase'), ('multiline'), ('no-commas'))
+SELECT id || ':' || cohort AS id, cohort, CASE WHEN cohort = 'no-city' THEN concat_ws(', ', p1, p2, p3, p5) WHEN cohort = 'lowercase' THEN lower(text)
+  WHEN cohort = 'multiline' THEN replace(text, ', ', chr(10)) WHEN cohort = 'no-commas' THEN replace(text, ',', '') ELSE text END AS text FROM rec, v""")
+def cohort_variants(spark, sf_dir):
+    return augment.cohorts(records(spark, sf_dir)).select("id", "cohort", "text")
+
+
+def coarse(spark, sf_dir) -> DataFrame:
+    r = records(spark, sf_dir)
+    return r.select("id", "text", S.project(F.col("text"), F.col("components")).alias("components"), F.col("components").alias("source_components"))
+
+
+@query()
+def partial_variants(spark, sf_dir):
+    return augment.variants(coarse(spark, sf_dir), "partial")
+
+
+@query()
+def structural_variants(spark, sf_dir):
+    return augment.variants(coarse(spark, sf_dir), "structural")
+
+
+@query()
+def case_variants(spark, sf_dir):
+    return augment.variants(coarse(spark, sf_dir), "case").select("id", "kind", "text")
+
+
+@query()
+def layout_variants(spark, sf_dir):
+    return augment.variants(coarse(spark, sf_dir), "layout")
+
+
+@query()
+def parse(spark, sf_dir):
+    """Parses by a tagger of seeded random weights: the operators, not a trained model."""
+    data, _, _ = model.write_model(model.random_weights(MODEL_SEED), gap=True, bits=5)
+    return model.parse(records(spark, sf_dir).select("id", "text"), data).select("id", "parse.status", "parse.components")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    w = e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return w.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def newest_request(spark, sf_dir):
+    from ..streaming.latest import newest
+
+    return newest(t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
