@@ -213,8 +213,7 @@ def fit(texts: list[str], label: np.ndarray, steps: int = 150, batch: int = 128,
         return None
     g = np.random.Generator(np.random.Philox(seed))
     prior = float(label.mean())
-    parts = [np.flatnonzero(np.arange(len(label)) % folds == k) for k in range(folds)]
-    parts = [k for k in parts if len(k)]
+    parts = [np.sort(k) for k in np.array_split(g.permutation(len(label)), folds) if len(k)]
     kits = [Words(*buffers(pa.array([texts[i] for i in k], pa.string()))) for k in parts]
     counts = [evidence_counts(w, label[k]) for w, k in zip(kits, parts)]
     every = {k: sum(c[k] for c in counts) for k in counts[0]}

@@ -33,10 +33,10 @@ _M = U64(0xD1342543DE82EF95)
 
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k-byte gram, k a power of two."""
-    h, m, w = _LUT[b], _M, 1
+    h, m, w = _LUT[b], int(_M), 1
     while w < k:
-        h = h[:-w] * m + h[w:]
-        m, w = m * m, 2 * w
+        h = h[:-w] * U64(m) + h[w:]
+        m, w = m * m % 2**64, 2 * w
     return mix(h)
 
 
