@@ -25,5 +25,5 @@ def each_batch(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], path:
 
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums by window and type, under a watermark."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
