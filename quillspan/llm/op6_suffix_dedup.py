@@ -281,3 +281,17 @@ def brute_force(texts: list[str | None], length: int = 200) -> list[tuple[int, i
         kept = np.frombuffer(r, np.uint8)[~gone].tobytes()
         out.append((len(r), int(gone.sum()), len(runs_of(gone)[0]), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents
+), w AS (SELECT doc_id, i, md5(substr(t, CAST(2 * i + 1 AS BIGINT), 400)) AS h FROM (SELECT doc_id, t, unnest(generate_series(0, length(t) // 2 - 200)) AS i FROM d WHERE length(t) >= 400)
+), r AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)
+), g AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS p FROM r)
+), s AS (SELECT doc_id, k, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY ALL
+), e AS (SELECT doc_id, k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM s
+), x AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last, string_agg(substr(t, CAST(2 * before + 1 AS BIGINT), CAST(2 * (lo - before) AS BIGINT)), '' ORDER BY lo) AS head FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(t) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(t, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
