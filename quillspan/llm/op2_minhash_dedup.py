@@ -3,13 +3,13 @@
 Documents with equal shingle sets are one class, found by fingerprint, so copies never pair up.
 Classes enter several independent trees: a tree's node picks minwise coordinates by a hash of
 its own path, and a class follows every picked coordinate into the child of its minwise token.
-A node first links its members to one pivot (a star); members of one component need no further
-comparison, so a node whose members are all connected is done, however large. Small nodes
-compare the rest exhaustively; large ones branch again. Candidates are filtered by their
+A node first links its members to one pivot (a star, at the roots); members of one component need no further
+comparison, so a node whose members are all connected is done, however large. Nodes with few pairs left for
+their size compare those exhaustively; the others branch again. Candidates are filtered by their
 minwise signatures and confirmed on full shingle sets.
 
 Recall at similarity 0.8: two classes share Binomial(20, 0.8) root nodes, so a pair of which
-every shared node is small is lost with probability 0.2^20; in a large node a branch of mean
+every shared node is closed is lost with probability 0.2^20; in an open node a branch of mean
 1.5 keeps a pair alive with probability 0.5 per root at any depth, 1e-6 lost over the trees.
 """
 
@@ -106,89 +106,117 @@ def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "v long, s array<long>").dropDuplicates(["v"])
 
 
-def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, small: int = 32, depth: int = 24, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, small: int = 64, depth: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Null or blank texts have no shingles and stand alone. Null ids pass through (they never
     name a component unless all of its rows have a null id); repeated rows are copies, one
     result row each; other columns are ignored; an empty table gives an empty result.
-    ``kept`` compares ids null-safely. Vertices are 64-bit set fingerprints.
+    ``kept`` compares ids null-safely. Vertices are 64-bit set fingerprints. A node is closed when
+    its remaining pairs are at most ``small`` for each member; after ``depth`` levels all are.
     """
     scratch = Scratch(spark)
     feats = scratch.cut(features(docs, k), "features")
-    classes = scratch.cut(feats.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("m"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = feats.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("m"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.cut(scratch.fit(classes, feats._rows, 300), "classes")
 
     pick = np.random.Generator(np.random.Philox(20260104))
     roots = [(t, int(c)) for t in range(TREES) for c in pick.choice(COORDS, 2, replace=False)]
     nodes = classes.select("v", F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.col("sig")[c]) for t, c in roots])).alias("node"))
-    nodes = scratch.cut(crowded(nodes), "nodes")
+    nodes = scratch.cut(scratch.fit(crowded(nodes), classes._rows * len(roots), 8), "nodes")
     # a class with a partner shares most of its root nodes; fewer than four of twenty: none (1e-9)
-    live = nodes.groupBy("v").count().where("count >= 4").select("v")
-    nodes = scratch.cut(crowded(nodes.join(live, "v")), "nodes")
-    attrs = scratch.cut(classes.join(nodes.select("v").distinct(), "v").select("v", "m", "n", "sig"), "attrs")
-    reps = attrs.select(F.col("v").alias("want"), F.col("m").alias("rep"))
-    reps = F.broadcast(reps) if attrs.count() <= broadcast_rows else reps
-    sets = scratch.cut(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text"), k), "sets")
-
-    edges = scratch.cut(spark.createDataFrame([], "a long, b long"), "edges")
-    labels = edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    tested = edges
-
-    def verify(pairs: DataFrame) -> None:
-        """Confirm the pairs that were not tested before; renew edges and labels if any holds."""
-        nonlocal edges, labels, tested
-        x, y = attrs.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), attrs.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(x, "a").join(y, "b")
+    live = scratch.fit(nodes.groupBy("v").agg(F.count("*").alias("c")).where("c >= 4").select("v"), nodes._rows)
+    nodes = nodes.join(scratch.small(live, rows=nodes._rows // 4), "v").select("node", "v")
+    nodes = scratch.cut(scratch.fit(crowded(nodes), classes._rows * len(roots) // 4), "nodes")
+    attrs = classes.join(scratch.small(nodes.select("v").distinct(), rows=nodes._rows // 2), "v").select("v", "m", "n", "sig")
+    attrs = scratch.cut(scratch.fit(attrs, classes._rows, 300), "attrs")
+    reps = scratch.small(attrs, 16, attrs._rows).select(F.col("v").alias("want"), F.col("m").alias("rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
+    sets = scratch.cut(full_sets(texts, k), "sets")
+
+    edges = tested = spark.createDataFrame([], "a long, b long")
+    labels = None
+    known = 0
+
+    def verify(pairs: DataFrame, most: int) -> None:
+        """Confirm the pairs (at most ``most``) that were not tested before; renew edges and labels if any holds."""
+        nonlocal edges, labels, tested, known
+        attr = lambda v, n, s: scratch.small(attrs, 300).select(F.col("v").alias(v), F.col("n").alias(n), F.col("sig").alias(s))
+        pairs = scratch.fit(pairs.distinct(), most)
+        if known:
+            pairs = pairs.join(scratch.small(tested, rows=known), ["a", "b"], "left_anti")
+        pairs = pairs.join(attr("a", "na", "sa"), "a").join(attr("b", "nb", "sb"), "b")
         alike = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(alike >= COORDS // 2).select("a", "b", "na", "nb")
         pairs = scratch.cut(pairs, "pairs")
-        if pairs.isEmpty():
+        if not pairs._rows:
             return
-        tested = scratch.cut(tested.union(pairs.select("a", "b")), "tested")
+        tested, known = tested.union(pairs.select("a", "b")), known + pairs._rows
         # a pivot with many partners is dealt over copies of its set
-        fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan"))
+        fan = scratch.fit(pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan")), pairs._rows)
+        fan = scratch.small(fan, rows=pairs._rows)
         left = sets.join(fan, sets.v == fan.a).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("s").alias("s1"))
         both = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
-        both = both.join(left, ["a", "salt"]).join(sets.select(F.col("v").alias("b"), F.col("s").alias("s2")), "b")
+        both = scratch.fit(both.join(left, ["a", "salt"]).select("a", "b", "na", "nb", "s1"), pairs._rows, 8192)
+        both = scratch.fit(both.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s2")), "b"), pairs._rows, 8192)
         same = F.size(F.array_intersect("s1", "s2"))
-        new = scratch.cut(both.select("a", "b", same.alias("i"), "na", "nb").where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "found")
-        if new.isEmpty():
-            return
-        edges = scratch.cut(edges.union(new), "edges")
-        labels = components(spark, scratch, edges)
+        new = both.select("a", "b", same.alias("i"), "na", "nb").where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+        new = scratch.cut(new, "found")
+        if new._rows:
+            edges = edges.union(new)
+            labels = components(spark, scratch, edges)
 
     def labelled(nodes: DataFrame) -> DataFrame:
-        return nodes.join(labels, "v", "left").select("node", "v", F.coalesce("root", "v").alias("lab"))
+        if labels is None:
+            return nodes.select("node", "v", F.col("v").alias("lab"))
+        return nodes.join(scratch.small(labels), "v", "left").select("node", "v", F.coalesce("root", "v").alias("lab"))
 
+    # stars: the members of a node against its smallest one
+    verify(nodes.select(F.col("low").alias("a"), F.col("v").alias("b")).where("a <> b"), nodes._rows)
     for level in range(depth + 1):
-        low = nodes.groupBy("node").agg(F.min("v").alias("a"))
-        stars = labelled(nodes).join(low, "node").join(labels.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
-        verify(stars.where(F.col("lab") != F.coalesce("ra", "a")).select("a", F.col("v").alias("b")))
+        n = nodes._rows
         nodes = labelled(nodes)
-        mixed = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("node", "size")
-        nodes = scratch.cut(nodes.join(mixed, "node"), "nodes")
-        few = nodes if level == depth else nodes.where(F.col("size") <= small)
-        other = few.select("node", F.col("v").alias("b"), F.col("lab").alias("lb"))
-        verify(few.select("node", F.col("v").alias("a"), "lab").join(other, "node").where("lab <> lb and a < b").select("a", "b"))
-        large = nodes.where(F.col("size") > small)
-        if level == depth or large.isEmpty():
+        kinds = nodes.groupBy("node", "lab").agg(F.count("*").alias("c")).groupBy("node")
+        # pairs of different components that are left, against the node's size
+        kinds = kinds.agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "lab"))["lab"].alias("most"), F.count("*").alias("labs")).where("labs > 1")
+        kinds = kinds.select("node", "most", (F.col("size") * F.col("size") - F.col("sq")).alias("rest"), ((F.col("size") * F.col("size") - F.col("sq")) <= 2 * small * F.col("size")).alias("close"))
+        kinds = scratch.cut(scratch.fit(kinds, n), "kinds", rest=F.sum(F.when(F.col("close") | F.lit(level == depth), F.col("rest"))), open=F.count_if(~F.col("close")))
+        if not kinds._rows:
+            break
+        nodes = scratch.cut(scratch.fit(nodes.join(scratch.small(kinds.select("node", "most", "close"), rows=kinds._rows), "node"), n), "nodes")
+        few = nodes if level == depth else nodes.where("close")
+        # those outside the largest component against all: no more rows than the pairs that are left, twice
+        other = few.select("node", F.col("v").alias("y"), F.col("lab").alias("ly"))
+        cross = scratch.small(few, rows=nodes._rows).where("lab <> most").select("node", F.col("v").alias("x"), "lab").join(other, "node").where("lab <> ly")
+        verify(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), int(kinds._seen["rest"] or 0))
+        if level == depth or not kinds._seen["open"]:
             break
         # one coordinate always, a second one for half of the nodes
         c = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDS)).cast("int") for i in (1, 2)]
         kid = [F.xxhash64("node", x, F.element_at("sig", x + 1)) for x in c]
         twice = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0) & (c[0] != c[1])
-        kids = large.select("node", "v").join(attrs.select("v", "sig"), "v").select("v", F.explode(F.when(twice, F.array(*kid)).otherwise(F.array(kid[0]))).alias("node"))
-        nodes = scratch.cut(crowded(kids), "nodes")
+        kids = nodes.where("not close").select("node", "v").join(scratch.small(attrs, 300).select("v", "sig"), "v").select("v", F.explode(F.when(twice, F.array(*kid)).otherwise(F.array(kid[0]))).alias("node"))
+        nodes = scratch.cut(scratch.fit(crowded(kids), 2 * nodes._rows), "nodes")
+        if not nodes._rows:
+            break
 
-    comp = classes.select("v", "m").join(labels, "v", "left").select("v", "m", F.coalesce("root", "v").alias("root"))
-    low = comp.groupBy("root").agg(F.min("m").alias("component_id"))
-    comp = comp.join(low, "root").select("v", "component_id")
-    out = feats.select("doc_id", "n_shingles", "v").join(comp, "v", "left")
+    comp = classes.select("v", "m")
+    if labels is None:
+        comp = comp.select("v", F.col("m").alias("component_id"))
+    else:
+        comp = comp.join(scratch.small(labels), "v", "left").select("v", "m", F.coalesce("root", "v").alias("root"))
+        low = scratch.fit(comp.where("root <> v").groupBy("root").agg(F.min("m").alias("lo")), labels._rows)
+        comp = comp.join(scratch.small(low, rows=labels._rows), "root", "left").select("v", F.coalesce(F.least("m", "lo"), "m", "lo").alias("own"), "root", "m", "lo")
+        # the root's own id counts too: every member takes the least of its root's and the members'
+        top = comp.where("root = v and lo is not null").select("root", F.col("own").alias("top"))
+        comp = comp.join(scratch.small(top, rows=labels._rows), "root", "left").select("v", F.coalesce("top", "m").alias("component_id"))
+    comp = scratch.cut(scratch.fit(comp, classes._rows, 24), "comp")
+    out = feats.select("doc_id", "n_shingles", "v").join(scratch.small(comp), "v", "left")
     own = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def crowded(nodes: DataFrame) -> DataFrame:
-    """Rows (node, v) of nodes with two members at least."""
-    size = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
-    return nodes.join(size, "node").select("node", "v")
+    """Rows (node, v, low) of nodes with two members at least; low: the smallest member."""
+    size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("low")).where("size > 1").select("node", "low")
+    return nodes.join(size, "node").select("node", "v", "low")

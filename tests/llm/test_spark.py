@@ -76,7 +76,7 @@ def jaccard_components(rows):
     return sorted(out, key=str)
 
 
-def test_near_components(spark):
+def test_near_components(spark, monkeypatch):
     g = np.random.Generator(np.random.Philox(9))
     rows = list(ROWS)
     base = [[f"t{x}" for x in g.integers(0, 900, 120)] for _ in range(6)]
@@ -88,7 +88,8 @@ def test_near_components(spark):
     got = near.near_components(spark, odd(spark, rows)).collect()
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == jaccard_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
-    small = near.near_components(spark, odd(spark, rows), small=1, broadcast_rows=0).collect()  # branches instead of closing
+    monkeypatch.setattr(Scratch, "BROADCAST_BYTES", 0)
+    small = near.near_components(spark, odd(spark, rows), small=1, depth=2).collect()  # branches instead of closing
     assert sorted(map(str, small)) == sorted(map(str, got))
     assert near.near_components(spark, none(spark)).count() == 0
 
