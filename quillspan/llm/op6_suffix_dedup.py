@@ -285,7 +285,7 @@ def brute_force(texts: list[str | None], length: int = 200) -> list[tuple[int, i
 
 SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t FROM documents
-), w AS (SELECT doc_id, i, md5(substr(t, CAST(2 * i + 1 AS BIGINT), 400)) AS h FROM (SELECT doc_id, t, unnest(generate_series(0, length(t) // 2 - 200)) AS i FROM d WHERE length(t) >= 400)
+), w AS (SELECT doc_id, i, hash(substr(t, CAST(2 * i + 1 AS BIGINT), 400)) AS h FROM (SELECT doc_id, t, unnest(generate_series(0, length(t) // 2 - 200)) AS i FROM d WHERE length(t) >= 400)
 ), r AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) USING (h)
 ), g AS (SELECT doc_id, i, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS p FROM r)
 ), s AS (SELECT doc_id, k, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY ALL
