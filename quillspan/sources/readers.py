@@ -103,7 +103,8 @@ def quads(lines: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """(block, position, token, tag, valid) of blank-line separated blocks; an I tag must follow its field."""
-    b = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("block"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    b = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("block"), "value")
+    b = b.select("block", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     t = b.where(F.trim("line") != "").select("block", "pos", F.substring_index(F.regexp_replace("line", r"\s+", "\t"), "\t", 1).alias("token"), F.substring_index(F.regexp_replace("line", r"\s+", "\t"), "\t", -1).alias("tag"))
     from pyspark.sql.window import Window
 
@@ -205,7 +206,7 @@ def geocoded_file(df: DataFrame) -> DataFrame:
     number = lambda p: F.concat(_number(col(f"{p}_prefix")), _number(col(p)), _number(col(f"{p}_suffix")))
     first, last, lot = number("number_first"), number("number_last"), number("lot_number")
     code = _number(col("postcode"))
-    code = F.when(code == "", "").otherwise(F.lpad(code, 4, "0"))
+    code = F.when((code == "") | (F.length(code) > 4), code).otherwise(F.lpad(code, 4, "0"))
     place = F.when(first != "", F.concat(first, F.when(last != "", F.concat(F.lit("-"), last)).otherwise(""))).when(lot != "", F.concat(F.lit("LOT "), lot)).otherwise("")
     reason = (
         F.when((col("confidence").cast("int") < 0) | (F.coalesce(col("alias_principal"), F.lit("")) != "P"), "retired-or-alias")
