@@ -30,25 +30,37 @@ def write_split(df: DataFrame, path: str, by: str = "split") -> None:
 
 
 def csv(spark: SparkSession, path: str, schema: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Headered CSV of a fixed schema; rows that don't fit it carry their text in _corrupt."""
-    return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(f"{schema}, _corrupt string").csv(path)
+    """Headered CSV of a fixed schema; rows that don't fit it carry their text in _corrupt.
+
+    Encodings that Spark's reader refuses are decoded file by file; there _corrupt tells the width.
+    """
+    if encoding.lower() in ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16le", "utf-16be", "utf-32"):
+        return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(f"{schema}, _corrupt string").csv(path)
+    rows = _python_csv(spark.read.format("binaryFile").load(path), None, encoding, sep)
+    fields = spark.createDataFrame([], schema).schema
+    cols = [F.col("fields")[f.name].try_cast(f.dataType).alias(f.name) for f in fields]
+    return rows.select(*cols, F.when(~F.col("fits"), "width").alias("_corrupt"))
 
 
 def zipped_csv(spark: SparkSession, path: str, member: str, encoding: str = "utf-8-sig") -> DataFrame:
-    """(line number, fields, width fits the header) of a CSV inside a zip file."""
+    """(fields, whether the width fits the header) of each row of a CSV inside a zip file."""
+    return _python_csv(spark.read.format("binaryFile").load(path), member, encoding, ",")
+
 
+def _python_csv(files: DataFrame, member: str | None, encoding: str, sep: str) -> DataFrame:
     def run(batches):
         import csv as plain
 
         for pdf in batches:
             for raw in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(raw)) as z, z.open(member) as f:
-                    rows = plain.reader(io.TextIOWrapper(f, encoding, newline=""))
-                    head = next(rows)
-                    for chunk in iter(lambda: [x for _, x in zip(range(4096), rows)], []):
-                        yield pd.DataFrame({"fields": [dict(zip(head, r)) for r in chunk], "fits": [len(r) == len(head) for r in chunk]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "fields map<string,string>, fits boolean")
+                f = io.BytesIO(raw)
+                f = zipfile.ZipFile(f).open(member) if member else f
+                rows = plain.reader(io.TextIOWrapper(f, encoding, newline=""), delimiter=sep)
+                head = next(rows)
+                for chunk in iter(lambda: [x for _, x in zip(range(4096), rows)], []):
+                    yield pd.DataFrame({"fields": [dict(zip(head, r)) for r in chunk], "fits": [len(r) == len(head) for r in chunk]})
+
+    return files.select("content").mapInPandas(run, "fields map<string,string>, fits boolean")
 
 
 def unpivot_gold(df: DataFrame, id: str, text: str, country: str) -> DataFrame:
