@@ -26,6 +26,7 @@ from .textkit import U64, buffers, chunks, mix, words
 
 COORDS = 64
 TREES = 10
+PIVOTS = 8
 _G = np.random.Generator(np.random.Philox(20260103))
 _A = _G.integers(1, 2**64, COORDS, dtype=U64) | U64(1)
 _B = _G.integers(1, 2**64, COORDS, dtype=U64)
@@ -89,7 +90,7 @@ def features(docs: DataFrame, k: int = 4) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(v, shingle set) of rows whose class is the wanted one (column want)."""
+    """(v, shingle set) of rows whose class is the wanted one (column want); repeated rows repeat it."""
 
     def run(batches):
         for b in batches:
@@ -103,7 +104,7 @@ def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
                     at = np.concatenate([[0], np.cumsum([len(s) for s in keep])])
                     yield pa.RecordBatch.from_arrays([pa.array([w for s, w in zip(hit, want[i:j]) if s is not None], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keep).view(np.int64)))], ["v", "s"])
 
-    return docs.mapInArrow(run, "v long, s array<long>").dropDuplicates(["v"])
+    return docs.mapInArrow(run, "v long, s array<long>")
 
 
 def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, small: int = 64, depth: int = 12) -> DataFrame:
@@ -113,7 +114,8 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     name a component unless all of its rows have a null id); repeated rows are copies, one
     result row each; other columns are ignored; an empty table gives an empty result.
     ``kept`` compares ids null-safely. Vertices are 64-bit set fingerprints. A node is closed when
-    its remaining pairs are at most ``small`` for each member; after ``depth`` levels all are.
+    its remaining pairs are at most ``small`` for each member, twice as many at each level; after
+    ``depth`` levels all are.
     """
     scratch = Scratch(spark)
     feats = scratch.cut(features(docs, k), "features")
@@ -157,8 +159,11 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         fan = scratch.small(fan, rows=pairs._rows)
         left = sets.join(fan, sets.v == fan.a).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("s").alias("s1"))
         both = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
-        both = scratch.fit(both.join(left, ["a", "salt"]).select("a", "b", "na", "nb", "s1"), pairs._rows, 8192)
-        both = scratch.fit(both.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s2")), "b"), pairs._rows, 8192)
+        both = scratch.fit(both.join(left, ["a", "salt"]).select("a", "b", "na", "nb", "s1"), pairs._rows, 16384)
+        # only sets that a pair asks for are shuffled
+        asked = scratch.small(scratch.fit(pairs.select("b").distinct(), pairs._rows), rows=pairs._rows)
+        right = sets.select(F.col("v").alias("b"), F.col("s").alias("s2")).join(asked, "b", "left_semi")
+        both = scratch.fit(both.join(right, "b"), pairs._rows, 16384)
         same = F.size(F.array_intersect("s1", "s2"))
         new = both.select("a", "b", same.alias("i"), "na", "nb").where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
         new = scratch.cut(new, "found")
@@ -173,17 +178,30 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
 
     # stars: the members of a node against its smallest one
     verify(nodes.select(F.col("low").alias("a"), F.col("v").alias("b")).where("a <> b"), nodes._rows)
-    for level in range(depth + 1):
+    level = -1
+    while level < depth:
+        level += 1
         n = nodes._rows
         nodes = labelled(nodes)
         kinds = nodes.groupBy("node", "lab").agg(F.count("*").alias("c")).groupBy("node")
         # pairs of different components that are left, against the node's size
         kinds = kinds.agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "lab"))["lab"].alias("most"), F.count("*").alias("labs")).where("labs > 1")
-        kinds = kinds.select("node", "most", (F.col("size") * F.col("size") - F.col("sq")).alias("rest"), ((F.col("size") * F.col("size") - F.col("sq")) <= 2 * small * F.col("size")).alias("close"))
+        kinds = kinds.select("node", "most", (F.col("size") * F.col("size") - F.col("sq")).alias("rest"), ((F.col("size") * F.col("size") - F.col("sq")) <= 2 * small * 2**level * F.col("size")).alias("close"))
         kinds = scratch.cut(scratch.fit(kinds, n), "kinds", rest=F.sum(F.when(F.col("close") | F.lit(level == depth), F.col("rest"))), open=F.count_if(~F.col("close")))
         if not kinds._rows:
             break
         nodes = scratch.cut(scratch.fit(nodes.join(scratch.small(kinds.select("node", "most", "close"), rows=kinds._rows), "node"), n), "nodes")
+        if level == 0 < depth and labels is not None:
+            # a few more pivots, by hash, join most of what one pivot left apart in a large node
+            more = nodes.groupBy("node").agg(F.array(*[F.min_by("v", F.xxhash64("v", F.lit(i))) for i in range(PIVOTS)]).alias("p"))
+            more = more.select("node", F.explode(F.array_distinct("p")).alias("x")).join(labels.select(F.col("v").alias("x"), F.col("root").alias("rx")), "x", "left")
+            stars = nodes.select("node", F.col("v").alias("y"), F.col("lab").alias("ly")).join(more.select("node", "x", F.coalesce("rx", "x").alias("lx")), "node").where("lx <> ly")
+            before = labels
+            verify(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), nodes._rows * PIVOTS)
+            if labels is not before:
+                rows, nodes = nodes._rows, nodes.select("node", "v")
+                nodes._rows = rows
+                continue
         few = nodes if level == depth else nodes.where("close")
         # those outside the largest component against all: no more rows than the pairs that are left, twice
         other = few.select("node", F.col("v").alias("y"), F.col("lab").alias("ly"))
@@ -220,3 +238,18 @@ def crowded(nodes: DataFrame) -> DataFrame:
     """Rows (node, v, low) of nodes with two members at least; low: the smallest member."""
     size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("low")).where("size > 1").select("node", "low")
     return nodes.join(size, "node").select("node", "v", "low")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 100 * p.i >= 80 * (a.n + b.n - p.i)
+), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+"""
