@@ -72,7 +72,7 @@ class Words:
         pos = start[:, None] + np.arange(WINDOW)
         mask = pos < count[self.row][:, None]
         inv = np.append(inv, len(self.uniq))
-        self.index = inv[np.where(mask, first[self.row][:, None] + pos, len(inv) - 1)]
+        self.index = inv[np.where(mask, first[self.row][:, None] + pos, len(inv) - 1)].astype(np.int32)
         self.mask = mask.T.astype(f32)
 
 
@@ -190,7 +190,7 @@ def evidence_counts(w: Words, label: np.ndarray) -> dict[str, np.ndarray]:
     for name, r, f in (("word", row, mix(w.uniq)[word]), ("gram", np.repeat(row, num[word]), w.grams[ragged(first[word], num[word])]), ("head", row, w.head[word])):
         key = np.unique(slot(f, EVIDENCE_BITS) * len(label) + r)
         k, y = key // len(label), label[key % len(label)]
-        out[name] = np.array([np.bincount(k, minlength=1 << EVIDENCE_BITS), np.bincount(k, weights=y, minlength=1 << EVIDENCE_BITS)])
+        out[name] = np.array([np.bincount(k, minlength=1 << EVIDENCE_BITS), np.bincount(k, weights=y, minlength=1 << EVIDENCE_BITS)], f32)
     return out
 
 
@@ -203,7 +203,7 @@ def log_odds(counts: dict[str, np.ndarray], prior: float, strength: float = 10.0
     return out
 
 
-def fit(texts: list[str], label: np.ndarray, steps: int = 150, batch: int = 128, rate: float = 0.02, folds: int = 4, seed: int = 5) -> Model | None:
+def fit(texts: list[str], label: np.ndarray, steps: int = 150, batch: int = 128, rate: float = 0.02, folds: int = 8, seed: int = 5) -> Model | None:
     """Train on whole texts; the loss is that of each document's strongest window of its bag.
 
     Evidence is cross-fitted: a document is trained with that of the other folds, for its own
