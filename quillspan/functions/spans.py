@@ -5,7 +5,10 @@ Rows hold few spans each, so ordered folds are higher-order functions over the r
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,15 +87,20 @@ def project(text: Column, spans: Column) -> Column:
 
 
 def token_spans(text: Column) -> Column:
-    """array<struct<start,end>> of the tokens in code points: the gap before each is blank, so its length is the blanks'."""
+    """array<struct<start,end>> of the tokens in code points: blanks and tokens tile the text, so their lengths add up."""
 
-    def walk(acc: Column, t: Column) -> Column:
-        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-        rest = F.substring(text, at + 1, F.length(text))
-        start = at + F.position(t, rest) - 1
-        return F.concat(acc, F.array(F.struct(start.cast("int").alias("start"), (start + F.length(t)).cast("int").alias("end"))))
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(gap: pa.Array, size: pa.Array) -> pa.Array:
+        n = gap.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        g, s = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (gap, size))
+        at = np.cumsum(np.append(0, g + s))
+        end = at[1:] - np.repeat(at[np.cumsum(n) - n], n)
+        some = s > 0  # the last piece has no token
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+        pairs = pa.StructArray.from_arrays([pa.array((end - s)[some], pa.int32()), pa.array(end[some], pa.int32())], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pairs, mask=gap.is_null())
 
-    return F.aggregate(X.tokens(text), F.array().cast("array<struct<start:int,end:int>>"), walk)
+    return run(*[F.transform(F.regexp_extract_all(text, F.lit(X.TILE), F.lit(i)), lambda x: F.length(x)) for i in (1, 2)])
 
 
 def bio_to_spans(text: Column, path: Column, offsets: Column) -> Column:
@@ -115,12 +123,23 @@ def bio_to_spans(text: Column, path: Column, offsets: Column) -> Column:
 def gap_features(text: Column, offsets: Column) -> Column:
     """Before each token: a line feed if the gap has a line break, a space if it is not empty, else nothing."""
 
-    def one(o: Column, i: Column) -> Column:
-        at = F.when(i > 0, F.get(offsets, i - 1)["end"]).otherwise(0)
-        gap = F.substring(text, at + 1, o["start"] - at)
-        return F.when(gap.rlike(r"[\r\n]"), "\n").when(gap != "", " ").otherwise("")
-
-    return F.transform(offsets, one)
+    @F.arrow_udf("array<string>")
+    def run(t: pa.Array, o: pa.Array) -> pa.Array:
+        none = pc.or_(t.is_null(), o.is_null())
+        n = np.where(none.to_numpy(zero_copy_only=False), 0, o.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        pairs = o.filter(pc.invert(none)).flatten()
+        start, end = (pairs.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        at = np.append(0, np.cumsum(n))
+        kind = np.zeros(int(at[-1]), np.int64)
+        for i in np.flatnonzero(n).tolist():
+            lo, hi = at[i], at[i + 1]
+            code = np.frombuffer(t[i].as_py().encode("utf-32-le"), np.uint32)
+            breaks = np.append(0, np.cumsum((code == 10) | (code == 13)))
+            before = np.append(0, end[lo : hi - 1])
+            kind[lo:hi] = np.where(breaks[start[lo:hi]] > breaks[before], 2, start[lo:hi] > before)
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(["", " ", "\n"]).take(pa.array(kind)), mask=none)
+
+    return run(text, offsets)
 
 
 def supported(text: Column, toks: Column, max_tokens: int = 128, max_chars: int = 512, max_bytes: int = 64) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 LATIN = r"^[\p{IsLatin}\p{IsCommon}\p{IsInherited}]*$"
 CJK = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}"
 TOKEN = rf"(?U)[{CJK}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{CJK}]]+|[^\s\x{{1c}}-\x{{1f}}]"
+# Blanks and the token behind them; these tile a text.
+TILE = rf"(?U)([\s\x{{1c}}-\x{{1f}}]*+)([{CJK}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{CJK}]]++|[^\s\x{{1c}}-\x{{1f}}]|\z)"
 SCORER_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s,]"
 
 

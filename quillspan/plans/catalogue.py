@@ -169,6 +169,16 @@ def gap_features(spark, sf_dir):
     return d.select("doc_id", F.size("o").cast("long").alias("tokens"), count("\n").alias("line_breaks"), count(" ").alias("spaces"))
 
 
+@query(rf"""SELECT doc_id, len(k) AS tokens, CAST(len(list_filter(g, lambda x: regexp_matches(x, '[\r\n]'))) AS BIGINT) AS line_breaks, CAST(len(list_filter(g, lambda x: x <> '' AND NOT regexp_matches(x, '[\r\n]'))) AS BIGINT) AS spaces
+FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN_SQL}') AS k, regexp_extract_all(text, '(\s*)({TOKEN_SQL})', 1) AS g FROM documents)""")
+def gap_features_whole(spark, sf_dir):
+    """As ``gap_features``, of every document: long, empty and null texts too."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "text", S.token_spans(F.col("text")).alias("o"))
+    d = d.select("doc_id", F.size("o").cast("long").alias("tokens"), S.gap_features(F.col("text"), F.col("o")).alias("g"))
+    count = lambda v: F.size(F.filter("g", lambda x: x == v)).cast("long")
+    return d.select("doc_id", "tokens", count("\n").alias("line_breaks"), count(" ").alias("spaces"))
+
+
 @query(f"""WITH {REC}, k AS (SELECT id, label, s, e, raw FROM span)
 SELECT id, field, start, "end" FROM (
   SELECT id, min(s) AS start, max(e) AS "end", 'street_address' AS field FROM k WHERE label IN ('house_number', 'road') GROUP BY id

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import spans as S
 from quillspan.functions import text as X
 from quillspan.operators import model
+from quillspan.plans import catalogue
 
 
 def one(spark, text, **cols):
@@ -86,6 +87,23 @@ def test_gaps(spark):
     assert df.select(S.gap_features(F.col("text"), S.token_spans(F.col("text"))).alias("g")).first().g == [" ", "\n", " ", "", "", "\n"]
 
 
+def test_offsets_of_long_texts(spark):
+    """Two million characters end in time, with the offsets of the plain tokenizer; null and blank texts keep their rows."""
+    rows = [("ab, 中国\n🏠\x1c12 " * 130_000 + " " * 100_000,), (None,), (" \n",), ("a\rb",)]
+    o = S.token_spans(F.col("text"))
+    got = spark.createDataFrame(rows, "text string").select(o.alias("o"), S.gap_features(F.col("text"), o).alias("g")).collect()
+    assert [tuple(x) for x in got[0].o] == model.tokenize(rows[0][0])
+    assert got[0].g == (["", "", " ", "", "\n", " "] + [" ", "", " ", "", "\n", " "] * 129_999)
+    assert got[1] == (None, None) and got[2] == ([], []) and got[3].g == ["", "\n"]
+
+
+def test_gap_features_of_every_document(spark, tmp_path):
+    rows = [(1, "a b\n" * 2000, 8000), (2, "a b", None), (3, "", 0), (4, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["gap_features_whole"](spark, str(tmp_path)).select("doc_id", "tokens", "line_breaks", "spaces").collect()}
+    assert got == {(1, 4000, 1999, 2000), (2, 2, 0, 1), (3, 0, 0, 0), (4, None, None, None)}
+
+
 @pytest.mark.parametrize("after, want", [
     ("123 Main St, Boston MA", [(0, "123 Main St"), (13, "Boston")]),
     ("X 123 Main St, Boston", [(2, "123 Main St"), (15, "Boston")]),
