@@ -322,6 +322,18 @@ def coverage(spark, sf_dir):
     return corpus.coverage(names.select("country"), files, reports)
 
 
+@query("""SELECT n_name AS country, coalesce(c.n, 0) AS files, CAST(coalesce(c.b, 0) AS BIGINT) AS bytes, coalesce(s.n, 0) AS audited FROM nation
+LEFT JOIN (SELECT c_nationkey, count(*) AS n, sum(strlen(c_name)) AS b FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey
+LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey""")
+def coverage_whole(spark, sf_dir):
+    """As ``coverage``, of every customer and supplier."""
+    n = t(spark, sf_dir, "nation")
+    names = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country"))
+    files = t(spark, sf_dir, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("k")).select("country", F.octet_length("c_name").cast("long").alias("bytes"))
+    reports = t(spark, sf_dir, "supplier").join(F.broadcast(names), F.col("s_nationkey") == F.col("k")).select("country", F.lit(1).cast("long").alias("rows"))
+    return corpus.coverage(names.select("country"), files, reports)
+
+
 @query(f"""WITH {REC}, x AS (SELECT id, CASE WHEN c_custkey % 10 = 1 THEN 'invalid-spans' WHEN c_custkey % 10 = 2 THEN 'replacement-character' WHEN c_custkey % 10 = 3 THEN 'missing-text' ELSE 'ok' END AS reason,
   CASE WHEN p3 IS NOT NULL THEN 'building-unit-floor' ELSE 'number-and-road' END AS type FROM rec) SELECT reason, type, count(*) AS n FROM x GROUP BY ALL""")
 def audit_reasons(spark, sf_dir):

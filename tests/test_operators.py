@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import spans as S
 from quillspan.operators import augment, corpus, model, protect, score, select
+from quillspan.plans import catalogue
 from quillspan.streaming import latest
 
 C = "label,start,end,raw".split(",")
@@ -39,6 +40,19 @@ def test_consolidate(spark):
     assert got == {1: None, 2: "duplicate", 3: "protected", 4: "protected", 5: "exact-label-conflict", 6: "exact-label-conflict", 7: "model-input-conflict", 8: "model-input-conflict"}
 
 
+def test_coverage_of_every_row(spark, tmp_path):
+    """All customers and suppliers count, whatever their keys; nations without any have zeros."""
+    tables = {
+        "nation": ([(0, "A"), (1, "B"), (2, "C")], "n_nationkey long, n_name string"),
+        "customer": ([(1, 0, "ab"), (2, 0, "é"), (97, 0, None), (3, 1, "x")], "c_custkey long, c_nationkey long, c_name string"),
+        "supplier": ([(1, 0), (5, 0), (7, None)], "s_suppkey long, s_nationkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = catalogue.QUERIES["coverage_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.country, r.files, r.bytes, r.audited) for r in got) == [("A", 3, 4, 2), ("B", 1, 1, 0), ("C", 0, 0, 0)]
+
+
 def test_no_or_join(spark):
     a = spark.createDataFrame([(1, "x", "p"), (2, "y", "q"), (3, "z", "r")], "id int, k string, l string")
     b = spark.createDataFrame([("x", "zz"), ("n", "q")], "k string, l string")
