@@ -45,12 +45,12 @@ class Index:
         data, offs = buffers(pa.array(texts, pa.string()))
         _, _, _, row, h = words(data, offs, alnum=True)
         self.ids = np.array(ids, np.int64)
-        # long items are indexed in parts of PART words
+        # long items are indexed in even parts of at most PART words: of 65 words on end, some passage holds all
         count = np.bincount(row, minlength=len(ids))
         nth = np.arange(len(h)) - (np.cumsum(count) - count)[row]
-        parts = np.maximum(count // PART, 1)
+        parts = np.maximum(-(-count // PART), 1)
         base = np.cumsum(parts) - parts
-        part = base[row] + np.minimum(nth // PART, parts[row] - 1)
+        part = base[row] + nth * parts[row] // np.maximum(count, 1)[row]
         self.item = np.repeat(np.arange(len(ids)), parts)
         m = len(self.item)
         self.terms, tid = np.unique(h, return_inverse=True)

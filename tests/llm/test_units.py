@@ -184,6 +184,16 @@ def test_bm25_search_finds_all_above_threshold():
     assert {(i, i % 60) for i in range(0, 120, 3)} <= found
 
 
+def test_leaks_of_items_longer_than_a_part():
+    """An item of 65 to 127 words is found wherever it lies between the passages, though half of it is shared."""
+    shared = [f"s{i}" for i in range(64)]
+    items = [" ".join([*(f"a{n}x{i}" for i in range(31)), *shared, *(f"b{n}x{i}" for i in range(32))]) for n in range(20)]
+    index = leak.Index(list(range(20)), items)
+    assert np.bincount(leak.words(*kit(items), alnum=True)[3]).tolist() == [127] * 20
+    texts = [" ".join([f"f{i}" for i in range(k)] + [items[3]] + [f"g{i}" for i in range(200)]) for k in range(64)]
+    assert [x[:2] for x in index.leaks(*kit(texts), 0.6, 0.8)] == [(k, 3) for k in range(64)]
+
+
 def test_leaks_verify_question_and_answer():
     item = "one two three four five six seven eight nine ten eleven twelve"
     index = leak.Index([7], [item])
