@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspan.llm.op1_toxicity import score_rows, train
-from quillspan.llm.op2_minhash_dedup import near_components
+from quillspan.llm.op2_minhash_dedup import near_components, with_class
 from quillspan.llm.op4_decontamination import drop_contaminated
 from quillspan.llm.op6_suffix_dedup import strip_repeats
 from quillspan.llm.op9_packing import pack
@@ -28,18 +29,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id.
 
-    Of rows that repeat an id and its text one stays; a row without an id cannot be named for
-    removal and stays.
+    A reused id names a row only together with its text's class, so the other texts under it are
+    judged by themselves; of one id's rows in a group one stays. A row without an id cannot be
+    named for removal and stays.
     """
     scratch = Scratch(spark)
-    found = near_components(spark, docs)
-    gone = scratch.cut(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    keys = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(keys, "doc_id", "left_anti").select(*docs.columns)
+    found = scratch.cut(near_components(spark, docs, rows=True).where("doc_id is not null"), "rows")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     twice = scratch.cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        gone = scratch.cut(found.where("not kept").select("doc_id").distinct(), "gone")
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # of the classes that a group's smallest id names in it, the least stays
+    pairs = found.where("v is not null").groupBy("root", "doc_id", "v").agg(F.first("kept").alias("kept"))
+    least = pairs.where("kept").groupBy("root").agg(F.min("v").alias("least"))
+    gone = pairs.join(least, "root", "left").where("not kept or v <> least").select(F.col("doc_id").alias("_id"), F.col("v").alias("_class")).distinct()
+    gone = small(scratch.cut(gone, "gone"))
+    many = small(twice)
+    once = docs.join(many, "doc_id", "left_anti").select(*docs.columns)
+    once = once.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    reused = with_class(docs.join(many, "doc_id", "left_semi").select(*docs.columns), "_v")
+    reused = reused.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_v") == F.col("_class")), "left_anti")
+    # rows of one id and class are copies; texts without words are told apart as they are
+    same = Window.partitionBy("doc_id", "_v", F.when(F.col("_v").isNull(), F.col("text"))).orderBy("text")
+    return once.unionByName(reused.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,19 @@ def features(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, v long, sig array<int>")
 
 
+def with_class(docs: DataFrame, name: str, k: int = 4) -> DataFrame:
+    """The rows with their class (null if empty), as ``features`` gives it, in a column of that name."""
+
+    def run(batches):
+        for b in batches:
+            data, offs = buffers(b.column(b.num_columns - 1))
+            v = [fingerprint(s) if len(s) else None for i, j in chunks(offs) for s in shingles(data, offs[i : j + 1], k)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v, pa.int64())], [*b.schema.names[:-1], name])
+
+    schema = docs.schema
+    return docs.select("*", F.col("text").alias(name)).mapInArrow(run, type(schema)([*schema.fields]).add(name, "long"))
+
+
 def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
     """(v, shingle set) of rows whose class is the wanted one (column want); repeated rows repeat it."""
 
@@ -107,8 +120,8 @@ def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.mapInArrow(run, "v long, s array<long>")
 
 
-def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, small: int = 64, depth: int = 12) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, small: int = 64, depth: int = 12, rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; with ``rows``, its class v and the root class of its component too.
 
     Null or blank texts have no shingles and stand alone. Null ids pass through (they never
     name a component unless all of its rows have a null id); repeated rows are copies, one
@@ -220,18 +233,19 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
 
     comp = classes.select("v", "m")
     if labels is None:
-        comp = comp.select("v", F.col("m").alias("component_id"))
+        comp = comp.select("v", F.col("m").alias("component_id"), F.col("v").alias("root"))
     else:
         comp = comp.join(scratch.small(labels), "v", "left").select("v", "m", F.coalesce("root", "v").alias("root"))
         low = scratch.fit(comp.where("root <> v").groupBy("root").agg(F.min("m").alias("lo")), labels._rows)
         comp = comp.join(scratch.small(low, rows=labels._rows), "root", "left").select("v", F.coalesce(F.least("m", "lo"), "m", "lo").alias("own"), "root", "m", "lo")
         # the root's own id counts too: every member takes the least of its root's and the members'
         top = comp.where("root = v and lo is not null").select("root", F.col("own").alias("top"))
-        comp = comp.join(scratch.small(top, rows=labels._rows), "root", "left").select("v", F.coalesce("top", "m").alias("component_id"))
-    comp = scratch.cut(scratch.fit(comp, classes._rows, 24), "comp")
+        comp = comp.join(scratch.small(top, rows=labels._rows), "root", "left").select("v", F.coalesce("top", "m").alias("component_id"), "root")
+    extra = ["v", "root"] if rows else []
+    comp = scratch.cut(scratch.fit(comp.select("v", "component_id", *extra[1:]), classes._rows, 24), "comp")
     out = feats.select("doc_id", "n_shingles", "v").join(scratch.small(comp), "v", "left")
     own = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), *extra).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def crowded(nodes: DataFrame) -> DataFrame:

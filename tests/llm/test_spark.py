@@ -261,3 +261,13 @@ def test_pipeline_keeps_odd_rows(spark, sf):
     assert sorted(str(r.doc_id) for r in out) == sorted(map(str, [1, None, 3, 4, 5, 6, 8, 9, 10, None, 11, 60, 60]))
     left = {(r.doc_id, r.text) for r in corpus_pipeline.repeats(spark, docs, sf).collect()}
     assert (8, ROWS[9][1]) in left and (4, None) in left and not any(t and t.startswith("word0") for _, t in left)
+
+
+def test_pipeline_judges_reused_ids_by_row(spark, sf):
+    own = " ".join(f"own{i}" for i in range(60))
+    rows = [(1, BODY), (2, BODY + " end"), (2, own), (3, own + " a"), (3, own + " b"), (5, BODY + " x y"), (7, own.upper()), (8, "one two"), (8, "ONE  two"), (9, None), (9, None), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()), key=str)
+    assert got == sorted([(1, BODY), (2, own), (8, "ONE  two"), (9, None), (9, "")], key=str)
+    two = docs.where("doc_id = 3")  # two near texts under one id: one stays
+    assert corpus_pipeline.near_duplicates(spark, two, sf).count() == 1
