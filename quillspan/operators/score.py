@@ -27,9 +27,12 @@ def field_lists(df: DataFrame, id: str = "id", components: str = "components", b
 
 
 def field_outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(id, model, field, in_gold, in_pred, correct): the fields of gold and prediction compared as multisets."""
-    models = pred.select("id", "model").distinct()
-    g = field_lists(gold).join(models, "id").select("id", "model", "field", F.col("tokens").alias("g"))
+    """(id, model, field, in_gold, in_pred, correct): the fields of gold and prediction compared as multisets.
+
+    Every model answers for every gold row: one without a prediction is missed.
+    """
+    models = F.broadcast(pred.select("model").distinct())  # a few
+    g = field_lists(gold).crossJoin(models).select("id", "model", "field", F.col("tokens").alias("g"))
     p = field_lists(pred, by=["model"]).select("id", "model", "field", F.col("tokens").alias("p"))
     j = g.join(p, ["id", "model", "field"], "full_outer")
     return j.select("id", "model", "field", F.col("g").isNotNull().alias("in_gold"), F.col("p").isNotNull().alias("in_pred"), F.coalesce(F.col("g") == F.col("p"), F.lit(False)).alias("correct"))

@@ -72,6 +72,17 @@ def test_multiset_scoring(spark):
     assert {r.id: r.exact for r in score.row_outcomes(o).collect()} == {"1": True, "2": False}
 
 
+def test_missing_predictions_count(spark):
+    """A gold row that a model, or both, left out is missed in every figure."""
+    city = spans(("city", "Town"))
+    gold = spark.createDataFrame([("1", city), ("2", city), ("3", city)], f"id string, components {S.SPANS}")
+    pred = spark.createDataFrame([("1", "a", city), ("2", "a", city), ("1", "b", city)], f"id string, model string, components {S.SPANS}")
+    o = score.field_outcomes(gold, pred)
+    assert {(r.model, r.correct, r.predicted, r.gold) for r in score.field_report(o, ["model"]).collect()} == {("a", 2, 2, 3), ("b", 1, 1, 3)}
+    x = score.row_outcomes(o)
+    assert score.paired(x.where("model = 'a'"), x.where("model = 'b'")).first().asDict() == {"both": 1, "only_a": 1, "only_b": 0, "neither": 1, "unmatched": 0}
+
+
 def test_wilson(spark):
     low, high = score.wilson(F.lit(828), F.lit(842))
     r = spark.range(1).select(low, high).first()
