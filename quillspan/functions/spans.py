@@ -120,6 +120,18 @@ def bio_to_spans(text: Column, path: Column, offsets: Column) -> Column:
     return F.aggregate(items, F.struct(F.array().cast(SPANS).alias("out"), F.lit("O").alias("before")), step, lambda a: a["out"])
 
 
+def spans_to_bio(spans: Column, offsets: Column) -> Column:
+    """Tag of each token by the first span that touches it; an error if that one's boundary cuts the token."""
+
+    def tag(o: Column) -> Column:
+        s = F.get(F.filter(spans, lambda s: (o["start"] < s["end"]) & (s["start"] < o["end"])), 0)
+        inside = (s["start"] <= o["start"]) & (o["end"] <= s["end"])
+        named = F.concat(F.when(s["start"] == o["start"], "B-").otherwise("I-"), s["label"])
+        return F.when(s.isNull(), "O").when(inside, named).otherwise(F.raise_error(F.lit("a field's boundary cuts a token")).cast("string"))
+
+    return F.transform(offsets, tag)
+
+
 def gap_features(text: Column, offsets: Column) -> Column:
     """Before each token: a line feed if the gap has a line break, a space if it is not empty, else nothing."""
 

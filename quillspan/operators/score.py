@@ -71,6 +71,19 @@ def span_prf(df: DataFrame) -> DataFrame:
     return e.groupBy("label").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")])
 
 
+def accuracies(df: DataFrame, unsupported: int | None = 0) -> DataFrame:
+    """One row of exact-span rates over supported rows and all inputs (null if their number is unknown) and the token rate.
+
+    df: gold and pred span arrays, gold_tags and pred_tags of the supported rows.
+    """
+    same = F.size(F.filter(F.arrays_zip(F.col("gold_tags").alias("g"), F.col("pred_tags").alias("p")), lambda z: z["g"] == z["p"]))
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    r = df.agg(F.count("*").alias("rows"), F.count_if(F.col("gold") == F.col("pred")).alias("exact"), total(F.size("gold_tags")).alias("tokens"), total(same).alias("correct_tokens"))
+    rate = lambda n, of: F.col(n) / F.greatest(of, F.lit(1))
+    every = F.lit(None).cast("double") if unsupported is None else rate("exact", F.col("rows") + unsupported)
+    return r.select("*", rate("exact", F.col("rows")).alias("supported_accuracy"), every.alias("all_inputs_accuracy"), rate("correct_tokens", F.col("tokens")).alias("token_accuracy"))
+
+
 def macro(df: DataFrame, by: str, correct: str = "exact") -> DataFrame:
     """Mean over groups of each group's rate."""
     return df.groupBy(by).agg(F.avg(F.col(correct).cast("double")).alias("rate")).agg(F.avg("rate").alias("macro"), F.count("*").alias("groups"))

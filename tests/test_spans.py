@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import spans as S
 from quillspan.functions import text as X
-from quillspan.operators import model
+from quillspan.operators import model, score
 from quillspan.plans import catalogue
 
 
@@ -82,6 +82,26 @@ def test_bio(spark):
     assert [tuple(x.values()) for x in model.path_spans(path, model.tokenize(text), text)] == want
 
 
+def test_targets(spark):
+    """Tags of labelled rows, read back as the same spans; a boundary inside a token is refused."""
+    text = "12 Main St, Boston"
+    o = S.token_spans(F.col("text"))
+    tags = S.spans_to_bio(F.col("components"), o)
+    good = spans_of(text, ("street_address", "12 Main St"), ("city", "Boston"))
+    r = frame(spark, text, good).select(tags.alias("t"), S.bio_to_spans(F.col("text"), tags, o).alias("s")).first()
+    assert r.t == ["B-street_address", "I-street_address", "I-street_address", "O", "B-city"] and [tuple(x) for x in r.s] == good
+    with pytest.raises(Exception, match="cuts a token"):
+        frame(spark, text, [("city", 12, 15, "Bos")]).select(tags.alias("t")).collect()
+
+
+def test_accuracies(spark):
+    a, b = [("city", 0, 1, "a")], [("city", 0, 3, "a b")]
+    rows = [(a, a, ["B-city", "O"], ["B-city", "O"]), (a, b, ["B-city", "O"], ["B-city", "I-city"])]
+    df = spark.createDataFrame(rows, f"gold {S.SPANS}, pred {S.SPANS}, gold_tags array<string>, pred_tags array<string>")
+    assert tuple(score.accuracies(df, 2).first()) == (2, 1, 4, 3, 0.5, 0.25, 0.75)
+    assert score.accuracies(df, None).first().all_inputs_accuracy is None and score.accuracies(df.where("false")).first().token_accuracy == 0
+
+
 def test_gaps(spark):
     df = spark.createDataFrame([(" a\nb c,d\r\ne",)], "text string")
     assert df.select(S.gap_features(F.col("text"), S.token_spans(F.col("text"))).alias("g")).first().g == [" ", "\n", " ", "", "", "\n"]
