@@ -60,8 +60,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A character that a cut splits goes with it, and n_chars follows the text.
     """
-    out = strip_repeats(spark, docs)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
+    out = strip_repeats(spark, docs, whole=True)
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept").cast("string"))
     out = out.withColumn("_text", text).where("n_removed = 0 or trim(_text) <> ''")
     fresh = {"text": F.col("_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("_text").cast("long"))}
     return out.select(*[fresh.get(c, F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -220,9 +220,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("id")).withColumns({"h": F.xxhash64("text"), "n": F.octet_length("text")})
 
 
-def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broadcast_rows: int = 1_000_000) -> DataFrame:
+def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broadcast_rows: int = 1_000_000, whole: bool = False) -> DataFrame:
     """Each row (struct ``row``) with kept (remaining bytes), n_bytes, n_removed, n_spans.
 
+    With ``whole``, kept lacks what a cut left of a character, too.
+
     A null text is an empty one; texts below ``length`` bytes lose nothing; rows with equal texts,
     ids repeated or null, each keep their own result and remove one another's whole text; extra
     columns stay inside ``row`` and cannot clash; an empty table gives an empty result.
@@ -249,8 +251,11 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broad
                 for x, y in cutouts:
                     parts.append(raw[at:x])
                     at = y
-                kept.append(b"".join([*parts, raw[at:]]))
-                gone.append(len(raw) - len(kept[-1]))
+                parts.append(raw[at:])
+                gone.append(len(raw) - sum(map(len, parts)))
+                if whole:  # piece by piece, for two halves could make a character that was not there
+                    parts = [p.decode("utf-8", "ignore").encode() for p in parts]
+                kept.append(b"".join(parts))
                 count.append(len(cutouts))
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks() if isinstance(t.column(0), pa.ChunkedArray) else t.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 

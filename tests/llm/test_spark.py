@@ -271,3 +271,14 @@ def test_pipeline_judges_reused_ids_by_row(spark, sf):
     assert got == sorted([(1, BODY), (2, own), (8, "ONE  two"), (9, None), (9, "")], key=str)
     two = docs.where("doc_id = 3")  # two near texts under one id: one stays
     assert corpus_pipeline.near_duplicates(spark, two, sf).count() == 1
+
+
+def test_pipeline_keeps_own_replacement_characters(spark, sf):
+    """A U+FFFD that no repeat covers stays; what a cut leaves of a character goes."""
+    run = "".join(f"r{i} " for i in range(80))
+    # the first bytes of é and ê agree, so the repeat ends inside them
+    rows = [(1, "own � text " + run + "é end � one"), (2, "other � begin " + run + "ê last � two")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeats(spark, docs, sf).collect()}
+    want = {1: "own � text end � one", 2: "other � begin last � two"}
+    assert {k: v[0].replace("  ", " ") for k, v in got.items()} == want and all(n == len(t) for t, n in got.values())
