@@ -1,12 +1,12 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Every word enters with a word channel (a hashed embedding and the label evidence of the whole
-word) and a character channel (mean embedding of its byte n-grams, the strongest evidence among
-them, and that of its prefix). Two gated recurrent passes read each window of words, attention
-pools their states, and a document's score is that of its strongest window. All overlapping
-windows of the whole text are scored. The network is fitted on a bounded sample of labelled
-rows (``SAMPLE``: at most that many of each label, texts up to ``TRAIN_BYTES``); labels of rows
-whose crc32(doc_id) is 0 modulo 5 are never read for it.
+Every word enters with a word channel (an embedding by its hash) and two character channels (the
+embeddings of its byte n-grams and of its prefixes, summed and divided by the root of their number). Two gated recurrent passes read each
+window of words, attention pools their states, and a document's score is that of its strongest
+window. All overlapping windows of the whole text are scored. Embeddings and weights are all
+trained together, and labels reach the network in no other way. It is fitted on a bounded sample
+of labelled rows (``SAMPLE``: at most that many of each label, of texts up to ``TRAIN_BYTES``);
+labels of rows whose crc32(doc_id) is 0 modulo 5 are never read for it.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 from .textkit import U64, buffers, chunks, mix, ragged, words
 
 SAMPLE = {1: 2000, 0: 4000}
-TRAIN_BYTES = 200_000
+TRAIN_BYTES = 4096
 WINDOW, STRIDE = 32, 16
-HIDDEN, EMBED = 8, 6
-EVIDENCE_BITS, EMBED_BITS = 18, 14
-GRAMS = (4, 6)
-BAG = 8
+HIDDEN, EMBED = 8, 8
+WORD_BITS, CHAR_BITS = 15, 16
+GRAM = 5
+PREFIXES = range(3, 9)
+INPUTS = 3 * EMBED
 f32 = np.float32
 
 
@@ -32,36 +33,48 @@ def sigmoid(x):
     return f32(0.5) * (np.tanh(f32(0.5) * x) + f32(1))
 
 
+def slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> U64(64 - bits)).astype(np.int32)
+
+
+class Bags:
+    """For each distinct word its rows of a table (one at least), ragged."""
+
+    def __init__(self, owner: np.ndarray, slots: np.ndarray, n: int):
+        order = np.argsort(owner, kind="stable")
+        self.slots, self.num = slots[order], np.bincount(owner, minlength=n)
+        self.at = np.cumsum(self.num) - self.num
+
+    def rows(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        num = self.num[word]
+        return self.slots[ragged(self.at[word], num)], num
+
+
 class Words:
     """Distinct words of a chunk with their hashed features, and the windows of each row."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         b, s, e, row, h = words(data, offs, alnum=True)
         n = len(offs) - 1
-        self.uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        s, e = s[at], e[at]
-        # n-grams of distinct words
-        own, feats = [], []
-        for k in GRAMS:
-            if len(b) >= k:
-                g = np.zeros(len(b) - k + 1, U64)
-                for i in range(k):
-                    g = g * U64(0x100000001B3) + b[i : i + len(g)]
-                g = mix(g + U64(k))
-                num = np.maximum(e - s - k + 1, 0)
-                feats.append(g[ragged(s, num)])
-                own.append(np.repeat(np.arange(len(s)), num))
-        short = np.flatnonzero(e - s < min(GRAMS))
-        feats.append(mix(self.uniq[short] + U64(1)))
-        own.append(short)
-        own, feats = np.concatenate(own), np.concatenate(feats)
-        order = np.argsort(own, kind="stable")
-        self.own, self.grams = own[order], feats[order]
-        head = np.zeros(len(s), U64)
-        for i in range(max(GRAMS)):
-            inside = s + i < e
-            head = head * U64(0x100000001B3) + np.where(inside, b[np.minimum(s + i, max(len(b) - 1, 0))] if len(b) else 0, 0).astype(U64)
-        self.head = mix(head + U64(99))
+        uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        s, e, self.n = s[at], e[at], len(uniq)
+        self.word = slot(uniq, WORD_BITS)
+        every = np.arange(self.n)
+        rolled = np.zeros(max(len(b) - GRAM + 1, 0), U64)
+        for i in range(GRAM):
+            rolled = rolled * U64(0x100000001B3) + b[i : i + len(rolled)]
+        num = np.maximum(e - s - GRAM + 1, 0)
+        short = np.flatnonzero(num == 0)
+        self.grams = Bags(np.concatenate([np.repeat(every, num), short]), np.concatenate([slot(rolled[ragged(s, num)] + U64(GRAM), CHAR_BITS), slot(uniq[short] + U64(1), CHAR_BITS)]), self.n)
+        owner, slots, head = [], [], np.zeros(self.n, U64)
+        for i in range(PREFIXES[-1]):
+            live = np.flatnonzero(s + i < e)
+            head[live] = head[live] * U64(0x100000001B3) + b[s[live] + i] + U64(1)
+            if i + 1 in PREFIXES:
+                live = live if i + 1 > PREFIXES[0] else every  # the shortest prefix of a shorter word is the word
+                owner.append(live)
+                slots.append(slot(head[live] + U64(i + 1 << 56), CHAR_BITS))
+        self.heads = Bags(np.concatenate(owner), np.concatenate(slots), self.n)
         # windows
         count = np.bincount(row, minlength=n)
         first = np.cumsum(count) - count
@@ -71,49 +84,39 @@ class Words:
         start = np.minimum(nth * STRIDE, np.maximum(count[self.row] - WINDOW, 0))
         pos = start[:, None] + np.arange(WINDOW)
         mask = pos < count[self.row][:, None]
-        inv = np.append(inv, len(self.uniq))
-        self.index = inv[np.where(mask, first[self.row][:, None] + pos, len(inv) - 1)].astype(np.int32)
+        inv = np.append(inv, self.n).astype(np.int32)
+        self.index = inv[np.where(mask, first[self.row][:, None] + pos, len(inv) - 1)]
         self.mask = mask.T.astype(f32)
 
 
-def slot(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> U64(64 - bits)).astype(np.int64)
-
-
 class Model:
-    def __init__(self, evidence: dict[str, np.ndarray], seed: int = 11):
+    def __init__(self, seed: int = 11):
         g = np.random.Generator(np.random.Philox(seed))
-        d = 2 * EMBED + 3
-        rnd = lambda *s: (g.standard_normal(s) * (0.5 / np.sqrt(s[0]))).astype(f32)
-        self.evidence = evidence
-        self.word, self.char = (g.standard_normal((2, 1 << EMBED_BITS, EMBED)) * 0.05).astype(f32)
+        rnd = lambda *s: (g.standard_normal(s) / np.sqrt(s[0])).astype(f32)
+        self.tables = {k: (g.standard_normal((1 << bits, EMBED)) * 0.01).astype(f32) for k, bits in (("word", WORD_BITS), ("char", CHAR_BITS))}
         self.p = {}
         for k in "fb":
-            self.p |= {f"W{k}": rnd(d, 3 * HIDDEN), f"U{k}": rnd(HIDDEN, 3 * HIDDEN), f"c{k}": np.zeros(3 * HIDDEN, f32)}
+            self.p |= {f"W{k}": rnd(INPUTS, 3 * HIDDEN), f"U{k}": rnd(HIDDEN, 3 * HIDDEN), f"c{k}": np.zeros(3 * HIDDEN, f32)}
         self.p |= {"A": rnd(2 * HIDDEN, HIDDEN), "a": rnd(HIDDEN, 1)[:, 0], "o": rnd(2 * HIDDEN, 1)[:, 0], "c": np.zeros(1, f32)}
 
-    def inputs(self, w: Words) -> tuple[np.ndarray, tuple]:
-        """Feature row of each distinct word, a zero row last."""
-        n = len(w.uniq)
-        x = np.zeros((n + 1, 2 * EMBED + 3), f32)
-        ws, gs = slot(mix(w.uniq), EMBED_BITS), slot(w.grams, EMBED_BITS)
-        num = np.bincount(w.own, minlength=n).astype(f32)
-        if n:
-            x[:n, :EMBED] = self.word[ws]
-            at = np.cumsum(num).astype(np.int64) - num.astype(np.int64)
-            x[:n, EMBED : 2 * EMBED] = np.add.reduceat(self.char[gs], at, axis=0) / num[:, None]
-            x[:n, -3] = self.evidence["word"][slot(mix(w.uniq), EVIDENCE_BITS)]
-            x[:n, -2] = np.maximum.reduceat(self.evidence["gram"][slot(w.grams, EVIDENCE_BITS)], at)
-            x[:n, -1] = self.evidence["head"][slot(w.head, EVIDENCE_BITS)]
-        return x, (ws, gs, num)
+    def inputs(self, w: Words, some: np.ndarray | None = None) -> np.ndarray:
+        """Input row of each distinct word, or of some, and a zero row last."""
+        some = np.arange(w.n) if some is None else some
+        x = np.zeros((len(some) + 1, INPUTS), f32)
+        if len(some):
+            x[:-1, :EMBED] = self.tables["word"][w.word[some]]
+            for k, bags in ((1, w.grams), (2, w.heads)):
+                rows, num = bags.rows(some)
+                x[:-1, k * EMBED : (k + 1) * EMBED] = np.add.reduceat(self.tables["char"][rows], np.cumsum(num) - num, axis=0) / np.sqrt(num, dtype=f32)[:, None]
+        return x
 
     def forward(self, x: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logit of each window; x: word rows, index: [windows, WINDOW], mask: [WINDOW, windows]."""
         n, H, p = len(index), HIDDEN, self.p
-        hs, tape = np.zeros((WINDOW, n, 2 * H), f32), {}
+        hs, tape = np.zeros((WINDOW, n, 2 * H), x.dtype), {}
         for k, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
             xw = x @ p["W" + k] + p["c" + k]
-            h = np.zeros((n, H), f32)
+            h = np.zeros((n, H), x.dtype)
             for t in order:
                 gx, gh = xw[index[:, t]], h @ p["U" + k]
                 zr = sigmoid(gx[:, : 2 * H] + gh[:, : 2 * H])
@@ -137,7 +140,7 @@ class Model:
         """Gradients by parameter and of the word rows."""
         (hs, tape, u, s, pooled), p, H = kept, self.p, HIDDEN
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["o"], g["c"] = pooled.T @ dout, np.array([dout.sum()], f32)
+        g["o"], g["c"] = pooled.T @ dout, np.array([dout.sum()], x.dtype)
         dpool = dout[:, None] * p["o"]
         dhs = s[:, :, None] * dpool
         ds = np.einsum("nh,tnh->tn", dpool, hs)
@@ -149,7 +152,8 @@ class Model:
         dx = np.zeros_like(x)
         for k, order in (("f", range(WINDOW - 1, -1, -1)), ("b", range(WINDOW))):
             lo = 0 if k == "f" else H
-            dh = np.zeros((len(index), H), f32)
+            dh = np.zeros((len(index), H), x.dtype)
+            dgates = np.empty((WINDOW, len(index), 3 * H), x.dtype)
             for t in order:
                 h, z, r, c, ghn = tape[k, t]
                 dh = dh + dhs[t, :, lo : lo + H]
@@ -157,105 +161,100 @@ class Model:
                 dc = dh * m * (1 - z) * (1 - c * c)
                 dz = -dh * m * (c - h) * z * (1 - z)
                 dr = dc * ghn * r * (1 - r)
-                dgx = np.concatenate([dz, dr, dc], 1)
+                dgates[t] = dgx = np.concatenate([dz, dr, dc], 1)
                 dgh = np.concatenate([dz, dr, dc * r], 1)
                 g["U" + k] += h.T @ dgh
-                g["c" + k] += dgx.sum(0)
-                xi = x[index[:, t]]
-                g["W" + k] += xi.T @ dgx
-                np.add.at(dx, index[:, t], dgx @ p["W" + k].T)
                 dh = dh * (1 - m * (1 - z)) + dgh @ p["U" + k].T
+            flat = dgates.reshape(-1, 3 * H)
+            g["c" + k] += flat.sum(0)
+            g["W" + k] += x[index.T.ravel()].T @ flat
+            by_word = np.zeros((len(x), 3 * H), x.dtype)
+            np.add.at(by_word, index.T.ravel(), flat)
+            dx += by_word @ p["W" + k].T
         return g, dx
 
     def score(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Probability of each row of a chunk; a text without words scores 0."""
         w = Words(data, offs)
-        x, _ = self.inputs(w)
         out = np.zeros(len(offs) - 1)
         if len(w.row):
-            prob = 1 / (1 + np.exp(-self.forward(x, w.index, w.mask).astype(np.float64)))
+            prob = 1 / (1 + np.exp(-self.forward(self.inputs(w), w.index, w.mask).astype(np.float64)))
             np.maximum.at(out, w.row, prob)
         return out
 
 
-def evidence_counts(w: Words, label: np.ndarray) -> dict[str, np.ndarray]:
-    """[2, slots] for words, n-grams and prefixes: documents that hold them, and how many of those bear the label."""
-    rows = np.repeat(w.row, WINDOW)
-    pair = np.unique(rows * (len(w.uniq) + 1) + w.index.ravel())  # distinct (row, word), through the windows
-    row, word = pair // (len(w.uniq) + 1), pair % (len(w.uniq) + 1)
-    row, word = row[word < len(w.uniq)], word[word < len(w.uniq)]
-    first = np.searchsorted(w.own, np.arange(len(w.uniq)))
-    num = np.bincount(w.own, minlength=len(w.uniq))
-    out = {}
-    for name, r, f in (("word", row, mix(w.uniq)[word]), ("gram", np.repeat(row, num[word]), w.grams[ragged(first[word], num[word])]), ("head", row, w.head[word])):
-        key = np.unique(slot(f, EVIDENCE_BITS) * len(label) + r)
-        k, y = key // len(label), label[key % len(label)]
-        out[name] = np.array([np.bincount(k, minlength=1 << EVIDENCE_BITS), np.bincount(k, weights=y, minlength=1 << EVIDENCE_BITS)], f32)
-    return out
-
-
-def log_odds(counts: dict[str, np.ndarray], prior: float, strength: float = 10.0) -> dict[str, np.ndarray]:
-    """Shrunken log-odds of the label against its prior."""
-    out = {}
-    for k, (every, pos) in counts.items():
-        rate = (pos + strength * prior) / (every + strength)
-        out[k] = (np.log(rate / (1 - rate)) - np.log(prior / (1 - prior))).astype(f32)
-    return out
-
-
-def fit(texts: list[str], label: np.ndarray, steps: int = 150, batch: int = 128, rate: float = 0.02, folds: int = 8, seed: int = 5) -> Model | None:
-    """Train on whole texts; the loss is that of each document's strongest window of its bag.
-
-    Evidence is cross-fitted: a document is trained with that of the other folds, for its own
-    would give its label away. The model that is returned has the evidence of all.
+class Trainer:
+    """Adam on the weights, plain steps on the tables: what many documents share moves further than what few do.
+
+    Rows that only one word of one document leads to stay as they are: they could only learn that document.
+    """
+
+    def __init__(self, model: Model, w: Words, rate: float, table_rate: float):
+        self.model, self.rate, self.table_rate, self.step = model, rate, table_rate, 0
+        self.mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
+        pair = np.unique(np.repeat(w.row, WINDOW) * (w.n + 1) + w.index.ravel())  # distinct (document, word)
+        some = np.minimum(np.bincount(pair % (w.n + 1), minlength=w.n + 1)[: w.n], 2)
+        self.learns = {"word": np.bincount(w.word, some, len(model.tables["word"])) > 1}
+        self.learns["char"] = sum(np.bincount(bags.slots, np.repeat(some, bags.num), len(model.tables["char"])) for bags in (w.grams, w.heads)) > 1
+
+    def weights(self, grads: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        for k, v in grads.items():
+            a, b = self.mom[k]
+            a += 0.1 * (v - a)
+            b += 0.001 * (v * v - b)
+            self.model.p[k] -= f32(self.rate) * (a / (1 - 0.9**self.step)) / (np.sqrt(b / (1 - 0.999**self.step)) + f32(1e-8))
+
+    def rows(self, table: str, rows: np.ndarray, grad: np.ndarray) -> None:
+        on = self.learns[table][rows]
+        np.subtract.at(self.model.tables[table], rows[on], f32(self.table_rate) * grad[on])
+
+    def inputs(self, w: Words, some: np.ndarray, dx: np.ndarray) -> None:
+        self.rows("word", w.word[some], dx[:, :EMBED])
+        parts = [(bags.rows(some), dx[:, k * EMBED : (k + 1) * EMBED]) for k, bags in ((1, w.grams), (2, w.heads))]
+        self.rows("char", np.concatenate([r for (r, _), _ in parts]), np.concatenate([np.repeat(d / np.sqrt(n, dtype=f32)[:, None], n, 0) for (_, n), d in parts]))
+
+
+def fit(texts: list[str], label: np.ndarray, steps: int = 260, epochs: int = 4, batch: int = 64, rate: float = 0.02, table_rate: float = 3.0, drop: float = 0.3, top: int = 4, seed: int = 5) -> Model | None:
+    """Train on whole texts; a document's loss is that of its ``top`` strongest windows at the time.
+
+    The word channel is left out for a share ``drop`` of a step's words, so that the characters learn too.
     """
     if not len(label) or label.min() == label.max():
         return None
     g = np.random.Generator(np.random.Philox(seed))
-    prior = float(label.mean())
-    parts = [np.sort(k) for k in np.array_split(g.permutation(len(label)), folds) if len(k)]
-    kits = [Words(*buffers(pa.array([texts[i] for i in k], pa.string()))) for k in parts]
-    counts = [evidence_counts(w, label[k]) for w, k in zip(kits, parts)]
-    every = {k: sum(c[k] for c in counts) for k in counts[0]}
-    model = Model(log_odds(every, prior))
-    xs, bags = [], []
-    for w, k, c in zip(kits, parts, counts):
-        model.evidence = log_odds({n: every[n] - c[n] for n in every}, prior)
-        xs.append(model.inputs(w))
-        # a bag of windows for each document: those of the strongest evidence and some by chance
-        peak = xs[-1][0][:, -3:].sum(1)[w.index].max(1)
-        rank = np.lexsort((-peak, w.row))
-        at = np.searchsorted(w.row, np.arange(len(k) + 1))
-        own = [rank[at[i] : at[i + 1]] for i in range(len(k))]
-        bags.append([np.concatenate([o[: BAG // 2], g.choice(o[BAG // 2 :], min(len(o[BAG // 2 :]), BAG // 2), replace=False)]) for o in own])
-    model.evidence = log_odds(every, prior)
-    groups = [(f, np.array([i for i in range(len(k)) if len(bags[f][i])], int)) for f, k in enumerate(parts)]
-    mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
-    step = 0
-    while step < max(steps, 3 * len(label) // batch):
-        todo = [(f, some) for f, docs in groups for some in np.array_split(g.permutation(docs), max(1, len(docs) // batch)) if len(some)]
-        if not todo:
-            break
-        for f, some in (todo[i] for i in g.permutation(len(todo))):
-            w, (x, (ws, gs, num)), y = kits[f], xs[f], label[parts[f][some]]
-            win = np.concatenate([bags[f][i] for i in some])
-            size = np.array([len(bags[f][i]) for i in some])
-            first = np.cumsum(size) - size
-            logit = model.forward(x, w.index[win], w.mask[:, win])
-            best = win[np.array([a + int(np.argmax(logit[a : a + m])) for a, m in zip(first, size)])]
-            idx, mask = w.index[best], w.mask[:, best]
+    w = Words(*buffers(pa.array(texts, pa.string())))
+    at = np.searchsorted(w.row, np.arange(len(label) + 1))
+    docs = np.flatnonzero(np.diff(at))
+    model = Model()
+    trainer = Trainer(model, w, rate, table_rate)
+    while len(docs) and trainer.step < max(steps, epochs * len(docs) // batch):
+        for some in np.array_split(g.permutation(docs), max(1, len(docs) // batch)):
+            size = at[some + 1] - at[some]
+            win = ragged(at[some], size)
+            own, index = np.unique(w.index[win], return_inverse=True)
+            index = index.reshape(-1, WINDOW)
+            pad = own[-1] == w.n
+            own = own[:-1] if pad else own
+            x = model.inputs(w, own)
+            keep = (g.random(len(own)) >= drop).astype(f32) / f32(1 - drop)
+            x[:-1, :EMBED] *= keep[:, None]
+            logit = model.forward(x, index, w.mask[:, win])
+            # the strongest windows stand for a document, weighted by their strength: at first alike, in the end the one that scores
+            doc = np.repeat(np.arange(len(some)), size)
+            rank = np.lexsort((-logit, doc))
+            best = rank[np.arange(len(rank)) - np.repeat(np.cumsum(size) - size, size) < top]
+            idx, mask, doc = index[best], w.mask[:, win[best]], doc[best]
             out, kept = model.forward(x, idx, mask, keep=True)
-            grads, dx = model.backward(x, idx, mask, kept, ((sigmoid(out) - y) / len(some)).astype(f32))
-            step += 1
-            for k, v in grads.items():  # Adam
-                a, b = mom[k]
-                a += 0.1 * (v - a)
-                b += 0.001 * (v * v - b)
-                model.p[k] -= f32(rate) * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + f32(1e-8))
+            weight = np.exp(out - np.maximum.reduceat(out, np.searchsorted(doc, np.arange(len(some))))[doc])
+            weight /= np.bincount(doc, weight)[doc]
+            error = sigmoid(np.bincount(doc, weight * out).astype(f32)) - label[some]
+            grads, dx = model.backward(x, idx, mask, kept, (weight * error[doc] / len(some)).astype(f32))
+            dx[:-1, :EMBED] *= keep[:, None]
             hit = np.unique(idx)
-            hit = hit[hit < len(w.uniq)]
-            np.subtract.at(model.word, ws[hit], dx[hit, :EMBED])
-            x[hit, :EMBED] = model.word[ws[hit]]
+            hit = hit[hit < len(own)]
+            trainer.weights(grads)
+            trainer.inputs(w, own[hit], dx[hit])
     return model
 
 
@@ -278,33 +277,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], f32))
 
 
-def score_rows(spark: SparkSession, docs: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """The given columns of every row, and its score."""
+def score_rows(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
+    """Each row as it is (struct ``row``, so that no name can clash) and its ``score``."""
     shared = spark.sparkContext.broadcast(model)  # tables of fixed size
 
     def run(batches):
         m = shared.value
         for b in batches:
-            data, offs = buffers(b.column(b.schema.get_field_index("_text")))
+            data, offs = buffers(b.column(1))
             score = np.zeros(b.num_rows)
             if m is not None:
                 for i, j in chunks(offs, 1 << 19):
                     score[i:j] = m.score(data, offs[i : j + 1])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["row", "score"])
 
-    given = docs.select(*columns)
-    wide = docs.select(*columns, F.col("text").alias("_text"))
-    return wide.mapInArrow(run, given.schema.add("_score", "double"))
+    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
+    return given.mapInArrow(run, given.select("row").schema.add("score", "double"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null, empty and wordless texts score 0; null ids are scored like others and are not held out;
-    repeated rows get equal scores, one row each; extra columns are ignored; empty tables give an
-    empty result. Without labels of both kinds every score is 0. Of labels that contradict one
-    another the toxic one counts.
+    Null, empty and wordless texts score 0; very long texts are scored window by window to their
+    end; null ids are scored like others and are not held out; repeated rows get equal scores, one
+    row each; extra columns are ignored; empty tables give an empty result. Without labels of both
+    kinds every score is 0. Of labels that contradict one another the toxic one counts; a tie of
+    windows is one score; a score of 0.5 is predicted toxic.
     """
-    out = score_rows(spark, docs, train(docs, labels), ["doc_id"])
+    out = score_rows(spark, docs.select("doc_id", "text"), train(docs, labels)).select("row.doc_id", "score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -32,7 +32,7 @@ ROWS = [
 def odd(spark, rows=ROWS):
     """Documents with clashing extra columns."""
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for c in ("v", "h", "n", "score", "key", "row", "slot", "kept"):
+    for c in ("v", "h", "n", "score", "key", "row", "slot", "kept", "_score", "_text", "text2", "want", "item_id"):
         df = df.withColumn(c, F.lit(f"own {c}"))
     return df
 

@@ -221,32 +221,57 @@ def test_license_places():
     assert [(r, cover, lo, hi) for r, t, cover, lo, hi, _ in got if lic.Templates(lic.TEMPLATES).names[t] == "MIT"] == [(0, 1.0, 2, 7), (1, 1.0, 0, 5), (5, 1.0, 0, 5), (6, 1.0, 5000, 5005)]
 
 
+def gru_by_step(m, x, words_):
+    """The network as its definition reads, for one window and word by word."""
+    s = lambda v: 1 / (1 + np.exp(-v))
+    H, p, states = tox.HIDDEN, m.p, []
+    for k, seq in (("f", words_), ("b", words_[::-1])):
+        h, hs = np.zeros(H), []
+        for w in seq:
+            gx, gh = x[w] @ p["W" + k] + p["c" + k], h @ p["U" + k]
+            z, r = s(gx[:H] + gh[:H]), s(gx[H : 2 * H] + gh[H : 2 * H])
+            h = z * h + (1 - z) * np.tanh(gx[2 * H :] + r * gh[2 * H :])
+            hs.append(h)
+        states.append(hs if k == "f" else hs[::-1])
+    hs = np.concatenate([np.array(states[0]), np.array(states[1])], 1)
+    e = np.exp(np.tanh(hs @ p["A"]) @ p["a"])
+    return (e / e.sum()) @ hs @ p["o"] + p["c"][0]
+
+
+def test_network_equals_its_definition():
+    w = tox.Words(*kit(["alpha beta gamma delta", "epsilon zeta", " ".join(f"w{i}" for i in range(50))]))
+    m = tox.Model()
+    x = m.inputs(w)
+    got = m.forward(x, w.index, w.mask)
+    for i in range(len(w.row)):
+        assert abs(got[i] - gru_by_step(m, x.astype(float), [k for k, on in zip(w.index[i], w.mask[:, i]) if on])) < 1e-4
+
+
 def test_gradients():
     g = np.random.Generator(np.random.Philox(1))
-    data, offs = kit(["alpha beta gamma delta", "epsilon zeta", " ".join(f"w{i}" for i in range(50))])
-    w = tox.Words(data, offs)
-    ev = {k: g.standard_normal(1 << tox.EVIDENCE_BITS).astype("f4") for k in ("word", "gram", "head")}
-    m = tox.Model(ev)
-    for k in m.p:
-        m.p[k] = (m.p[k] * 2).astype(np.float64)
-    x = m.inputs(w)[0].astype(np.float64)
+    w = tox.Words(*kit(["alpha beta gamma delta", "epsilon zeta", " ".join(f"w{i}" for i in range(50))]))
+    m = tox.Model()
+    m.p = {k: (v * 2).astype(np.float64) for k, v in m.p.items()}
+    x = m.inputs(w).astype(np.float64)
     index, mask = w.index, w.mask.astype(np.float64)
     d = g.standard_normal(len(index))
-    old, tox.f32 = tox.f32, np.float64
-    try:
-        out, kept = m.forward(x, index, mask, keep=True)
-        grads, dx = m.backward(x, index, mask, kept, d)
-        for k in m.p:
-            flat = m.p[k].reshape(-1)
-            for i in g.choice(flat.size, min(4, flat.size), replace=False):
-                flat[i] += 1e-3
-                up = (m.forward(x, index, mask) * d).sum()
-                flat[i] -= 2e-3
-                down = (m.forward(x, index, mask) * d).sum()
-                flat[i] += 1e-3
-                assert abs((up - down) / 2e-3 - grads[k].reshape(-1)[i]) < 2e-2 * (1 + abs(grads[k].reshape(-1)[i])), k
-    finally:
-        tox.f32 = old
+    out, kept = m.forward(x, index, mask, keep=True)
+    grads, dx = m.backward(x, index, mask, kept, d)
+    for v, grad in [*((m.p[k], grads[k]) for k in m.p), (x[:-1], dx[:-1])]:
+        flat = v.reshape(-1)
+        for i in g.choice(flat.size, min(6, flat.size), replace=False):
+            flat[i] += 1e-3
+            up = (m.forward(x, index, mask) * d).sum()
+            flat[i] -= 2e-3
+            down = (m.forward(x, index, mask) * d).sum()
+            flat[i] += 1e-3
+            assert abs((up - down) / 2e-3 - grad.reshape(-1)[i]) < 2e-2 * (1 + abs(grad.reshape(-1)[i]))
+
+
+def test_every_table_learns():
+    texts = [f"common words of a text {'vermin' if i % 2 else 'people'}{i} and more" for i in range(40)]
+    fresh, m = tox.Model(), tox.fit(texts, np.array([i % 2 for i in range(40)], "f4"), steps=20, epochs=1)
+    assert all((m.tables[k] != fresh.tables[k]).any() for k in m.tables) and all((m.p[k] != fresh.p[k]).any() for k in m.p)
 
 
 def test_windows_cover_all_words():
