@@ -22,8 +22,8 @@ BROADCAST_ROWS = 1_000_000
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score below 0.5; the network is fitted on the rows given that have labels."""
-    scored = score_rows(spark, docs, train(docs, table(spark, sf_dir, "labels")), docs.columns)
-    return scored.where("_score < 0.5").select(*docs.columns)
+    scored = score_rows(spark, docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.where("score < 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
