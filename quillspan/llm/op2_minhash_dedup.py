@@ -1,18 +1,19 @@
 """Near-duplicate components by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one class, found by fingerprint, so copies never pair up.
-Classes enter several independent trees: a tree's node picks minwise coordinates by a hash of
-its own path, and a class follows every picked coordinate into the child of its minwise token.
-A node first links its members to one pivot (a star, at the roots); members of one component need no further
-comparison, so a node whose members are all connected is done, however large. Nodes with few pairs left for
-their size compare those exhaustively; the others branch again. Candidates are filtered by their
-minwise signatures and confirmed on full shingle sets.
-
-Recall at similarity 0.8: two classes share Binomial(20, 0.8) root nodes, so a pair of which
-every shared node is closed is lost with probability 0.2^20; in an open node a branch of mean
-1.5 keeps a pair alive with probability 0.5 per root at any depth, 1e-6 lost if the trees were
-independent. They are not, as all draw on the same coordinates: a review's simulation (not repeated
-here) lost about 2e-5 of such pairs in nodes open for 4 levels, 2e-4 for 8 and 1e-3 for 12.
+Classes enter several independent trees: at the roots and in every node that branches, a class
+follows picked minwise coordinates into the children of its tokens. Small nodes are compared
+exhaustively by minwise sketches, in numpy; large ones in chunks of a bounded size that share
+some members (pivots), and what a large node's chunks leave apart is compared with all of its
+chunks if it is little, else the node branches. A first round asks for the pairs of a maximum
+spanning forest only, as members of one component need no further comparison; a second one asks
+for every pair that is left. Pairs are confirmed on full shingle sets, which move once for each
+group of pairs that were found together.
+
+Recall at similarity 0.8: two classes share Binomial(12, 0.8) root nodes, none of them with
+probability 0.2^12 = 4e-9, fewer than two (then a class may be left out at once) 2e-7; a pair
+fails the sketch filter (36 of 64) with probability 4e-6. Nodes that branch keep a pair with
+probability above one half by root at any depth.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, components
-from .textkit import U64, buffers, chunks, mix, words
+from .store import Scratch, components, partitions
+from .textkit import U64, buffers, chunks, mix, ragged, words
 
 COORDS = 64
-TREES = 10
-PIVOTS = 8
+ALIKE = 36
+TREES, PATHS = 6, 2
+CHUNK, PIVOTS = 512, 16
+BLOCK_ROWS = 1 << 15
 _G = np.random.Generator(np.random.Philox(20260103))
 _A = _G.integers(1, 2**64, COORDS, dtype=U64) | U64(1)
 _B = _G.integers(1, 2**64, COORDS, dtype=U64)
+ROOTS = np.concatenate([np.random.Generator(np.random.Philox([20260104, t])).choice(COORDS, PATHS, replace=False) for t in range(TREES)])
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = 4) -> list[np.ndarray]:
@@ -74,7 +78,7 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def features(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id, n_shingles, v (class of equal sets; null if empty), sig of every row."""
+    """doc_id, n_shingles, v (class of equal sets), roots (tokens of the root coordinates), sketch (16 bits of each coordinate) of every row; the last three are null if the set is empty."""
 
     def run(batches):
         for b in batches:
@@ -83,12 +87,14 @@ def features(docs: DataFrame, k: int = 4) -> DataFrame:
                 sets = shingles(data, offs[i : j + 1], k)
                 size = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
-                sig = signatures(full).view(np.int32).ravel() if full else np.zeros(0, np.int32)
-                at = np.concatenate([[0], np.cumsum(np.where(size > 0, COORDS, 0))])
+                sig = signatures(full) if full else np.zeros((0, COORDS), np.uint32)
+                sketch = iter(sig.astype("<u2"))
+                at = np.concatenate([[0], np.cumsum(np.where(size > 0, len(ROOTS), 0))])
                 v = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), v, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig))], ["doc_id", "n_shingles", "v", "sig"])
+                roots = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig[:, ROOTS].view(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), v, roots, pa.array([next(sketch).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "v", "roots", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, v long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, v long, roots array<int>, sketch binary")
 
 
 def with_class(docs: DataFrame, name: str, k: int = 4) -> DataFrame:
@@ -105,133 +111,270 @@ def with_class(docs: DataFrame, name: str, k: int = 4) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(v, shingle set) of rows whose class is the wanted one (column want); repeated rows repeat it."""
+    """(v, shingle set) of rows whose class is the wanted one (column want; null: any); repeated rows repeat it."""
 
     def run(batches):
         for b in batches:
             data, offs = buffers(b.column(1))
             want = b.column(0).to_pylist()
             for i, j in chunks(offs):
-                sets = shingles(data, offs[i : j + 1], k)
-                hit = [s if len(s) and fingerprint(s) == w else None for s, w in zip(sets, want[i:j])]
-                keep = [s for s in hit if s is not None]
+                sets = ((fingerprint(s), s, w) for s, w in zip(shingles(data, offs[i : j + 1], k), want[i:j]) if len(s))
+                keep = [(v, s) for v, s, w in sets if w is None or v == w]
                 if keep:
-                    at = np.concatenate([[0], np.cumsum([len(s) for s in keep])])
-                    yield pa.RecordBatch.from_arrays([pa.array([w for s, w in zip(hit, want[i:j]) if s is not None], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(keep).view(np.int64)))], ["v", "s"])
+                    at = np.concatenate([[0], np.cumsum([len(s) for _, s in keep])])
+                    yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in keep], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([s for _, s in keep]).view(np.int64)))], ["v", "s"])
 
     return docs.mapInArrow(run, "v long, s array<long>")
 
 
-def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, small: int = 64, depth: int = 12, rows: bool = False) -> DataFrame:
+class Group:
+    """Members of consecutive groups: group number, class, set size, label, side, sketch, root (-1: none)."""
+
+    def __init__(self, b: pa.Table):
+        self.n = b.num_rows
+        col = lambda c: b.column(c).to_numpy()
+        self.key = np.stack([col("node"), col("chunk"), col("block")], 1)
+        self.gid = np.cumsum(np.append(True, (self.key[1:] != self.key[:-1]).any(1))) - 1 if self.n else np.zeros(0, np.int64)
+        self.v, self.size, self.side, self.root = col("v"), col("n"), col("side"), col("root")
+        self.labels, self.lab = np.unique(col("lab"), return_inverse=True)
+        self.sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), "<u2").reshape(self.n, COORDS)
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Different labels, and opposite sides where sides are given."""
+        return (self.lab[i] != self.lab[j]) & ((self.side[i] != self.side[j]) | (self.side[i] < 0))
+
+    def first_root(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """True where the group's root is the first that both share: a pair counts in one root node only."""
+        r = self.root[i]
+        same = self.sketch[i][:, ROOTS] == self.sketch[j][:, ROOTS]
+        return (r < 0) | (np.where(same.any(1), same.argmax(1), r) == r)
+
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, agreeing coordinates) of all pairs within groups that may be similar."""
+        num = np.bincount(self.gid) if self.n else np.zeros(0, np.int64)
+        first = np.cumsum(num) - num
+        found = []
+
+        def keep(i, j):
+            ok = self.fits(i, j) & (100 * np.minimum(self.size[i], self.size[j]) >= percent * np.maximum(self.size[i], self.size[j]))
+            i, j = i[ok], j[ok]
+            agree = (self.sketch[i] == self.sketch[j]).sum(1)
+            ok = agree >= ALIKE
+            i, j, agree = i[ok], j[ok], agree[ok]
+            ok = self.first_root(i, j)
+            found.append((i[ok], j[ok], agree[ok]))
+
+        # row r of a group against those after it
+        after = (first + num)[self.gid] - np.arange(self.n) - 1
+        total = np.cumsum(after)
+        lo = 0
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 18), "right")))
+            keep(np.repeat(np.arange(lo, hi), after[lo:hi]), ragged(np.arange(lo, hi) + 1, after[lo:hi]))
+            lo = hi
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+    def forest(self, i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> np.ndarray:
+        """Indices of the pairs of a maximum spanning forest of labels."""
+        up = list(range(len(self.labels)))
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out = []
+        order = np.argsort(-agree, kind="stable")
+        for k, a, b in zip(order.tolist(), self.lab[i[order]].tolist(), self.lab[j[order]].tolist()):
+            a, b = top(a), top(b)
+            if a != b:
+                up[a] = b
+                out.append(k)
+        return np.array(out, np.int64)
+
+
+def candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b, tag) of pairs to confirm within the groups (node, chunk, block); tag: the group. members: node, chunk, block, v, n, lab, side, root, sketch."""
+    n = partitions(members.sparkSession)
+    names = ["node", "chunk", "block", "v", "n", "lab", "side", "root", "sketch"]
+
+    def run(batches):
+        held, rows = [], 0
+
+        def work(t):
+            g = Group(t)
+            i, j, agree = g.pairs(percent)
+            if forest:
+                k = g.forest(i, j, agree)
+                i, j = i[k], j[k]
+            tag = g.key[i, 0] ^ (g.key[i, 1] * np.int64(0x9E3779B97F4A7C1)) ^ (g.key[i, 2] * np.int64(0x94D049BB133111E))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(g.v[i], g.v[j])), pa.array(np.maximum(g.v[i], g.v[j])), pa.array(tag)], ["a", "b", "tag"])
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= BLOCK_ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = np.stack([t.column(c).to_numpy() for c in ("node", "chunk", "block")], 1)
+                last = np.flatnonzero((key != key[-1]).any(1))  # the last group may go on
+                if len(last):
+                    yield work(t.slice(0, last[-1] + 1))
+                    t = t.slice(last[-1] + 1)
+                held, rows = t.to_batches(), t.num_rows
+        if rows:
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = members.select(*names).repartition(n, "node", "chunk", "block").sortWithinPartitions("node", "chunk", "block")
+    return dealt.mapInArrow(run, "a long, b long, tag long")
+
+
+def confirm(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that reach the similarity; rows: tag, v, s of the sets of each tag and then (v, s null) its pairs a, b."""
+    n = partitions(rows.sparkSession)
+
+    def run(batches):
+        sets, last = {}, None
+        for batch in batches:
+            tag, v, a, b = (batch.column(c).to_pylist() for c in (0, 1, 3, 4))
+            flat, at = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().fill_null(0).to_numpy())]).tolist()
+            out = []
+            for i, t in enumerate(tag):
+                if t != last:
+                    sets, last = {}, t
+                if v[i] is not None:
+                    sets[v[i]] = flat[at[i] : at[i + 1]].view(U64).copy()
+                    continue
+                x, y = sorted((sets[a[i]], sets[b[i]]), key=len)
+                same = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    out.append((a[i], b[i]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    dealt = rows.select("tag", "v", "s", "a", "b").repartition(n, "tag").sortWithinPartitions("tag", F.col("v").asc_nulls_last())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, chunk: int = CHUNK, depth: int = 12, rows: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; with ``rows``, its class v and the root class of its component too.
 
-    Null or blank texts have no shingles and stand alone. Null ids pass through (they never
-    name a component unless all of its rows have a null id); repeated rows are copies, one
-    result row each; other columns are ignored; an empty table gives an empty result.
-    ``kept`` compares ids null-safely. Vertices are 64-bit set fingerprints. A node is closed when
-    its remaining pairs are at most ``small`` for each member, twice as many at each level; after
-    ``depth`` levels all are.
+    Null or blank texts have no shingles and stand alone; very long texts enter whole. Null ids
+    pass through (they never name a component unless all of its rows have a null id); repeated
+    rows are copies, one result row each; of equal pairs and ties nothing depends on the order;
+    other columns are ignored; an empty table gives an empty result. ``kept`` compares ids
+    null-safely. Vertices are 64-bit set fingerprints. ``chunk`` bounds the members that are
+    compared at once; at ``depth`` nodes branch no more and are compared chunk by chunk.
     """
     scratch = Scratch(spark)
     feats = scratch.cut(features(docs, k), "features")
-    classes = feats.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("m"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = feats.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("m"), F.first("n_shingles").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
     classes = scratch.cut(scratch.fit(classes, feats._rows, 300), "classes")
 
-    pick = np.random.Generator(np.random.Philox(20260104))
-    roots = [(t, int(c)) for t in range(TREES) for c in pick.choice(COORDS, 2, replace=False)]
-    nodes = classes.select("v", F.explode(F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.col("sig")[c]) for t, c in roots])).alias("node"))
-    nodes = scratch.cut(scratch.fit(crowded(nodes), classes._rows * len(roots), 8), "nodes")
-    # a class with a partner shares most of its root nodes; fewer than four of twenty: none (1e-9)
-    live = scratch.fit(nodes.groupBy("v").agg(F.count("*").alias("c")).where("c >= 4").select("v"), nodes._rows)
-    nodes = nodes.join(scratch.small(live, rows=nodes._rows // 4), "v").select("node", "v")
-    nodes = scratch.cut(scratch.fit(crowded(nodes), classes._rows * len(roots) // 4), "nodes")
-    attrs = classes.join(scratch.small(nodes.select("v").distinct(), rows=nodes._rows // 2), "v").select("v", "m", "n", "sig")
-    attrs = scratch.cut(scratch.fit(attrs, classes._rows, 300), "attrs")
-    reps = scratch.small(attrs, 16, attrs._rows).select(F.col("v").alias("want"), F.col("m").alias("rep"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
-    sets = scratch.cut(full_sets(texts, k), "sets")
-
-    edges = tested = spark.createDataFrame([], "a long, b long")
-    labels = None
-    known = 0
-
-    def verify(pairs: DataFrame, most: int) -> None:
-        """Confirm the pairs (at most ``most``) that were not tested before; renew edges and labels if any holds."""
-        nonlocal edges, labels, tested, known
-        attr = lambda v, n, s: scratch.small(attrs, 300).select(F.col("v").alias(v), F.col("n").alias(n), F.col("sig").alias(s))
-        pairs = scratch.fit(pairs.distinct(), most)
+    nodes = classes.select("v", F.posexplode("roots").alias("root", "token")).select("v", "root", F.xxhash64(F.lit(0), "root", "token").alias("node"))
+    nodes = scratch.cut(scratch.fit(crowded(nodes), classes._rows * len(ROOTS), 16), "nodes")
+    # a class with a partner shares most of its root nodes
+    live = scratch.fit(nodes.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), nodes._rows)
+    first = nodes
+    nodes = nodes.join(scratch.small(live, rows=nodes._rows // 2), "v").select("node", "v", "root")
+    nodes = scratch.cut(scratch.fit(crowded(nodes), first._rows), "nodes")
+    scratch.drop(first)
+    attrs = classes.join(scratch.small(nodes.select("v").distinct(), rows=nodes._rows), "v").select("v", "m", "n", "sketch")
+    attrs = scratch.cut(scratch.fit(attrs, classes._rows, 300), "attrs", unnamed=F.count_if(F.col("m").isNull()))
+    reps = scratch.small(attrs, 24, attrs._rows).select(F.col("v").alias("want"), F.col("m").alias("rep")).where("rep is not null")
+    named = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep is not null")
+    sets = full_sets(named.join(reps, "rep").select("want", "text"), k)
+    if attrs._seen["unnamed"]:
+        nameless = full_sets(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("want"), "text"), k)
+        sets = sets.union(nameless.join(attrs.where("m is null").select("v"), "v", "left_semi"))
+    sets = scratch.cut(sets, "sets")
+    if sets._rows > attrs._rows:  # rows that repeat an id and its text
+        twice, sets = sets, scratch.cut(sets.groupBy("v").agg(F.first("s").alias("s")), "sets")
+        scratch.drop(twice)
+
+    tested = spark.createDataFrame([], "a long, b long")
+    labels, known = None, 0
+
+    def verify(found: DataFrame, most: int) -> bool:
+        """Confirm pairs that were not tested before; renew the labels if any holds."""
+        nonlocal labels, tested, known
+        pairs = scratch.fit(found.groupBy("a", "b").agg(F.min("tag").alias("tag")), most)
         if known:
             pairs = pairs.join(scratch.small(tested, rows=known), ["a", "b"], "left_anti")
-        pairs = pairs.join(attr("a", "na", "sa"), "a").join(attr("b", "nb", "sb"), "b")
-        alike = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(alike >= COORDS // 2).select("a", "b", "na", "nb")
         pairs = scratch.cut(pairs, "pairs")
         if not pairs._rows:
-            return
+            return False
+        need = pairs.select("tag", F.explode(F.array("a", "b")).alias("v")).distinct()
+        # the first round asks for most sets, later ones for few
+        there = sets.join(scratch.small(need, rows=2 * pairs._rows), "v") if known else sets.hint("merge").join(need, "v")
         tested, known = tested.union(pairs.select("a", "b")), known + pairs._rows
-        # a pivot with many partners is dealt over copies of its set
-        fan = scratch.fit(pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("fan")), pairs._rows)
-        fan = scratch.small(fan, rows=pairs._rows)
-        left = sets.join(fan, sets.v == fan.a).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("s").alias("s1"))
-        both = pairs.join(fan, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
-        both = scratch.fit(both.join(left, ["a", "salt"]).select("a", "b", "na", "nb", "s1"), pairs._rows, 16384)
-        # only sets that a pair asks for are shuffled
-        asked = scratch.small(scratch.fit(pairs.select("b").distinct(), pairs._rows), rows=pairs._rows)
-        right = sets.select(F.col("v").alias("b"), F.col("s").alias("s2")).join(asked, "b", "left_semi")
-        both = scratch.fit(both.join(right, "b"), pairs._rows, 16384)
-        same = F.size(F.array_intersect("s1", "s2"))
-        new = both.select("a", "b", same.alias("i"), "na", "nb").where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
-        new = scratch.cut(new, "found")
-        if new._rows:
-            edges = edges.union(new)
-            labels = components(spark, scratch, edges)
+        null = lambda t: F.lit(None).cast(t)
+        both = there.select("tag", "v", "s", null("long").alias("a"), null("long").alias("b")).union(pairs.select("tag", null("long"), null("array<long>"), "a", "b"))
+        new = scratch.cut(confirm(both, percent), "found")
+        if not new._rows:
+            return False
+        old = labels
+        links = new if old is None else new.union(old.select(F.col("v").alias("a"), F.col("root").alias("b")))
+        labels = components(spark, scratch, links)
+        scratch.drop(new, *([old] if old is not None else []))
+        return True
 
     def labelled(nodes: DataFrame) -> DataFrame:
-        if labels is None:
-            return nodes.select("node", "v", F.col("v").alias("lab"))
-        return nodes.join(scratch.small(labels), "v", "left").select("node", "v", F.coalesce("root", "v").alias("lab"))
-
-    # stars: the members of a node against its smallest one
-    verify(nodes.select(F.col("low").alias("a"), F.col("v").alias("b")).where("a <> b"), nodes._rows)
-    level = -1
-    while level < depth:
-        level += 1
-        n = nodes._rows
-        nodes = labelled(nodes)
-        kinds = nodes.groupBy("node", "lab").agg(F.count("*").alias("c")).groupBy("node")
-        # pairs of different components that are left, against the node's size
-        kinds = kinds.agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "lab"))["lab"].alias("most"), F.count("*").alias("labs")).where("labs > 1")
-        kinds = kinds.select("node", "most", (F.col("size") * F.col("size") - F.col("sq")).alias("rest"), ((F.col("size") * F.col("size") - F.col("sq")) <= 2 * small * 2**level * F.col("size")).alias("close"))
-        kinds = scratch.cut(scratch.fit(kinds, n), "kinds", rest=F.sum(F.when(F.col("close") | F.lit(level == depth), F.col("rest"))), open=F.count_if(~F.col("close")))
-        if not kinds._rows:
+        """Nodes of several components: node, v, root, lab, most (the commonest label), size, rest (members outside it)."""
+        lab = nodes.select("node", "v", "root", F.col("v").alias("lab"))
+        if labels is not None:
+            tops = scratch.small(labels.select("v", F.col("root").alias("top")), rows=labels._rows)
+            lab = nodes.join(tops, "v", "left").select("node", "v", "root", F.coalesce("top", "v").alias("lab"))
+        kinds = lab.groupBy("node", "lab").agg(F.count("*").alias("c")).groupBy("node")
+        kinds = kinds.agg(F.sum("c").alias("size"), F.max(F.struct("c", "lab")).alias("most"), F.count("*").alias("labs")).where("labs > 1")
+        kinds = kinds.select("node", "size", F.col("most.lab").alias("most"), (F.col("size") - F.col("most.c")).alias("rest"))
+        kinds = scratch.cut(scratch.fit(kinds, nodes._rows), "kinds")
+        out = scratch.cut(scratch.fit(lab.join(scratch.small(kinds, 40, kinds._rows), "node"), nodes._rows), "labelled", open=F.count_if(F.col("rest") > chunk), large=F.count_if(F.col("size") > chunk))
+        scratch.drop(kinds)
+        return out
+
+    def number(count: str) -> F.Column:
+        """A power of two of chunks for so many members."""
+        return F.expr(f"shiftleft(1L, int(ceil(log2(greatest(1D, {count} / {chunk})))))")
+
+    def members(nodes: DataFrame) -> DataFrame:
+        return nodes.join(scratch.small(attrs, 200).select("v", "n", "sketch"), "v")
+
+    level = 0
+    while nodes._rows:
+        # spanning pairs: chunks of a node share its pivots
+        some = labelled(nodes)
+        if level == 0:
+            scratch.drop(nodes)
+        if not some._rows:
             break
-        nodes = scratch.cut(scratch.fit(nodes.join(scratch.small(kinds.select("node", "most", "close"), rows=kinds._rows), "node"), n), "nodes")
-        if level == 0 < depth and labels is not None:
-            # a few more pivots, by hash, join most of what one pivot left apart in a large node
-            more = nodes.groupBy("node").agg(F.array(*[F.min_by("v", F.xxhash64("v", F.lit(i))) for i in range(PIVOTS)]).alias("p"))
-            more = more.select("node", F.explode(F.array_distinct("p")).alias("x")).join(labels.select(F.col("v").alias("x"), F.col("root").alias("rx")), "x", "left")
-            stars = nodes.select("node", F.col("v").alias("y"), F.col("lab").alias("ly")).join(more.select("node", "x", F.coalesce("rx", "x").alias("lx")), "node").where("lx <> ly")
-            before = labels
-            verify(stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), nodes._rows * PIVOTS)
-            if labels is not before:
-                rows, nodes = nodes._rows, nodes.select("node", "v")
-                nodes._rows = rows
-                continue
-        few = nodes if level == depth else nodes.where("close")
-        # those outside the largest component against all: no more rows than the pairs that are left, twice
-        other = few.select("node", F.col("v").alias("y"), F.col("lab").alias("ly"))
-        cross = scratch.small(few, rows=nodes._rows).where("lab <> most").select("node", F.col("v").alias("x"), "lab").join(other, "node").where("lab <> ly")
-        verify(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), int(kinds._seen["rest"] or 0))
-        if level == depth or not kinds._seen["open"]:
+        part = some.withColumn("chunks", number("size")).withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(level)), "chunks"))
+        if some._seen["large"]:
+            pick = part.where("chunks > 1").groupBy("node", "chunks").agg(F.array(*[F.min_by(F.struct("v", "root", "lab"), F.xxhash64("v", F.lit(1000 * level + i))) for i in range(PIVOTS)]).alias("p"))
+            pick = pick.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.array_distinct("p").alias("p")).select("node", "chunk", F.explode("p").alias("p"))
+            part = part.select("node", "chunk", "v", "root", "lab").union(pick.select("node", "chunk", "p.v", "p.root", "p.lab"))
+        one = F.lit(-1)
+        verify(candidates(members(part.select("node", "chunk", "v", "root", "lab")).withColumns({"block": F.lit(0).cast("long"), "side": one}), percent, True), some._rows)
+        # every pair that is left, of members outside a node's largest component against all
+        left = labelled(_rows(some.select("node", "v", "root"), some._rows))
+        scratch.drop(some)
+        if not left._rows:
+            break
+        few = left if level == depth else left.where(F.col("rest") <= chunk)
+        few = few.withColumns({"chunks": number("size"), "blocks": number("rest")}).withColumns({"chunk": F.pmod(F.xxhash64("v", F.lit(level)), "chunks"), "block": F.pmod(F.xxhash64("v", F.lit(-1 - level)), "blocks")})
+        to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        here = few.select("node", "chunk", to("blocks").alias("block"), "v", "root", "lab", F.lit(0).alias("side"))
+        there = few.where("lab <> most").select("node", to("chunks").alias("chunk"), "block", "v", "root", "lab", F.lit(1).alias("side"))
+        verify(candidates(members(here.union(there)), percent, False), left._rows)
+        if level == depth or not left._seen["open"]:
             break
         # one coordinate always, a second one for half of the nodes
         c = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDS)).cast("int") for i in (1, 2)]
-        kid = [F.xxhash64("node", x, F.element_at("sig", x + 1)) for x in c]
+        kid = [F.xxhash64("node", x, F.substring("sketch", 2 * x + 1, F.lit(2))) for x in c]
         twice = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0) & (c[0] != c[1])
-        kids = nodes.where("not close").select("node", "v").join(scratch.small(attrs, 300).select("v", "sig"), "v").select("v", F.explode(F.when(twice, F.array(*kid)).otherwise(F.array(kid[0]))).alias("node"))
-        nodes = scratch.cut(scratch.fit(crowded(kids), 2 * nodes._rows), "nodes")
-        if not nodes._rows:
-            break
+        kids = members(left.where(F.col("rest") > chunk).select("node", "v")).select("v", F.lit(-1).alias("root"), F.explode(F.when(twice, F.array(*kid)).otherwise(F.array(kid[0]))).alias("node"))
+        nodes = scratch.cut(scratch.fit(crowded(kids), 2 * left._rows), "nodes")
+        scratch.drop(left)
+        level += 1
 
     comp = classes.select("v", "m")
     if labels is None:
@@ -245,15 +388,21 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         comp = comp.join(scratch.small(top, rows=labels._rows), "root", "left").select("v", F.coalesce("top", "m").alias("component_id"), "root")
     extra = ["v", "root"] if rows else []
     comp = scratch.cut(scratch.fit(comp.select("v", "component_id", *extra[1:]), classes._rows, 24), "comp")
+    scratch.drop(classes, attrs, sets)
     out = feats.select("doc_id", "n_shingles", "v").join(scratch.small(comp), "v", "left")
     own = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), *extra).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _rows(df: DataFrame, rows: int) -> DataFrame:
+    df._rows = rows
+    return df
+
+
 def crowded(nodes: DataFrame) -> DataFrame:
-    """Rows (node, v, low) of nodes with two members at least; low: the smallest member."""
-    size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("low")).where("size > 1").select("node", "low")
-    return nodes.join(size, "node").select("node", "v", "low")
+    """Rows (node, v, root) of nodes with two members at least."""
+    size = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
+    return nodes.join(size, "node").select("node", "v", "root")
 
 
 SQL = r"""

@@ -89,7 +89,7 @@ def test_near_components(spark, monkeypatch):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == jaccard_components(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     monkeypatch.setattr(Scratch, "BROADCAST_BYTES", 0)
-    small = near.near_components(spark, odd(spark, rows), small=1, depth=2).collect()  # branches instead of closing
+    small = near.near_components(spark, odd(spark, rows), chunk=2, depth=2).collect()  # chunks and branches instead of closing
     assert sorted(map(str, small)) == sorted(map(str, got))
     assert near.near_components(spark, none(spark)).count() == 0
 
