@@ -4,17 +4,20 @@ Vectors become integers floor(64 x). A vector of d components is cut into segmen
 and deviation norm s of each (length L), the inner product of two vectors is at most
 sum(L m m' + s s') over the segments, which bounds their distance from below. Bounds are taken
 from coarse to fine; pairs whose bound stays below the query's k-th score so far are dropped,
-and the survivors are scored exactly. Queries go in blocks against all rows in chunks.
+and the survivors are scored exactly. How many pairs a level leaves depends on the vectors: where
+their components differ by direction alone, without runs of like ones, the bounds leave almost all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import Scratch, partitions
+
 LEVELS = (4, 16)
 SUB = 1024
 
@@ -33,81 +36,120 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if top < 2.0**53:
         return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    if top >= 2.0**63:
+        raise ValueError("inner products do not fit in 64 bits")
     return q @ x.T
 
 
+class Best:
+    """The k best candidates so far of each query of a block, ties to the smaller id."""
+
+    def __init__(self, qid: np.ndarray, q: np.ndarray, k: int):
+        self.qid, self.q, self.k = qid, q, k
+        n, d = q.shape
+        self.levels = [m for m in LEVELS if m < d]
+        self.stats = [stats(q.astype(float), m) for m in self.levels]
+        self.norm = np.linalg.norm(q.astype(float), axis=1)
+        self.low = np.full(n, np.iinfo(np.int64).min)
+        self.row = self.id = self.score = np.zeros(0, np.int64)
+        self.seen, self.left = 0, np.zeros(len(LEVELS) + 1, np.int64)  # pairs, and those that each bound left
+
+    def feed(self, xid: np.ndarray, x: np.ndarray) -> None:
+        """Candidates, ``SUB`` at a time: bounds from coarse to fine, then the exact products of the survivors."""
+        n = len(self.q)
+        xs = [stats(x.astype(float), m) for m in self.levels]
+        slack = 0.5 + 1e-9 * self.norm * float(np.linalg.norm(x.astype(float), axis=1).max(initial=0))
+        for lo in range(0, len(x), SUB):
+            part, ids = x[lo : lo + SUB], xid[lo : lo + SUB]
+            least = (self.low - slack)[:, None]
+            alive = np.ones((n, len(part)), bool)
+            self.seen += alive.size
+            for level, (a, b) in enumerate(zip(self.stats, xs)):
+                some, cols = alive.any(1), alive.any(0)  # rows and columns without a survivor drop out of the next level
+                alive[np.ix_(some, cols)] &= a[some] @ b[lo : lo + SUB][cols].T >= least[some]
+                self.left[level] += np.count_nonzero(alive)
+            some, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            if not len(some):
+                continue
+            s = exact(self.q[some], part[cols])
+            r, c = np.nonzero(alive[np.ix_(some, cols)] & (s >= self.low[some][:, None]) & (self.qid[some][:, None] != ids[cols]))
+            self.left[-1] += len(r)
+            r, c, s = some[r], ids[cols[c]], s[r, c]
+            touched = np.zeros(n, bool)
+            touched[r] = True
+            mine = touched[self.row]
+            r, c, s = np.concatenate([self.row[mine], r]), np.concatenate([self.id[mine], c]), np.concatenate([self.score[mine], s])
+            order = np.lexsort((c, -s, r))
+            r, c, s = r[order], c[order], s[order]
+            num = np.bincount(r, minlength=n)
+            rank = np.arange(len(r)) - (np.cumsum(num) - num)[r]
+            last = rank == self.k - 1
+            self.low[r[last]] = s[last]
+            keep = rank < self.k
+            self.row, self.id, self.score = (np.concatenate([old[~mine], new[keep]]) for old, new in ((self.row, r), (self.id, c), (self.score, s)))
+
+
 def block_topk(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of the k best of each query, ties to the smaller id."""
-    n, d = q.shape
-    levels = [m for m in LEVELS if m < d]
-    qs, xs = [stats(q.astype(float), m) for m in levels], [stats(x.astype(float), m) for m in levels]
-    slack = 0.5 + 1e-9 * np.linalg.norm(q.astype(float), axis=1) * float(np.linalg.norm(x.astype(float), axis=1).max(initial=0))
-    low = np.full(n, np.iinfo(np.int64).min)
-    r = c = np.zeros(0, np.int64)
-    s = np.zeros(0, np.int64)
-    for lo in range(0, len(x), SUB):
-        hi = min(lo + SUB, len(x))
-        open_ = low - slack
-        if levels:
-            rr, cc = np.nonzero(qs[0] @ xs[0][lo:hi].T >= open_[:, None])
-            for a, b in zip(qs[1:], xs[1:]):
-                if len(rr) * 4 < n * (hi - lo):  # else bounds by the pair cost more than exact products
-                    keep = np.einsum("ij,ij->i", a[rr], b[lo + cc]) >= open_[rr]
-                    rr, cc = rr[keep], cc[keep]
-        else:
-            rr, cc = np.nonzero(np.ones((n, hi - lo), bool))
-        if len(rr) * 4 < n * (hi - lo):
-            top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d
-            ss = np.einsum("ij,ij->i", *((q[rr].astype(float), x[lo + cc].astype(float)) if top < 2.0**53 else (q[rr], x[lo + cc]))).astype(np.int64)
-        else:
-            ss = exact(q, x[lo:hi])[rr, cc]
-        keep = (ss >= low[rr]) & (qid[rr] != xid[lo + cc])
-        r, c, s = np.concatenate([r, rr[keep]]), np.concatenate([c, lo + cc[keep]]), np.concatenate([s, ss[keep]])
-        order = np.lexsort((xid[c], -s, r))
-        r, c, s = r[order], c[order], s[order]
-        first = np.searchsorted(r, np.arange(n))
-        best = np.arange(len(r)) - first[r] < k
-        r, c, s = r[best], c[best], s[best]
-        num = np.bincount(r, minlength=n)
-        full = num >= k
-        low[full] = s[np.cumsum(num)[full] - 1]
-    return r, c, s
-
-
-def exact_topk(vectors: DataFrame, k: int = 20, every: int = 20, block: int = 1024, chunk: int = 8192) -> DataFrame:
+    """(query row, candidate id, score) of the k best of each query."""
+    best = Best(qid, q, k)
+    best.feed(xid, x)
+    order = np.lexsort((best.id, -best.score, best.row))
+    return best.row[order], best.id[order], best.score[order]
+
+
+def matrices(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and rows by length of the vectors."""
+    size = np.diff(vectors.offsets.to_numpy())
+    flat, at = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+    if len(flat) and max(int(flat.max()), -int(flat.min())) >= 2**31:
+        raise ValueError("a component does not fit in 32 bits")
+    ids = ids.to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size):
+        some = np.flatnonzero(size == d)
+        out[int(d)] = ids[some], flat[at[some][:, None] + np.arange(d)]
+    return out
+
+
+def exact_topk(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, block: int = 1024, chunk: int = 8192, query_bytes: int = 16 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each row whose id is divisible by ``every``.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part; vectors
-    meet only those of their own length; of rows that repeat an id the smallest vector counts;
-    other columns are ignored; an empty table gives an empty result. Components are below 2^31.
+    meet only those of their own length, however long; of rows that repeat an id the smallest
+    vector counts; ties go to the smaller id; other columns are ignored; an empty table gives an
+    empty result. Components of 2^31 and more are an error. Candidates stay where they are: the
+    queries, at most ``query_bytes`` of them at a time, are sent to all of them.
     """
+    scratch = Scratch(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(~bad).select("vec_id", F.transform("e", lambda x: F.floor(x * 64)).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    sizes = v.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    nq, nc = max(1, -(-sizes["q"] // block)), max(1, -(-sizes["n"] // chunk))
-    pack = F.collect_list(F.struct("vec_id", "v"))
-    # blocks hold a bounded number of rows each, by a hash of the id
-    qs = v.where(F.col("vec_id") % every == 0).groupBy("d", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).alias("qb")).agg(pack.alias("q"))
-    cs = v.groupBy("d", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nc)).alias("cb")).agg(pack.alias("c"))
-    pairs = cs.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>"))).repartition(nq * nc, "d", "qb", "cb").join(qs, ["d", "qb"])
-
-    def unpack(cell: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        rows = cell.flatten()
-        ids = rows.field("vec_id").to_numpy(zero_copy_only=False)
-        flat = rows.field("v").flatten().to_numpy(zero_copy_only=False)
-        return ids, flat.reshape(len(ids), len(flat) // len(ids))
-
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                (qid, q), (xid, x) = unpack(b.column(0).slice(i, 1)), unpack(b.column(1).slice(i, 1))
-                r, c, s = block_topk(qid, q, xid, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(xid[c]), pa.array(s)], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("q", "c").mapInArrow(run, "query_id long, vec_id long, score long")
+    v = v.where(~bad).select("vec_id", F.transform("e", lambda x: F.floor(x * 64)).alias("v")).repartition(partitions(spark), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    asks = F.col("vec_id") % every == 0
+    v = scratch.cut(v, "vectors", bytes=F.sum(F.when(asks, 8 * F.size("v") + 8)))
+    rounds = max(1, -(-int(v._seen["bytes"] or 0) // query_bytes))
+    out = None
+    for i in range(rounds):
+        rows = v.where(asks & (F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == i)).toArrow()  # within the bound
+        asked = matrices(rows.column(0).combine_chunks(), rows.column(1).combine_chunks()) if rows.num_rows else {}
+        shared = spark.sparkContext.broadcast(asked)
+
+        def run(batches, shared=shared):
+            best: dict[int, list[Best]] = {}
+            for b in batches:
+                for lo in range(0, b.num_rows, chunk):
+                    part = b.slice(lo, chunk)
+                    for d, (xid, x) in matrices(part.column(0), part.column(1)).items():
+                        if d in shared.value:
+                            qid, q = shared.value[d]
+                            for own in best.setdefault(d, [Best(qid[j : j + block], q[j : j + block], k) for j in range(0, len(qid), block)]):
+                                own.feed(xid, x)
+            for own in (own for some in best.values() for own in some):
+                yield pa.RecordBatch.from_arrays([pa.array(own.qid[own.row]), pa.array(own.id), pa.array(own.score)], ["query_id", "vec_id", "score"])
+
+        found = v.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+        out = found if out is None else out.union(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """

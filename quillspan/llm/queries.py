@@ -48,7 +48,7 @@ def op7_token_counts(spark, sf_dir):
 
 
 def op8_exact_topk(spark, sf_dir):
-    return exact_topk(table(spark, sf_dir, "embeddings"))
+    return exact_topk(spark, table(spark, sf_dir, "embeddings"))
 
 
 def op9_packing(spark, sf_dir):

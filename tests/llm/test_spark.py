@@ -100,9 +100,9 @@ def test_suffix_dedup(spark, monkeypatch):
     a, b, c = word(500), word(199), word(260)
     rows = [*ROWS, (20, a + word(50)), (21, word(30) + a[100:400]), (22, b + word(9)), (23, word(5) + b), (24, c + word(10) + c), (25, word(700)), (26, "ab" * 300), (27, word(200) + "é" + a[:250])]
     want = sorted(zip([str(r[0]) for r in rows], suffix6.brute_force([r[1] for r in rows])), key=str)
-    for hot, bound in ((suffix6.HOT, 10**6), (1, 0)):
+    for hot, bound in ((suffix6.HOT, 10**8), (1, 0)):
         monkeypatch.setattr(suffix6, "HOT", hot)
-        got = suffix6.strip_repeats(spark, odd(spark, rows), broadcast_rows=bound)
+        got = suffix6.strip_repeats(spark, odd(spark, rows), broadcast_bytes=bound)
         got = [(str(r.row.doc_id), (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())) for r in got.collect()]
         assert sorted(got, key=str) == want
     assert suffix6.suffix_dedup(spark, none(spark)).count() == 0
@@ -198,9 +198,9 @@ def test_topk(spark):
             s = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))[:20]
             want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
     for block, chunk in ((1024, 8192), (2, 7)):
-        got = exact_topk(df, block=block, chunk=chunk).collect()
+        got = exact_topk(spark, df, block=block, chunk=chunk).collect()
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
-    assert exact_topk(df.where("false")).count() == 0
+    assert exact_topk(spark, df.where("false")).count() == 0
 
 
 EVENTS = "conv_id long, seq int, turn int, kind string, role string, text string"

@@ -148,7 +148,7 @@ def test_topk_by_brute_force():
         full = x[q] @ x.T
         for i in range(len(q)):
             want = sorted((-full[i, j], ids[j]) for j in range(3000) if ids[j] != ids[q[i]])[:20]
-            assert [(-a, ids[b]) for a, b in zip(s[r == i], c[r == i])] == want
+            assert [(-a, b) for a, b in zip(s[r == i], c[r == i])] == want
 
 
 def test_bounds_hold():
