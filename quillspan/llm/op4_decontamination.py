@@ -1,10 +1,9 @@
-"""Benchmark decontamination: a BM25 index of test items, searched with block-max pruning.
+"""Benchmark decontamination: a BM25 index of test items, searched by block-max WAND.
 
 Every training passage (overlapping windows of words that cover the whole text) is a query.
 Impacts are BM25 weights divided by the item's own score, so one threshold serves all items and
-a passage that holds an item scores 1. Passages whose sum of best impacts stays below the
-threshold are dropped, then (passage, block of items) pairs by the blocks' maxima, and what is
-left is scored exactly. All items above the threshold are then verified on word shingles: the
+a passage that holds an item scores 1. The traversal skips what the terms' and blocks' maxima
+keep below the threshold. All items above the threshold are then verified on word shingles: the
 whole item, its question (first half) and its answer (second half) must overlap the document.
 
 The index is broadcast, at most ``SHARD_BYTES`` of item text at a time: a larger benchmark is
@@ -39,7 +38,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of item parts: term -> (block, block maximum) -> (part, impact)."""
+    """Inverted index of item parts: postings (part, impact) by term, their best impact, and that of each block of parts."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offs = buffers(pa.array(texts, pa.string()))
@@ -64,11 +63,11 @@ class Index:
         impact = impact / self.own[part]
         self.part, self.impact = part, impact  # ordered by term, then part
         self.post = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        self.post_key = term * m + part
         # blocks: runs of equal (term, part // BLOCK)
+        self.nb = m // BLOCK + 1
         head = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] // BLOCK != part[:-1] // BLOCK))) if len(term) else np.zeros(0, np.int64)
-        self.block, self.block_max = part[head] // BLOCK, np.maximum.reduceat(impact, head) if len(head) else impact
-        self.block_lo, self.block_hi = head, np.append(head[1:], len(term))
-        self.blocks = np.searchsorted(term[head], np.arange(len(self.terms) + 1))
+        self.block_key, self.block_max = term[head] * self.nb + part[head] // BLOCK, np.maximum.reduceat(impact, head) if len(head) else impact
         self.best = np.maximum.reduceat(impact, self.post[:-1]) if len(self.terms) else impact
         self.shingles = []
         for i in range(len(ids)):
@@ -78,25 +77,56 @@ class Index:
             self.shingles.append((k, g))
 
     def search(self, tid: np.ndarray, passage: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, part, score) of all that score ``least`` or more; tid, passage: the indexed terms of n passages."""
+        """(passage, part, score) of all that score ``least`` or more; tid, passage: the indexed terms of n passages.
+
+        Block-max WAND with all passages in step: a round orders each passage's cursors by part and
+        takes the first part, the pivot, at which the terms' best impacts could reach ``least``. If
+        the blocks there could not, the cursors leave the block; if a cursor lags, it moves up to the
+        pivot; else the pivot is scored.
+        """
+        m, least = len(self.item), least - 1e-9
         key = np.unique(passage * len(self.terms) + tid)
         passage, tid = key // len(self.terms), key % len(self.terms)
-        hope = np.bincount(passage, weights=self.best[tid], minlength=n) >= least - 1e-9
+        hope = np.bincount(passage, weights=self.best[tid], minlength=n) >= least
         passage, tid = passage[hope[passage]], tid[hope[passage]]
-        if not len(tid):
-            return passage, tid, np.zeros(0)
-        num = self.blocks[tid + 1] - self.blocks[tid]
-        entry, own = ragged(self.blocks[tid], num), np.repeat(passage, num)
-        nb = len(self.item) // BLOCK + 1
-        pair, inv = np.unique(own * nb + self.block[entry], return_inverse=True)
-        keep = (np.bincount(inv, weights=self.block_max[entry]) >= least - 1e-9)[inv]
-        entry, own = entry[keep], own[keep]
-        num = self.block_hi[entry] - self.block_lo[entry]
-        post, own = ragged(self.block_lo[entry], num), np.repeat(own, num)
-        pair, inv = np.unique(own * len(self.item) + self.part[post], return_inverse=True)
-        score = np.bincount(inv, weights=self.impact[post]) if len(inv) else np.zeros(0)
-        ok = score >= least - 1e-9
-        return pair[ok] // len(self.item), pair[ok] % len(self.item), score[ok]
+        pos = self.post[tid]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        while len(tid):
+            cur = self.part[pos]
+            order = np.lexsort((cur, passage))
+            passage, tid, pos, cur = passage[order], tid[order], pos[order], cur[order]
+            head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+            own = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(passage))))
+            total = np.cumsum(self.best[tid])
+            reach = total - np.append(0.0, total)[head][own] >= least
+            pivot = np.full(len(head), m, np.int64)
+            np.minimum.at(pivot, own[reach], cur[reach])
+            live = pivot[own] < m  # a passage whose lists cannot reach the threshold any more is done
+            passage, tid, pos, cur, own = passage[live], tid[live], pos[live], cur[live], own[live]
+            if not len(tid):
+                break
+            goal = pivot[own]
+            upto = cur <= goal
+            block = np.minimum(np.searchsorted(self.block_key, tid * self.nb + goal // BLOCK), len(self.block_key) - 1)
+            most = np.where(upto & (self.block_key[block] == tid * self.nb + goal // BLOCK), self.block_max[block], 0.0)
+            dull = np.bincount(own, weights=most, minlength=len(head)) < least
+            lags = np.zeros(len(head), bool)
+            lags[own[cur < goal]] = True
+            ripe = ~dull & ~lags
+            hit = upto & ripe[own]
+            score = np.bincount(own[hit], weights=self.impact[pos[hit]], minlength=len(head))
+            done = np.flatnonzero(ripe & (score >= least))
+            where = np.zeros(len(head), np.int64)
+            where[own] = passage
+            found.append((where[done], pivot[done], score[done]))
+            # the next part that may count: past the block, but not past a list that starts later
+            later = np.full(len(head), m, np.int64)
+            np.minimum.at(later, own[~upto], cur[~upto])
+            goal = np.where(dull, np.minimum((pivot // BLOCK + 1) * BLOCK, later), np.where(ripe, pivot + 1, pivot))[own]
+            pos = np.where(upto, np.maximum(pos, np.searchsorted(self.post_key, tid * m + goal)), pos)
+            live = pos < self.post[tid + 1]
+            passage, tid, pos = passage[live], tid[live], pos[live]
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def leaks(self, data: np.ndarray, offs: np.ndarray, least: float, overlap: float) -> list[tuple[int, int, float, float, float, float]]:
         """(row, item, score, whole, question and answer overlap) of the verified items of a chunk's rows."""
@@ -154,7 +184,9 @@ def index_shards(benchmark: DataFrame) -> list[DataFrame]:
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, least: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """One row for each verified pair: doc_id (or the given columns), item_id, score, overlap, question_overlap, answer_overlap.
 
-    Items and texts are compared by words of letters and digits, A-Z as a-z. Null or empty texts
+    Items and texts are compared by words of letters and digits, A-Z as a-z; very long texts are
+    searched passage by passage to their end, long items part by part; pairs that tie are all
+    returned. Null or empty texts
     and items without words match nothing; items below five words match as one sequence; null
     and repeated ids of documents pass through row by row; of repeated item ids each row is an
     item; other columns are ignored; an empty table on either side gives an empty result.
