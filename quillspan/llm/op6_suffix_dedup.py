@@ -13,6 +13,7 @@ the hash of each whole window. Matches are always judged on the input texts.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -88,24 +89,24 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """One row for each segment: key, seg (hash of its bytes), text (h, n), first window at, windows, weight, twin."""
+    """One row for each segment: key, seg (128-bit hash of its bytes), text (h, n), first window at, windows, weight, twin."""
     names = ["key", "seg", "h", "n", "at", "windows", "weight", "twin"]
 
     def run(batches):
         for b in batches:
             data, offs = buffers(b.column(0))
-            h, n, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            n, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             for i, j in chunks(offs):
                 row, at, count, key, twin = segments(data, offs[i : j + 1], length)
                 if not len(row):
                     continue
                 raw = data[offs[i] : offs[j]].tobytes()
                 lo = offs[i + row] - offs[i] + at
-                seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(lo.tolist(), (lo + count + length - 1).tolist())), U64, len(lo)).view(np.int64)
+                seg = [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(lo.tolist(), (lo + count + length - 1).tolist())]
                 r = row + i
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, seg, h[r], n[r], at.astype(np.int32), count.astype(np.int32), w[r].astype(np.int32), twin)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg, pa.binary()), b.column(1).take(pa.array(r))] + [pa.array(x) for x in (n[r], at.astype(np.int32), count.astype(np.int32), w[r].astype(np.int32), twin)], names)
 
-    return docs.select("text", "h", "n", "weight").where(F.col("n") >= length).mapInArrow(run, "key long, seg long, h long, n int, at int, windows int, weight int, twin boolean")
+    return docs.select("text", "h", "n", "weight").where(F.col("n") >= length).mapInArrow(run, "key long, seg binary, h binary, n int, at int, windows int, weight int, twin boolean")
 
 
 def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +135,7 @@ def shard_matches(segs: DataFrame, length: int) -> DataFrame:
         rows, size, last = [], 0, None
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 4)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 4, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names)
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
@@ -147,7 +148,7 @@ def shard_matches(segs: DataFrame, length: int) -> DataFrame:
             yield out(match(rows, length))
 
     dealt = segs.select("key", "seg", "windows", "bytes").repartition(partitions(segs.sparkSession), "key").sortWithinPartitions("key", "seg")
-    return dealt.mapInArrow(run, "key long, seg long, lo long, hi long")
+    return dealt.mapInArrow(run, "key long, seg binary, lo long, hi long")
 
 
 def window_matches(segs: DataFrame, length: int) -> DataFrame:
@@ -157,41 +158,42 @@ def window_matches(segs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for key, seg, windows, raw in zip(*(c.to_pylist() for c in b.columns)):
                 h = [xxhash.xxh3_128_intdigest(raw[i : i + length]) for i in range(windows)]
-                cols = [pa.array([key] * windows), pa.array([seg] * windows), pa.array(range(windows), pa.int64()), pa.array([(x >> 64) - (1 << 63) for x in h]), pa.array([(x & (1 << 64) - 1) - (1 << 63) for x in h])]
+                cols = [pa.array([key] * windows), pa.array([seg] * windows, pa.binary()), pa.array(range(windows), pa.int64()), pa.array([(x >> 64) - (1 << 63) for x in h]), pa.array([(x & (1 << 64) - 1) - (1 << 63) for x in h])]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "seg", "lo", "w1", "w2"])
 
-    w = segs.select("key", "seg", "windows", "bytes").mapInArrow(run, "key long, seg long, lo long, w1 long, w2 long")
+    w = segs.select("key", "seg", "windows", "bytes").mapInArrow(run, "key long, seg binary, lo long, w1 long, w2 long")
     twice = w.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     return w.join(twice, ["w1", "w2"]).select("key", "seg", "lo", (F.col("lo") + 1).alias("hi"))
 
 
-def repeats(spark: SparkSession, texts: DataFrame, length: int = 200, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def repeats(spark: SparkSession, texts: DataFrame, length: int = 200, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(copied texts (h, n), repeated windows (h, n, spans) of other texts); texts: text, h, n, id."""
     scratch = Scratch(spark)
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    small = bounded(broadcast_bytes)
     copied = scratch.cut(texts.where(F.col("n") >= length).groupBy("h", "n").agg(F.count("*").alias("c"), F.min("id").alias("first")).where("c > 1"), "copied")
     # of equal texts one enters the search, with weight 2: it is repeated whatever else matches it
     once = texts.join(small(copied), ["h", "n"], "left").where("c is null or id <=> first").withColumn("weight", F.when(F.col("c").isNull(), 1).otherwise(2))
     occ = scratch.cut(occurrences(once, length), "occurrences")
-    again = occ.groupBy("key").agg(F.sum("weight").alias("k"), F.max("twin").alias("twin")).where("k > 1 or twin").select("key")
+    # cut, so that the joins that follow can split a key that very many segments share
+    again = scratch.cut(occ.groupBy("key").agg(F.sum("weight").alias("k"), F.max("twin").alias("twin")).where("k > 1 or twin").select("key"), "keys")
     near = scratch.cut(occ.join(again, "key"), "again")
-    scratch.drop(occ)
+    scratch.drop(occ, again)
     segs = near.groupBy("key", "seg").agg(F.sum("weight").alias("c"), F.max("twin").alias("twin"), F.min(F.struct("h", "n", "at", "windows")).alias("at"))
     segs = scratch.cut(segs, "segments")
-    wide = segs.groupBy("key").agg(F.count("*").alias("kinds"), F.max("twin").alias("twin")).where("kinds > 1 or twin").select("key", "kinds")
+    wide = scratch.cut(segs.groupBy("key").agg(F.count("*").alias("kinds"), F.max("twin").alias("twin")).where("kinds > 1 or twin").select("key", "kinds"), "kinds")
     want = scratch.cut(segs.join(wide, "key").select("key", "seg", "kinds", "at.*"), "wanted")
     held = want.groupBy("h", "n").agg(F.collect_list(F.struct("key", "seg", "kinds", "at", "windows")).alias("want"))
-    bodies = texts.select("text", "h", "n").join(small(want.select("h", "n").distinct()), ["h", "n"], "left_semi").dropDuplicates(["h", "n"])
+    bodies = texts.select("text", "h", "n").join(small(scratch.cut(want.select("h", "n").distinct(), "texts")), ["h", "n"], "left_semi").dropDuplicates(["h", "n"])
 
     def cut(batches):
         for b in batches:
             data, offs = buffers(b.column(0))
             rows = [(w["key"], w["seg"], w["kinds"], w["windows"], data[offs[i] + w["at"] : offs[i] + w["at"] + w["windows"] + length - 1].tobytes()) for i, ws in enumerate(b.column(1).to_pylist()) for w in ws]
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "seg", "kinds", "windows", "bytes"])
 
-    cutout = scratch.cut(bodies.join(held, ["h", "n"]).select("text", "want").mapInArrow(cut, "key long, seg long, kinds long, windows long, bytes binary"), "bodies")
+    cutout = scratch.cut(bodies.join(held, ["h", "n"]).select("text", "want").mapInArrow(cut, "key long, seg binary, kinds long, windows long, bytes binary"), "bodies")
     found = shard_matches(cutout.where(F.col("kinds") <= HOT), length).union(window_matches(cutout.where(F.col("kinds") > HOT), length))
     whole = segs.where("c > 1").select("key", "seg", F.lit(0).cast("long").alias("lo"), F.col("at.windows").cast("long").alias("hi"))
     found = found.join(whole.select("key", "seg"), ["key", "seg"], "left_anti").union(whole)
@@ -200,7 +202,14 @@ def repeats(spark: SparkSession, texts: DataFrame, length: int = 200, broadcast_
     spans = hits.select("h", "n", F.explode(F.transform("hits", lambda x: F.struct((F.col("at") + x["lo"]).alias("lo"), (F.col("at") + x["hi"]).alias("hi")))).alias("x"))
     spans = scratch.cut(spans.groupBy("h", "n").agg(F.collect_list("x").alias("spans")), "spans")
     scratch.drop(near, segs, want, cutout)
-    return copied.select("h", "n"), spans
+    keys = copied.select("h", "n")
+    keys._rows = copied._rows
+    return keys, spans
+
+
+def bounded(most: int) -> Callable[[DataFrame], DataFrame]:
+    """Broadcasts a table of keys that was cut if its rows, of some 80 bytes, fit the bound."""
+    return lambda df: F.broadcast(df) if df._rows * 80 <= most else df
 
 
 def removed(spans: list[dict], n: int, length: int) -> list[tuple[int, int]]:
@@ -215,12 +224,12 @@ def removed(spans: list[dict], n: int, length: int) -> list[tuple[int, int]]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """text (null: empty), its hash h and bytes n, id, and the row as it was."""
+    """text (null: empty), h (128 bits of its digest), its bytes n, id, and the row as it was."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("id")).withColumns({"h": F.xxhash64("text"), "n": F.octet_length("text")})
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("id")).withColumns({"h": F.substring(F.unhex(F.sha2("text", 256)), 1, 16), "n": F.octet_length("text")})
 
 
-def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broadcast_rows: int = 1_000_000, whole: bool = False) -> DataFrame:
+def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broadcast_bytes: int = 32 << 20, whole: bool = False) -> DataFrame:
     """Each row (struct ``row``) with kept (remaining bytes), n_bytes, n_removed, n_spans.
 
     With ``whole``, kept lacks what a cut left of a character, too.
@@ -230,10 +239,10 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broad
     columns stay inside ``row`` and cannot clash; an empty table gives an empty result.
     """
     texts = keyed(docs)
-    copied, spans = repeats(spark, texts.select("text", "h", "n", "id"), length, broadcast_rows)
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    copied = small(copied.withColumn("copy", F.lit(True)))
-    keys = small(spans.select("h", "n").withColumn("hit", F.lit(True)))
+    copied, spans = repeats(spark, texts.select("text", "h", "n", "id"), length, broadcast_bytes)
+    small = bounded(broadcast_bytes)
+    copied = small(copied).withColumn("copy", F.lit(True))
+    keys = small(spans).select("h", "n").withColumn("hit", F.lit(True))
     texts = texts.join(copied, ["h", "n"], "left").join(keys, ["h", "n"], "left")
     long = lambda x: F.lit(x).cast("long")
     body, size = F.col("text").cast("binary"), F.col("n").cast("long").alias("n_bytes")

@@ -2,8 +2,8 @@
 
 The scans of induced sorting are done bucket by bucket: all suffixes of a bucket that are known
 are read at once and their predecessors appended to their buckets in that order, which is the
-order of the one-by-one scan. The reduced string of leftmost-smaller names is ranked by
-recursive doubling of its names, restricted to names that still tie.
+order of the one-by-one scan. The reduced string of the leftmost-smaller substrings' names is
+sorted by the same function again.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 SENTINEL, SEPARATOR, SHIFT = 0, 1, 2
+CROWDED = 64
 
 
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +38,8 @@ def types(t: np.ndarray) -> np.ndarray:
 def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Suffix order induced from leftmost-smaller positions that are ordered at least by first symbol."""
     n, k = len(t), int(t.max()) + 1
+    if n < CROWDED * k:
+        return induce_singly(t, small, lms, k)
     sa = np.full(n, -1, np.int64)
     size = np.bincount(t, minlength=k)
     tail = np.cumsum(size)
@@ -81,6 +84,34 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return sa
 
 
+def induce_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The same for many symbols in small buckets, suffix by suffix."""
+    n = len(t)
+    size = np.bincount(t, minlength=k)
+    tails = np.cumsum(size)
+    head, tail = (tails - size).tolist(), tails.tolist()
+    sym, s_type, sa = t.tolist(), small.tolist(), [0] * n
+    for i in lms[::-1].tolist():
+        c = sym[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    sa[0] = n - 1  # the sentinel
+    for x in range(n):
+        j = sa[x] - 1
+        if j >= 0 and not s_type[j]:
+            c = sym[j]
+            sa[head[c]] = j
+            head[c] += 1
+    tail = tails.tolist()
+    for x in range(n - 1, -1, -1):
+        j = sa[x] - 1
+        if j >= 0 and s_type[j]:
+            c = sym[j]
+            tail[c] -= 1
+            sa[tail[c]] = j
+    return np.array(sa, np.int64)
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffix array of symbols that end in a unique smallest one."""
     n = len(t)
@@ -113,31 +144,30 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 def sort_names(name: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of names, the last of which is its unique smallest."""
+    """Suffix order of a string of names, the last of which is its unique smallest, by induced sorting again.
+
+    A name that occurs once settles every comparison that meets it, so only names that occur more
+    often, and the one after each of them, are sorted as a string of their own.
+    """
     m = len(name)
-    order = np.argsort(name, kind="stable")
-    rank = name.copy()
-    # rank: place of the first of the equal ones
-    head = np.append(True, rank[order][1:] != rank[order][:-1])
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(m), 0))
-    step = 1
-    while True:
-        tie = ~head
-        tie[:-1] |= ~head[1:]
-        at = np.flatnonzero(tie)
-        if not len(at):
-            return order
-        pos = order[at]
-        nxt = np.where(pos + step < m, rank[np.minimum(pos + step, m - 1)], -1)
-        key = rank[pos] * (m + 1) + nxt + 1
-        o = np.argsort(key, kind="stable")
-        pos, key = pos[o], key[o]
-        order[at] = pos
-        # the places of tied groups are contiguous, and sorting by (rank, next) keeps each group in its places
-        split = np.append(True, key[1:] != key[:-1])
-        head[at] |= split
-        rank[pos] = np.maximum.accumulate(np.where(split, at, 0))
-        step *= 2
+    size = np.bincount(name)
+    first = np.cumsum(size) - size
+    out = np.empty(m, np.int64)
+    many = size[name] > 1
+    out[first[name[~many]]] = np.flatnonzero(~many)
+    if not many.any():
+        return out
+    keep = many.copy()
+    keep[1:] |= many[:-1]
+    keep[-1] = True
+    at = np.flatnonzero(keep)
+    order = at[suffix_array(np.unique(name[at], return_inverse=True)[1].astype(np.int64))]
+    order = order[many[order]]
+    group = name[order]  # ascending
+    head = np.append(True, group[1:] != group[:-1])
+    place = np.arange(len(order))
+    out[first[group] + place - np.maximum.accumulate(np.where(head, place, 0))] = order
+    return out
 
 
 def plcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
