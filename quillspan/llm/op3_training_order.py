@@ -71,6 +71,12 @@ def sequences(batches, length: int, path: str | None):
         yield np.concatenate(held), docs
 
 
+def two_bytes(ids: np.ndarray) -> bytes:
+    if len(ids) and ids.max() > 65535:
+        raise ValueError("a token id does not fit in two bytes")
+    return ids.astype("<u2").tobytes()
+
+
 def filesystem(uri: str):
     from pyarrow import fs
 
@@ -88,12 +94,10 @@ def write_order(spark: SparkSession, docs: DataFrame, root: str, length: int = 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def count(batches):
-        from .op7_token_counts import count_rows
-
         total = 0
         for b in batches:
             data, offs = buffers(b.column(1))
-            total += sum(int(count_rows(data, offs[i : j + 1], path).sum()) + j - i for i, j in chunks(offs))
+            total += sum(len(pretok.token_ids(data, offs[i : j + 1], path)[0]) + j - i for i, j in chunks(offs))
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([-(-total // length)], pa.int64())], ["part", "n"])
 
@@ -111,7 +115,7 @@ def write_order(spark: SparkSession, docs: DataFrame, root: str, length: int = 1
 
         def out():
             slot = feistel(base[part] + n - len(some) + np.arange(len(some)), total, key)
-            cols = [pa.array(slot), pa.array([len(x) for x, _ in some], pa.int32()), pa.array([x.astype("<u2").tobytes() for x, _ in some], pa.binary()), pa.array([d for _, d in some], pa.list_(pa.int64()))]
+            cols = [pa.array(slot), pa.array([len(x) for x, _ in some], pa.int32()), pa.array([two_bytes(x) for x, _ in some], pa.binary()), pa.array([d for _, d in some], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(cols, ["slot", "n_tokens", "ids", "doc_ids"])
 
         for x in sequences(batches, length, path):
@@ -128,7 +132,8 @@ def write_order(spark: SparkSession, docs: DataFrame, root: str, length: int = 1
     seqs = texts.mapInArrow(cut, "slot long, n_tokens int, ids binary, doc_ids array<long>")
     stride = 4 + 2 * length
     shards = max(1, -(-total // rows))
-    seqs = seqs.withColumn("shard", F.floor(F.col("slot") / rows)).repartition(shards, "shard").sortWithinPartitions("slot")
+    # partition n is the range of slots of shard n: sizes are known, so nothing is sampled
+    seqs = seqs.withColumn("shard", F.expr(f"slot div {rows}")).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
 
     def write(batches):
         store, where = filesystem(root)
@@ -182,8 +187,9 @@ def training_order(spark: SparkSession, docs: DataFrame, length: int = 1024, row
     """Every sequence as read back from the shards, with the documents whose tokens it holds.
 
     A null or empty text is one end id; null and repeated doc_ids are written row by row, in a
-    row's place; other columns are ignored; an empty table writes nothing and gives no rows. Ids
-    are two bytes, so vocabularies have at most 65,536 entries.
+    row's place; a very long text is cut into as many sequences as it fills; no two sequences tie,
+    as each has a slot of its own; other columns are ignored; an empty table writes nothing and
+    gives no rows. Ids are two bytes: one above 65,535 is an error.
     """
     scratch = Scratch(spark)
     root = scratch.path("shards")
