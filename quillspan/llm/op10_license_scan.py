@@ -2,8 +2,10 @@
 
 Words unique to both template and text anchor the alignment; the longest increasing subsequence
 of their positions is kept, and the gaps between anchors are aligned the same way. Coverage is
-the share of the template's words that are aligned. Before that, windows of the whole text that
-cannot reach the coverage, by a count of words known to the template, are left out.
+the share of the template's words that are aligned. Windows of twice the template's length give the
+places of a text that holds it close together, once or often; a text of which no window reaches
+the coverage is aligned whole, however far its parts lie apart, and there aligned words count in
+runs of ``RUN``. What cannot reach the coverage by a count of shared words is left out before.
 """
 
 from __future__ import annotations
@@ -15,21 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .textkit import buffers, chunks, words
 
-# Notices of public licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+#: Aligned words of a whole text count in runs of so many at least: single words of long texts agree by chance.
+RUN = 3
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -83,25 +75,41 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def reach(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of s with every prefix of t."""
+    row = np.zeros(len(t) + 1, np.int32)
+    for x in s:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (t == x)))
+    return row
+
+
 def common(a: tuple[list[int], int], b: tuple[list[int], int]) -> list[tuple[int, int]]:
-    """Longest common subsequence of a gap without anchors; its sides are bounded by the window."""
-    (s, i), (t, k) = a, b
-    best = np.zeros((len(s) + 1, len(t) + 1), np.int32)
-    for x in range(len(s) - 1, -1, -1):
-        for y in range(len(t) - 1, -1, -1):
-            best[x, y] = best[x + 1, y + 1] + 1 if s[x] == t[y] else max(best[x + 1, y], best[x, y + 1])
-    out, x, y = [], 0, 0
-    while x < len(s) and y < len(t):
-        if s[x] == t[y]:
-            out.append((i + x, k + y))
-            x, y = x + 1, y + 1
-        elif best[x + 1, y] >= best[x, y + 1]:
-            x += 1
-        else:
-            y += 1
+    """A longest common subsequence of a gap without anchors, halved again and again (linear space)."""
+    out, todo = [], [(np.array(a[0]), a[1], np.array(b[0]), b[1])]
+    while todo:
+        s, i, t, k = todo.pop()
+        if not len(s) or not len(t):
+            continue
+        if len(s) == 1:
+            hit = np.flatnonzero(t == s[0])
+            out += [(i, k + int(hit[0]))] if len(hit) else []
+            continue
+        half = len(s) // 2
+        cut = int(np.argmax(reach(s[:half], t) + reach(s[half:][::-1], t[::-1])[::-1]))
+        todo += [(s[:half], i, t[:cut], k), (s[half:], i + half, t[cut:], k + cut)]
     return out
 
 
+def runs(pairs: list[tuple[int, int]], at: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that stand in runs of ``RUN`` at least, consecutive in the template and in the text (at: text positions)."""
+    if not pairs:
+        return []
+    x, y = np.array([p[0] for p in pairs]), at[[p[1] for p in pairs]]
+    head = np.append(True, (np.diff(x) != 1) | (np.diff(y) != 1))
+    size = np.bincount(np.cumsum(head) - 1)
+    return [p for p, n in zip(pairs, np.repeat(size, size).tolist()) if n >= RUN]
+
+
 class Templates:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
@@ -147,6 +155,19 @@ class Templates:
                     cover = len(pairs) / n
                     if cover >= least:
                         found.setdefault((r, t), []).append((cover, -(i + pairs[0][1] - int(start[r])), i + pairs[-1][1] + 1 - int(start[r])))
+        for t, (tw, ts) in enumerate(zip(self.words, self.sets)):  # whole texts, of which only known words can be aligned
+            pos = at[np.isin(hk, ts)]
+            kind, own = np.searchsorted(ts, h[pos]), row[pos]
+            has = np.bincount(np.searchsorted(ts, tw), minlength=len(ts))
+            key, num = np.unique(own * max(len(ts), 1) + kind, return_counts=True)
+            shared = np.bincount(key // max(len(ts), 1), weights=np.minimum(num, has[key % max(len(ts), 1)]), minlength=len(offs) - 1)
+            for r in np.flatnonzero(shared >= least * max(len(tw), 1)).tolist():
+                if (r, t) not in found and len(tw) >= RUN:
+                    mine = pos[own == r]
+                    pairs = runs(patience(tw.tolist(), h[mine].tolist()), mine)
+                    if len(pairs) >= least * len(tw):
+                        lo, hi = int(mine[pairs[0][1]] - start[r]), int(mine[pairs[-1][1]] - start[r])
+                        found[r, t] = [(len(pairs) / len(tw), -lo, hi + 1)]
         out = []
         for (r, t), places in sorted(found.items()):
             cover, lo, hi = max(places)
@@ -158,7 +179,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     """doc_id, license, coverage, first_word, end_word, places: templates covered to ``least`` by a text.
 
     Words are runs of letters and digits, A-Z as a-z. The best place is reported (the first of
-    equal ones) and the number of distinct places. Null, empty and wordless texts match nothing;
+    equal ones) and the number of distinct places; where the text had to be aligned whole that is
+    one, from the first to the last aligned word. Null, empty and wordless texts match nothing;
     null and repeated ids are scanned row by row; other columns are ignored; an empty table
     gives an empty result. Texts are scanned whole.
     """
