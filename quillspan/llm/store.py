@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, ``spark.checkpoint.dir``; a local one is set only where that is unset."""
+    """The folder the cluster shares, ``spark.checkpoint.dir``; where that is unset, a local master gets one of its own and a cluster an error."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="quillspan-")
