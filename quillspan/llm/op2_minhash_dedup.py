@@ -8,7 +8,8 @@ some members (pivots), and what a large node's chunks leave apart is compared wi
 chunks if it is little, else the node branches. A first round asks for the pairs of a maximum
 spanning forest only, as members of one component need no further comparison; a second one asks
 for every pair that is left. Pairs are confirmed on full shingle sets, which move once for each
-group of pairs that were found together.
+group of pairs that were found together; a chunk in which most pairs are in question gets the
+sets of its members and compares them all at once, without a row for each pair.
 
 Recall at similarity 0.8: two classes share Binomial(12, 0.8) root nodes, none of them with
 probability 0.2^12 = 4e-9, fewer than two (then a class may be left out at once) 2e-7; a pair
@@ -30,8 +31,10 @@ from .textkit import U64, buffers, chunks, mix, ragged, words
 COORDS = 64
 ALIKE = 36
 TREES, PATHS = 6, 2
-CHUNK, PIVOTS = 512, 16
+CHUNK, PIVOTS, CLOSE = 512, 16, 8
 BLOCK_ROWS = 1 << 15
+DENSE = 4
+MEMBER = ["v", "n", "lab", "side", "root", "sketch"]
 _G = np.random.Generator(np.random.Philox(20260103))
 _A = _G.integers(1, 2**64, COORDS, dtype=U64) | U64(1)
 _B = _G.integers(1, 2**64, COORDS, dtype=U64)
@@ -135,6 +138,8 @@ class Group:
         col = lambda c: b.column(c).to_numpy()
         self.key = np.stack([col("node"), col("chunk"), col("block")], 1)
         self.gid = np.cumsum(np.append(True, (self.key[1:] != self.key[:-1]).any(1))) - 1 if self.n else np.zeros(0, np.int64)
+        self.first = np.flatnonzero(np.append(True, self.gid[1:] != self.gid[:-1])) if self.n else np.zeros(0, np.int64)
+        self.num = np.diff(np.append(self.first, self.n))
         self.v, self.size, self.side, self.root = col("v"), col("n"), col("side"), col("root")
         self.labels, self.lab = np.unique(col("lab"), return_inverse=True)
         self.sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), "<u2").reshape(self.n, COORDS)
@@ -151,8 +156,6 @@ class Group:
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, agreeing coordinates) of all pairs within groups that may be similar."""
-        num = np.bincount(self.gid) if self.n else np.zeros(0, np.int64)
-        first = np.cumsum(num) - num
         found = []
 
         def keep(i, j):
@@ -165,11 +168,11 @@ class Group:
             found.append((i[ok], j[ok], agree[ok]))
 
         # row r of a group against those after it
-        after = (first + num)[self.gid] - np.arange(self.n) - 1
+        after = (self.first + self.num)[self.gid] - np.arange(self.n) - 1
         total = np.cumsum(after)
         lo = 0
         while lo < self.n:
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 18), "right")))
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 16), "right")))
             keep(np.repeat(np.arange(lo, hi), after[lo:hi]), ragged(np.arange(lo, hi) + 1, after[lo:hi]))
             lo = hi
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
@@ -193,39 +196,95 @@ class Group:
         return np.array(out, np.int64)
 
 
-def candidates(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b, tag) of pairs to confirm within the groups (node, chunk, block); tag: the group. members: node, chunk, block, v, n, lab, side, root, sketch."""
-    n = partitions(members.sparkSession)
-    names = ["node", "chunk", "block", "v", "n", "lab", "side", "root", "sketch"]
+GROUP = ["node", "chunk", "block"]
 
-    def run(batches):
-        held, rows = [], 0
 
-        def work(t):
-            g = Group(t)
-            i, j, agree = g.pairs(percent)
-            if forest:
-                k = g.forest(i, j, agree)
-                i, j = i[k], j[k]
-            tag = g.key[i, 0] ^ (g.key[i, 1] * np.int64(0x9E3779B97F4A7C1)) ^ (g.key[i, 2] * np.int64(0x94D049BB133111E))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(g.v[i], g.v[j])), pa.array(np.maximum(g.v[i], g.v[j])), pa.array(tag)], ["a", "b", "tag"])
+def by_group(batches, least: int, work):
+    """Calls work on tables of whole consecutive groups, of at least so many rows but for the last."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= least:
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([t.column(c).to_numpy() for c in GROUP], 1)
+            last = np.flatnonzero((key != key[-1]).any(1))  # the last group may go on
+            if len(last):
+                yield work(t.slice(0, last[-1] + 1))
+                t = t.slice(last[-1] + 1)
+            held, rows = t.to_batches(), t.num_rows
+    if rows:
+        yield work(pa.Table.from_batches(held).combine_chunks())
 
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= BLOCK_ROWS:
-                t = pa.Table.from_batches(held).combine_chunks()
-                key = np.stack([t.column(c).to_numpy() for c in ("node", "chunk", "block")], 1)
-                last = np.flatnonzero((key != key[-1]).any(1))  # the last group may go on
-                if len(last):
-                    yield work(t.slice(0, last[-1] + 1))
-                    t = t.slice(last[-1] + 1)
-                held, rows = t.to_batches(), t.num_rows
-        if rows:
-            yield work(pa.Table.from_batches(held).combine_chunks())
-
-    dealt = members.select(*names).repartition(n, "node", "chunk", "block").sortWithinPartitions("node", "chunk", "block")
-    return dealt.mapInArrow(run, "a long, b long, tag long")
+
+def candidates(members: DataFrame, percent: int, forest: bool, dense: int = DENSE) -> DataFrame:
+    """(node, chunk, block, a, b) of pairs to confirm within the groups; with ``forest`` those that may span them.
+
+    members: node, chunk, block, v, n, lab, side, root, sketch. A group with more than
+    ``dense`` pairs for each member is named instead, with a and b null: its sets should come to it.
+    """
+    n = partitions(members.sparkSession)
+
+    def work(t):
+        g = Group(t)
+        i, j, agree = g.pairs(percent)
+        if forest:
+            k = g.forest(i, j, agree)
+            i, j = i[k], j[k]
+        own = g.gid[i]
+        many = np.bincount(own, minlength=len(g.first)) > dense * g.num
+        keep = ~many[own]
+        i, j, named = i[keep], j[keep], g.first[many]
+        at = np.concatenate([i, named])
+        none = np.append(np.zeros(len(i), bool), np.ones(len(named), bool))
+        ends = [pa.array(np.concatenate([f(g.v[i], g.v[j]), np.zeros(len(named), np.int64)]), mask=none) for f in (np.minimum, np.maximum)]
+        return pa.RecordBatch.from_arrays([pa.array(g.key[at, c]) for c in range(3)] + ends, [*GROUP, "a", "b"])
+
+    dealt = members.select(*GROUP, *MEMBER).repartition(n, *GROUP).sortWithinPartitions(*GROUP)
+    return dealt.mapInArrow(lambda batches: by_group(batches, BLOCK_ROWS, work), "node long, chunk long, block long, a long, b long")
+
+
+def links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that span what is similar in the groups, compared exhaustively on their sets; members as for ``candidates``, and s."""
+    n = partitions(members.sparkSession)
+
+    def work(t):
+        g = Group(t)
+        sets = t.column("s").combine_chunks()
+        flat, at = sets.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        out = []
+        for f, m in zip(g.first.tolist(), g.num.tolist()):
+            found = similar(flat[at[f] : at[f + m]], at[f : f + m + 1] - at[f], percent)
+            i, j = (x + f for x in np.nonzero(np.triu(found, 1)))
+            ok = g.fits(i, j) & g.first_root(i, j)
+            out.append((i[ok], j[ok]))
+        i, j = (np.concatenate(x) for x in zip(*out))
+        k = g.forest(i, j, np.zeros(len(i)))
+        a, b = g.v[i[k]], g.v[j[k]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    dealt = members.select(*GROUP, *MEMBER, "s").repartition(n, *GROUP).sortWithinPartitions(*GROUP)
+    return dealt.mapInArrow(lambda batches: by_group(batches, 1, work), "a long, b long")
+
+
+def similar(flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets flat[at[i]:at[i + 1]] reach the similarity with which: their common members counted by products of 0-1 matrices."""
+    m = len(at) - 1
+    size = np.diff(at)
+    row = np.repeat(np.arange(m), size)
+    _, col, num = np.unique(flat, return_inverse=True, return_counts=True)
+    often = num > 1  # what only one set holds is in no intersection
+    keep = often[col]
+    row, col = row[keep], (np.cumsum(often) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    same = np.zeros((m, m), np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        x, y = np.searchsorted(col, [lo, lo + 4096])
+        part = np.zeros((m, 4096), np.float32)
+        part[row[x:y], col[x:y] - lo] = 1
+        same += part @ part.T
+    return 100 * same >= percent * (size[:, None] + size - same)
 
 
 def confirm(rows: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +314,7 @@ def confirm(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, chunk: int = CHUNK, depth: int = 12, rows: bool = False) -> DataFrame:
+def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, chunk: int = CHUNK, depth: int = 12, dense: int = DENSE, rows: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; with ``rows``, its class v and the root class of its component too.
 
     Null or blank texts have no shingles and stand alone; very long texts enter whole. Null ids
@@ -263,7 +322,8 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     rows are copies, one result row each; of equal pairs and ties nothing depends on the order;
     other columns are ignored; an empty table gives an empty result. ``kept`` compares ids
     null-safely. Vertices are 64-bit set fingerprints. ``chunk`` bounds the members that are
-    compared at once; at ``depth`` nodes branch no more and are compared chunk by chunk.
+    compared at once; at ``depth`` nodes branch no more and are compared chunk by chunk; chunks with
+    more than ``dense`` pairs for each member are compared on their sets in place.
     """
     scratch = Scratch(spark)
     feats = scratch.cut(features(docs, k), "features")
@@ -294,29 +354,30 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     tested = spark.createDataFrame([], "a long, b long")
     labels, known = None, 0
 
-    def verify(found: DataFrame, most: int) -> bool:
-        """Confirm pairs that were not tested before; renew the labels if any holds."""
-        nonlocal labels, tested, known
+    def verify(found: DataFrame, most: int) -> None:
+        """Confirm pairs that were not tested before."""
+        nonlocal tested, known
+        found = found.where("a is not null").withColumn("tag", F.xxhash64(*GROUP))
         pairs = scratch.fit(found.groupBy("a", "b").agg(F.min("tag").alias("tag")), most)
         if known:
             pairs = pairs.join(scratch.small(tested, rows=known), ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs, "pairs")
         if not pairs._rows:
-            return False
+            return
         need = pairs.select("tag", F.explode(F.array("a", "b")).alias("v")).distinct()
         # the first round asks for most sets, later ones for few
         there = sets.join(scratch.small(need, rows=2 * pairs._rows), "v") if known else sets.hint("merge").join(need, "v")
         tested, known = tested.union(pairs.select("a", "b")), known + pairs._rows
         null = lambda t: F.lit(None).cast(t)
         both = there.select("tag", "v", "s", null("long").alias("a"), null("long").alias("b")).union(pairs.select("tag", null("long"), null("array<long>"), "a", "b"))
-        new = scratch.cut(confirm(both, percent), "found")
-        if not new._rows:
-            return False
-        old = labels
-        links = new if old is None else new.union(old.select(F.col("v").alias("a"), F.col("root").alias("b")))
-        labels = components(spark, scratch, links)
-        scratch.drop(new, *([old] if old is not None else []))
-        return True
+        connect(scratch.cut(confirm(both, percent), "found"))
+
+    def connect(new: DataFrame) -> None:
+        """Renew the labels by new links."""
+        nonlocal labels
+        if new._rows:
+            old, labels = labels, components(spark, scratch, new if labels is None else new.union(labels.select(F.col("v").alias("a"), F.col("root").alias("b"))))
+            scratch.drop(new, *([] if old is None else [old]))
 
     def labelled(nodes: DataFrame) -> DataFrame:
         """Nodes of several components: node, v, root, lab, most (the commonest label), size, rest (members outside it)."""
@@ -328,7 +389,7 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         kinds = kinds.agg(F.sum("c").alias("size"), F.max(F.struct("c", "lab")).alias("most"), F.count("*").alias("labs")).where("labs > 1")
         kinds = kinds.select("node", "size", F.col("most.lab").alias("most"), (F.col("size") - F.col("most.c")).alias("rest"))
         kinds = scratch.cut(scratch.fit(kinds, nodes._rows), "kinds")
-        out = scratch.cut(scratch.fit(lab.join(scratch.small(kinds, 40, kinds._rows), "node"), nodes._rows), "labelled", open=F.count_if(F.col("rest") > chunk), large=F.count_if(F.col("size") > chunk))
+        out = scratch.cut(scratch.fit(lab.join(scratch.small(kinds, 40, kinds._rows), "node"), nodes._rows), "labelled", open=F.count_if(F.col("rest") > CLOSE * chunk), large=F.count_if(F.col("size") > chunk))
         scratch.drop(kinds)
         return out
 
@@ -359,19 +420,25 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         scratch.drop(some)
         if not left._rows:
             break
-        few = left if level == depth else left.where(F.col("rest") <= chunk)
+        few = left if level == depth else left.where(F.col("rest") <= CLOSE * chunk)
         few = few.withColumns({"chunks": number("size"), "blocks": number("rest")}).withColumns({"chunk": F.pmod(F.xxhash64("v", F.lit(level)), "chunks"), "block": F.pmod(F.xxhash64("v", F.lit(-1 - level)), "blocks")})
         to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         here = few.select("node", "chunk", to("blocks").alias("block"), "v", "root", "lab", F.lit(0).alias("side"))
         there = few.where("lab <> most").select("node", to("chunks").alias("chunk"), "block", "v", "root", "lab", F.lit(1).alias("side"))
-        verify(candidates(members(here.union(there)), percent, False), left._rows)
+        both = members(here.union(there))
+        found = scratch.cut(candidates(both, percent, False, dense), "candidates", dense=F.count_if(F.col("a").isNull()))
+        verify(found, found._rows)
+        if found._seen["dense"]:
+            where = found.where("a is null").select(*GROUP).distinct()
+            connect(scratch.cut(links(both.join(scratch.small(where, 40, found._seen["dense"]), GROUP, "left_semi").join(sets, "v"), percent), "found"))
+        scratch.drop(found)
         if level == depth or not left._seen["open"]:
             break
         # one coordinate always, a second one for half of the nodes
         c = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(COORDS)).cast("int") for i in (1, 2)]
         kid = [F.xxhash64("node", x, F.substring("sketch", 2 * x + 1, F.lit(2))) for x in c]
         twice = (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0) & (c[0] != c[1])
-        kids = members(left.where(F.col("rest") > chunk).select("node", "v")).select("v", F.lit(-1).alias("root"), F.explode(F.when(twice, F.array(*kid)).otherwise(F.array(kid[0]))).alias("node"))
+        kids = members(left.where(F.col("rest") > CLOSE * chunk).select("node", "v")).select("v", F.lit(-1).alias("root"), F.explode(F.when(twice, F.array(*kid)).otherwise(F.array(kid[0]))).alias("node"))
         nodes = scratch.cut(scratch.fit(crowded(kids), 2 * left._rows), "nodes")
         scratch.drop(left)
         level += 1

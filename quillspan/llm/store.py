@@ -38,7 +38,7 @@ class Scratch:
     join) and ``fit`` the number of tasks; results don't depend on either.
     """
 
-    BROADCAST_BYTES = 8 << 20
+    BROADCAST_BYTES = 32 << 20
     TASK_ROWS = 50_000
 
     def __init__(self, spark: SparkSession):

@@ -91,6 +91,8 @@ def test_near_components(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "BROADCAST_BYTES", 0)
     small = near.near_components(spark, odd(spark, rows), chunk=2, depth=2).collect()  # chunks and branches instead of closing
     assert sorted(map(str, small)) == sorted(map(str, got))
+    packed = near.near_components(spark, odd(spark, rows), chunk=16, dense=0).collect()  # sets compared in place
+    assert sorted(map(str, packed)) == sorted(map(str, got))
     assert near.near_components(spark, none(spark)).count() == 0
 
 

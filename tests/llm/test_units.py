@@ -93,6 +93,18 @@ def test_shingles():
     assert near.signatures([s[0], s[4]]).shape == (2, near.COORDS)
 
 
+def test_similar_sets():
+    g = random.Random(4)
+    sets = [np.unique(np.array(g.sample(range(60), g.randint(1, 50)), np.int64)) for _ in range(40)]
+    sets += [sets[0], np.delete(sets[1], 0)] if len(sets[1]) > 1 else [sets[0]]
+    at = np.cumsum([0] + [len(s) for s in sets])
+    got = near.similar(np.concatenate(sets), at, 80)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            same = len(np.intersect1d(a, b))
+            assert got[i, j] == (100 * same >= 80 * (len(a) + len(b) - same))
+
+
 def test_words():
     texts = ["Ab, c\x0b d\x1fe", "É x"]
     data, offs = kit(texts)
