@@ -49,13 +49,14 @@ def parts(*pairs: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(label).alias("label"), value.cast("string").alias("raw")) for label, value in pairs])
 
 
-def render(values: Column, sep: str = " ", squeeze: bool = False) -> tuple[Column, Column]:
+def render(values: Column, sep: str | Column = " ", squeeze: bool = False) -> tuple[Column, Column]:
     """(text, spans) of an ordered list of (label, raw); empty values are left out."""
+    sep = F.lit(sep) if isinstance(sep, str) else sep
     if squeeze:
         values = F.transform(values, lambda p: F.struct(p["label"].alias("label"), F.trim(F.regexp_replace(p["raw"], r"\s+", " ")).alias("raw")))
     used = F.filter(values, lambda p: p["raw"].isNotNull() & (p["raw"] != ""))
-    text = F.array_join(F.transform(used, lambda p: p["raw"]), sep)
-    start = F.aggregate(used, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-len(sep))) + len(sep) + F.length(p["raw"])).cast("int"))))
+    text = F.call_function("array_join", F.transform(used, lambda p: p["raw"]), sep)
+    start = F.aggregate(used, F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), -F.length(sep)) + F.length(sep) + F.length(p["raw"])).cast("int"))))
     spans = F.transform(F.arrays_zip(used.alias("p"), start.alias("e")), lambda z: span(z["p"]["label"], z["e"] - F.length(z["p"]["raw"]), z["e"], z["p"]["raw"]))
     return text, spans
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,24 +140,33 @@ def percent_stack(df: DataFrame, part: str, value: str, by: str) -> DataFrame:
     return df.select(by, part, ((up - F.col(value)) / total).alias("lower"), (up / total).alias("upper"))
 
 
-def gate(panels: dict[str, dict[str, dict[str, int]]], baseline: dict[str, dict[str, dict[str, int]]], drop: float = 0.005, share: float = 0.01) -> dict:
-    """Selection score of one epoch's panels and the reasons against it; a panel: country -> rows, exact."""
-
-    def mean(p):
-        if not p or any(not v["rows"] for v in p.values()):
-            raise ValueError("a panel has an empty country slice")
-        return sum(v["exact"] / v["rows"] for v in p.values()) / len(p)
-
-    reasons = ["clean-country-macro"] if mean(panels["clean"]) < mean(baseline["clean"]) - drop else []
-    for name in ("clean", "old-us", "new-us"):
-        now, ref = panels[name], baseline[name]
-        if set(now) != set(ref):
-            reasons.append(f"{name}-countries")
-            continue
-        for c, r in ref.items():
-            if now[c]["rows"] != r["rows"]:
-                reasons.append(f"{name}-{c}-rows")
-            if now[c]["exact"] < r["exact"] - max(math.ceil(share * r["rows"]), 1):
-                reasons.append(f"{name}-{c}-exact")
-    score = sum(mean(panels[n]) for n in ("partial", "reordered", "combined")) / 3
-    return {"score": score, "macro": mean(panels["clean"]), "eligible": not reasons, "reasons": reasons}
+def gate(now: DataFrame, before: DataFrame, drop: float = 0.005, share: float = 0.01) -> DataFrame:
+    """One row (score, macro, eligible, reasons) of an epoch's panels; now, before: panel, country, rows, exact.
+
+    The score is the mean of the partial, reordered and combined panels' country means. Against an
+    epoch speak a clean macro that fell by more than ``drop``, and in the guarded panels other
+    countries, other row counts, or a country that lost more than a ``share`` of its rows (one at
+    least). A panel that is absent or has an empty country is an error.
+    """
+    guarded, scored = ["clean", "old-us", "new-us"], ["partial", "reordered", "combined"]
+    side = lambda df, names: df.groupBy().agg(*[mean(n).alias(n) for n in names])
+
+    def mean(name: str) -> Column:
+        mine = F.col("panel") == name
+        full = (F.count_if(mine) > 0) & (F.count_if(mine & (F.col("rows") > 0)) == F.count_if(mine))
+        return F.when(full, F.avg(F.when(mine & (F.col("rows") > 0), F.col("exact") / F.col("rows")))).otherwise(F.raise_error(F.lit(f"panel {name} has an empty country slice")).cast("double"))
+
+    pairs = now.where(F.col("panel").isin(*guarded)).alias("n").join(before.where(F.col("panel").isin(*guarded)).alias("b"), ["panel", "country"], "full_outer")
+    lost = F.col("b.exact") - F.greatest(F.ceil(share * F.col("b.rows")), F.lit(1))
+    found = F.array_compact(F.array(
+        F.when(F.col("n.rows").isNull() | F.col("b.rows").isNull(), F.concat_ws("-", "panel", F.lit("countries"))),
+        F.when(F.col("n.rows") != F.col("b.rows"), F.concat_ws("-", "panel", "country", F.lit("rows"))),
+        F.when(F.col("n.exact") < lost, F.concat_ws("-", "panel", "country", F.lit("exact"))),
+    ))
+    each = pairs.select("panel", found.alias("found"))
+    other = each.where(F.exists("found", lambda x: x.endswith("-countries"))).select("panel").distinct()  # of such a panel nothing else is held
+    each = each.join(other.withColumn("other", F.lit(True)), "panel", "left").select(F.explode(F.when(F.col("other"), F.filter("found", lambda x: x.endswith("-countries"))).otherwise(F.col("found"))).alias("reason"))
+    reasons = each.agg(F.array_sort(F.collect_set("reason")).alias("found"))
+    one = side(now, ["clean", *scored]).crossJoin(side(before, ["clean"]).withColumnRenamed("clean", "ref")).crossJoin(reasons)  # one row each
+    reasons = F.concat(F.when(F.col("clean") < F.col("ref") - drop, F.array(F.lit("clean-country-macro"))).otherwise(F.array().cast("array<string>")), "found")
+    return one.select(((F.col("partial") + F.col("reordered") + F.col("combined")) / 3).alias("score"), F.col("clean").alias("macro"), (F.size(reasons) == 0).alias("eligible"), reasons.alias("reasons"))

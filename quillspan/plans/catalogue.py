@@ -159,20 +159,10 @@ def group_keys(spark, sf_dir):
     return r.select("id", S.group_key(F.col("country"), F.col("text"), c).alias("group_key"), F.get(S.street_keys(F.col("country"), c), 0).alias("street_key"))
 
 
-@query("""SELECT doc_id, len(k) AS tokens, CAST(sum(CASE WHEN g LIKE '%' || chr(10) || '%' THEN 1 ELSE 0 END) AS BIGINT) AS line_breaks, CAST(sum(CASE WHEN g <> '' AND g NOT LIKE '%' || chr(10) || '%' THEN 1 ELSE 0 END) AS BIGINT) AS spaces
-FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}]+|[^\\s]') AS k, unnest(regexp_extract_all(text, '(\\s*)([\\p{L}\\p{N}\\p{M}]+|[^\\s])', 1)) AS g FROM documents WHERE n_chars <= 512) GROUP BY ALL""".replace("\\\\", "\\"))
-def gap_features(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").where("n_chars <= 512")
-    g = S.gap_features(F.col("text"), F.col("o"))
-    d = d.withColumn("o", S.token_spans(F.col("text"))).where(F.size("o") > 0).withColumn("g", g)
-    count = lambda v: F.size(F.filter("g", lambda x: x == v)).cast("long")
-    return d.select("doc_id", F.size("o").cast("long").alias("tokens"), count("\n").alias("line_breaks"), count(" ").alias("spaces"))
-
-
 @query(rf"""SELECT doc_id, len(k) AS tokens, CAST(len(list_filter(g, lambda x: regexp_matches(x, '[\r\n]'))) AS BIGINT) AS line_breaks, CAST(len(list_filter(g, lambda x: x <> '' AND NOT regexp_matches(x, '[\r\n]'))) AS BIGINT) AS spaces
 FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN_SQL}') AS k, regexp_extract_all(text, '(\s*)({TOKEN_SQL})', 1) AS g FROM documents)""")
-def gap_features_whole(spark, sf_dir):
-    """As ``gap_features``, of every document: long, empty and null texts too."""
+def gap_features(spark, sf_dir):
+    """Of every document: long, empty and null texts too."""
     d = t(spark, sf_dir, "documents").select("doc_id", "text", S.token_spans(F.col("text")).alias("o"))
     d = d.select("doc_id", F.size("o").cast("long").alias("tokens"), S.gap_features(F.col("text"), F.col("o")).alias("g"))
     count = lambda v: F.size(F.filter("g", lambda x: x == v)).cast("long")
@@ -312,21 +302,10 @@ def entity_enrichment(spark, sf_dir):
     return protect.enrich(o, raw, "key").select("id", "key", "c_name")
 
 
-@query("""SELECT n_name AS country, count(c_custkey) AS files, CAST(coalesce(sum(CAST(strlen(c_name) AS BIGINT)), 0) AS BIGINT) AS bytes, CAST(coalesce(max(s.n), 0) AS BIGINT) AS audited
-FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 97 = 0 LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_suppkey % 5 = 0 GROUP BY 1) s ON s.s_nationkey = n_nationkey GROUP BY 1""")
-def coverage(spark, sf_dir):
-    n = t(spark, sf_dir, "nation")
-    names = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country"))
-    files = t(spark, sf_dir, "customer").where("c_custkey % 97 = 0").join(names, F.col("c_nationkey") == F.col("k")).select("country", F.octet_length("c_name").cast("long").alias("bytes"))
-    reports = t(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").join(names, F.col("s_nationkey") == F.col("k")).select("country", F.lit(1).cast("long").alias("rows"))
-    return corpus.coverage(names.select("country"), files, reports)
-
-
 @query("""SELECT n_name AS country, coalesce(c.n, 0) AS files, CAST(coalesce(c.b, 0) AS BIGINT) AS bytes, coalesce(s.n, 0) AS audited FROM nation
 LEFT JOIN (SELECT c_nationkey, count(*) AS n, sum(strlen(c_name)) AS b FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey
 LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey""")
-def coverage_whole(spark, sf_dir):
-    """As ``coverage``, of every customer and supplier."""
+def coverage(spark, sf_dir):
     n = t(spark, sf_dir, "nation")
     names = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country"))
     files = t(spark, sf_dir, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("k")).select("country", F.octet_length("c_name").cast("long").alias("bytes"))
@@ -524,24 +503,50 @@ def coarse(spark, sf_dir) -> DataFrame:
     return r.select("id", "text", S.project(F.col("text"), F.col("components")).alias("components"), F.col("components").alias("source_components"))
 
 
-@query()
+STREET = "CASE WHEN p3 IS NULL THEN p1 || ', ' || p2 ELSE p1 || ', ' || p2 || ', ' || p3 END"
+
+
+@query(f"""WITH {REC}, x AS (SELECT *, {STREET} AS street FROM rec)
+SELECT id, street || ' ' || p4 AS text FROM x UNION ALL SELECT id, street FROM x UNION ALL SELECT id, concat_ws(' ', p1, p2, p4, p5) FROM x WHERE p3 IS NOT NULL
+UNION ALL SELECT id, concat_ws(' ', p2, p3, p4, p5) FROM x""")
 def partial_variants(spark, sf_dir):
-    return augment.variants(coarse(spark, sf_dir), "partial")
+    """No country, the street alone, no unit, no number."""
+    return augment.partials(coarse(spark, sf_dir)).select(F.substring_index("id", ":", 1).alias("id"), "text")
 
 
 @query()
 def structural_variants(spark, sf_dir):
-    return augment.variants(coarse(spark, sf_dir), "structural")
+    return augment.structurals(coarse(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {REC} SELECT id || ':lower' AS id, 'lower' AS kind, lower(text) AS text FROM rec UNION ALL SELECT id || ':upper', 'upper', upper(text) FROM rec
+UNION ALL SELECT id || ':title', 'title', array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') FROM rec""")
 def case_variants(spark, sf_dir):
-    return augment.variants(coarse(spark, sf_dir), "case").select("id", "kind", "text")
+    return augment.cases(coarse(spark, sf_dir))
 
 
 @query()
 def layout_variants(spark, sf_dir):
-    return augment.variants(coarse(spark, sf_dir), "layout")
+    return augment.layouts(coarse(spark, sf_dir))
+
+
+@query(f"""WITH {REC}, x AS (SELECT id, unnest([{STREET}, p4, p5]) AS raw, unnest([1, 2, 3]) AS n FROM rec)
+SELECT a.id, 'permutations' AS mode, a.raw || ', ' || b.raw || ', ' || c.raw AS text FROM x a JOIN x b ON a.id = b.id AND a.n <> b.n JOIN x c ON a.id = c.id AND c.n NOT IN (a.n, b.n)
+UNION ALL SELECT id, 'partial', raw FROM x UNION ALL SELECT a.id, 'partial', a.raw || ', ' || b.raw FROM x a JOIN x b ON a.id = b.id AND a.n < b.n
+UNION ALL SELECT id, 'partial', {STREET} || ', ' || p4 || ', ' || p5 FROM rec UNION ALL SELECT id, 'formatting', {STREET} || s || p4 || s || p5 FROM rec, (VALUES (chr(10)), (' , '), (' ; '), (chr(9))) v(s)""")
+def stress_variants(spark, sf_dir):
+    return augment.stress(coarse(spark, sf_dir)).select(F.substring_index("id", ":", 1).alias("id"), "mode", "text")
+
+
+@query(f"""WITH {REC}, k AS (SELECT array_to_string(list_sort([{ident('p4')}, {ident('p5')}]), '","') AS key, c_custkey % 2 AS odd FROM rec)
+SELECT sha256('["' || key || '"]') AS blocked_key FROM k GROUP BY key HAVING count(DISTINCT odd) > 1""")
+def ambiguity_index(spark, sf_dir):
+    """Keys that the records' cities and countries, with every other one's labels exchanged, reach with different labels."""
+    c = coarse(spark, sf_dir)
+    left = F.filter("components", lambda s: s["label"] != "street_address")
+    turned = F.transform(left, lambda s: S.span(F.when(s["label"] == "city", "country").otherwise("city"), s["start"], s["end"], s["raw"]))
+    odd = F.col("id").cast("long") % 2 == 1
+    return augment.ambiguous_keys(c.withColumns({"components": F.when(odd, turned).otherwise(left), "source_components": F.array().cast(S.SPANS)}))
 
 
 @query()

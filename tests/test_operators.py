@@ -93,14 +93,19 @@ def panel(n, of=200):
     return {"us": {"rows": of, "exact": n}}
 
 
-def test_gate():
+def test_gate(spark):
+    def table(panels):
+        return spark.createDataFrame([(p, c, v["rows"], v["exact"]) for p, some in panels.items() for c, v in some.items()], "panel string, country string, rows int, exact int")
+
     base = {k: panel(180) for k in ("clean", "old-us", "new-us", "partial", "reordered", "combined")}
     now = base | {"clean": panel(179), "partial": panel(120), "reordered": panel(140), "combined": panel(160)}
-    got = score.gate(now, base)
+    got = score.gate(table(now), table(base)).first()
     assert got["eligible"] and round(got["score"], 3) == 0.7 and round(got["macro"], 3) == 0.895
-    assert score.gate(now | {"new-us": panel(177)}, base)["reasons"] == ["new-us-us-exact"]
-    with pytest.raises(ValueError):
-        score.gate(now | {"clean": {}}, base)
+    assert score.gate(table(now | {"new-us": panel(177)}), table(base)).first()["reasons"] == ["new-us-us-exact"]
+    assert score.gate(table(now | {"new-us": panel(180, 201), "old-us": {"gb": {"rows": 5, "exact": 5}}, "clean": panel(170)}), table(base)).first()["reasons"] == ["clean-country-macro", "clean-us-exact", "new-us-us-rows", "old-us-countries"]
+    for bad in (now | {"clean": {}}, now | {"clean": panel(0, 0)}):
+        with pytest.raises(Exception, match="empty country slice"):
+            score.gate(table(bad), table(base)).collect()
 
 
 ROW = "12 Main Street, Boston, MA 02110"
@@ -115,26 +120,77 @@ def good(text, parts):
         at = p["end"]
 
 
-def test_augmentation_round_trips():
-    kinds = set()
-    for seed in range(60):
-        kind, text, parts = augment.structural(ROW, PARTS, FINE, random.Random(seed))
-        kinds.add(kind)
-        good(text, parts)
-        assert augment.structural(ROW, PARTS, FINE, random.Random(seed)) == (kind, text, parts)
-        t, p, how = augment.layout_variant(ROW, PARTS, str(seed))
-        good(t, p)
-        assert (how["omitted"] is None) == (len(p) == len(PARTS))
-    assert kinds >= {"original", "partial", "reordered", "combined"}
-    for t, p in augment.partial(PARTS, FINE):
-        good(t, p)
-    assert augment.structural("x " + ROW, [dict(p, start=p["start"] + 2, end=p["end"] + 2) for p in PARTS], [], random.Random(1), "partial")[0] == "unannotated-text-fallback"
-
-
-def test_align():
-    assert [s["raw"] for s in augment.align("12 MAIN st, Boston", [{"label": "street_address", "raw": "12  main St"}, {"label": "city", "raw": "boston"}])] == ["12 MAIN st", "Boston"]
-    assert augment.align("a a", [{"label": "city", "raw": "a"}]) is None and augment.align("a b", [{"label": "city", "raw": "a"}]) is None
-    assert augment.case_text("straße x", "upper") == "STRASSE X" and augment.case_text("İ" * 32, "lower") == "İ" * 32
+def annotated(spark, rows):
+    return spark.createDataFrame(rows, f"id string, text string, components {S.SPANS}, source_components {S.SPANS}")
+
+
+def test_omissions(spark):
+    got = augment.partials(annotated(spark, [("a", ROW, PARTS, FINE)])).collect()
+    for r in got:
+        good(r.text, r.components)
+    assert {r.text for r in got} == {
+        "12 Main Street Boston MA", "12 Main Street Boston 02110", "12 Main Street", "12 Main Street Boston", "Boston MA", "Boston 02110", "Main Street Boston MA 02110",
+    } and len(got) == 7
+    alone = annotated(spark, [("b", "Boston, MA", [dict(PARTS[1], start=0, end=6), dict(PARTS[2], start=8, end=10)], []), ("c", "x", [], [])])
+    assert augment.partials(alone).count() == 0  # one administrative field would be left
+
+
+def test_structural_variants(spark):
+    rows = [(str(i), ROW, PARTS, FINE) for i in range(80)] + [("loose", "x " + ROW, [dict(p, start=p["start"] + 2, end=p["end"] + 2) for p in PARTS], []), ("one", "Boston", [dict(PARTS[1], start=0, end=6)], [])]
+    df = annotated(spark, rows)
+    got = augment.structurals(df, None).collect()
+    assert {r.kind for r in got} >= {"original", "partial", "reordered", "combined"} and len(got) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, augment.structurals(df, None).collect()))
+    every = {r.id: r for r in augment.structurals(df).collect()}
+    assert len(every) == 3 * len(rows)
+    for r in every.values():
+        good(r.text, r.components)
+    assert {every[f"loose:{m}"].kind for m in ("partial", "reordered", "combined")} == {"unannotated-text-fallback"}
+    assert every["one:partial"].kind == "no-partial-fallback" and every["one:reordered"].kind == "unsafe-reorder-fallback" and every["one:reordered"].text == "Boston"
+    moved = [every[f"{i}:reordered"] for i in range(80)]
+    assert all(r.kind == "reordered" and [s.label for s in r.components] != [p["label"] for p in PARTS] and len(r.components) == 4 for r in moved) and len({r.text for r in moved}) > 6
+    # omissions that lead to a blocked key are never chosen
+    keys = augment.partials(df.where("id = '0'")).select(augment.ambiguity_key(F.col("components")).alias("blocked_key"))
+    assert {r.kind for r in augment.structurals(df.where("id in ('0', '1')"), ("partial",), keys).collect()} == {"no-partial-fallback"}
+
+
+def test_ambiguous_keys_and_panels(spark):
+    other = [dict(PARTS[1], label="state"), *PARTS[2:]]
+    df = annotated(spark, [("a", "Boston", [dict(PARTS[1], start=0, end=6)], []), ("b", "Boston", [dict(PARTS[1], label="state", start=0, end=6)], []), ("c", "Boston", [dict(PARTS[1], start=0, end=6)], [])])
+    assert augment.ambiguous_keys(df).count() == 1 and augment.ambiguous_keys(df.where("id <> 'b'")).count() == 0 and other
+    rows = annotated(spark, [(str(i), ROW, PARTS, FINE) for i in range(30)]).withColumns({"country": F.lit("us"), "group_key": (F.col("id").cast("int") % 20).cast("string")})
+    got = augment.panels(rows, "2027", per_country=10).collect()
+    assert {r.slice for r in got} == {"partial", "reordered", "combined", "zip-first"} and all(r.text != ROW for r in got)
+    assert {r.text for r in got if r.slice == "zip-first"} == {"02110, 12 Main Street, Boston, MA"} and len({r.id for r in got if r.slice == "zip-first"}) == 10
+
+
+def test_stress_and_layouts(spark):
+    df = annotated(spark, [(str(i), ROW, PARTS, FINE) for i in range(60)])
+    got = augment.stress(df.where("id = '3'")).collect()
+    for r in got:
+        good(r.text, r.components)
+    want = {", ".join(x) for x in itertools.permutations([p["raw"] for p in PARTS])}
+    assert {r.text for r in got if r.mode == "permutations"} == want and sum(r.mode == "permutations" for r in got) == 24
+    subsets = {", ".join(x) for n in (1, 2, 3) for x in itertools.combinations([p["raw"] for p in PARTS], n)}
+    assert {r.text for r in got if r.mode == "partial"} == subsets and sum(r.mode == "partial" for r in got) == 14
+    assert [r.text for r in got if r.mode == "formatting"][1] == "12 Main Street , Boston , MA , 02110"
+    out = augment.layouts(df).collect()
+    for r in out:
+        good(r.text, r.components)
+        assert r.kind.endswith("whole") == (len(r.components) == len(PARTS))
+    assert len({r.kind.split("/")[0] for r in out}) == 3 and 2 <= sum(not r.kind.endswith("whole") for r in out) <= 25
+
+
+def test_align(spark):
+    df = spark.createDataFrame([
+        ("12 MAIN st, Boston", [{"label": "street_address", "raw": "12  main St"}, {"label": "city", "raw": "boston"}]), ("a a", [{"label": "city", "raw": "a"}]), ("a b", [{"label": "city", "raw": "a"}]),
+        ("a.b", [{"label": "city", "raw": "a.b"}]), ("axb", [{"label": "city", "raw": "a.b"}]), ("a", [{"label": "odd", "raw": "a"}]), ("b a", [{"label": "city", "raw": "a"}, {"label": "state", "raw": "b"}]),
+    ], "text string, parts array<struct<label:string,raw:string>>")
+    got = [r.s if r.s is None else [x.raw for x in r.s] for r in df.select(augment.aligned(F.col("text"), F.col("parts")).alias("s")).collect()]
+    assert got == [["12 MAIN st", "Boston"], None, None, ["a.b"], None, None, None]
+    texts = spark.createDataFrame([("straße x",), ("İ" * 32,), ("don't 12ab",)], "t string")
+    up, low, title = ([r[0] for r in texts.select(augment.case_text(F.col("t"), m)).collect()] for m in ("upper", "lower", "title"))
+    assert up[0] == "STRASSE X" and low[1] == "İ" * 32 and title[2] == "Don'T 12Ab"
 
 
 def tiny(seed):
