@@ -48,5 +48,17 @@ def alias_splits(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def enrich(admitted: DataFrame, raw: DataFrame, key: str) -> DataFrame:
-    """Admitted rows with their source columns; ids must agree and texts be equal."""
-    return admitted.join(raw.withColumnRenamed("text", "raw_text"), [key, "id"]).where("text = raw_text").drop("raw_text")
+    """Admitted rows with their source columns; ids must agree, and texts and, where both sides have them, spans be equal."""
+    both = raw.withColumnsRenamed({"text": "raw_text", "components": "raw_components"})
+    j = admitted.join(both, [key, "id"]).where("text = raw_text")
+    if "components" in admitted.columns and "components" in raw.columns:
+        j = j.where("components <=> raw_components")
+    return j.drop("raw_text", "raw_components")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], priority: Column) -> DataFrame:
+    """One row of each key: that of the highest priority, a new one before an old one of the same."""
+    rest = [c for c in old.columns if c not in key]
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(priority.alias("p"), F.col("_new").alias("n"))).alias("best"))
+    return best.select(*key, "best.*").select(*old.columns)

@@ -82,9 +82,22 @@ def accuracies(df: DataFrame, unsupported: int | None = 0) -> DataFrame:
     return r.select("*", rate("exact", F.col("rows")).alias("supported_accuracy"), every.alias("all_inputs_accuracy"), rate("correct_tokens", F.col("tokens")).alias("token_accuracy"))
 
 
-def macro(df: DataFrame, by: str, correct: str = "exact") -> DataFrame:
-    """Mean over groups of each group's rate."""
-    return df.groupBy(by).agg(F.avg(F.col(correct).cast("double")).alias("rate")).agg(F.avg("rate").alias("macro"), F.count("*").alias("groups"))
+def macro(df: DataFrame, by: str, correct: str = "exact", groups: list[str] | None = None) -> DataFrame:
+    """Mean over groups of each group's rate; a group of ``groups`` without a row is an error."""
+    rates = df.groupBy(by).agg(F.avg(F.col(correct).cast("double")).alias("rate"))
+    out = rates.agg(F.avg("rate").alias("macro"), F.count("*").alias("groups"), F.collect_set(by).alias("seen"))  # one entry for a group
+    if groups is not None:
+        lacking = F.size(F.array_except(F.array(*map(F.lit, groups)), "seen")) > 0
+        out = out.withColumn("macro", F.when(lacking, F.raise_error(F.lit("a slice is empty")).cast("double")).otherwise(F.col("macro")))
+    return out.select("macro", "groups")
+
+
+def variant_outcomes(variants: DataFrame, base: DataFrame) -> DataFrame:
+    """(kind, both, only_base, only_variant, neither) of variants (id ``base:kind``, exact) against the rows they were made from (id, exact)."""
+    v = variants.select(F.regexp_extract("id", "^(.*):", 1).alias("id"), F.substring_index("id", ":", -1).alias("kind"), F.col("exact").alias("v"))
+    j = v.join(base.select("id", F.col("exact").alias("b")), "id")
+    n = lambda c: F.count_if(c)
+    return j.groupBy("kind").agg(n(F.col("b") & F.col("v")).alias("both"), n(F.col("b") & ~F.col("v")).alias("only_base"), n(~F.col("b") & F.col("v")).alias("only_variant"), n(~F.col("b") & ~F.col("v")).alias("neither"))
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -30,18 +30,24 @@ def require(df: DataFrame, by: Sequence[str], n: int) -> None:
 
 
 def round_robin(df: DataFrame, split: str, state: str, kind: str, grp: str, rank: str, novel: str | None = None, limit: int | None = None) -> DataFrame:
-    """Group first, then kinds in turn, then states in turn: three chained ranks."""
+    """Group first, then kinds in turn, then states in turn: three chained ranks.
+
+    With a limit, only the first ``limit`` rows of each window can be among the result, as each rank
+    orders a window's rows; filtering by them lets the optimiser limit groups before the shuffle.
+    """
     w = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     more = [F.col(novel).desc()] if novel else []
-    out = df.withColumn("gr", w([split, state, kind, grp], rank)).withColumn("tr", w([split, state, kind], "gr", *more, rank)).withColumn("sr", w([split, state], "tr", kind, rank))
-    out = out.orderBy(split, "sr", state)
+    keep = lambda d, c: d if limit is None else d.where(F.col(c) <= limit)
+    out = keep(df.withColumn("gr", w([split, state, kind, grp], rank)), "gr")
+    out = keep(out.withColumn("tr", w([split, state, kind], "gr", *more, rank)), "tr")
+    out = keep(out.withColumn("sr", w([split, state], "tr", kind, rank)), "sr").orderBy(split, "sr", state)
     return out if limit is None else out.limit(limit)
 
 
 def review_queue(df: DataFrame, strata: Sequence[str], complete: str, id: str, limit: int) -> DataFrame:
     """Strata in turn, complete rows before partial ones."""
     rn = F.row_number().over(Window.partitionBy(complete, *strata).orderBy(X.digest(F.col(id).cast("string")), id))
-    return df.withColumn("rn", rn).orderBy(F.col(complete).desc(), "rn", *strata).limit(limit)
+    return df.withColumn("rn", rn).where(F.col("rn") <= limit).orderBy(F.col(complete).desc(), "rn", *strata).limit(limit)
 
 
 def arg_min(df: DataFrame, by: Sequence[str], order: Column, cols: Sequence[str]) -> DataFrame:

@@ -181,6 +181,20 @@ def test_stress_and_layouts(spark):
     assert len({r.kind.split("/")[0] for r in out}) == 3 and 2 <= sum(not r.kind.endswith("whole") for r in out) <= 25
 
 
+def test_upsert_and_variant_outcomes(spark):
+    old = spark.createDataFrame([("a", "train", 1), ("b", "dev", 1)], "key string, split string, n int")
+    new = spark.createDataFrame([("a", "dev", 2), ("b", "dev", 2), ("c", "train", 2)], "key string, split string, n int")
+    got = protect.upsert(old, new, ["key"], F.when(F.col("split") == "train", 1).otherwise(0))
+    assert sorted(map(tuple, got.collect())) == [("a", "train", 1), ("b", "dev", 2), ("c", "train", 2)]
+    base = spark.createDataFrame([("x:1", True), ("y", False)], "id string, exact boolean")
+    v = spark.createDataFrame([("x:1:partial", False), ("y:partial", True), ("y:combined", False), ("z:partial", True)], "id string, exact boolean")
+    assert sorted(map(tuple, score.variant_outcomes(v, base).collect())) == [("combined", 0, 0, 0, 1), ("partial", 0, 1, 1, 0)]
+    rows = spark.createDataFrame([("us", True), ("gb", False)], "country string, exact boolean")
+    assert score.macro(rows, "country", groups=["us", "gb"]).first().macro == 0.5
+    with pytest.raises(Exception, match="slice is empty"):
+        score.macro(rows, "country", groups=["us", "fr"]).collect()
+
+
 def test_align(spark):
     df = spark.createDataFrame([
         ("12 MAIN st, Boston", [{"label": "street_address", "raw": "12  main St"}, {"label": "city", "raw": "boston"}]), ("a a", [{"label": "city", "raw": "a"}]), ("a b", [{"label": "city", "raw": "a"}]),

@@ -7,6 +7,7 @@ import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.functions import spans as S
 from quillspan.sources import readers as R
@@ -109,3 +110,16 @@ def test_paragraphs_and_unpivot(spark):
     assert R.paragraphs(m).count() == 1
     g = R.unpivot_gold(spark.createDataFrame([("1", "x", "GB", "Town", " ")], "record_id string, full_address string, country_code string, city string, road string"), "record_id", "full_address", "country_code").first()
     assert [(c.label, c.start) for c in g.components] == [("city", None)] and g.country == "gb"
+
+
+def test_mappers_refuse(spark):
+    from quillspan.sources import mappers
+
+    c = spark.createDataFrame([("1", "", "High St", "", "Leeds", "", "LS1 1AA"), ("2", None, "Leeds", None, "Leeds", None, "LS1 1AA"), ("3", "", "", "", "", "", "")], ["CompanyNumber", *[f"RegAddress.{n}" for n in ("POBox", "AddressLine1", "AddressLine2", "PostTown", "County", "PostCode")]])
+    got = {r.id: (r.text, r.reason, r.stratum) for r in mappers.companies(c).collect()}
+    assert got["company:1"] == ("High St, Leeds, LS1 1AA", None, "England") and got["company:2"][1] == "duplicate-line-or-town" and got["company:3"][1] == "missing-core-field"
+    base = mappers.companies(c).where("id = 'company:1'").withColumn("county", F.lit("Kent "))
+    r = mappers.with_county(base).first()
+    assert (r.text, r.has_county, [s.label for s in r.components]) == ("High St, Leeds, Kent, LS1 1AA", True, ["street_address", "city", "state", "postcode"])
+    empty = mappers.city_points(spark.createDataFrame([(7, None, None)], "ADDRESSPOINTID long, HOUSE_NUMBER string, ZIPCODE string")).first()
+    assert (empty.id, empty.text, empty.components, empty.reason) == ("city-7", "", [], "no-fields")
