@@ -277,21 +277,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], f32))
 
 
-def score_rows(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
-    """Each row as it is (struct ``row``, so that no name can clash) and its ``score``."""
+def score_rows(spark: SparkSession, docs: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
+    """Each row, or the given columns of it (struct ``row``, so that no name can clash), and its ``score``."""
+    columns = columns or docs.columns
     shared = spark.sparkContext.broadcast(model)  # tables of fixed size
 
     def run(batches):
         m = shared.value
         for b in batches:
-            data, offs = buffers(b.column(1))
+            data, offs = buffers(b.column(1) if b.num_columns > 1 else b.column(0).field("text"))
             score = np.zeros(b.num_rows)
             if m is not None:
                 for i, j in chunks(offs, 1 << 19):
                     score[i:j] = m.score(data, offs[i : j + 1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["row", "score"])
 
-    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
+    given = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), *([] if "text" in columns else ["text"]))
     return given.mapInArrow(run, given.select("row").schema.add("score", "double"))
 
 
@@ -304,6 +305,6 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     kinds every score is 0. Of labels that contradict one another the toxic one counts; a tie of
     windows is one score; a score of 0.5 is predicted toxic.
     """
-    out = score_rows(spark, docs.select("doc_id", "text"), train(docs, labels)).select("row.doc_id", "score")
+    out = score_rows(spark, docs, train(docs, labels), ["doc_id"]).select("row.doc_id", "score")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
