@@ -17,11 +17,13 @@ from quillspan.llm.op6_suffix_dedup import strip_repeats
 from quillspan.llm.op9_packing import pack
 from quillspan.llm.store import Scratch, table
 
-BROADCAST_ROWS = 1_000_000
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that score below 0.5; the network is fitted on the rows given that have labels."""
+    """Rows that score below 0.5; the network is fitted on the rows given that have labels.
+
+    Null, empty and wordless texts score 0 and stay; long texts are scored to their end; repeated
+    rows share one fate; a score of 0.5 goes; whatever the other columns are named, they stay.
+    """
     scored = score_rows(spark, docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.where("score < 0.5").select("row.*")
 
@@ -31,21 +33,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A reused id names a row only together with its text's class, so the other texts under it are
     judged by themselves; of one id's rows in a group one stays. A row without an id cannot be
-    named for removal and stays.
+    named for removal and stays. Null, empty and blank texts are near nothing; long texts enter
+    whole; of equal rows one stays.
     """
     scratch = Scratch(spark)
     found = scratch.cut(near_components(spark, docs, rows=True).where("doc_id is not null"), "rows")
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     twice = scratch.cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    if twice.isEmpty():
+    if not twice._rows:
         gone = scratch.cut(found.where("not kept").select("doc_id").distinct(), "gone")
-        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(scratch.small(gone), "doc_id", "left_anti").select(*docs.columns)
     # of the classes that a group's smallest id names in it, the least stays
     pairs = found.where("v is not null").groupBy("root", "doc_id", "v").agg(F.first("kept").alias("kept"))
     least = pairs.where("kept").groupBy("root").agg(F.min("v").alias("least"))
     gone = pairs.join(least, "root", "left").where("not kept or v <> least").select(F.col("doc_id").alias("_id"), F.col("v").alias("_class")).distinct()
-    gone = small(scratch.cut(gone, "gone"))
-    many = small(twice)
+    gone = scratch.cut(gone, "gone")
+    gone, many = scratch.small(gone, 40), scratch.small(twice)
     once = docs.join(many, "doc_id", "left_anti").select(*docs.columns)
     once = once.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
     reused = with_class(docs.join(many, "doc_id", "left_semi").select(*docs.columns), "_v")
@@ -58,7 +60,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that occur elsewhere too; rows of which nothing is left go.
 
-    A character that a cut splits goes with it, and n_chars follows the text.
+    A character that a cut splits goes with it, and n_chars follows the text. Null, empty and short
+    texts stay as they are; of equal long rows none stays, as each repeats the other; long texts
+    are searched whole.
     """
     out = strip_repeats(spark, docs, whole=True)
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept").cast("string"))
@@ -68,12 +72,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item: null and empty texts hold none, long ones are searched to their end, equal rows share one fate."""
     return drop_contaminated(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, and their place in the training sequences."""
+    """The pieces of what is left, and their place in the training sequences: a null or empty text is its end id, equal rows are packed one by one, a long text takes several sequences."""
     return pack(docs)
 
 
