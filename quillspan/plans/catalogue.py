@@ -15,6 +15,7 @@ from ..functions import spans as S
 from ..functions import text as X
 from ..operators import augment, corpus, model, protect, score, select
 from ..sources import mappers
+from . import corpora
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -474,6 +475,71 @@ def audit_summary(spark, sf_dir):
     return corpus.summary(r.select(text.alias("text"), spans.alias("components")))
 
 
+# --- whole corpora and reports ----------------------------------------------------------------------
+
+
+@query(f"""WITH {REC}, r AS (SELECT *, c_custkey % 12 AS m, CASE WHEN c_custkey % 12 = 6 THEN text || repeat('y', 65) ELSE text END AS x, concat_ws('|', country, {ident('p2')}, {ident('p4')}) AS street FROM rec),
+s AS (SELECT DISTINCT street FROM r WHERE c_custkey < 5)
+SELECT CASE WHEN m = 1 THEN 'other-country' WHEN m = 2 THEN 'not-english' WHEN (street IN (FROM s) AND NOT (twin AND m IN (3, 4))) OR c_custkey < 5 OR c_custkey BETWEEN 40 AND 59 THEN 'protected' WHEN m = 6 THEN 'unrepresentable' WHEN m IN (3, 4) AND street NOT IN (FROM s) THEN 'label-conflict' WHEN twin AND m = 5 THEN 'duplicate' ELSE 'kept' END AS reason, count(*) AS rows
+FROM (SELECT r.*, FALSE AS twin FROM r UNION ALL SELECT r.*, TRUE FROM r WHERE m IN (3, 4, 5)) GROUP BY 1""")
+def national_corpus(spark, sf_dir):
+    """Records, some of them twice: with another label of the road, or as they are."""
+    r, m = records(spark, sf_dir), F.col("c_custkey") % 12
+    r = r.withColumn("text", F.when(m == 6, F.concat("text", F.lit("y" * 65))).otherwise(F.col("text"))).withColumns({"language": F.when(m == 2, "de").when(m == 7, "EN"), "provenance": F.lit("generated-from-fields")})
+    other = F.transform("components", lambda s: S.span(F.when((s["label"] == "city") & m.isin(3, 4), "state").otherwise(s["label"]), s["start"], s["end"], s["raw"]))
+    again = r.where(m.isin(3, 4, 5)).withColumn("components", other).withColumn("id", F.concat("id", F.lit("-again")))
+    land = F.when(m == 1, "zz").otherwise(F.upper("country"))
+    both = r.unionByName(again)
+    rows = both.withColumn("country", land)
+    guarded = r.where("c_custkey < 5").select("text", "country", "components").union(r.where("c_custkey between 40 and 59").select("text", F.lit("none").alias("country"), "components"))
+    lands = [x.r for x in t(spark, sf_dir, "region").select(F.lower("r_name").alias("r")).collect()]  # five
+    out = corpora.national_corpus(rows, guarded, lands, "seed")
+    return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {REC}, g AS (SELECT *, c_custkey % 10 AS m, sha256(country || '|' || {ident('p2')} || '|' || {ident('p4')}) AS grp FROM rec),
+h AS (SELECT DISTINCT grp FROM g WHERE p4 = 'NATION_3'), k AS (
+  SELECT id, m, grp, 0 AS copy FROM g UNION ALL SELECT id, m, grp, 1 FROM g WHERE m IN (4, 5))
+SELECT CASE WHEN m = 1 THEN 'unrepresentable' WHEN m = 2 THEN 'existing-or-protected' WHEN grp IN (FROM h) THEN 'heldout-group' WHEN m = 4 THEN 'label-conflict' WHEN m = 5 THEN 'twice' ELSE 'kept' END AS reason, count(*) AS rows FROM k GROUP BY 1""")
+def expansion(spark, sf_dir):
+    """Candidates against a corpus that holds one nation's streets out; of two equal rows one is a duplicate ('twice' counts both)."""
+    r, m = records(spark, sf_dir), F.col("c_custkey") % 10
+    r = r.withColumn("text", F.when(m == 1, F.concat("text", F.lit("y" * 65))).otherwise(F.col("text")))
+    other = F.transform("components", lambda s: S.span(F.when((s["label"] == "unit") | ((s["label"] == "house_number") & (m == 4)), "house").otherwise(s["label"]), s["start"], s["end"], s["raw"]))
+    kind = F.transform("components", lambda s: S.span(F.when((s["label"] == "country") & (m == 4), "state").otherwise(s["label"]), s["start"], s["end"], s["raw"]))
+    again = r.where(m.isin(4, 5)).withColumn("components", kind).withColumn("id", F.concat("id", F.lit("-again")))
+    c = F.col("components")
+    known = r.where("nation = 'NATION_3'").select(S.group_key(F.col("country"), F.col("text"), c).alias("alias")).distinct().withColumn("split", F.lit("test"))
+    out = corpora.expansion(r.unionByName(again).select("id", "text", "country", "components"), known, r.where(m == 2).select("text"), "seed")
+    five = F.substring_index("id", "-", 1).cast("long") % 10 == 5
+    reason = F.when(five & (F.col("reason").isNull() | (F.col("reason") == "duplicate")), "twice").otherwise(F.coalesce("reason", F.lit("kept")))
+    return out.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query("""WITH e AS (SELECT s_suppkey AS k, 'bank:' || s_suppkey AS id, s_suppkey % 4 = 1 AS bare, CASE WHEN s_suppkey % 3 = 0 THEN 'VT' ELSE 'NY' END AS stratum, sha256('f|bank:' || s_suppkey) AS rank, s_nationkey AS n FROM supplier),
+x AS (SELECT *, CASE WHEN bare THEN 'missing-required-field' WHEN n = 3 THEN 'blocked-entity' END AS r FROM e),
+y AS (SELECT *, coalesce(r, CASE WHEN k % 10 = 8 OR rank > min(rank) FILTER (r IS NULL) OVER (PARTITION BY CASE WHEN k % 10 IN (4, 8) THEN 0 ELSE k END) THEN 'duplicate-entity' END) AS r2 FROM x WHERE k % 10 NOT IN (4, 8)),
+z AS (SELECT *, CASE WHEN r2 IS NULL THEN row_number() OVER (PARTITION BY stratum, r2 IS NULL ORDER BY rank, id) END AS rn FROM y)
+SELECT coalesce(r2, CASE WHEN rn > 5 THEN 'not-drawn' END, 'kept') AS reason, count(*) AS rows FROM z GROUP BY 1""")
+def frozen_benchmark(spark, sf_dir):
+    """Suppliers as bank branches: some lack a field, one nation's are blocked."""
+    k = F.col("s_suppkey")
+    c = t(spark, sf_dir, "supplier").where("s_suppkey % 10 not in (4, 8)").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
+    raw = c.select(k.alias("UNINUM"), F.col("s_name").alias("ADDRESS"), F.when(k % 4 != 1, F.col("n_name")).alias("CITY"), F.when(k % 3 == 0, "VT").otherwise("NY").alias("STALP"), k.cast("string").alias("ZIP"), "n_nationkey")
+    blocked = mappers.bank_branches(raw.where("n_nationkey = 3")).select("country", "components")
+    out = corpora.frozen_benchmark(mappers.bank_branches(raw), blocked, 5, "f")
+    return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query("""SELECT source, reason, count(*) AS rows FROM (SELECT 'state' AS source, CASE WHEN c_custkey % 13 = 0 THEN 'invalid' ELSE 'ok' END AS reason FROM customer UNION ALL SELECT 'bank', CASE WHEN s_suppkey % 6 = 0 THEN 'territory-or-foreign' ELSE 'ok' END FROM supplier) GROUP BY ALL""")
+def source_audit(spark, sf_dir):
+    k, b = F.col("c_custkey"), F.col("s_suppkey")
+    state = t(spark, sf_dir, "customer").select(k.alias("id"), k.alias("Add_Number"), F.when(k % 13 != 0, F.col("c_mktsegment")).alias("St_Name"), F.lit("TX").alias("State"))
+    bank = t(spark, sf_dir, "supplier").select(b.alias("UNINUM"), F.col("s_name").alias("ADDRESS"), F.lit("Town").alias("CITY"), F.when(b % 6 == 0, "PR").otherwise("VT").alias("STALP"), F.lit("05401").alias("ZIP"))
+    a = corpora.multi_source_audit({"state": (state, mappers.state_points), "bank": (bank, mappers.bank_branches)})
+    return a.groupBy("source", "reason").agg(F.sum("rows").alias("rows"))
+
+
 # --- selection --------------------------------------------------------------------------------------
 
 
@@ -595,6 +661,23 @@ def scope_rollup(spark, sf_dir):
 Z2 = "1.95996398454 * 1.95996398454"
 
 
+@query(OUT + f""", y AS (SELECT c.country, model, exact FROM x, LATERAL (VALUES (x.country), (NULL)) c(country)), r AS (SELECT country, model, count(*) AS rows, count(*) FILTER (exact) AS exact FROM y GROUP BY ALL),
+f AS (SELECT c.country, model, 2.0 * sum(correct::INT) / (sum(in_pred::INT) + sum(in_gold::INT)) AS field_f1 FROM o, LATERAL (VALUES (o.country), (NULL)) c(country) GROUP BY ALL),
+w AS (SELECT *, CAST(exact AS DOUBLE) / rows AS p FROM r), h AS (SELECT *, 1.95996398454 * sqrt(p * (1 - p) / rows + {Z2} / (4.0 * rows * rows)) / (1 + {Z2} / rows) AS half, (p + {Z2} / (2 * rows)) / (1 + {Z2} / rows) AS mid FROM w)
+SELECT h.country, h.model, rows, exact, 100 * p AS percent, 100 * (mid - half) AS low, 100 * (mid + half) AS high, field_f1 FROM h JOIN f ON h.country IS NOT DISTINCT FROM f.country AND h.model = f.model""")
+def score_report(spark, sf_dir):
+    """Both models by country and over all."""
+    g, p = gold_and_predictions(spark, sf_dir)
+    return corpora.score_report(g, p.select("id", "model", "components"))
+
+
+@query(OUT + """ SELECT a.country, count(*) FILTER (a.exact AND b.exact) AS "both", count(*) FILTER (a.exact AND NOT b.exact) AS only_a, count(*) FILTER (NOT a.exact AND b.exact) AS only_b,
+  count(*) FILTER (NOT a.exact AND NOT b.exact) AS neither FROM x a JOIN x b USING (id) WHERE a.model = 'a' AND b.model = 'b' GROUP BY a.country""")
+def model_comparison(spark, sf_dir):
+    g, p = gold_and_predictions(spark, sf_dir)
+    return corpora.model_comparison(g, p.select("id", "model", "components"), "a", "b")
+
+
 @query(f"""SELECT source, k AS correct, n AS total, 100 * ((p + {Z2} / (2 * n)) / (1 + {Z2} / n) - h) AS low, 100 * ((p + {Z2} / (2 * n)) / (1 + {Z2} / n) + h) AS high FROM (
   SELECT source, k, n, p, 1.95996398454 * sqrt(p * (1 - p) / n + {Z2} / (4.0 * n * n)) / (1 + {Z2} / n) AS h FROM (
     SELECT source, CAST(sum(quality) AS BIGINT) AS k, count(*) AS n, sum(quality) / CAST(count(*) AS DOUBLE) AS p FROM documents JOIN labels USING (doc_id) GROUP BY source))""")
