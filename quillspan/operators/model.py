@@ -146,6 +146,14 @@ def viterbi(e: np.ndarray, w: dict[str, np.ndarray]) -> list[int]:
     return path[::-1]
 
 
+def greedy(e: np.ndarray, w: dict[str, np.ndarray] | None = None) -> list[int]:
+    """The best tag of each token by itself; ties go to the lowest tag."""
+    return e.argmax(1).tolist()
+
+
+DECODERS = {"viterbi": viterbi, "greedy": greedy}
+
+
 def kbest(e: np.ndarray, w: dict[str, np.ndarray], k: int) -> list[tuple[list[int], float]]:
     """The k best paths with scores, best first."""
     step, first = allowed()
@@ -220,7 +228,7 @@ def path_spans(path: list[int], at: list[tuple[int, int]], text: str) -> list[di
     return out
 
 
-def parse_batch(texts: list[str | None], w: dict[str, np.ndarray], gap: bool, size: int = 64) -> list[dict]:
+def parse_batch(texts: list[str | None], w: dict[str, np.ndarray], gap: bool, size: int = 64, decoder: str = "viterbi") -> list[dict]:
     """Parses of a batch; rows of like length share a forward pass."""
     items = [encode(t, gap) for t in texts]
     out = [{"status": "unsupported", "components": [], "offset_encoding": "unicode-codepoints"} for _ in texts]
@@ -236,12 +244,12 @@ def parse_batch(texts: list[str | None], w: dict[str, np.ndarray], gap: bool, si
         if not np.isfinite(e).all():
             raise FloatingPointError("non-finite emissions")
         for r, i in enumerate(some):
-            path = viterbi(e[r, : lengths[r]], w)
+            path = DECODERS[decoder](e[r, : lengths[r]], w)
             out[i] = {"status": "unassessed", "components": path_spans(path, items[i][1], texts[i]), "offset_encoding": "unicode-codepoints"}
     return out
 
 
-def parse(df: DataFrame, model: bytes, column: str = "text") -> DataFrame:
+def parse(df: DataFrame, model: bytes, column: str = "text", decoder: str = "viterbi") -> DataFrame:
     """Adds parse: status, components, offset encoding. The model (150 k weights) is broadcast; nothing is shuffled."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -249,6 +257,6 @@ def parse(df: DataFrame, model: bytes, column: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         w, gap = read_model(shared.value)
-        return pd.DataFrame(parse_batch(texts.tolist(), w, gap), columns=["status", "components", "offset_encoding"])
+        return pd.DataFrame(parse_batch(texts.tolist(), w, gap, decoder=decoder), columns=["status", "components", "offset_encoding"])
 
     return df.withColumn("parse", run(F.col(column)))

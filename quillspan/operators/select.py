@@ -57,11 +57,13 @@ def arg_min(df: DataFrame, by: Sequence[str], order: Column, cols: Sequence[str]
 def joint_caps(df: DataFrame, rank: str, quota: str, group: str, full: str, caps: tuple[int, int] = (5000, 1000), per_group: int = 8) -> DataFrame:
     """Rows kept in rank order while both their quota and their group have room; a skipped row uses neither.
 
-    The outcome of a row depends on all before it, in any quota that shares a group with its own.
-    Only (rank, quota, group) of the first rows of each group can matter: rows beyond a quota's
-    reach are many, so the narrow triples go through one ordered pass, and the payload is joined back.
+    The outcome of a row depends on all before it, in any quota that shares a group with its own, so
+    narrow triples (rank, quota, group) go through one ordered pass, and the payload is joined back.
+    Neither a full quota nor a full group ever empties, so of the rows that share both, those kept are
+    the first ones: all but the first ``per_group`` are left out before, in parallel.
     """
-    narrow = df.select(F.col(rank).alias("r"), F.col(quota).alias("q"), F.col(group).alias("g"), F.col(full).alias("f"), F.lit(0).alias("one"))
+    narrow = df.select(F.col(rank).alias("r"), F.col(quota).alias("q"), F.col(group).alias("g"), F.col(full).alias("f"))
+    narrow = top_n(narrow, ["q", "g", "f"], [F.col("r")], per_group).select("r", "q", "g", "f", F.lit(0).alias("one"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         used, seen, keep = {}, {}, []

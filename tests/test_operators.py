@@ -21,6 +21,18 @@ def test_joint_caps(spark):
     assert sorted(x.r for x in kept.collect()) == [1, 3]
 
 
+def test_joint_caps_by_hand(spark):
+    g = random.Random(5)
+    rows = [(i, g.choice("AB"), g.choice("xyz"), g.random() < 0.5) for i in range(300)]
+    used, seen, want = {}, {}, []
+    for r, q, k, f in rows:
+        if used.get((q, f), 0) < (7 if f else 5) and seen.get(k, 0) < 4:
+            used[q, f], seen[k] = used.get((q, f), 0) + 1, seen.get(k, 0) + 1
+            want.append(r)
+    df = spark.createDataFrame(rows, "r int, q string, g string, f boolean").repartition(5)
+    assert sorted(x.r for x in select.joint_caps(df, "r", "q", "g", "f", (7, 5), 4).collect()) == want
+
+
 def test_sample_and_require(spark):
     df = spark.range(100).withColumnRenamed("id", "i")
     want = sorted(random.Random(7).sample(range(100), 5))
@@ -251,6 +263,7 @@ def test_parse_ignores_padding_and_order(spark):
     data, _, _ = model.write_model(model.random_weights(2), gap=True)
     w, gap = model.read_model(data)
     texts = ["12 Main St", "", None, "Boston, MA\n02110 USA and more words here", "x" * 65]
+    assert model.greedy(np.array([[1.0, 3, 3], [2, 0, 1]])) == [1, 0] and len(model.parse_batch(texts, w, gap, decoder="greedy")) == len(texts)
     alone = [model.parse_batch([t], w, gap)[0] for t in texts]
     assert model.parse_batch(texts, w, gap) == alone
     got = model.parse(spark.createDataFrame([(t,) for t in texts], "text string"), data).collect()
