@@ -206,6 +206,77 @@ def test_leaks_of_items_longer_than_a_part():
     assert [x[:2] for x in index.leaks(*kit(texts), 0.6, 0.8)] == [(k, 3) for k in range(64)]
 
 
+def test_wand_skips_nothing():
+    """All passages against all parts, with ties, repeats and terms of every frequency."""
+    g = random.Random(12)
+    for size, vocab in ((5, 6), (80, 30), (300, 400)):
+        items = [" ".join(g.choices([f"w{i}" for i in range(vocab)], k=g.randint(1, 12))) for _ in range(size)]
+        index = leak.Index(list(range(size)), items)
+        n = 60
+        tid = np.array(g.choices(range(len(index.terms)), k=n * 15))
+        own = np.repeat(np.arange(n), 15)
+        score = np.zeros((n, len(index.item)))
+        for p, t_ in set(zip(own.tolist(), tid.tolist())):
+            lo, hi = index.post[t_], index.post[t_ + 1]
+            np.add.at(score[p], index.part[lo:hi], index.impact[lo:hi])
+        for least in (0.2, 0.6, 1.0):
+            p, part, s = index.search(tid, own, n, least)
+            want = np.argwhere(score >= least - 1e-9)
+            assert sorted(zip(p.tolist(), part.tolist())) == sorted(map(tuple, want.tolist())) and np.allclose(s, score[p, part])
+
+
+def leaks_by_hand(items, texts, least, overlap):
+    """The definition: BM25 of every passage against every part of at most 64 words, then shingles of the whole item."""
+    low = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    parts = []
+    for i, t in enumerate(items):
+        w = low(t)
+        k = max(-(-len(w) // leak.PART), 1)
+        parts += [(i, [x for n, x in enumerate(w) if n * k // len(w) == j]) for j in range(k)]
+    mean, df = sum(len(w) for _, w in parts) / len(parts), {}
+    for _, w in parts:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    weight = []
+    for _, w in parts:
+        own = {x: np.log1p((len(parts) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
+        weight.append({x: v / sum(own.values()) for x, v in own.items()})
+    out = set()
+    for r, t in enumerate(texts):
+        w = low(t)
+        grams_ = lambda v, k: [tuple(v[i : i + k]) for i in range(len(v) - k + 1)]
+        for lo in range(0, max(len(w) - leak.PASSAGE + leak.STRIDE, 1), leak.STRIDE):
+            have = set(w[lo : lo + leak.PASSAGE])
+            for (i, _), own in zip(parts, weight):
+                if sum(v for x, v in own.items() if x in have) >= least - 1e-9:
+                    item = low(items[i])
+                    k = min(5, len(item))
+                    g, d = grams_(item, k), set(grams_(w, k))
+                    hit = [x in d for x in g]
+                    half = (len(g) + 1) // 2
+                    q, a = hit[:half], hit[half:] or hit
+                    if np.mean(hit) >= overlap and min(np.mean(q), np.mean(a)) >= 0.5:
+                        out.add((r, i))
+    return out
+
+
+def test_leaks_against_brute_force():
+    g = random.Random(21)
+    vocab = [f"v{i}" for i in range(250)]
+    items = [" ".join(g.choices(vocab, k=n)) for n in (3, 9, 20, 40, 59, 64, 65, 100, 127, 128, 200) for _ in range(3)]
+    texts = [""]
+    for i in range(90):
+        own = items[i % len(items)].split()
+        for _ in range(g.choice([0, 0, 1, 3, 12])):  # some words changed, some lost
+            j = g.randrange(len(own))
+            own[j] = g.choice(vocab) if g.random() < 0.7 else ""
+        texts.append(" ".join(g.choices(vocab, k=g.randint(0, 150)) + own + g.choices(vocab, k=g.randint(0, 150))))
+    index = leak.Index(list(range(len(items))), items)
+    got = [x[:2] for x in index.leaks(*kit(texts), 0.6, 0.8)]
+    want = leaks_by_hand(items, texts, 0.6, 0.8)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
 def test_leaks_verify_question_and_answer():
     item = "one two three four five six seven eight nine ten eleven twelve"
     index = leak.Index([7], [item])
@@ -226,6 +297,40 @@ def test_patience():
     assert len(lic.patience(words_, words_[:10] + [99, 98] + words_[10:])) == 20
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diag = 0
+        for j, y in enumerate(b):
+            diag, row[j + 1] = row[j + 1], diag + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def test_alignment_against_brute_force():
+    g = random.Random(9)
+    for _ in range(150):
+        a, b = [g.randint(0, 6) for _ in range(g.randint(0, 25))], [g.randint(0, 6) for _ in range(g.randint(0, 25))]
+        got = lic.common((a, 0), (b, 0))
+        assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got) and sorted(got) == sorted(got, key=lambda p: p[1])
+        assert len(lic.patience(a, b)) <= len(got)
+        u, v = g.sample(range(40), 20), g.sample(range(40), 25)  # words that occur once: patience is exact
+        assert len(lic.patience(u, v)) == lcs(u, v)
+
+
+@pytest.mark.parametrize("name", ["MIT-text", "ISC", "BSD-3-Clause", "CC-BY-4.0"])
+def test_license_parts_far_apart(name):
+    """A license in two halves is found whatever lies between, and not by scattered words."""
+    own = lic.TEMPLATES[name].split()
+    kit_ = lic.Templates(lic.TEMPLATES)
+    texts = [" ".join(["x"] * 3 + own[: len(own) // 2] + [f"w{i}" for i in range(gap)] + own[len(own) // 2 :]) for gap in [*range(0, 60, 4), 500, 5000]]
+    texts.append(" ".join(w for x in own for w in (x, "z", "y", "z", "y")))
+    texts.append(" ".join(own[::-1]))
+    data, offs = kit(texts)
+    got = {(r, kit_.names[t]): (cover, lo, hi) for r, t, cover, lo, hi, _ in kit_.scan(data, offs, 0.8)}
+    assert all((r, name) in got for r in range(len(texts) - 2)) and (len(texts) - 1, name) not in got and (len(texts) - 2, name) not in got
+    assert all(got[r, name][1] == 3 for r in range(len(texts) - 2))
+
+
 def test_license_places():
     mit = "Released under the MIT License."
     texts = [f"a b {mit} c", "released UNDER the mit license", "released under a license", "", None, f"{mit} {mit} {mit}", "x " * 5000 + mit]
