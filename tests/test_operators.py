@@ -283,3 +283,28 @@ def test_streaming(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == e.select("user_id").distinct().count()
+
+
+def test_corpora(spark):
+    from quillspan.plans import corpora
+
+    lines = []
+    for i in range(40):
+        text = f"{i} Main Street, Town {i % 20}, VT"
+        spans, at = [], 0
+        for label, raw in (("house_number", str(i)), ("road", "Main Street"), ("city", f"Town {i % 20}"), ("state", "VT")):
+            at = text.index(raw, at)
+            spans.append({"label": label, "start": at, "end": at + len(raw), "raw": raw})
+        lines.append((str(i), text, "us", spans))
+    lines.append(("bad", "x", "us", [{"label": "city", "start": 0, "end": 5, "raw": "x"}]))
+    lines.append(("again", "7 main street town 7 VT", "us", []))
+    rows = spark.createDataFrame(lines, f"id string, text string, country string, components {S.SPANS}")
+    kept = corpora.pilot(rows, rows.where("id = '3'")).collect()
+    plain = [r for r in kept if not r.variant]
+    assert {r.id for r in plain} == {str(i) for i in range(40)} - {"3"} and {r.split for r in plain} <= {"train", "dev"}
+    assert len(kept) - len(plain) == sum(r.split == "train" for r in plain)
+    some, counts = corpora.country_pilot(rows.where("id not in ('bad', 'again')"), rows.where("id in ('1', '2')"), ["us"], 30)
+    assert some.count() == 30 and counts.first().rows == 30 and counts.first().overlap <= 2
+    parsed = spark.createDataFrame([("1", [{"label": "street_address", "raw": "1 main street"}, {"label": "city", "raw": "TOWN 1"}, {"label": "state", "raw": "vt"}]), ("2", [{"label": "city", "raw": "town"}])], "id string, parts array<struct<label:string,raw:string>>")
+    got = {r.id: r.reason for r in corpora.pseudo_labels(rows, parsed).collect()}
+    assert got == {"1": None, "2": "not-aligned"}
