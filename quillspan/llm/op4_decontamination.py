@@ -21,7 +21,7 @@ from .textkit import U64, buffers, chunks, mix, ragged, words
 
 SHARD_BYTES = 32 << 20
 PART, PASSAGE, STRIDE = 64, 128, 64
-BLOCK = 16
+BLOCK = 8
 K1, B = 1.2, 0.75
 _C = np.random.Generator(np.random.Philox(20260106)).integers(1, 2**64, 6, dtype=U64) | U64(1)
 
@@ -67,7 +67,9 @@ class Index:
         # blocks: runs of equal (term, part // BLOCK)
         self.nb = m // BLOCK + 1
         head = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] // BLOCK != part[:-1] // BLOCK))) if len(term) else np.zeros(0, np.int64)
-        self.block_key, self.block_max = term[head] * self.nb + part[head] // BLOCK, np.maximum.reduceat(impact, head) if len(head) else impact
+        self.block, self.block_max = part[head] // BLOCK, np.maximum.reduceat(impact, head) if len(head) else impact
+        self.block_term, self.block_lo, self.block_hi = term[head], head, np.append(head[1:], len(term))
+        self.blocks = np.searchsorted(term[head], np.arange(len(self.terms) + 1))
         self.best = np.maximum.reduceat(impact, self.post[:-1]) if len(self.terms) else impact
         self.shingles = []
         for i in range(len(ids)):
@@ -79,53 +81,48 @@ class Index:
     def search(self, tid: np.ndarray, passage: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, part, score) of all that score ``least`` or more; tid, passage: the indexed terms of n passages.
 
-        Block-max WAND with all passages in step: a round orders each passage's cursors by part and
-        takes the first part, the pivot, at which the terms' best impacts could reach ``least``. If
-        the blocks there could not, the cursors leave the block; if a cursor lags, it moves up to the
-        pivot; else the pivot is scored.
+        Block-max WAND, with all passages in step. First the blocks that a passage's terms could lift
+        to ``least`` by their maxima there are found; each becomes a query of its own, with a cursor for
+        each term. A round orders the cursors by part and takes the first part, the pivot, at which the
+        maxima of the cursors so far reach ``least``; cursors that lag move up to it, and once none
+        does it is scored.
         """
         m, least = len(self.item), least - 1e-9
         key = np.unique(passage * len(self.terms) + tid)
         passage, tid = key // len(self.terms), key % len(self.terms)
         hope = np.bincount(passage, weights=self.best[tid], minlength=n) >= least
         passage, tid = passage[hope[passage]], tid[hope[passage]]
-        pos = self.post[tid]
+        num = self.blocks[tid + 1] - self.blocks[tid]
+        entry, own = ragged(self.blocks[tid], num), np.repeat(passage, num)
+        pair, own = np.unique(own * self.nb + self.block[entry], return_inverse=True)
+        keep = (np.bincount(own, weights=self.block_max[entry], minlength=len(pair)) >= least)[own]
+        entry, own = entry[keep], own[keep]
+        pos, end, most, tid = self.block_lo[entry], self.block_hi[entry], self.block_max[entry], self.block_term[entry]
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        while len(tid):
+        while len(own):
+            order = np.argsort(own * m + self.part[pos], kind="stable")
+            own, pos, end, most, tid = own[order], pos[order], end[order], most[order], tid[order]
             cur = self.part[pos]
-            order = np.lexsort((cur, passage))
-            passage, tid, pos, cur = passage[order], tid[order], pos[order], cur[order]
-            head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-            own = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(passage))))
-            total = np.cumsum(self.best[tid])
-            reach = total - np.append(0.0, total)[head][own] >= least
-            pivot = np.full(len(head), m, np.int64)
-            np.minimum.at(pivot, own[reach], cur[reach])
-            live = pivot[own] < m  # a passage whose lists cannot reach the threshold any more is done
-            passage, tid, pos, cur, own = passage[live], tid[live], pos[live], cur[live], own[live]
-            if not len(tid):
-                break
-            goal = pivot[own]
-            upto = cur <= goal
-            block = np.minimum(np.searchsorted(self.block_key, tid * self.nb + goal // BLOCK), len(self.block_key) - 1)
-            most = np.where(upto & (self.block_key[block] == tid * self.nb + goal // BLOCK), self.block_max[block], 0.0)
-            dull = np.bincount(own, weights=most, minlength=len(head)) < least
-            lags = np.zeros(len(head), bool)
-            lags[own[cur < goal]] = True
-            ripe = ~dull & ~lags
-            hit = upto & ripe[own]
-            score = np.bincount(own[hit], weights=self.impact[pos[hit]], minlength=len(head))
+            head = np.append(True, own[1:] != own[:-1])
+            q = np.cumsum(head) - 1
+            total = np.cumsum(most)
+            reach = total - (total - most)[head][q] >= least
+            pivot = np.full(int(q[-1]) + 1, m, np.int64)
+            np.minimum.at(pivot, q[reach], cur[reach])
+            goal = pivot[q]
+            lags = np.zeros(len(pivot), bool)
+            lags[q[cur < goal]] = True
+            ripe = ~lags & (pivot < m)
+            hit = ripe[q] & (cur == goal)
+            score = np.bincount(q[hit], weights=self.impact[pos[hit]], minlength=len(pivot))
             done = np.flatnonzero(ripe & (score >= least))
-            where = np.zeros(len(head), np.int64)
-            where[own] = passage
-            found.append((where[done], pivot[done], score[done]))
-            # the next part that may count: past the block, but not past a list that starts later
-            later = np.full(len(head), m, np.int64)
-            np.minimum.at(later, own[~upto], cur[~upto])
-            goal = np.where(dull, np.minimum((pivot // BLOCK + 1) * BLOCK, later), np.where(ripe, pivot + 1, pivot))[own]
-            pos = np.where(upto, np.maximum(pos, np.searchsorted(self.post_key, tid * m + goal)), pos)
-            live = pos < self.post[tid + 1]
-            passage, tid, pos = passage[live], tid[live], pos[live]
+            found.append((pair[own[head][done]] // self.nb, pivot[done], score[done]))
+            # past a pivot that was scored, else up to it
+            late = np.flatnonzero((cur < goal) & (goal < m))
+            pos[hit] += 1
+            pos[late] = np.searchsorted(self.post_key, tid[late] * m + goal[late])
+            live = (goal < m) & (pos < end)  # a query that cannot reach the threshold any more is done
+            own, pos, end, most, tid = own[live], pos[live], end[live], most[live], tid[live]
         return tuple(np.concatenate(x) for x in zip(*found))
 
     def leaks(self, data: np.ndarray, offs: np.ndarray, least: float, overlap: float) -> list[tuple[int, int, float, float, float, float]]:
