@@ -11,6 +11,8 @@ labels of rows whose crc32(doc_id) is 0 modulo 5 are never read for it.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -272,9 +274,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = S
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = sorted(training_rows(docs, labels).collect())
-    rows = list({r["doc_id"]: r for r in rows}.values())
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], f32))
+    """The network fitted on the sample, by one task: its rows and bytes are bounded, and a lost executor's task is run again."""
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        rows = list({r[0]: r for r in rows}.values())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], f32)))], pa.binary())], ["model"])
+
+    made = training_rows(docs, labels).repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def score_rows(spark: SparkSession, docs: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
