@@ -61,7 +61,7 @@ def test_coverage_of_every_row(spark, tmp_path):
     }
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = catalogue.QUERIES["coverage_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.QUERIES["coverage"](spark, str(tmp_path)).collect()
     assert sorted((r.country, r.files, r.bytes, r.audited) for r in got) == [("A", 3, 4, 2), ("B", 1, 1, 0), ("C", 0, 0, 0)]
 
 

@@ -120,7 +120,7 @@ def test_offsets_of_long_texts(spark):
 def test_gap_features_of_every_document(spark, tmp_path):
     rows = [(1, "a b\n" * 2000, 8000), (2, "a b", None), (3, "", 0), (4, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in catalogue.QUERIES["gap_features_whole"](spark, str(tmp_path)).select("doc_id", "tokens", "line_breaks", "spaces").collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["gap_features"](spark, str(tmp_path)).select("doc_id", "tokens", "line_breaks", "spaces").collect()}
     assert got == {(1, 4000, 1999, 2000), (2, 2, 0, 1), (3, 0, 0, 0), (4, None, None, None)}
 
 
