@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op1_toxicity import toxicity
 from .op10_license_scan import license_scan
 from .op11_alignment import cross_alignment
+from .op12_mixing import mix
 from .op2_minhash_dedup import SQL as NEAR_SQL
 from .op2_minhash_dedup import near_components
 from .op3_training_order import training_order
@@ -64,9 +65,13 @@ def op11_alignment(spark, sf_dir):
     return cross_alignment(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark, sf_dir):
+    return mix(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_minhash_dedup, op3_training_order, op4_decontamination, op5_chat_format, op6_suffix_dedup, op7_token_counts, op8_exact_topk, op9_packing, op10_license_scan, op11_alignment)
+    for f in (op1_toxicity, op2_minhash_dedup, op3_training_order, op4_decontamination, op5_chat_format, op6_suffix_dedup, op7_token_counts, op8_exact_topk, op9_packing, op10_license_scan, op11_alignment, op12_mixing)
 }
 # The others have no SQL form: tests hold them to brute force, exact round trips or held-out accuracy.
 ORACLE_SQL = {"op2_minhash_dedup": NEAR_SQL, "op5_chat_format": CHAT_SQL, "op6_suffix_dedup": REPEATS_SQL, "op8_exact_topk": TOPK_SQL}
