@@ -6,6 +6,8 @@ from .op1_toxicity import toxicity
 from .op10_license_scan import license_scan
 from .op11_alignment import cross_alignment
 from .op12_mixing import mix
+from .op13_hard_negatives import SQL as NEGATIVES_SQL
+from .op13_hard_negatives import hard_negatives
 from .op2_minhash_dedup import SQL as NEAR_SQL
 from .op2_minhash_dedup import near_components
 from .op3_training_order import training_order
@@ -69,9 +71,13 @@ def op12_mixing(spark, sf_dir):
     return mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_minhash_dedup, op3_training_order, op4_decontamination, op5_chat_format, op6_suffix_dedup, op7_token_counts, op8_exact_topk, op9_packing, op10_license_scan, op11_alignment, op12_mixing)
+    for f in (op1_toxicity, op2_minhash_dedup, op3_training_order, op4_decontamination, op5_chat_format, op6_suffix_dedup, op7_token_counts, op8_exact_topk, op9_packing, op10_license_scan, op11_alignment, op12_mixing, op13_hard_negatives)
 }
 # The others have no SQL form: tests hold them to brute force, exact round trips or held-out accuracy.
-ORACLE_SQL = {"op2_minhash_dedup": NEAR_SQL, "op5_chat_format": CHAT_SQL, "op6_suffix_dedup": REPEATS_SQL, "op8_exact_topk": TOPK_SQL}
+ORACLE_SQL = {"op2_minhash_dedup": NEAR_SQL, "op5_chat_format": CHAT_SQL, "op6_suffix_dedup": REPEATS_SQL, "op8_exact_topk": TOPK_SQL, "op13_hard_negatives": NEGATIVES_SQL}
