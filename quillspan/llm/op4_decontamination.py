@@ -12,11 +12,14 @@ searched shard by shard.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Scratch
 from .textkit import U64, buffers, chunks, mix, ragged, words
 
 SHARD_BYTES = 32 << 20
@@ -37,28 +40,47 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def item_parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its item, its part, item of each part).
+
+    Long items are cut into even parts of at most PART words: of 65 words on end, some passage holds all.
+    """
+    data, offs = buffers(pa.array(texts, pa.string()))
+    _, _, _, row, h = words(data, offs, alnum=True)
+    count = np.bincount(row, minlength=len(texts))
+    nth = np.arange(len(h)) - (np.cumsum(count) - count)[row]
+    parts = np.maximum(-(-count // PART), 1)
+    base = np.cumsum(parts) - parts
+    return h, row, base[row] + nth * parts[row] // np.maximum(count, 1)[row], np.repeat(np.arange(len(texts)), parts)
+
+
+def frequencies(h: np.ndarray, part: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, term of each posting, part of each posting, occurrences in it), ordered by term, then part."""
+    terms, tid = np.unique(h, return_inverse=True)
+    key, tf = np.unique(tid * m + part, return_counts=True) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return terms, key // max(m, 1), key % max(m, 1), tf
+
+
 class Index:
-    """Inverted index of item parts: postings (part, impact) by term, their best impact, and that of each block of parts."""
+    """Inverted index of item parts: postings (part, impact) by term, their best impact, and that of each block of parts.
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        data, offs = buffers(pa.array(texts, pa.string()))
-        _, _, _, row, h = words(data, offs, alnum=True)
+    ``whole``: (parts, words, parts that hold each term of this index) of all items, where the index
+    holds some of them only; scores then are those of one index of all.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], whole: tuple[int, int, dict[int, int]] | None = None):
         self.ids = np.array(ids, np.int64)
-        # long items are indexed in even parts of at most PART words: of 65 words on end, some passage holds all
-        count = np.bincount(row, minlength=len(ids))
-        nth = np.arange(len(h)) - (np.cumsum(count) - count)[row]
-        parts = np.maximum(-(-count // PART), 1)
-        base = np.cumsum(parts) - parts
-        part = base[row] + nth * parts[row] // np.maximum(count, 1)[row]
-        self.item = np.repeat(np.arange(len(ids)), parts)
+        h, row, part, self.item = item_parts(texts)
         m = len(self.item)
-        self.terms, tid = np.unique(h, return_inverse=True)
-        key, tf = np.unique(tid * m + part, return_counts=True) if len(h) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        term, part = key // max(m, 1), key % max(m, 1)
+        self.terms, term, part, tf = frequencies(h, part, m)
         df = np.bincount(term, minlength=len(self.terms))
         size = np.bincount(part, weights=tf, minlength=m)
-        idf = np.log1p((m - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[part] / max(size.mean(), 1e-9) if m else 1))
+        every, total = m, size.sum()
+        if whole is not None:
+            every, total, known = whole
+            df = np.array([known[x] for x in self.terms.view(np.int64).tolist()], np.int64)
+        idf = np.log1p((every - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[part] / max(total / max(every, 1), 1e-9)))
         self.own = np.maximum(np.bincount(part, weights=impact, minlength=m), 1e-12)
         impact = impact / self.own[part]
         self.part, self.impact = part, impact  # ordered by term, then part
@@ -170,12 +192,34 @@ class Index:
         return out
 
 
-def index_shards(benchmark: DataFrame) -> list[DataFrame]:
-    """The items in shards that are small enough to broadcast."""
+def statistics(items: DataFrame) -> DataFrame:
+    """(term, n): parts of items that hold a term, counted in two stages; under the null term n is the number of parts, words that of their words."""
+
+    def run(batches):
+        for b in batches:
+            h, _, part, item = item_parts(b.column(0).to_pylist())
+            terms, term, _, _ = frequencies(h, part, len(item))
+            n = np.append(np.bincount(term, minlength=len(terms)), len(item))
+            size = np.append(np.zeros(len(terms), np.int64), len(h))
+            yield pa.RecordBatch.from_arrays([pa.array([*terms.view(np.int64).tolist(), None], pa.int64()), pa.array(n.astype(np.int64)), pa.array(size)], ["term", "n", "words"])
+
+    return items.select("text").mapInArrow(run, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The items, indexed in shards that are small enough to broadcast; how they are dealt never shows in a score."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     n = max(1, -(-2 * size // SHARD_BYTES)) if size > SHARD_BYTES else 1
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    stats = Scratch(benchmark.sparkSession).cut(statistics(items), "terms") if n > 1 else None
+    for i in range(n):
+        rows = sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect())
+        ids, texts, whole = [r[0] for r in rows], [r[1] for r in rows], None
+        if stats is not None:
+            every = stats.where("term is null").first()
+            terms = benchmark.sparkSession.createDataFrame(pa.table({"term": np.unique(item_parts(texts)[0]).view(np.int64)}))
+            whole = every["n"], every["words"], {r["term"]: r["n"] for r in stats.join(terms, "term").collect()}
+        yield Index(ids, texts, whole)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, least: float = 0.6, overlap: float = 0.8) -> DataFrame:
@@ -193,9 +237,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
     schema = given.schema.add("item_id", "long").add("score", "double").add("overlap", "double").add("question_overlap", "double").add("answer_overlap", "double")
     wide = docs.select(*columns, F.col("text").alias("_text"))
     out = None
-    for shard in index_shards(benchmark):
-        rows = sorted((r["item_id"], r["text"]) for r in shard.collect())
-        shared = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+    for index in indexes(benchmark):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value
@@ -216,9 +259,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, co
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """The rows, as they are, that hold no verified item; see ``decontaminate``."""
     schema = docs.schema
-    for shard in index_shards(benchmark):
-        rows = sorted((r["item_id"], r["text"]) for r in shard.collect())
-        shared = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+    for index in indexes(benchmark):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
             index = shared.value

@@ -287,3 +287,36 @@ def test_pipeline_keeps_own_replacement_characters(spark, sf):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeats(spark, docs, sf).collect()}
     want = {1: "own � text end � one", 2: "other � begin last � two"}
     assert {k: v[0].replace("  ", " ") for k, v in got.items()} == want and all(n == len(t) for t, n in got.values())
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf):
+    """Reused ids beside columns named like those that the stages make."""
+    names = ["_id", "_v", "_class", "_nth", "_text", "_score", "id", "class", "nth", "row", "v", "root", "kept", "gone"]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in [*ROWS, (9, "another text under the same id, of its own words")]], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    want = corpus_pipeline.near_duplicates(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), sf).count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+        assert name != "near_duplicates" or len(rows) == want < docs.count()
+
+
+def test_scores_do_not_follow_the_shards(spark, monkeypatch):
+    """The same pairs and scores from one index as from many, near items and long ones included."""
+    from quillspan.llm import op4_decontamination as leak
+
+    g = np.random.Generator(np.random.Philox(8))
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(g.choice(words, int(g.integers(3, 200))))) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cut = [(i, "before it " + " ".join(t.split()[: max(5, int(len(t.split()) * 0.9))]) + " after it") for i, t in items]
+    docs = spark.createDataFrame(cut, "doc_id long, text string")
+    one = sorted(tuple(r) for r in decontaminate(spark, docs, bench).collect())
+    monkeypatch.setattr(leak, "SHARD_BYTES", 6000)
+    many = sorted(tuple(r) for r in decontaminate(spark, docs, bench).collect())
+    assert len(list(leak.indexes(bench))) > 4 and len(one) > 30
+    assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2:] for r in one], [r[2:] for r in many], rtol=0, atol=1e-12)
+    assert drop_contaminated(spark, docs, bench).count() == 60 - len({r[0] for r in one})
