@@ -45,16 +45,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # of the classes that a group's smallest id names in it, the least stays
     pairs = found.where("v is not null").groupBy("root", "doc_id", "v").agg(F.first("kept").alias("kept"))
     least = pairs.where("kept").groupBy("root").agg(F.min("v").alias("least"))
-    gone = pairs.join(least, "root", "left").where("not kept or v <> least").select(F.col("doc_id").alias("_id"), F.col("v").alias("_class")).distinct()
+    gone = pairs.join(least, "root", "left").where("not kept or v <> least").select(F.col("doc_id").alias("id"), F.col("v").alias("class")).distinct()
     gone = scratch.cut(gone, "gone")
-    gone, many = scratch.small(gone, 40), scratch.small(twice)
-    once = docs.join(many, "doc_id", "left_anti").select(*docs.columns)
-    once = once.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    reused = with_class(docs.join(many, "doc_id", "left_semi").select(*docs.columns), "_v")
-    reused = reused.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_v") == F.col("_class")), "left_anti")
+    # whatever the table's columns are named, they stay apart in a struct
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text")
+    gone, many = scratch.small(gone, 40), scratch.small(twice.withColumnRenamed("doc_id", "id"), rows=twice._rows)
+    once = rows.join(many, "id", "left_anti").join(gone, "id", "left_anti").select("row")
+    reused = with_class(rows.join(many, "id", "left_semi").select("row", "id", "text"), "class").join(gone, ["id", "class"], "left_anti")
     # rows of one id and class are copies; texts without words are told apart as they are
-    same = Window.partitionBy("doc_id", "_v", F.when(F.col("_v").isNull(), F.col("text"))).orderBy("text")
-    return once.unionByName(reused.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").select(*docs.columns))
+    same = Window.partitionBy("id", "class", F.when(F.col("class").isNull(), F.col("text"))).orderBy("text")
+    reused = reused.withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return once.union(reused.select("row")).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
