@@ -46,18 +46,23 @@ def consolidate(rows: DataFrame, protected: DataFrame) -> DataFrame:
     Precedence: protected (a protected loose key or street key, for all rows of a text, and for all
     rows of a model input with such a row), then one text with several labellings, then one model
     input with several. Of equal (text, signature) the first by id is kept, others are duplicates.
+    A null text or model input equals no other, so such a row is held to its own keys alone; null
+    signatures equal each other; every row comes back once.
     """
-    loose = rows.join(protected.select("loose").distinct(), "loose", "left_semi").select("text")
-    street = rows.select("text", F.explode("street_keys").alias("k")).join(protected.select(F.explode("street_keys").alias("k")).distinct(), "k", "left_semi").select("text")
-    hit = loose.union(street).distinct().withColumn("hit", F.lit(True))
-    r = rows.join(hit, "text", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    r = protect.propagate(r, "model_input", "hit")
-    exact = protect.conflicting(rows, "text", "signature").select("text", F.lit(True).alias("exact"))
-    model = protect.conflicting(rows, "model_input", "signature").select("model_input", F.lit(True).alias("model"))
-    first = rows.groupBy("text", "signature").agg(F.min("id").alias("first"))
-    r = r.join(exact, "text", "left").join(model, "model_input", "left").join(first, ["text", "signature"])
-    reason = F.when(F.col("hit"), "protected").when(F.col("exact"), "exact-label-conflict").when(F.col("model"), "model-input-conflict").when(F.col("id") != F.col("first"), "duplicate")
-    return r.withColumn("reason", reason).drop("hit", "exact", "model", "first")
+    cols = rows.columns
+    r = rows.withColumn("_text", F.coalesce(F.concat(F.lit("="), "text"), F.concat(F.lit("#"), F.col("id").cast("string")), F.lit("")))
+    r = r.withColumn("_sign", F.coalesce(F.concat(F.lit("="), F.col("signature").cast("string")), F.lit("")))
+    loose = r.join(protected.select("loose").distinct(), "loose", "left_semi").select("_text")
+    street = r.select("_text", F.explode("street_keys").alias("_k")).join(protected.select(F.explode("street_keys").alias("_k")).distinct(), "_k", "left_semi").select("_text")
+    hit = loose.union(street).distinct().withColumn("_hit", F.lit(True))
+    texts = r.where("text is not null").groupBy("_text").agg((F.countDistinct("_sign") > 1).alias("_exact"))
+    model = r.where("model_input is not null").groupBy("model_input").agg((F.countDistinct("_sign") > 1).alias("_model"))
+    first = r.where("text is not null").groupBy("_text", "_sign").agg(F.min("id").alias("_first"))
+    r = r.join(hit, "_text", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    r = protect.propagate(r, "model_input", "_hit")
+    r = r.join(texts, "_text", "left").join(model, "model_input", "left").join(first, ["_text", "_sign"], "left")
+    reason = first_reason(("protected", F.col("_hit")), ("exact-label-conflict", F.col("_exact")), ("model-input-conflict", F.col("_model")), ("duplicate", F.col("id") != F.col("_first")))
+    return r.select(*cols, reason.alias("reason"))
 
 
 def coverage(countries: DataFrame, files: DataFrame, reports: DataFrame) -> DataFrame:

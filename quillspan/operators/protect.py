@@ -32,9 +32,9 @@ def conflicting(df: DataFrame, key: str, signature: str | Column) -> DataFrame:
 
 
 def propagate(df: DataFrame, key: str, flag: str) -> DataFrame:
-    """The flag of any row of a key, on all its rows. Aggregated before the join, so a hot key is one row."""
-    hot = df.where(F.col(flag)).select(key).distinct().withColumn("_p", F.lit(True))
-    return df.join(hot, key, "left").withColumn(flag, F.coalesce("_p", F.lit(False))).drop("_p")
+    """The flag of any row of a key, on all its rows; a row without a key keeps its own. Aggregated before the join, so a hot key is one row."""
+    hot = df.where(F.col(flag)).select(key).where(F.col(key).isNotNull()).distinct().withColumn("_p", F.lit(True))
+    return df.join(hot, key, "left").withColumn(flag, F.coalesce("_p", flag, F.lit(False))).drop("_p")
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

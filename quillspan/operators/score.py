@@ -27,13 +27,17 @@ def field_lists(df: DataFrame, id: str = "id", components: str = "components", b
 def field_outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(id, model, field, in_gold, in_pred, correct): the fields of gold and prediction compared as multisets.
 
-    Every model answers for every gold row: one without a prediction is missed.
+    Every model answers for every gold row: one without a prediction is missed. Where neither gold
+    nor prediction has a field, one correct outcome without a field stands for the row.
     """
     models = F.broadcast(pred.select("model").distinct())  # a few
     g = field_lists(gold).crossJoin(models).select("id", "model", "field", F.col("tokens").alias("g"))
     p = field_lists(pred, by=["model"]).select("id", "model", "field", F.col("tokens").alias("p"))
     j = g.join(p, ["id", "model", "field"], "full_outer")
-    return j.select("id", "model", "field", F.col("g").isNotNull().alias("in_gold"), F.col("p").isNotNull().alias("in_pred"), F.coalesce(F.col("g") == F.col("p"), F.lit(False)).alias("correct"))
+    out = j.select("id", "model", "field", F.col("g").isNotNull().alias("in_gold"), F.col("p").isNotNull().alias("in_pred"), F.coalesce(F.col("g") == F.col("p"), F.lit(False)).alias("correct"))
+    some = F.exists("components", lambda c: S.field_of(c["label"]).isNotNull() & (F.size(X.scorer_tokens(c["raw"])) > 0))
+    bare = gold.where(~F.coalesce(some, F.lit(False))).select("id").distinct().crossJoin(models).join(p.select("id", "model").distinct(), ["id", "model"], "left_anti")
+    return out.union(bare.select("id", "model", F.lit(None).cast("string"), F.lit(False), F.lit(False), F.lit(True)))
 
 
 def f1(tp: Column, predicted: Column, gold: Column) -> Column:
@@ -42,7 +46,7 @@ def f1(tp: Column, predicted: Column, gold: Column) -> Column:
 
 def field_report(outcomes: DataFrame, by: list[str] = ("model", "field")) -> DataFrame:
     ints = lambda c: F.sum(F.col(c).cast("long"))
-    r = outcomes.groupBy(*by).agg(ints("correct").alias("correct"), ints("in_pred").alias("predicted"), ints("in_gold").alias("gold"))
+    r = outcomes.where("field is not null").groupBy(*by).agg(ints("correct").alias("correct"), ints("in_pred").alias("predicted"), ints("in_gold").alias("gold"))
     return r.withColumn("f1", f1(F.col("correct"), F.col("predicted"), F.col("gold")))
 
 

@@ -393,6 +393,35 @@ def propagate_protection(spark, sf_dir):
     return protect.propagate(d, "loose", "flag").select("doc_id", "flag")
 
 
+@query(f"""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN sha256({ident('text')}) END AS loose, CASE WHEN doc_id % 7 > 0 THEN doc_id % 50 = 1 END AS flag FROM documents)
+SELECT doc_id, coalesce(CASE WHEN loose IS NULL THEN flag ELSE max(flag) OVER (PARTITION BY loose) END, FALSE) AS flag FROM k""")
+def propagate_without_keys(spark, sf_dir):
+    """A third of the rows have no key, a seventh no flag."""
+    key = F.when(F.col("doc_id") % 3 > 0, X.digest(X.identity(F.col("text"))))
+    d = t(spark, sf_dir, "documents").select("doc_id", key.alias("loose"), F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 50 == 1).alias("flag"))
+    return protect.propagate(d, "loose", "flag").select("doc_id", "flag")
+
+
+@query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 11 > 0 THEN 'part ' || l_partkey || ' ' || l_linenumber END AS text, CAST(l_orderkey AS VARCHAR) AS loose,
+  CASE WHEN l_suppkey % 13 > 0 THEN 'supplier ' || l_suppkey || l_shipdate END AS m, CASE WHEN l_quantity > 2 THEN l_returnflag END AS sign, CAST(l_suppkey AS VARCHAR) || l_returnflag || l_linestatus AS street FROM lineitem),
+u AS (SELECT *, coalesce('=' || text, '#' || id) AS unit, coalesce('=' || sign, '') AS s, id % 97 = 0 OR street IN (SELECT street FROM (SELECT street FROM r WHERE id % 9973 = 0)) AS own FROM r),
+p AS (SELECT *, max(own) OVER (PARTITION BY unit) AS hit FROM u), q AS (
+  SELECT id, CASE WHEN m IS NULL THEN hit ELSE max(hit) OVER (PARTITION BY m) END AS hit, CASE WHEN text IS NOT NULL THEN min(s) OVER (PARTITION BY text) <> max(s) OVER (PARTITION BY text) END AS exact,
+    CASE WHEN m IS NOT NULL THEN min(s) OVER (PARTITION BY m) <> max(s) OVER (PARTITION BY m) END AS model, CASE WHEN text IS NOT NULL THEN min(id) OVER (PARTITION BY text, s) END AS first FROM p)
+SELECT id, CASE WHEN hit THEN 'protected' WHEN exact THEN 'exact-label-conflict' WHEN model THEN 'model-input-conflict' WHEN id <> first THEN 'duplicate' END AS reason FROM q""")
+def consolidate_nulls(spark, sf_dir):
+    """Every reason by itself, over all lines; some lack a text, a model input or a signature."""
+    some = lambda c, x: F.when(c, x)
+    r = t(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), some(F.col("l_partkey") % 11 > 0, F.concat_ws(" ", F.lit("part"), "l_partkey", "l_linenumber")).alias("text"),
+        F.col("l_orderkey").cast("string").alias("order"), some(F.col("l_suppkey") % 13 > 0, F.concat(F.lit("supplier "), "l_suppkey", "l_shipdate")).alias("model_input"),
+        some(F.col("l_quantity") > 2, F.col("l_returnflag")).alias("signature"), F.array(F.concat("l_suppkey", "l_returnflag", "l_linestatus")).alias("street_keys"),
+    )
+    r = r.withColumn("loose", F.when(F.col("id") % 97 == 0, F.lit("guarded")).otherwise(F.col("order")))
+    guarded = r.where("id % 9973 = 0").select(F.lit("guarded").alias("loose"), "street_keys").union(spark.createDataFrame([("guarded", [])], "loose string, street_keys array<string>"))
+    return corpus.consolidate(r.drop("order"), guarded).select("id", "reason")
+
+
 @query(f"WITH k AS (SELECT doc_id, sha256({ident('text')}) AS loose FROM documents) SELECT loose, min(doc_id) AS doc_id FROM k GROUP BY loose")
 def first_admission(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", X.digest(X.identity(F.col("text"))).alias("loose"))
@@ -540,6 +569,22 @@ def source_audit(spark, sf_dir):
     return a.groupBy("source", "reason").agg(F.sum("rows").alias("rows"))
 
 
+@query("""SELECT source, reason, type, count(*) AS rows FROM (
+  SELECT 'a' AS source, CASE WHEN c_custkey % 3 = 0 THEN 'spoiled' WHEN c_custkey % 4 = 0 THEN 'missing-text' WHEN c_custkey % 5 = 0 THEN 'replacement-character' ELSE 'ok' END AS reason FROM customer
+  UNION ALL SELECT 'b', CASE WHEN o_orderkey % 4 = 0 THEN 'missing-text' ELSE 'ok' END FROM orders), (VALUES ('administrative-only')) v(type) GROUP BY ALL""")
+def source_audit_repeats(spark, sf_dir):
+    """Ids repeat a thousandfold or are null; both the mapper and the audit reject rows."""
+    def rows(df, key, reason):
+        k = F.col(key)
+        text = F.when(k % 4 > 0, F.when((k % 5 == 0) & (key == "c_custkey"), F.lit("Town \ufffd")).otherwise("Town"))
+        spans = F.array(S.span(F.lit("city"), F.lit(0), F.lit(4), F.lit("Town")))
+        return df.select(F.when(k % 2 == 0, (k % 7).cast("string")).alias("id"), text.alias("text"), spans.alias("components"), F.lit("us").alias("country"), reason.alias("reason"))
+
+    spoiled = F.when(F.col("c_custkey") % 3 == 0, "spoiled")
+    sources = {"a": (t(spark, sf_dir, "customer"), lambda d: rows(d, "c_custkey", spoiled)), "b": (t(spark, sf_dir, "orders"), lambda d: rows(d, "o_orderkey", F.lit(None).cast("string")))}
+    return corpora.multi_source_audit(sources)
+
+
 # --- selection --------------------------------------------------------------------------------------
 
 
@@ -668,7 +713,18 @@ SELECT h.country, h.model, rows, exact, 100 * p AS percent, 100 * (mid - half) A
 def score_report(spark, sf_dir):
     """Both models by country and over all."""
     g, p = gold_and_predictions(spark, sf_dir)
-    return corpora.score_report(g, p.select("id", "model", "components"))
+    return corpora.score_report(g, p.select("id", "model", "components")).drop("every")
+
+
+@query(OUT.replace("id, country, 'a'", "id, CASE WHEN c_custkey % 5 > 0 THEN country END AS country, 'a'").replace("id, country, 'b'", "id, CASE WHEN c_custkey % 5 > 0 THEN country END, 'b'") + """,
+y AS (SELECT x.country, model, exact, e.every FROM x, (VALUES (TRUE), (FALSE)) e(every)), r AS (SELECT CASE WHEN NOT every THEN country END AS country, every, model, count(*) AS rows, count(*) FILTER (exact) AS exact FROM y GROUP BY ALL),
+z AS (SELECT o.*, e.every FROM o, (VALUES (TRUE), (FALSE)) e(every)), f AS (SELECT CASE WHEN NOT every THEN country END AS country, every, model, 2.0 * sum(correct::INT) / (sum(in_pred::INT) + sum(in_gold::INT)) AS field_f1 FROM z GROUP BY ALL)
+SELECT r.country, r.every, r.model, rows, exact, field_f1 FROM r JOIN f ON r.country IS NOT DISTINCT FROM f.country AND r.every = f.every AND r.model = f.model""")
+def score_report_nulls(spark, sf_dir):
+    """A fifth of the gold rows have no country."""
+    g, p = gold_and_predictions(spark, sf_dir)
+    g = g.withColumn("country", F.when(F.col("c_custkey") % 5 > 0, F.col("country")))
+    return corpora.score_report(g, p.select("id", "model", "components")).select("country", "every", "model", "rows", "exact", "field_f1")
 
 
 @query(OUT + """ SELECT a.country, count(*) FILTER (a.exact AND b.exact) AS "both", count(*) FILTER (a.exact AND NOT b.exact) AS only_a, count(*) FILTER (NOT a.exact AND b.exact) AS only_b,

@@ -28,11 +28,9 @@ def mapped(sources: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]
 
 
 def multi_source_audit(sources: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
-    """(source, reason, type, rows): what mappers and then the audit say of each source."""
-    m = mapped(sources)
-    a = corpus.audit(m.drop("reason")).withColumnRenamed("reason", "later")
-    both = m.select("source", "id", F.col("reason").alias("first")).join(a.select("source", "id", "later", "type"), ["source", "id"])
-    return both.groupBy("source", F.coalesce("first", "later", F.lit("ok")).alias("reason"), "type").agg(F.count("*").alias("rows"))
+    """(source, reason, type, rows): what mappers and then the audit say of each source, row by row in place."""
+    a = corpus.audit(mapped(sources).withColumnRenamed("reason", "first"))
+    return a.groupBy("source", F.coalesce("first", "reason", F.lit("ok")).alias("reason"), "type").agg(F.count("*").alias("rows"))
 
 
 def representable(df: DataFrame) -> DataFrame:
@@ -144,16 +142,22 @@ def frozen_benchmark(rows: DataFrame, blocked: DataFrame, per_stratum: int, seed
 
 
 def score_report(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(country, model, rows, exact, percent, low, high, field_f1): gold: id, country, components; pred: id, model, components; country null: all."""
-    outcomes = score.field_outcomes(gold, pred).join(gold.select("id", "country"), "id", "left")
+    """(country, model, rows, exact, percent, low, high, field_f1, every): gold: id, country, components; pred: id, model, components.
+
+    ``every`` marks the rows over all countries, so that a null country keeps a row of its own;
+    predictions without a gold row have no country and count among the null ones.
+    """
+    outcomes = score.field_outcomes(gold, pred).join(gold.select("id", "country").distinct(), "id", "left")
     per_row = outcomes.groupBy("id", "model", "country").agg(F.min("correct").alias("exact"))
-    cube = lambda df, *aggs: df.groupingSets([[F.col("country"), F.col("model")], [F.col("model")]], "country", "model").agg(*aggs)
+    every = (F.grouping("country") == 1).alias("every")
+    cube = lambda df, *aggs: df.groupingSets([[F.col("country"), F.col("model")], [F.col("model")]], "country", "model").agg(every, *aggs)
     r = cube(per_row, F.count("*").alias("rows"), F.count_if("exact").alias("exact"))
-    ints = lambda c: F.sum(F.col(c).cast("long"))
-    f = cube(outcomes, score.f1(ints("correct"), ints("in_pred"), ints("in_gold")).alias("field_f1")).withColumnRenamed("country", "c2").withColumnRenamed("model", "m2")
+    ints = lambda c: F.sum(F.when(F.col("field").isNotNull(), F.col(c).cast("long")).otherwise(0))
+    f = cube(outcomes, score.f1(ints("correct"), ints("in_pred"), ints("in_gold")).alias("field_f1"))
+    f = f.withColumnsRenamed({"country": "c2", "model": "m2", "every": "e2"})
     low, high = score.wilson(F.col("exact"), F.col("rows"))
-    j = r.join(f, F.col("country").eqNullSafe(F.col("c2")) & (F.col("model") == F.col("m2")))
-    return j.select("country", "model", "rows", "exact", (100 * F.col("exact") / F.col("rows")).alias("percent"), low.alias("low"), high.alias("high"), "field_f1")
+    j = r.join(f, F.col("country").eqNullSafe(F.col("c2")) & F.col("model").eqNullSafe(F.col("m2")) & (F.col("every") == F.col("e2")))
+    return j.select("country", "model", "rows", "exact", (100 * F.col("exact") / F.col("rows")).alias("percent"), low.alias("low"), high.alias("high"), "field_f1", "every")
 
 
 def model_comparison(gold: DataFrame, pred: DataFrame, a: str, b: str) -> DataFrame:
