@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .admit import joint_caps  # noqa: F401  (selection in rank order under two caps)
 
 
 def hash_rank(*cols: Column | str, seed: str = "") -> Column:
@@ -54,30 +54,6 @@ def arg_min(df: DataFrame, by: Sequence[str], order: Column, cols: Sequence[str]
     return df.groupBy(*by).agg(F.min_by(F.struct(*cols), order).alias("best")).select(*by, "best.*")
 
 
-def joint_caps(df: DataFrame, rank: str, quota: str, group: str, full: str, caps: tuple[int, int] = (5000, 1000), per_group: int = 8) -> DataFrame:
-    """Rows kept in rank order while both their quota and their group have room; a skipped row uses neither.
-
-    The outcome of a row depends on all before it, in any quota that shares a group with its own, so
-    narrow triples (rank, quota, group) go through one ordered pass, and the payload is joined back.
-    Neither a full quota nor a full group ever empties, so of the rows that share both, those kept are
-    the first ones: all but the first ``per_group`` are left out before, in parallel.
-    """
-    narrow = df.select(F.col(rank).alias("r"), F.col(quota).alias("q"), F.col(group).alias("g"), F.col(full).alias("f"))
-    narrow = top_n(narrow, ["q", "g", "f"], [F.col("r")], per_group).select("r", "q", "g", "f", F.lit(0).alias("one"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, seen, keep = {}, {}, []
-        for r, q, g, f in pdf.sort_values("r")[["r", "q", "g", "f"]].itertuples(index=False):
-            k = (q, bool(f))
-            if used.get(k, 0) < (caps[0] if f else caps[1]) and seen.get(g, 0) < per_group:
-                used[k], seen[g] = used.get(k, 0) + 1, seen.get(g, 0) + 1
-                keep.append(r)
-        return pd.DataFrame({"r": keep})
-
-    kept = narrow.groupBy("one").applyInPandas(walk, f"r {dict(df.dtypes)[rank]}")
-    return df.join(kept, df[rank] == kept["r"], "left_semi")
-
-
 def exact_sample(df: DataFrame, index: str, n: int, total: int, seed: int) -> DataFrame:
     """The rows at the positions that random.Random(seed).sample(range(total), n) names; n is small."""
     import random

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
-from ..operators import augment, corpus, model, protect, score, select
+from ..operators import admit, augment, corpus, model, protect, score, select
 from ..sources import mappers
 from . import corpora
 
@@ -560,6 +560,39 @@ def frozen_benchmark(spark, sf_dir):
     return out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS id, sha256('a|' || o_orderkey) AS rank, list_concat(['c' || o_custkey], (SELECT list(DISTINCT 's' || l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey)) AS keys FROM orders),
+w AS (
+  SELECT '' AS rank, CAST([] AS VARCHAR[]) AS used
+  UNION ALL SELECT n.rank, list_concat(w.used, n.keys) FROM w, LATERAL (SELECT min_by(e.rank, e.rank) AS rank, min_by(e.keys, e.rank) AS keys FROM e WHERE e.rank > w.rank AND NOT list_has_any(e.keys, w.used)) n WHERE n.rank IS NOT NULL)
+SELECT id AS o_orderkey, rank IN (SELECT rank FROM w) AS admitted FROM e""")
+def arrival_admission(spark, sf_dir):
+    """Orders in hash order, each admitted unless an earlier admitted one has its customer or one of its suppliers."""
+    suppliers = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("suppliers"))
+    o = t(spark, sf_dir, "orders").join(suppliers, "o_orderkey", "left")
+    o = o.select("o_orderkey", select.hash_rank("o_orderkey", seed="a").alias("rank"), F.array_append(F.coalesce("suppliers", F.array().cast("array<string>")), F.concat(F.lit("c"), "o_custkey")).alias("keys"))
+    return admit.in_order(o, "rank", "keys").select("o_orderkey", (F.col("outcome") == "admitted").alias("admitted"))
+
+
+@query("""WITH e AS (SELECT s_suppkey AS k, s_suppkey // 3 AS street, s_suppkey % 3 AS r, s_nationkey AS city, s_suppkey % 2 AS post, CASE WHEN s_suppkey % 3 = 0 THEN 'VT' ELSE 'NY' END AS stratum, s_nationkey = 3 AS blocked,
+  'bank:' || s_suppkey AS id, sha256('f|bank:' || s_suppkey) AS rank FROM supplier),
+b AS (SELECT DISTINCT street, city, post FROM e WHERE blocked),
+x AS (SELECT *, street IN (SELECT street FROM b WHERE b.city = e.city) OR (street, post) IN (SELECT (street, post) FROM b) AS hit FROM e),
+f AS (SELECT x.*, EXISTS (SELECT 1 FROM x a WHERE a.street = x.street AND a.r = 0 AND NOT a.hit AND (a.city = x.city OR a.post = x.post)) AS meets0,
+  EXISTS (SELECT 1 FROM x a WHERE a.street = x.street AND a.r = 1 AND NOT a.hit AND (a.city = x.city OR a.post = x.post)) AS meets1 FROM x),
+g AS (SELECT f.*, CASE r WHEN 0 THEN FALSE WHEN 1 THEN meets0 ELSE meets0 OR (meets1 AND NOT EXISTS (SELECT 1 FROM f a WHERE a.street = f.street AND a.r = 1 AND a.meets0)) END AS later FROM f),
+z AS (SELECT *, CASE WHEN hit THEN 'blocked-entity' WHEN later THEN 'duplicate-entity' END AS reason FROM g),
+y AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY stratum, reason IS NULL ORDER BY rank, id) END AS rn FROM z)
+SELECT k, coalesce(reason, CASE WHEN rn > 5 THEN 'not-drawn' END, 'kept') AS reason FROM y""")
+def frozen_arrival(spark, sf_dir):
+    """All suppliers as bank branches, three on each street, in the order of their numbers; one may stand because the one that it clashes with fell to an earlier one."""
+    k = F.col("s_suppkey")
+    c = t(spark, sf_dir, "supplier").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
+    raw = c.select(k.alias("UNINUM"), F.concat(F.lit("Road "), F.floor(k / 3)).alias("ADDRESS"), F.col("n_name").alias("CITY"), F.when(k % 3 == 0, "VT").otherwise("NY").alias("STALP"), F.concat(F.lit("1000"), k % 2).alias("ZIP"), "n_nationkey", k)
+    rows = mappers.bank_branches(raw).withColumn("arrival", F.regexp_extract("id", r"(\d+)$", 1).cast("long"))
+    out = corpora.frozen_benchmark(rows.select("id", "country", "stratum", "text", "components", "reason", "arrival"), mappers.bank_branches(raw.where("n_nationkey = 3")).select("country", "components"), 5, "f", "arrival")
+    return out.select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("k"), F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
 @query("""SELECT source, reason, count(*) AS rows FROM (SELECT 'state' AS source, CASE WHEN c_custkey % 13 = 0 THEN 'invalid' ELSE 'ok' END AS reason FROM customer UNION ALL SELECT 'bank', CASE WHEN s_suppkey % 6 = 0 THEN 'territory-or-foreign' ELSE 'ok' END FROM supplier) GROUP BY ALL""")
 def source_audit(spark, sf_dir):
     k, b = F.col("c_custkey"), F.col("s_suppkey")
@@ -625,7 +658,12 @@ def arg_min_representative(spark, sf_dir):
     return select.arg_min(t(spark, sf_dir, "documents"), ["source"], X.digest(F.col("doc_id").cast("string")), ["doc_id"])
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) AS g, 2 * dense_rank() OVER (ORDER BY o_orderpriority) - CAST(o_orderstatus = 'F' AS INT) AS q, o_orderstatus = 'F' AS f, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+w AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS kept, list_transform(range((SELECT max(q) FROM o)), lambda x: 0) AS used, list_transform(range((SELECT max(g) FROM o)), lambda x: 0) AS seen
+  UNION ALL SELECT s.n, CASE WHEN ok THEN o_orderkey END, CASE WHEN ok THEN used[:q - 1] || [used[q] + 1] || used[q + 1:] ELSE used END, CASE WHEN ok THEN seen[:g - 1] || [seen[g] + 1] || seen[g + 1:] ELSE seen END
+  FROM (SELECT o.*, used, seen, used[q] < CASE WHEN f THEN 500 ELSE 100 END AND seen[g] < 8 AS ok FROM w JOIN o ON o.n = w.n + 1) s)
+SELECT o_orderkey, o_orderpriority, o_custkey, o_orderstatus = 'F' AS "full" FROM orders WHERE o_orderkey IN (SELECT kept FROM w)""")
 def joint_caps(spark, sf_dir):
     o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", (F.col("o_orderstatus") == "F").alias("full"))
     return select.joint_caps(o, "o_orderkey", "o_orderpriority", "o_custkey", "full", (500, 100), 8)

@@ -1,8 +1,8 @@
 """Corpora and reports as whole dataflows: every row gets the first reason that speaks against it, null if it is kept.
 
-Where an admission in arrival order would let a row depend on those admitted before it, a set rule
-stands instead (a key's first row by hash, a key whose rows disagree), so that results do not
-depend on how the input is dealt out.
+Where rows have an order of arrival, ``admission`` and ``frozen_benchmark`` let a row depend on those
+admitted before it; elsewhere a set rule stands (a key's first row by hash, a key whose rows
+disagree). Neither depends on how the input is dealt out.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
-from ..operators import augment, corpus, protect, score, select
+from ..operators import admit, augment, corpus, protect, score, select
 
 
 def mapped(sources: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -108,6 +108,43 @@ def expansion(rows: DataFrame, known: DataFrame, protected: DataFrame, seed: str
     return r.select("id", "text", "country", "components", "fields", "split", "kind", state.alias("state"), "grp", "rank", (F.coalesce(F.size("old"), F.lit(0)) == 0).alias("novel"), "reason")
 
 
+def admission(rows: DataFrame, known: DataFrame, protected: DataFrame, seed: str) -> DataFrame:
+    """Candidates (arrival, id, text, country, components) admitted in the order of arrival, which is unique; known and protected as in ``expansion``.
+
+    Adds reason, split and round. A row takes the split of the first admitted row that shares an
+    alias with it; one whose aliases have several is a bridge. Of rows with an equal text, or with
+    equal fields, the first admitted stands. An admitted row whose text comes again with other labels
+    is a conflict and leaves the corpus, though what it has claimed stays claimed.
+    """
+    r = representable(rows).withColumn("loose", X.identity(F.col("text")))
+    c = F.col("components")
+    r = r.withColumn("grp", S.group_key(F.col("country"), F.col("text"), c))
+    r = r.withColumn("aliases", F.array_distinct(F.concat(L.alias_keys(F.col("country"), c), L.alias_keys(F.col("country"), F.col("fields")), F.array("grp"))))
+    r = r.withColumn("own", X.hash_split(F.concat_ws("|", F.lit(seed), "grp")))
+    guarded = protected.select(X.identity(F.col("text")).alias("loose")).distinct().withColumn("guarded", F.lit(True))
+    old = r.select("arrival", F.explode("aliases").alias("alias")).join(known, "alias").groupBy("arrival").agg(F.collect_set("split").alias("old"))
+    r = r.join(guarded, "loose", "left").join(old, "arrival", "left")
+    first = corpus.first_reason(
+        ("unrepresentable", ~F.col("fits")), ("existing-or-protected", F.coalesce("guarded", F.lit(False))),
+        ("heldout-group", F.coalesce(F.size(F.array_except("old", F.array(F.lit("train")))) > 0, F.lit(False))),
+    )
+    r = r.withColumn("first", first)
+    parts = F.transform("fields", lambda s: F.struct(s["label"].alias("label"), X.identity(s["raw"]).alias("raw")))
+    r = r.withColumn("key", X.text_key(F.col("text"))).withColumn("sign", F.xxhash64(F.to_json(parts)))
+    entity = X.digest(F.to_json(F.array_sort(parts)))
+    r = r.withColumn("sole", F.array(F.concat(F.lit("t"), X.digest(F.col("key"))), F.concat(F.lit("e"), entity)))
+    r = r.withColumn("fixed", F.when(F.array_contains("old", "train"), "train")).withColumn("unsafe", L.is_unsafe_partial(L.kind(c), F.col("fields")))
+    went = admit.in_order(r.where("first is null"), "arrival", "sole", "aliases", "own", "fixed", "unsafe")
+    late = F.when(F.col("outcome") == "bridge", "split-bridge").when(F.col("outcome").isNull(), "unsafe-partial").when(F.col("outcome") == "duplicate", "duplicate")
+    went = went.select("arrival", "key", "sign", late.alias("late"), "split", "round")
+    standing = went.where("late is null").select("key", "arrival", F.col("sign").alias("stands"))
+    again = went.where("late = 'duplicate'").join(standing.select("key", "stands"), "key").where("sign <> stands").select("key").distinct()
+    conflict = standing.join(again, "key", "left_semi").select("arrival", F.lit(True).alias("conflict"))
+    out = r.join(went.drop("key", "sign"), "arrival", "left").join(conflict, "arrival", "left")
+    reason = F.coalesce("first", "late", F.when(F.col("conflict"), "label-conflict"))
+    return out.select("arrival", "id", "text", "country", "fields", F.when(reason.isNull(), F.col("split")).alias("split"), "round", reason.alias("reason"))
+
+
 def selected(candidates: DataFrame, limit: int) -> DataFrame:
     """The first kept candidates of an expansion: groups, kinds and states in turn, new groups first."""
     return select.round_robin(candidates.where("reason is null"), "split", "state", "kind", "grp", "rank", "novel", limit)
@@ -121,11 +158,13 @@ def country_pilot(rows: DataFrame, previous: DataFrame, countries: list[str], pe
     return some, marked.agg(F.count("*").alias("rows"), F.count_if("known").alias("overlap"))
 
 
-def frozen_benchmark(rows: DataFrame, blocked: DataFrame, per_stratum: int, seed: str) -> DataFrame:
+def frozen_benchmark(rows: DataFrame, blocked: DataFrame, per_stratum: int, seed: str, arrival: str | None = None) -> DataFrame:
     """Adds reason to entities (id, country, stratum, text, components, reason); blocked: country, components.
 
     The field set must be complete; no key of an entity may be blocked; of entities that share a key
-    the first by hash stands; of those left each stratum gives its first by hash.
+    the first by hash stands or, if the column ``arrival`` says in which unique order they come, an
+    entity goes that shares one with an earlier entity still standing; of those left each stratum
+    gives its first by hash.
     """
     keys = L.entity_keys(F.col("country"), F.col("components"))
     named = lambda df: df.withColumn("keys", F.transform(keys, lambda k: F.concat_ws("|", k["country"], k["street"], k["field"], k["value"])))
@@ -134,8 +173,13 @@ def frozen_benchmark(rows: DataFrame, blocked: DataFrame, per_stratum: int, seed
     whole = L.has_exactly(F.col("components"), ["street_address", "city", "postcode"], ["state"], F.col("country") == "us")
     r = r.join(seen, "id", "left")
     r = r.withColumn("reason", F.coalesce("reason", corpus.first_reason(("missing-required-field", ~whole), ("replacement-character", F.col("text").contains("�")), ("blocked-entity", F.coalesce("seen", F.lit(False))))))
-    each = r.where("reason is null").select("id", "rank", F.explode("keys").alias("k"))
-    later = each.join(each.groupBy("k").agg(F.min("rank").alias("best")), "k").where("rank <> best").select("id").distinct().withColumn("later", F.lit(True))
+    left = r.where("reason is null")
+    if arrival:
+        later = admit.in_order(left, arrival, "keys").where("outcome <> 'admitted'").select("id")
+    else:
+        each = left.select("id", "rank", F.explode("keys").alias("k"))
+        later = each.join(each.groupBy("k").agg(F.min("rank").alias("best")), "k").where("rank <> best").select("id")
+    later = later.distinct().withColumn("later", F.lit(True))
     r = r.join(later, "id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("later"), "duplicate-entity")))
     best = select.top_n(r.where("reason is null").select("id", "stratum", "rank"), ["stratum"], [F.col("rank"), F.col("id")], per_stratum).select("id", F.lit(True).alias("taken"))
     return r.join(best, "id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("taken").isNull(), "not-drawn"))).select("id", "country", "stratum", "text", "components", "reason")
