@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import tidy
 from .textkit import U64, buffers, chunks, mix, ragged, words
 
 SAMPLE = {1: 2000, 0: 4000}
@@ -281,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         rows = list({r[0]: r for r in rows}.values())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], f32)))], pa.binary())], ["model"])
 
-    made = training_rows(docs, labels).repartition(1).mapInArrow(run, "model binary").collect()
+    made = training_rows(docs, labels).repartition(1).mapInArrow(tidy(run), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else None
 
 
@@ -301,7 +302,7 @@ def score_rows(spark: SparkSession, docs: DataFrame, model: Model | None, column
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["row", "score"])
 
     given = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), *([] if "text" in columns else ["text"]))
-    return given.mapInArrow(run, given.select("row").schema.add("score", "double"))
+    return given.mapInArrow(tidy(run), given.select("row").schema.add("score", "double"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
