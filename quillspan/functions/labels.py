@@ -125,3 +125,16 @@ def script(text: Column) -> Column:
 
 def layout(text: Column) -> Column:
     return F.when(text.contains("\n"), "lines").when(text.contains(","), "commas").otherwise("plain")
+
+
+def label_mask(labels: Column, names: list[str]) -> Column:
+    """A bit for each of ``names`` that the labels hold, and the next one for any other label."""
+    place = lambda x: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)), F.lit(len(names) + 1))
+    return F.aggregate(F.array_distinct(labels), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (place(x) - 1).cast("int"))))
+
+
+def scopes(mask: Column, shared: Column) -> Column:
+    """The scopes of a row by the mask of its gold labels: all; shared, if every model has all of its labels; then complete, if it has all that they share, else partial."""
+    inside = (mask != 0) & (mask.bitwiseAND(F.bitwise_not(shared)) == 0)
+    whole = F.when(inside, F.when(mask == shared, "complete").otherwise("partial"))
+    return F.array_compact(F.array(F.lit("all"), F.when(inside, "shared"), whole))

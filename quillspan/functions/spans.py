@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as X
+from .edits import rebase  # noqa: F401  (as array expressions)
 
 SPANS = "array<struct<label:string,start:int,end:int,raw:string>>"
 ADDRESS_SCHEMA = (
@@ -199,7 +200,7 @@ def utf16(text: Column, spans: Column) -> Column:
 
 
 def rebased(spans: list[dict] | None, a: str, b: str | None) -> list[dict] | None:
-    """Spans carried over an edit from a to b: those before it stay, those after it move, those it touches go."""
+    """What ``rebase`` must give, character by character. Spans carried over an edit from a to b: those before it stay, those after it move, those it touches go."""
     if spans is None or b is None or not b.strip():
         return None
     n, m = len(a), len(b)
@@ -212,11 +213,3 @@ def rebased(spans: list[dict] | None, a: str, b: str | None) -> list[dict] | Non
             lo, hi = s["start"] + shift, s["end"] + shift
             out.append({"label": s["label"], "start": lo, "end": hi, "raw": b[lo:hi]})
     return out
-
-
-def rebase(components: Column, before: Column, after: Column) -> Column:
-    @F.pandas_udf(SPANS)
-    def run(c: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([rebased(*x) for x in zip(c, a, b)])
-
-    return run(components, before, after)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import spans as S
 from ..functions import text as X
+from ..sources.shared import Tables
 
 Z = 1.95996398454
 
@@ -145,8 +148,49 @@ def inverse_frequency(df: DataFrame, by: str) -> DataFrame:
     return g.crossJoin(F.broadcast(t)).select(by, "n", (F.col("total") / (F.col("groups") * F.col("n"))).alias("weight"))  # one row
 
 
-def nearest_rank(df: DataFrame, value: str, ps: dict[str, float], by: list[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(n) for n, p in ps.items()])
+def nearest_rank(df: DataFrame, value: str, ps: dict[str, float], by: list[str] = (), buckets: int = 1024, limit: int = 64) -> DataFrame:
+    """The smallest value of each group whose share of values up to it reaches p; nulls don't count, NaN is the largest.
+
+    Radix selection: rounds count values by bucket between the ends that still hold a rank, and go on
+    with the one bucket in which it lies, whose own least and largest value are the next ends. They
+    are the same once one value is left, so ties end at once. The state of a group is its buckets,
+    however many distinct values it has. Buckets are equal in width, in every other round on a
+    logarithmic scale, so that neither skewed nor widely spread values need many rounds.
+    """
+    tables = Tables(df.sparkSession)
+    v = F.col(value).cast("double")
+    kind = F.when(F.isnan(v), 2).when(v == float("inf"), 1).when(v == float("-inf"), -1).otherwise(0)
+    d = df.where(v.isNotNull()).select(F.struct(F.lit(0), *by).alias("k"), v.alias("v"), kind.alias("kind"))
+    n = lambda x: F.count_if(F.col("kind") == x)
+    finite = F.when(F.col("kind") == 0, F.col("v"))
+    s = d.groupBy("k").agg(F.count("*").alias("n"), n(-1).alias("low"), n(0).alias("mid"), n(1).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    s = s.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in ps.items()])).alias("q")).select("*", "q.*")
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("n"), 9))) - F.col("low")
+    out = F.when(rank <= 0, float("-inf")).when(rank > F.col("mid") + F.col("high"), float("nan")).when(rank > F.col("mid"), float("inf"))
+    s = s.select("k", "name", rank.alias("rank"), "lo", "hi", out.alias("found"))
+    log = lambda x: F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1100))  # noqa: E731  the least positive double has -1074
+    done, half = [], lambda x: x / 2  # noqa: E731  the difference of two finite values may not be one
+    for i in range(limit):
+        s = s.withColumn("found", F.when(F.col("found").isNull() & (F.col("lo") == F.col("hi")), F.col("lo")).otherwise(F.col("found")))
+        s, seen = tables.cut(s, "ranks", left=F.count_if(F.col("found").isNull()))
+        done.append(s.where("found is not null").select("k", "name", "found"))
+        if not seen["left"]:
+            break
+        now = d.where("kind = 0").join(s.where("found is null"), "k").where("v between lo and hi")
+        scale = half if i % 2 == 0 else log
+        part = (scale(F.col("v")) - scale(F.col("lo"))) / F.nullif(scale(F.col("hi")) - scale(F.col("lo")), F.lit(0.0))
+        part = F.coalesce(part, (half(F.col("v")) - half(F.col("lo"))) / (half(F.col("hi")) - half(F.col("lo"))))
+        # the ends always lie in different buckets
+        at = F.when(F.col("v") == F.col("hi"), buckets).when(F.col("v") == F.col("lo"), -1).otherwise(F.least(F.floor(part * buckets), F.lit(buckets - 1)))
+        c = now.groupBy("k", "name", "rank", at.alias("at")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("k", "name").orderBy("at"))
+        c = c.withColumn("upto", upto).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        s = c.select("k", "name", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi", F.lit(None).cast("double").alias("found"))
+    else:
+        raise RuntimeError("more rounds than the limit")
+    every = reduce(DataFrame.unionByName, done)
+    out = every.groupBy("k").agg(*[F.max(F.when(F.col("name") == name, F.col("found"))).alias(name) for name in ps])
+    return out.select(*[F.col(f"k.{c}") for c in by], *[F.col(name).cast(df.schema[value].dataType).alias(name) for name in ps])
 
 
 def percent_stack(df: DataFrame, part: str, value: str, by: str) -> DataFrame:

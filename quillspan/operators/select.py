@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,3 +61,29 @@ def exact_sample(df: DataFrame, index: str, n: int, total: int, seed: int) -> Da
 
     rows = [(i,) for i in random.Random(seed).sample(range(total), min(n, total))]
     return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"{index} long")), index, "left_semi")
+
+
+def sample_rows(df: DataFrame, key: str, k: int, seed: int, bucket_rows: int = 200_000) -> DataFrame:
+    """Exactly k rows (all, if fewer), every set of k equally likely, the same for any partitioning; ``key`` is unique.
+
+    Rows fall into buckets by a keyed hash. Of the buckets' counts, one number each, a keyed
+    generator draws how many rows come from each (multivariate hypergeometric), and each bucket
+    draws its own by a second hash. Only rows whose second hash can be among those are shuffled; a
+    bucket in which too few are is drawn from whole.
+    """
+    own = F.col(key).cast("string")
+    n = df.count()
+    buckets = max(1, -(-n // bucket_rows))
+    d = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(f"bucket {seed}"), own), F.lit(buckets))).withColumn("_h", F.xxhash64(F.lit(f"draw {seed}"), own))
+    counts = sorted((r["_b"], r["n"]) for r in d.groupBy("_b").agg(F.count("*").alias("n")).collect())  # a number for each bucket
+    if not counts:
+        return df
+    size = np.array([c for _, c in counts], np.int64)
+    take = np.random.Generator(np.random.Philox(seed)).multivariate_hypergeometric(size, min(k, n), method="marginals")
+    most = np.where(take == size, 1.0, np.minimum(1.0, (take + 8 * np.sqrt(take) + 20) / size))
+    draw = lambda most: F.broadcast(df.sparkSession.createDataFrame([(b, int(t), float(m)) for (b, _), t, m in zip(counts, take, most) if t], "_b long, _take long, _most double"))  # noqa: E731  24 bytes a bucket
+    few = lambda most: d.join(draw(most), "_b").where((F.col("_h") / 2.0**64 + 0.5) <= F.col("_most"))
+    got = {r["_b"]: r["n"] for r in few(most).groupBy("_b").agg(F.count("*").alias("n")).collect()}
+    most = np.where([got.get(b, 0) < t for (b, _), t in zip(counts, take)], 1.0, most)
+    nth = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
+    return few(most).withColumn("_n", nth).where("_n <= _take").select(*df.columns)

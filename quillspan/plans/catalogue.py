@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import edits
 from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
-from ..operators import admit, augment, corpus, model, protect, score, select
-from ..sources import mappers
+from ..operators import admit, augment, corpus, model, protect, score, select, verify
+from ..sources import mappers, resumable, spool
+from ..sources.shared import Tables
 from . import corpora
 
 QUERIES: dict = {}
@@ -885,3 +887,89 @@ def newest_request(spark, sf_dir):
     return newest(t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
+
+
+# --- exact samples, spools, resumable sinks, verification --------------------------------------------
+
+
+@query("""SELECT l_returnflag, l_linestatus, quantile_disc(l_extendedprice, 0.01) AS p1, quantile_disc(l_extendedprice, 0.5) AS median, quantile_disc(l_extendedprice, 0.999) AS p999 FROM lineitem GROUP BY ALL""")
+def price_quantiles(spark, sf_dir):
+    return score.nearest_rank(t(spark, sf_dir, "lineitem"), "l_extendedprice", {"p1": 0.01, "median": 0.5, "p999": 0.999}, ["l_returnflag", "l_linestatus"])
+
+
+@query("""SELECT l_returnflag, quantile_disc(l_quantity, 0.25) AS low, quantile_disc(l_quantity, 0.75) AS high FROM lineitem GROUP BY ALL""")
+def quantity_quantiles(spark, sf_dir):
+    """Fifty values, each thousands of times."""
+    return score.nearest_rank(t(spark, sf_dir, "lineitem"), "l_quantity", {"low": 0.25, "high": 0.75}, ["l_returnflag"])
+
+
+@query("""SELECT count(*) // 7 AS rows, count(*) // 7 AS keys, count(*) // 7 AS members FROM orders""")
+def exact_sample(spark, sf_dir):
+    """A seventh of the orders, drawn exactly: how many rows, keys, and keys of the table it has."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    some = select.sample_rows(o, "o_orderkey", o.count() // 7, 2026)
+    return some.join(o.select("o_orderkey", F.lit(1).alias("there")), "o_orderkey", "left").agg(F.count("*").alias("rows"), F.countDistinct("o_orderkey").alias("keys"), F.sum("there").alias("members"))
+
+
+@query("""WITH d AS (SELECT row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) - 1 AS idx, * FROM documents) SELECT idx, d.doc_id, lang, sha256(text) AS digest FROM d JOIN labels l ON d.idx = l.doc_id""")
+def spool_rows(spark, sf_dir):
+    """Documents in hash order as a spool; the row numbers that ``labels`` names are read back, from their row groups alone."""
+    d = t(spark, sf_dir, "documents").withColumn("rank", X.digest(F.col("doc_id").cast("string")))
+    path = f"{Tables(spark).root}/spool"
+    spool.write_spool(d, path, ["rank"], 8, 1000)
+    got = spool.read_rows(spark, path, t(spark, sf_dir, "labels").select(F.col("doc_id").alias("idx")))
+    return got.select("idx", "doc_id", "lang", X.digest(F.col("text")).alias("digest"))
+
+
+@query("""SELECT source, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(length(text)) AS BIGINT) AS length, bit_xor(doc_id) AS ids FROM documents GROUP BY source""")
+def resumed_units(spark, sf_dir):
+    """Documents by source as a sink whose first run ended after some sources; the second adds the others."""
+    d, path = t(spark, sf_dir, "documents"), f"{Tables(spark).root}/units"
+    resumable.write_units(d.where("source < 'src15'"), "source", ["doc_id", "text"], path, parts=2)
+    resumable.write_units(d, "source", ["doc_id", "text"], path, parts=2)
+    back = resumable.read_units(spark, path, "doc_id long, text string, lang string, source string, n_chars long")
+    return back.groupBy("source").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars"), F.sum(F.length("text")).alias("length"), F.bit_xor("doc_id").alias("ids"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem),
+b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 1019 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, CASE WHEN l_orderkey % 2003 = 5 THEN NULL ELSE l_returnflag END AS l_returnflag
+  FROM a, range(CASE WHEN l_orderkey % 1013 = 1 THEN 2 WHEN l_orderkey % 1009 = 2 THEN 0 ELSE 1 END) UNION ALL SELECT -l_orderkey, l_linenumber, l_quantity, l_returnflag FROM a WHERE l_orderkey % 4001 = 3),
+g AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, count(*) FILTER (s = 1) AS n1, count(*) FILTER (s = 2) AS n2 FROM (SELECT *, 1 AS s FROM a UNION ALL SELECT *, 2 FROM b) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, CASE WHEN sum(n2) = 0 THEN 'lost' WHEN sum(n1) = 0 THEN 'added' WHEN bool_or(n1 = 0 OR n2 = 0) THEN 'changed' ELSE 'doubled' END AS kind, CAST(sum(n1) AS BIGINT) AS n_a, CAST(sum(n2) AS BIGINT) AS n_b
+FROM g GROUP BY l_orderkey, l_linenumber HAVING bool_or(n1 <> n2)""")
+def result_differences(spark, sf_dir):
+    """All lines against a copy with lost, added, doubled and changed ones."""
+    a = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    k = F.col("l_orderkey")
+    b = a.withColumn("times", F.when(k % 1013 == 1, 2).when(k % 1009 == 2, 0).otherwise(1)).withColumn("l_quantity", F.when(k % 1019 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    b = b.withColumn("l_returnflag", F.when(k % 2003 != 5, F.col("l_returnflag"))).withColumn("x", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*a.columns)
+    more = a.where("l_orderkey % 4001 = 3").withColumn("l_orderkey", -k)
+    return verify.differences(a, b.union(more), ["l_orderkey", "l_linenumber"])
+
+
+@query(r"""WITH s AS (SELECT doc_id, text, regexp_replace(text, '[ \n\t]+', '', 'g') AS bare, i, CAST(length(text) * i // 9 AS INTEGER) AS a, CAST(length(text) * (i + 1) // 9 AS INTEGER) AS b FROM documents, range(9) r(i)),
+m AS (SELECT *, CAST(length(regexp_replace(text[:a], '[ \n\t]+', '', 'g')) AS INTEGER) AS s, CAST(length(regexp_replace(text[:b], '[ \n\t]+', '', 'g')) AS INTEGER) AS e FROM s)
+SELECT doc_id, i, s AS "start", e AS "end", bare[s + 1:e] AS raw FROM m WHERE e > s""")
+def compacted_spans(spark, sf_dir):
+    """Ninths of every document as spans, moved to the text without its white space."""
+    n = F.length("text")
+    part = lambda i: F.floor(n * i / 9).cast("int")
+    spans = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: S.span(i.cast("string"), part(i), part(i + 1), F.lit("")))
+    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", edits.without(F.col("text"), spans, r"[ \n\t]+").alias("m"))
+    return d.select("doc_id", F.explode("m.spans").alias("s")).select("doc_id", F.col("s.label").cast("long").alias("i"), "s.start", "s.end", "s.raw")
+
+
+@query(f"""WITH {REC}, g AS (SELECT id, list(DISTINCT f) AS fields FROM (SELECT id, CASE label WHEN 'city' THEN 'city' WHEN 'country' THEN 'country' ELSE 'street_address' END AS f, c_custkey FROM span JOIN rec USING (id)
+  WHERE NOT (label = 'country' AND c_custkey % 3 > 0) AND NOT (label IN ('city') AND c_custkey % 5 = 0) AND NOT (label IN ('house_number', 'road', 'unit') AND c_custkey % 7 = 0)) GROUP BY id),
+x AS (SELECT fields, list_has_all(['city', 'street_address', 'state'], fields) AND list_has_all(['postcode', 'street_address', 'city'], fields) AS inside FROM g)
+SELECT scope, count(*) AS rows FROM x, (VALUES ('all'), ('shared'), ('complete'), ('partial')) v(scope)
+WHERE scope = 'all' OR (inside AND (scope = 'shared' OR (scope = 'complete') = (len(fields) = 2))) GROUP BY scope""")
+def label_scopes(spark, sf_dir):
+    """Records without some fields; two models share street and city."""
+    fields, k = ["street_address", "city", "state", "postcode", "country"], F.col("c_custkey")
+    models = spark.createDataFrame([("a", ["city", "street_address", "state"]), ("b", ["postcode", "street_address", "city"])], "model string, labels array<string>")
+    shared = models.agg(F.bit_and(L.label_mask(F.col("labels"), fields)).alias("shared"))
+    drop = lambda s: ((s["label"] == "country") & (k % 3 > 0)) | ((s["label"] == "city") & (k % 5 == 0)) | (s["label"].isin("house_number", "road", "unit") & (k % 7 == 0))
+    r = records(spark, sf_dir).withColumn("left", F.filter("components", lambda s: ~drop(s))).where(F.size("left") > 0)
+    mask = L.label_mask(F.transform("left", lambda s: S.field_of(s["label"])), fields)
+    return r.select(mask.alias("mask")).crossJoin(F.broadcast(shared)).select(F.explode(L.scopes(F.col("mask"), F.col("shared"))).alias("scope")).groupBy("scope").agg(F.count("*").alias("rows"))  # one row

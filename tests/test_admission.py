@@ -44,7 +44,7 @@ def outcomes(df):
 
 
 def test_in_order_equals_the_loop(spark):
-    rows = some(10_000, 7, 3000)
+    rows = some(10_000, 7, 1200)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = admit.in_order(df, "rank", "sole", "shared", "own", "fixed", "barred")
     assert got.columns == [*df.columns, "split", "outcome", "round"]
