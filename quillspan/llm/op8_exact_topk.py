@@ -10,12 +10,15 @@ their components differ by direction alone, without runs of like ones, the bound
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .op3_training_order import filesystem
 from .store import Scratch, partitions
 
 LEVELS = (4, 16)
@@ -54,13 +57,13 @@ class Best:
         self.row = self.id = self.score = np.zeros(0, np.int64)
         self.seen, self.left = 0, np.zeros(len(LEVELS) + 1, np.int64)  # pairs, and those that each bound left
 
-    def feed(self, xid: np.ndarray, x: np.ndarray) -> None:
-        """Candidates, ``SUB`` at a time: bounds from coarse to fine, then the exact products of the survivors."""
-        n = len(self.q)
+    def feed(self, xid: np.ndarray, x: np.ndarray, own: np.ndarray | None = None) -> None:
+        """Candidates, ``SUB`` at a time: bounds from coarse to fine, then the exact products of the survivors. ``own``: what tells a query from itself, if not the ids."""
+        n, own = len(self.q), xid if own is None else own
         xs = [stats(x.astype(float), m) for m in self.levels]
         slack = 0.5 + 1e-9 * self.norm * float(np.linalg.norm(x.astype(float), axis=1).max(initial=0))
         for lo in range(0, len(x), SUB):
-            part, ids = x[lo : lo + SUB], xid[lo : lo + SUB]
+            part, ids, rows = x[lo : lo + SUB], xid[lo : lo + SUB], own[lo : lo + SUB]
             least = (self.low - slack)[:, None]
             alive = np.ones((n, len(part)), bool)
             self.seen += alive.size
@@ -72,7 +75,7 @@ class Best:
             if not len(some):
                 continue
             s = exact(self.q[some], part[cols])
-            r, c = np.nonzero(alive[np.ix_(some, cols)] & (s >= self.low[some][:, None]) & (self.qid[some][:, None] != ids[cols]))
+            r, c = np.nonzero(alive[np.ix_(some, cols)] & (s >= self.low[some][:, None]) & (self.qid[some][:, None] != rows[cols]))
             self.left[-1] += len(r)
             r, c, s = some[r], ids[cols[c]], s[r, c]
             touched = np.zeros(n, bool)
@@ -97,68 +100,76 @@ def block_topk(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k
     return best.row[order], best.id[order], best.score[order]
 
 
-def matrices(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and rows by length of the vectors."""
-    size = np.diff(vectors.offsets.to_numpy())
-    flat, at = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
-    if len(flat) and max(int(flat.max()), -int(flat.min())) >= 2**31:
-        raise ValueError("a component does not fit in 32 bits")
-    ids = ids.to_numpy(zero_copy_only=False)
+def matrices(b: pa.RecordBatch | pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row marks, ids and vectors by length of the vectors."""
+    v = b.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    size = np.diff(v.offsets.to_numpy())
+    flat, at = v.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+    rid, ids = b.column("rid").to_numpy(), b.column("vec_id").to_numpy()
     out = {}
     for d in np.unique(size):
         some = np.flatnonzero(size == d)
-        out[int(d)] = ids[some], flat[at[some][:, None] + np.arange(d)]
+        out[int(d)] = rid[some], ids[some], flat[at[some][:, None] + np.arange(d)].astype(np.int64)
     return out
 
 
-def exact_topk(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, block: int = 1024, chunk: int = 8192, query_bytes: int = 16 << 20) -> DataFrame:
+def exact_topk(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20, block: int = 1024, chunk_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest scores of each row whose id is divisible by ``every``.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part; vectors
-    meet only those of their own length, however long; of rows that repeat an id the smallest
-    vector counts; ties go to the smaller id; other columns are ignored; an empty table gives an
-    empty result. Components of 2^31 and more are an error. Candidates stay where they are: the
-    queries, at most ``query_bytes`` of them at a time, are sent to all of them.
+    meet only those of their own length, however long; a repeated id is a row of its own each time,
+    as query and as candidate; ties go to the smaller id; other columns are ignored; an empty table
+    gives an empty result. Components of 2^31 and more are an error. Candidates stay in their
+    partitions; queries stay in the shared folder, where tasks read them ``block`` at a time.
     """
     scratch = Scratch(spark)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where("vec_id is not null and e is not null")
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(~bad).select("vec_id", F.transform("e", lambda x: F.floor(x * 64)).alias("v")).repartition(partitions(spark), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asks = F.col("vec_id") % every == 0
-    v = scratch.cut(v, "vectors", bytes=F.sum(F.when(asks, 8 * F.size("v") + 8)))
-    rounds = max(1, -(-int(v._seen["bytes"] or 0) // query_bytes))
-    out = None
-    for i in range(rounds):
-        rows = v.where(asks & (F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == i)).toArrow()  # within the bound
-        asked = matrices(rows.column(0).combine_chunks(), rows.column(1).combine_chunks()) if rows.num_rows else {}
-        shared = spark.sparkContext.broadcast(asked)
-
-        def run(batches, shared=shared):
-            best: dict[int, list[Best]] = {}
-            for b in batches:
-                for lo in range(0, b.num_rows, chunk):
-                    part = b.slice(lo, chunk)
-                    for d, (xid, x) in matrices(part.column(0), part.column(1)).items():
-                        if d in shared.value:
-                            qid, q = shared.value[d]
-                            for own in best.setdefault(d, [Best(qid[j : j + block], q[j : j + block], k) for j in range(0, len(qid), block)]):
-                                own.feed(xid, x)
-            for own in (own for some in best.values() for own in some):
-                yield pa.RecordBatch.from_arrays([pa.array(own.qid[own.row]), pa.array(own.id), pa.array(own.score)], ["query_id", "vec_id", "score"])
-
-        found = v.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    whole = F.transform("e", lambda x: F.floor(x * 64))
+    over = F.when(F.exists(whole, lambda x: F.abs(x) >= 2**31), F.raise_error(F.lit("a component does not fit in 32 bits")))
+    v = v.where(~bad).select("vec_id", over.otherwise(whole).cast("array<int>").alias("v"))
+    if v.rdd.getNumPartitions() < partitions(spark):  # a small table; a large one stays as it was read
+        v = v.repartition(partitions(spark))
+    v = scratch.cut(v.withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    asks = scratch.cut(v.where(F.col("vec_id") % every == 0), "queries")._scratch
+
+    def meet(some: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        held = matrices(pa.Table.from_batches(some))
+        store, where = filesystem(asks)
+        for b in ds.dataset(where, filesystem=store, format="parquet").to_batches(batch_size=block):
+            for d, (qrid, qid, q) in matrices(b).items() if b.num_rows else ():
+                if d in held:
+                    xrid, xid, x = held[d]
+                    best = Best(qrid, q, k)
+                    best.feed(xid, x, xrid)
+                    yield pa.RecordBatch.from_arrays([pa.array(qrid[best.row]), pa.array(qid[best.row]), pa.array(best.id), pa.array(best.score)], ["query", "query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for b in batches:
+            some.append(b)
+            size += 2 * b.nbytes
+            if size >= chunk_bytes:
+                yield from meet(some)
+                some, size = [], 0
+        if some:
+            yield from meet(some)
+
+    found = v.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.rid <> c.rid AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
