@@ -25,6 +25,7 @@ from .store import Scratch
 from .textkit import U64, buffers, chunks, mix
 
 ROUNDS = 6
+RANGES, RANGE_SHARDS = 4096, 32  # partitions from which on one holds several shards, and how many at most
 
 
 def feistel(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
@@ -132,8 +133,9 @@ def write_order(spark: SparkSession, docs: DataFrame, root: str, length: int = 1
     seqs = texts.mapInArrow(cut, "slot long, n_tokens int, ids binary, doc_ids array<long>")
     stride = 4 + 2 * length
     shards = max(1, -(-total // rows))
-    # partition n is the range of slots of shard n: sizes are known, so nothing is sampled
-    seqs = seqs.withColumn("shard", F.expr(f"slot div {rows}")).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
+    # a partition is a range of whole shards, more of them the more there are: sizes are known, so nothing is sampled
+    each = min(RANGE_SHARDS, max(1, shards // RANGES))
+    seqs = seqs.withColumn("shard", F.expr(f"slot div {rows}")).repartitionById(-(-shards // each), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
 
     def write(batches):
         store, where = filesystem(root)

@@ -192,18 +192,16 @@ def test_topk(spark):
     rows = [(i, [float(x) for x in g.standard_normal(8)]) for i in range(-20, 90)]
     rows += [(100, None), (101, [nan] * 8), (102, [inf] * 8), (103, [None] + [0.0] * 7), (None, [1.0] * 8), (120, [1.0, 2.0]), (121, [1.0, 1.0]), (140, []), (141, []), (5, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own"))
-    v = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            f = [int(np.floor(64 * float(np.float32(x)))) for x in e]
-            v[i] = min(v.get(i, f), f)
+    rows += [(20, [0.5] * 8), (20, [0.5] * 8), (5, [0.5] * 8)]  # repeated ids are rows of their own
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("own")).withColumn("rid", F.lit("own"))
+    v = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
-    for q in v:
+    for n, (q, a) in enumerate(v):
         if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))[:20]
+            s = sorted((-sum(x * y for x, y in zip(a, b)), c) for m, (c, b) in enumerate(v) if m != n and len(a) == len(b))[:20]
             want += [(q, k + 1, c, -x) for k, (x, c) in enumerate(s)]
-    for block, chunk in ((1024, 8192), (2, 7)):
-        got = exact_topk(spark, df, block=block, chunk=chunk).collect()
+    for block, chunk in ((1024, 1 << 20), (2, 7)):
+        got = exact_topk(spark, df, block=block, chunk_bytes=chunk).collect()
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     assert exact_topk(spark, df.where("false")).count() == 0
 
@@ -320,3 +318,14 @@ def test_scores_do_not_follow_the_shards(spark, monkeypatch):
     assert len(list(leak.indexes(bench))) > 4 and len(one) > 30
     assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2:] for r in one], [r[2:] for r in many], rtol=0, atol=1e-12)
     assert drop_contaminated(spark, docs, bench).count() == 60 - len({r[0] for r in one})
+
+
+def test_range_of_several_shards(spark, tmp_path, monkeypatch):
+    docs = odd(spark).coalesce(2)
+    kept = {}
+    for name, ranges in (("one", 4096), ("many", 1)):
+        monkeypatch.setattr(order, "RANGES", ranges)
+        manifest, total = order.write_order(spark, docs, f"file://{tmp_path}/{name}", length=16, rows=4)
+        assert sorted(r.slot for r in manifest.collect()) == list(range(total)) and total > 100
+        kept[name] = {p.name: p.read_bytes() for p in (tmp_path / name).glob("shard-*")}
+    assert kept["one"] == kept["many"] and len(kept["one"]) > 25
