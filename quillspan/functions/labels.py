@@ -12,14 +12,16 @@ from . import text as X
 NEURAL = {"StreetNumber": "house_number", "StreetName": "road", "Orientation": "road", "Unit": "unit", "Municipality": "city", "Province": "state", "PostalCode": "postcode"}
 TAGGER = {"PlaceName": "city", "StateName": "state", "ZipCode": "postcode", "ZipPlus4": "postcode", "CountryName": "country", "NotAddress": "unrecognized"}
 TAGGED_FILE = {"PlaceName": "city", "StateName": "state", "ZipCode": "postcode"}
-TAGGED_FILE_STREET = "StreetName AddressNumber LandmarkName USPSBoxID USPSBoxType OccupancyIdentifier OccupancyType USPSBoxGroupType IntersectionSeparator USPSBoxGroupID CornerOf".split()
-# The fine labels that each field takes in, kept apart from ``spans.PROJECTION`` so that one can audit the other.
+TAGGED_FILE_STREET = [
+    "StreetName", "AddressNumber", "LandmarkName", "USPSBoxID", "USPSBoxType", "OccupancyIdentifier",
+    "OccupancyType", "USPSBoxGroupType", "IntersectionSeparator", "USPSBoxGroupID", "CornerOf",
+]
+# The field of each fine label, kept apart from ``spans.PROJECTION`` so that one can audit the other.
 AUDIT = {
-    "street_address": "house house_number road unit level staircase entrance po_box near".split(),
-    "locality": "suburb city_district island".split(),
-    "district": ["state_district"],
-    "state": ["country_region"],
-}
+    "house": "street_address", "house_number": "street_address", "road": "street_address", "unit": "street_address", "level": "street_address",
+    "staircase": "street_address", "entrance": "street_address", "po_box": "street_address", "near": "street_address",
+    "suburb": "locality", "city_district": "locality", "island": "locality", "state_district": "district", "country_region": "state",
+}
 
 
 def lookup(table: dict[str, str], label: Column, otherwise: Column | None = None) -> Column:
@@ -42,7 +44,7 @@ def tagged_file(label: Column) -> Column:
 
 def audited(label: Column) -> Column:
     """A fine label's field by the audit's own map; others are their own field."""
-    return lookup({s: f for f, group in AUDIT.items() for s in group}, label, label)
+    return lookup(AUDIT, label, label)
 
 
 def four_fields(label: Column) -> Column:

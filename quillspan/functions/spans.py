@@ -22,22 +22,24 @@ ADDRESS_SCHEMA = (
     "status string, offset_basis string, parent_id string"
 )
 # The two vocabularies, in model order.
-SOURCE_FIELDS = "house house_number road unit level staircase entrance po_box postcode suburb city_district city island state_district state country_region country world_region category near".split()
-FIELDS = "street_address locality city district state postcode country".split()
+SOURCE_FIELDS = [
+    "house", "house_number", "road", "unit", "level", "staircase", "entrance", "po_box", "postcode", "suburb",
+    "city_district", "city", "island", "state_district", "state", "country_region", "country", "world_region", "category", "near",
+]
+FIELDS = ["street_address", "locality", "city", "district", "state", "postcode", "country"]
 TAGS = ["O", *(f"{p}-{f}" for f in FIELDS for p in "BI")]
-# Output field of each source label that is not its own; nothing: dropped.
+# Output field of each source label that is not its own; none: dropped.
 PROJECTION = {
-    "street_address": "house house_number road unit level staircase entrance po_box near".split(),
-    "locality": "suburb city_district island".split(),
-    "district": ["state_district"],
-    "state": ["country_region"],
-    None: ["category", "world_region"],
-}
+    "house": "street_address", "house_number": "street_address", "road": "street_address", "unit": "street_address", "level": "street_address",
+    "staircase": "street_address", "entrance": "street_address", "po_box": "street_address", "near": "street_address",
+    "suburb": "locality", "city_district": "locality", "island": "locality", "state_district": "district", "country_region": "state",
+    "category": None, "world_region": None,
+}
 
 
 def field_of(label: Column) -> Column:
     """Output field of a label; null for dropped and unknown ones."""
-    pairs = {f: f for f in FIELDS} | {s: f for f, group in PROJECTION.items() if f for s in group}
+    pairs = {s: f for s, f in PROJECTION.items() if f} | {f: f for f in FIELDS}
     return F.try_element_at(F.create_map(*[F.lit(x) for p in pairs.items() for x in p]), label)
 
 

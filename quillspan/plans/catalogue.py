@@ -15,7 +15,7 @@ from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
 from ..operators import admit, augment, corpus, model, protect, score, select, verify
-from ..sources import mappers, resumable, spool
+from ..sources import mappers, readers, resumable, spool
 from ..sources.shared import Tables
 from . import corpora
 
@@ -233,11 +233,27 @@ def state_points(spark, sf_dir):
     return mappers.state_points(c).select("id", "text", "reason")
 
 
-@query("""SELECT 'bank:' || s_suppkey AS id, s_name || CASE WHEN s_suppkey % 3 = 0 THEN ' Floor 2' ELSE '' END || ', ' || n_name || ', ' || CASE WHEN s_suppkey % 6 = 0 THEN 'PR' ELSE 'VT' END || ', 05401' AS text,
-  CASE WHEN s_suppkey % 6 = 0 THEN 'PR' ELSE 'VT' END AS stratum, CASE WHEN s_suppkey % 6 = 0 THEN 'territory-or-foreign' END AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 'school:' || s_suppkey, s_name || ', ' || n_name || ', LS1 1AA', CASE WHEN s_suppkey % 4 = 0 THEN 'Wales' ELSE 'North West' END,
-  CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 THEN 'closed-or-no-region' WHEN s_suppkey % 7 = 0 THEN 'additional-address-lines' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 'library:' || s_suppkey, s_suppkey % 30 || ' ' || s_name || ', ' || n_name || ', BT1 1AA', 'Northern Ireland', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+@query("""SELECT 'GA' || c_custkey AS id, concat_ws(' ', CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 90 AS VARCHAR) WHEN c_custkey % 3 = 0 THEN 'LOT A' || (c_custkey % 7) END, c_mktsegment || ' ST', n_name, 'NSW', lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')) AS text,
+  CASE WHEN c_custkey % 17 = 0 THEN 'retired-or-alias' END AS reason, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 3 = 0 THEN 'lot_number,lot_number_prefix' ELSE '' END AS omitted, 'street ' || c_nationkey AS street
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def geocoded_points(spark, sf_dir):
+    """Customers as geocoded national records; a lot beside a number is left out and reported."""
+    c = t(spark, sf_dir, "customer").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    lot = lambda x: F.when(k % 3 == 0, x)
+    g = c.select(
+        F.concat(F.lit("GA"), k).alias("address_detail_pid"), F.when(k % 17 == 0, -1).otherwise(1).alias("confidence"), F.lit("P").alias("alias_principal"), F.when(k % 5 > 0, k % 90).alias("number_first"),
+        lot(k % 7).alias("lot_number"), lot(F.lit("A")).alias("lot_number_prefix"), none.alias("building_name"), none.alias("flat_type"), none.alias("level_type"), F.col("c_mktsegment").alias("street_name"),
+        F.lit("ST").alias("street_type_code"), none.alias("street_suffix_type"), F.col("n_name").alias("locality_name"), F.lit("NSW").alias("state_abbreviation"), (k % 10000).alias("postcode"), F.concat(F.lit("street "), "c_nationkey").alias("street_locality_pid"),
+    )
+    return readers.geocoded_file(g).select("id", "text", "reason", F.array_join("omitted_source_fields", ",").alias("omitted"), F.col("source_street_group").alias("street"))
+
+
+@query("""SELECT 'fdic:' || s_suppkey AS id, s_name || CASE WHEN s_suppkey % 3 = 0 THEN ' Floor 2' ELSE '' END || ', ' || n_name || ', ' || CASE WHEN s_suppkey % 6 = 0 THEN 'PR' ELSE 'VT' END || ', 05401' AS text,
+  CASE WHEN s_suppkey % 6 = 0 THEN 'PR' ELSE 'VT' END AS stratum, CASE WHEN s_suppkey % 6 = 0 THEN 'US_territory_or_foreign' END AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'gias:' || s_suppkey, s_name || ', ' || n_name || ', LS1 1AA', CASE WHEN s_suppkey % 4 = 0 THEN 'Wales' ELSE 'North West' END,
+  CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 THEN 'England_closed_or_no_region' WHEN s_suppkey % 7 = 0 THEN 'England_additional_address_lines' END FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'libraries-ni:' || s_suppkey, s_suppkey % 30 || ' ' || s_name || ', ' || n_name || ', BT1 1AA', 'Northern Ireland', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def public_registers(spark, sf_dir):
     k = F.col("s_suppkey")
     c = t(spark, sf_dir, "supplier").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows
@@ -251,13 +267,13 @@ def public_registers(spark, sf_dir):
     return out.select("id", "text", "stratum", "reason")
 
 
-@query("""SELECT 'company:' || k AS id, concat_ws(', ', CASE WHEN k % 9 = 0 THEN 'PO Box ' || k END, l, CASE WHEN k % 8 = 0 THEN l END, town, 'Kent', code) AS text, CASE WHEN k % 6 = 3 THEN NULL WHEN k % 6 = 1 THEN 'Scotland' WHEN k % 6 = 2 THEN 'Wales' WHEN k % 6 = 4 THEN 'Northern Ireland' ELSE 'England' END AS stratum,
-  CASE WHEN l = '' THEN 'missing-core-field' WHEN k % 6 = 3 THEN 'cross-border-postcode-area' WHEN k % 10 = 7 THEN 'default-address' WHEN k % 6 = 5 THEN 'invalid-postcode' WHEN k % 11 = 0 THEN 'county-in-town' WHEN k % 8 = 0 THEN 'duplicate-line-or-town' WHEN k % 14 = 0 THEN 'postcode-in-line' END AS reason
+@query("""SELECT 'ch:' || k AS id, concat_ws(', ', CASE WHEN k % 9 = 0 THEN 'PO Box ' || k END, l, CASE WHEN k % 8 = 0 THEN l END, town, 'Kent', code) AS text, CASE WHEN k % 6 = 3 THEN NULL WHEN k % 6 = 1 THEN 'Scotland' WHEN k % 6 = 2 THEN 'Wales' WHEN k % 6 = 4 THEN 'Northern Ireland' ELSE 'England' END AS stratum,
+  CASE WHEN l = '' THEN 'missing_core_field' WHEN k % 6 = 3 THEN 'cross_border_postcode_area' WHEN k % 10 = 7 THEN 'CH_default_registration_address' WHEN k % 6 = 5 THEN 'CH_invalid_postcode' WHEN k % 11 = 0 THEN 'CH_county_in_town_field' WHEN k % 8 = 0 THEN 'CH_duplicate_address_line_or_town' WHEN k % 14 = 0 THEN 'CH_postcode_in_address_line' END AS reason
 FROM (SELECT *, CASE WHEN k % 17 = 0 THEN '' WHEN k % 14 = 0 THEN name || ' ' || code ELSE name END AS l FROM (
   SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 7 THEN 'Companies House Default Address' ELSE s_name END AS name, CASE WHEN s_suppkey % 11 = 0 THEN 'Co. Down' ELSE n_name END AS town,
     CASE s_suppkey % 6 WHEN 0 THEN 'ME1 2AB' WHEN 1 THEN 'eh1 1yz' WHEN 2 THEN 'CF10 1AA' WHEN 3 THEN 'SY1 1AA' WHEN 4 THEN 'BT7 3XY' ELSE 'E1' END AS code FROM supplier JOIN nation ON s_nationkey = n_nationkey)) WHERE l <> ''
-UNION ALL SELECT 'company:' || s_suppkey, concat_ws(', ', CASE WHEN s_suppkey % 9 = 0 THEN 'PO Box ' || s_suppkey END, CASE WHEN s_suppkey % 11 = 0 THEN 'Co. Down' ELSE n_name END, 'Kent', CASE s_suppkey % 6 WHEN 0 THEN 'ME1 2AB' WHEN 1 THEN 'eh1 1yz' WHEN 2 THEN 'CF10 1AA' WHEN 3 THEN 'SY1 1AA' WHEN 4 THEN 'BT7 3XY' ELSE 'E1' END),
-  CASE WHEN s_suppkey % 6 = 3 THEN NULL WHEN s_suppkey % 6 = 1 THEN 'Scotland' WHEN s_suppkey % 6 = 2 THEN 'Wales' WHEN s_suppkey % 6 = 4 THEN 'Northern Ireland' ELSE 'England' END, 'missing-core-field' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 17 = 0""")
+UNION ALL SELECT 'ch:' || s_suppkey, concat_ws(', ', CASE WHEN s_suppkey % 9 = 0 THEN 'PO Box ' || s_suppkey END, CASE WHEN s_suppkey % 11 = 0 THEN 'Co. Down' ELSE n_name END, 'Kent', CASE s_suppkey % 6 WHEN 0 THEN 'ME1 2AB' WHEN 1 THEN 'eh1 1yz' WHEN 2 THEN 'CF10 1AA' WHEN 3 THEN 'SY1 1AA' WHEN 4 THEN 'BT7 3XY' ELSE 'E1' END),
+  CASE WHEN s_suppkey % 6 = 3 THEN NULL WHEN s_suppkey % 6 = 1 THEN 'Scotland' WHEN s_suppkey % 6 = 2 THEN 'Wales' WHEN s_suppkey % 6 = 4 THEN 'Northern Ireland' ELSE 'England' END, 'missing_core_field' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 17 = 0""")
 def registered_offices(spark, sf_dir):
     """Every reason occurs: suppliers stand for companies."""
     k = F.col("s_suppkey")
@@ -547,7 +563,7 @@ def expansion(spark, sf_dir):
     return out.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
 
 
-@query("""WITH e AS (SELECT s_suppkey AS k, 'bank:' || s_suppkey AS id, s_suppkey % 4 = 1 AS bare, CASE WHEN s_suppkey % 3 = 0 THEN 'VT' ELSE 'NY' END AS stratum, sha256('f|bank:' || s_suppkey) AS rank, s_nationkey AS n FROM supplier),
+@query("""WITH e AS (SELECT s_suppkey AS k, 'fdic:' || s_suppkey AS id, s_suppkey % 4 = 1 AS bare, CASE WHEN s_suppkey % 3 = 0 THEN 'VT' ELSE 'NY' END AS stratum, sha256('f|fdic:' || s_suppkey) AS rank, s_nationkey AS n FROM supplier),
 x AS (SELECT *, CASE WHEN bare THEN 'missing-required-field' WHEN n = 3 THEN 'blocked-entity' END AS r FROM e),
 y AS (SELECT *, coalesce(r, CASE WHEN k % 10 = 8 OR rank > min(rank) FILTER (r IS NULL) OVER (PARTITION BY CASE WHEN k % 10 IN (4, 8) THEN 0 ELSE k END) THEN 'duplicate-entity' END) AS r2 FROM x WHERE k % 10 NOT IN (4, 8)),
 z AS (SELECT *, CASE WHEN r2 IS NULL THEN row_number() OVER (PARTITION BY stratum, r2 IS NULL ORDER BY rank, id) END AS rn FROM y)
@@ -576,7 +592,7 @@ def arrival_admission(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT s_suppkey AS k, s_suppkey // 3 AS street, s_suppkey % 3 AS r, s_nationkey AS city, s_suppkey % 2 AS post, CASE WHEN s_suppkey % 3 = 0 THEN 'VT' ELSE 'NY' END AS stratum, s_nationkey = 3 AS blocked,
-  'bank:' || s_suppkey AS id, sha256('f|bank:' || s_suppkey) AS rank FROM supplier),
+  'fdic:' || s_suppkey AS id, sha256('f|fdic:' || s_suppkey) AS rank FROM supplier),
 b AS (SELECT DISTINCT street, city, post FROM e WHERE blocked),
 x AS (SELECT *, street IN (SELECT street FROM b WHERE b.city = e.city) OR (street, post) IN (SELECT (street, post) FROM b) AS hit FROM e),
 f AS (SELECT x.*, EXISTS (SELECT 1 FROM x a WHERE a.street = x.street AND a.r = 0 AND NOT a.hit AND (a.city = x.city OR a.post = x.post)) AS meets0,
@@ -595,7 +611,7 @@ def frozen_arrival(spark, sf_dir):
     return out.select(F.regexp_extract("id", r"(\d+)$", 1).cast("long").alias("k"), F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
-@query("""SELECT source, reason, count(*) AS rows FROM (SELECT 'state' AS source, CASE WHEN c_custkey % 13 = 0 THEN 'invalid' ELSE 'ok' END AS reason FROM customer UNION ALL SELECT 'bank', CASE WHEN s_suppkey % 6 = 0 THEN 'territory-or-foreign' ELSE 'ok' END FROM supplier) GROUP BY ALL""")
+@query("""SELECT source, reason, count(*) AS rows FROM (SELECT 'state' AS source, CASE WHEN c_custkey % 13 = 0 THEN 'invalid' ELSE 'ok' END AS reason FROM customer UNION ALL SELECT 'bank', CASE WHEN s_suppkey % 6 = 0 THEN 'US_territory_or_foreign' ELSE 'ok' END FROM supplier) GROUP BY ALL""")
 def source_audit(spark, sf_dir):
     k, b = F.col("c_custkey"), F.col("s_suppkey")
     state = t(spark, sf_dir, "customer").select(k.alias("id"), k.alias("Add_Number"), F.when(k % 13 != 0, F.col("c_mktsegment")).alias("St_Name"), F.lit("TX").alias("State"))

@@ -13,10 +13,10 @@ from ..operators.corpus import first_reason
 CITY_STREET = ["PRE_MODIFIER", "PRE_DIRECTIONAL", "PRE_TYPE", "STREET_NAME", "POST_TYPE", "POST_DIRECTIONAL", "POST_MODIFIER"]
 STATE_STREET = ["St_PreMod", "St_PreDir", "St_PreTyp", "St_PreSep", "St_Name", "St_PosTyp", "St_PosDir", "St_PosMod"]
 # Regions of England, and postcode areas by nation.
-ENGLISH_REGIONS = ["East Midlands", "East of England", "London", "North East", "North West", "South East", "South West", "West Midlands", "Yorkshire and the Humber"]
+ENGLISH_REGIONS = ["North East", "North West", "Yorkshire and the Humber", "East Midlands", "West Midlands", "East of England", "London", "South East", "South West"]
 SCOTTISH_AREAS = ["AB", "DD", "DG", "EH", "FK", "G", "HS", "IV", "KA", "KW", "KY", "ML", "PA", "PH", "TD", "ZE"]
-WELSH_AREAS = ["CF", "LD", "LL", "NP", "SA"]
-BORDER_AREAS = ["CH", "HR", "SY", "TD"]
+WELSH_AREAS = ["CF", "LL", "NP", "SA", "LD"]
+BORDER_AREAS = ["SY", "CH", "HR", "TD"]
 
 
 def cell(df: DataFrame, name: str) -> Column:
@@ -62,8 +62,8 @@ def bank_branches(df: DataFrame) -> DataFrame:
     """Branches of insured banks: two address lines, city, state, ZIP; territories are refused."""
     c = lambda n: cell(df, n)
     values = [("street_address", joined(c("ADDRESS"), c("ADDRESS2"))), ("city", c("CITY")), ("state", c("STALP")), ("postcode", c("ZIP"))]
-    foreign = ~c("STALP").isin(*X.STATE_CODES.split())
-    return rows(df, F.concat(F.lit("bank:"), c("UNINUM")), "us", values, ", ", first_reason(("territory-or-foreign", foreign)), stratum=c("STALP"))
+    foreign = ~c("STALP").isin(*X.STATES)
+    return rows(df, F.concat(F.lit("fdic:"), c("UNINUM")), "us", values, ", ", first_reason(("US_territory_or_foreign", foreign)), stratum=c("STALP"))
 
 
 def schools(df: DataFrame) -> DataFrame:
@@ -71,17 +71,17 @@ def schools(df: DataFrame) -> DataFrame:
     c = lambda n: cell(df, n)
     region = c("GOR (name)")
     reason = first_reason(
-        ("closed-or-no-region", (c("EstablishmentStatus (name)") != "Open") | ~region.isin(*ENGLISH_REGIONS)),
-        ("additional-address-lines", (c("Locality") != "") | (c("Address3") != "")),
+        ("England_closed_or_no_region", (c("EstablishmentStatus (name)") != "Open") | ~region.isin(*ENGLISH_REGIONS)),
+        ("England_additional_address_lines", (c("Locality") != "") | (c("Address3") != "")),
     )
-    return rows(df, F.concat(F.lit("school:"), c("URN")), "gb", [("street_address", c("Street")), ("city", c("Town")), ("postcode", c("Postcode"))], ", ", reason, stratum=region)
+    return rows(df, F.concat(F.lit("gias:"), c("URN")), "gb", [("street_address", c("Street")), ("city", c("Town")), ("postcode", c("Postcode"))], ", ", reason, stratum=region)
 
 
 def libraries(df: DataFrame) -> DataFrame:
     """Libraries of Northern Ireland."""
     c = lambda n: cell(df, n)
     values = [("street_address", joined(c("Number"), c("Street"))), ("city", c("Town")), ("postcode", c("Postcode"))]
-    return rows(df, F.concat(F.lit("library:"), c("_id")), "gb", values, ", ", first_reason(("no-fields", joined(*[v for _, v in values]) == "")), stratum=F.lit("Northern Ireland"))
+    return rows(df, F.concat(F.lit("libraries-ni:"), c("_id")), "gb", values, ", ", first_reason(("no-fields", joined(*[v for _, v in values]) == "")), stratum=F.lit("Northern Ireland"))
 
 
 def nation_of(postcode: Column) -> Column:
@@ -98,16 +98,16 @@ def companies(df: DataFrame, county: bool = False) -> DataFrame:
     loose = F.transform(full, lambda x: X.key(x))
     every = F.upper(F.concat_ws(" ", *[c(n) for n in ("CareOf", "POBox", "AddressLine1", "AddressLine2", "PostTown", "County", "Country", "PostCode")]))
     reason = first_reason(
-        ("missing-core-field", (code == "") | (town == "") | (lines[1] == "")),
-        ("cross-border-postcode-area", nation_of(code).isNull()),
-        ("default-address", every.contains("COMPANIES HOUSE DEFAULT ADDRESS")),
-        ("invalid-postcode", ~F.upper(code).rlike(r"^[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$")),
-        ("county-in-town", town.rlike(r"(?i)^(co[.\s]|county\s)")),
-        ("duplicate-line-or-town", (F.size(F.array_distinct(loose)) < F.size(loose)) | F.array_contains(loose, X.key(town))),
-        ("postcode-in-line", F.exists(loose, lambda x: x.contains(X.key(code)))),
+        ("missing_core_field", (code == "") | (town == "") | (lines[1] == "")),
+        ("cross_border_postcode_area", nation_of(code).isNull()),
+        ("CH_default_registration_address", every.contains("COMPANIES HOUSE DEFAULT ADDRESS")),
+        ("CH_invalid_postcode", ~F.upper(code).rlike(r"^[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$")),
+        ("CH_county_in_town_field", town.rlike(r"(?i)^(co[.\s]|county\s)")),
+        ("CH_duplicate_address_line_or_town", (F.size(F.array_distinct(loose)) < F.size(loose)) | F.array_contains(loose, X.key(town))),
+        ("CH_postcode_in_address_line", F.exists(loose, lambda x: x.contains(X.key(code)))),
     )
     values = [("street_address", x) for x in lines] + [("city", town)] + ([("state", c("County"))] if county else []) + [("postcode", code)]
-    return rows(df, F.concat(F.lit("company:"), cell(df, "CompanyNumber")), "gb", values, ", ", reason, stratum=nation_of(code), has_county=c("County") != "")
+    return rows(df, F.concat(F.lit("ch:"), cell(df, "CompanyNumber")), "gb", values, ", ", reason, stratum=nation_of(code), has_county=c("County") != "")
 
 
 def with_county(df: DataFrame, county: str = "county", sep: str = ", ") -> DataFrame:

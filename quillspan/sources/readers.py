@@ -231,7 +231,11 @@ def geocoded_file(df: DataFrame) -> DataFrame:
         ("road", _words(col("street_name"), col("street_type_code"), col("street_suffix_type"))), ("city", col("locality_name")), ("state", col("state_abbreviation")), ("postcode", code),
     )
     text, spans = S.render(values)
-    return df.select(col("address_detail_pid").alias("id"), text.alias("text"), spans.alias("components"), F.lit("au").alias("country"), reason.alias("reason"))
+    # a lot beside a number is not rendered; which of its fields were left out is reported
+    lots = ["lot_number", "lot_number_prefix", "lot_number_suffix"]
+    omitted = F.array_compact(F.array(*[F.when((first != "") & (F.coalesce(col(n).cast("string"), F.lit("")) != ""), F.lit(n)) for n in lots]))
+    groups = [omitted.alias("omitted_source_fields"), col("address_detail_pid").alias("source_entity_group"), col("street_locality_pid").alias("source_street_group")]
+    return df.select(col("address_detail_pid").alias("id"), text.alias("text"), spans.alias("components"), F.lit("au").alias("country"), reason.alias("reason"), *groups)
 
 
 def address_points(df: DataFrame) -> DataFrame:

@@ -53,6 +53,9 @@ KINDS = ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in
 def test_geocoded(spark, change, text, reason):
     r = R.geocoded_file(spark.createDataFrame([tuple((BASE | change).values())], KINDS)).first()
     assert r.reason == reason and (reason or r.text == text)
+    made = {**BASE, **change}
+    lots = [n for n in ("lot_number", "lot_number_prefix", "lot_number_suffix") if made.get(n) not in (None, "")]
+    assert (r.source_entity_group, r.omitted_source_fields) == (made["address_detail_pid"], lots if r.text.split()[0] != "LOT" and made.get("number_first") else [])
 
 
 def test_national(spark):
@@ -117,8 +120,8 @@ def test_mappers_refuse(spark):
 
     c = spark.createDataFrame([("1", "", "High St", "", "Leeds", "", "LS1 1AA"), ("2", None, "Leeds", None, "Leeds", None, "LS1 1AA"), ("3", "", "", "", "", "", "")], ["CompanyNumber", *[f"RegAddress.{n}" for n in ("POBox", "AddressLine1", "AddressLine2", "PostTown", "County", "PostCode")]])
     got = {r.id: (r.text, r.reason, r.stratum) for r in mappers.companies(c).collect()}
-    assert got["company:1"] == ("High St, Leeds, LS1 1AA", None, "England") and got["company:2"][1] == "duplicate-line-or-town" and got["company:3"][1] == "missing-core-field"
-    base = mappers.companies(c).where("id = 'company:1'").withColumn("county", F.lit("Kent "))
+    assert got["ch:1"] == ("High St, Leeds, LS1 1AA", None, "England") and got["ch:2"][1] == "CH_duplicate_address_line_or_town" and got["ch:3"][1] == "missing_core_field"
+    base = mappers.companies(c).where("id = 'ch:1'").withColumn("county", F.lit("Kent "))
     r = mappers.with_county(base).first()
     assert (r.text, r.has_county, [s.label for s in r.components]) == ("High St, Leeds, Kent, LS1 1AA", True, ["street_address", "city", "state", "postcode"])
     empty = mappers.city_points(spark.createDataFrame([(7, None, None)], "ADDRESSPOINTID long, HOUSE_NUMBER string, ZIPCODE string")).first()
