@@ -752,6 +752,32 @@ def span_prf(spark, sf_dir):
     return score.span_prf(g.select("id", F.col("components").alias("gold")).join(p.where("model = 'a'").select("id", F.col("components").alias("pred")), "id"))
 
 
+@query(f"WITH {REC}" + """, e AS (SELECT kind, field FROM rec, (VALUES ('changed', 'city'), ('changed', 'country'), ('swap', 'city->country'), ('swap', 'country->city')) v(kind, field) WHERE c_custkey % 6 = 0
+  UNION ALL SELECT 'extra', 'state' FROM rec WHERE c_custkey % 6 > 0 AND c_custkey % 5 = 0 UNION ALL SELECT 'missing', 'city' FROM rec WHERE c_custkey % 6 > 0 AND c_custkey % 5 > 0 AND c_custkey % 7 = 0)
+SELECT kind, field, count(*) AS n FROM e GROUP BY ALL""")
+def swapped_fields(spark, sf_dir):
+    """A model that exchanges city and country in some rows, and adds or drops a field in others."""
+    g = records(spark, sf_dir)
+    k, c = F.col("c_custkey"), F.col("components")
+    turned = F.transform(c, lambda s: S.span(F.when(s["label"] == "city", "country").when(s["label"] == "country", "city").otherwise(s["label"]), s["start"], s["end"], s["raw"]))
+    more = F.concat(c, F.array(S.span(F.lit("state"), F.lit(0), F.lit(1), F.lit("X"))))
+    pred = F.when(k % 6 == 0, turned).when(k % 5 == 0, more).when(k % 7 == 0, F.filter(c, lambda s: s["label"] != "city")).otherwise(c)
+    return score.confusions(g.select("id", "components"), g.select("id", F.lit("m").alias("model"), pred.alias("components")))
+
+
+@query(f"WITH {REC}" + """, p AS (SELECT id, label, s + CAST(label = 'road' AND c_custkey % 9 = 0 AS INTEGER) AS s, e FROM span JOIN rec USING (id) WHERE NOT (label = 'city' AND c_custkey % 7 = 0)
+  UNION ALL SELECT id, 'state', 0, 1 FROM rec WHERE c_custkey % 4 = 0)
+SELECT coalesce(g.label, p.label) AS label, count(*) FILTER (g.id IS NOT NULL AND p.id IS NOT NULL) AS tp, count(*) FILTER (g.id IS NULL) AS fp, count(*) FILTER (p.id IS NULL) AS fn
+FROM span g FULL JOIN p ON g.id = p.id AND g.label = p.label AND g.s = p.s AND g.e = p.e GROUP BY 1""")
+def span_prf_moved(spark, sf_dir):
+    """Spans that are moved, added and left out."""
+    r = records(spark, sf_dir)
+    k, c = F.col("c_custkey"), F.filter("components", lambda s: ~((s["label"] == "city") & (F.col("c_custkey") % 7 == 0)))
+    moved = F.transform(c, lambda s: S.span(s["label"], s["start"] + ((s["label"] == "road") & (k % 9 == 0)).cast("int"), s["end"], s["raw"]))
+    pred = F.when(k % 4 == 0, F.concat(moved, F.array(S.span(F.lit("state"), F.lit(0), F.lit(1), F.lit("X"))))).otherwise(moved)
+    return score.span_prf(r.select("id", F.col("components").alias("gold"), pred.alias("pred")))
+
+
 @query(OUT + """ SELECT country, scope, count(*) AS rows, count(*) FILTER (exact) AS exact FROM (
   SELECT c.country, s.scope, exact FROM x, (VALUES ('all'), ('third')) s(scope), LATERAL (VALUES (x.country), ('all')) c(country) WHERE model = 'a' AND (s.scope = 'all' OR c_custkey % 3 = 0)) GROUP BY ALL""")
 def scope_rollup(spark, sf_dir):
