@@ -235,8 +235,8 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broad
     With ``whole``, kept lacks what a cut left of a character, too.
 
     A null text is an empty one; texts below ``length`` bytes lose nothing; rows with equal texts,
-    ids repeated or null, each keep their own result and remove one another's whole text; extra
-    columns stay inside ``row`` and cannot clash; an empty table gives an empty result.
+    ids repeated or null, each keep their own result and remove one another's whole text: no copy of
+    a tie stays as the first; very long texts are searched whole, in segments; extra columns stay inside ``row`` and cannot clash; an empty table gives an empty result.
     """
     texts = keyed(docs)
     copied, spans = repeats(spark, texts.select("text", "h", "n", "id"), length, broadcast_bytes)

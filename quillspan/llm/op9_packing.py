@@ -135,8 +135,9 @@ def pack(docs: DataFrame, window: int = 1024, path: str | None = None) -> DataFr
     """Pieces of all documents with their place in the sequences.
 
     A document is its token ids and then the end id, so a null or empty text is one end id.
-    Null and repeated doc_ids are packed row by row; other columns are ignored; an empty table
-    gives no pieces. ``window`` is a power of two. Sequences are numbered within partitions
+    Null and repeated doc_ids are packed row by row; a very long text is cut into as many pieces as
+    it needs; documents of equal length go in the order they come; other columns are ignored; an
+    empty table gives no pieces. ``window`` is a power of two. Sequences are numbered within partitions
     (partition in the high bits): the numbers are distinct, not consecutive.
     """
     if window < 2 or window & (window - 1):
