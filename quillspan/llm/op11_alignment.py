@@ -253,7 +253,11 @@ def align_texts(docs: DataFrame, a_path: str | None = None, b_path: str | None =
         cols += [pa.ListArray.from_arrays(lists, pa.array(x)) for x in (pair[new], times)]
         yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in ALIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ALIGNED)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if texts.rdd.getNumPartitions() < cores:  # a table of few splits is dealt out, others stay as they are read
+        texts = texts.repartition(cores)
+    return texts.mapInArrow(run, ALIGNED)
 
 
 def pair_counts(aligned: DataFrame, salts: int = SALTS) -> DataFrame:
