@@ -64,7 +64,8 @@ def test_independent_set_and_hot_keys(spark):
 
 def test_chains_empty_tables_and_equal_ranks(spark):
     chain = [(i, [f"k{i}", f"k{i + 1}"], [], None, None, None) for i in range(8)]
-    assert [outcomes(admit.in_order(spark.createDataFrame(chain, SCHEMA), "rank", "sole"))[i][0] for i in range(8)] == ["admitted", "duplicate"] * 4
+    got = outcomes(admit.in_order(spark.createDataFrame(chain, SCHEMA), "rank", "sole"))
+    assert [got[i][0] for i in range(8)] == ["admitted", "duplicate"] * 4
     none = spark.createDataFrame([], SCHEMA)
     assert admit.in_order(none, "rank", "sole", "shared", "own").count() == 0
     bare = spark.createDataFrame([(1, [], [], "dev", None, None), (2, None, [None], "dev", "test", None), (3, [], [], "dev", None, True)], SCHEMA)
