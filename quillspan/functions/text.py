@@ -1,7 +1,7 @@
 """Text keys, tokenizers and scalar helpers as Column builders.
 
-``fast`` forms stay in the JVM: lower case with eszett folded and character classes. ``strict``
-forms are Arrow UDFs for compatibility normalisation and full case folding, which Spark lacks.
+Plain forms use lower case with eszett folded and character classes. ``strict`` ones use compatibility
+normalisation and full case folding, in the JVM by ``compat``; ``arrow`` ones are the same by Python's own.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import compat
+
 LATIN = r"^[\p{IsLatin}\p{IsCommon}\p{IsInherited}]*$"
 CJK = r"\x{3400}-\x{9fff}\x{f900}-\x{faff}"
 TOKEN = rf"(?U)[{CJK}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{CJK}]]+|[^\s\x{{1c}}-\x{{1f}}]"
@@ -48,7 +50,19 @@ def text_key(text: Column) -> Column:
     return digest(canonical(text))
 
 
-def _strict(text: Column, fn) -> Column:
+def identity_strict(text: Column) -> Column:
+    return compat.letters(compat.folded(text))
+
+
+def key_strict(text: Column) -> Column:
+    return compat.letters(compat.folded(text), "_")
+
+
+def canonical_strict(text: Column) -> Column:
+    return compat.single_spaced(compat.folded(text))
+
+
+def _arrow(text: Column, fn) -> Column:
     """Arrow UDF of the normalised, case-folded text; made on use, for workers import this module too."""
 
     @F.pandas_udf("string")
@@ -58,16 +72,16 @@ def _strict(text: Column, fn) -> Column:
     return run(text)
 
 
-def identity_strict(text: Column) -> Column:
-    return _strict(text, lambda t: "".join(filter(str.isalnum, t)))
+def identity_arrow(text: Column) -> Column:
+    return _arrow(text, lambda t: "".join(filter(str.isalnum, t)))
 
 
-def key_strict(text: Column) -> Column:
-    return _strict(text, lambda t: re.sub(r"\W", "", t))
+def key_arrow(text: Column) -> Column:
+    return _arrow(text, lambda t: re.sub(r"\W", "", t))
 
 
-def canonical_strict(text: Column) -> Column:
-    return _strict(text, lambda t: " ".join(t.split()))
+def canonical_arrow(text: Column) -> Column:
+    return _arrow(text, lambda t: " ".join(t.split()))
 
 
 def bucket(value: Column, n: int) -> Column:
