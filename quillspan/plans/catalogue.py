@@ -17,7 +17,7 @@ from ..functions import compat, edits
 from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
-from ..operators import admit, augment, corpus, model, protect, score, select, verify
+from ..operators import admit, augment, corpus, evidence, model, protect, score, select, verify
 from ..sources import mappers, readers, resumable, spool
 from ..sources.shared import Tables
 from . import corpora
@@ -858,6 +858,40 @@ def score_report_nulls(spark, sf_dir):
     return corpora.score_report(g, p.select("id", "model", "components")).select("country", "every", "model", "rows", "exact", "field_f1")
 
 
+# Panels are thirds of the records. A prediction that moves, drops or adds a part has other spans; one that changes case too.
+PANELS = OUT + """, v AS (SELECT x.*, 'p' || CAST(c_custkey % 3 AS VARCHAR) AS panel, CASE model WHEN 'a' THEN c_custkey % 7 > 0 AND c_custkey % 5 > 0 ELSE c_custkey % 9 > 0 AND c_custkey % 4 > 0 END AS spans FROM x)"""
+
+
+def panelled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    g, p = gold_and_predictions(spark, sf_dir)
+    return g.withColumn("panel", F.concat(F.lit("p"), (F.col("c_custkey") % 3).cast("string"))), p.select("id", "model", "components")
+
+
+@query(PANELS + """ SELECT panel, model, count(*) AS rows, count(*) FILTER (exact) AS fields, count(*) FILTER (spans) AS spans, round(100.0 * count(*) FILTER (exact) / count(*), 3) AS fields_percent, round(100.0 * count(*) FILTER (spans) / count(*), 3) AS spans_percent FROM v GROUP BY ALL""")
+def evidence_panels(spark, sf_dir):
+    return evidence.panels(evidence.outcomes(*panelled(spark, sf_dir)))
+
+
+@query(PANELS + """ SELECT a.panel, a.model AS a, b.model AS b, count(*) AS rows, count(*) FILTER (a.exact AND NOT b.exact) AS wins, count(*) FILTER (b.exact AND NOT a.exact) AS losses FROM v a JOIN v b USING (id) WHERE a.model <> b.model GROUP BY ALL""")
+def evidence_flips(spark, sf_dir):
+    return evidence.flips(evidence.outcomes(*panelled(spark, sf_dir)), [("a", "b"), ("b", "a")])
+
+
+@query(PANELS + """ SELECT panel, model, id, rec.text, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY panel, model ORDER BY c_custkey) AS INTEGER) AS rn FROM v WHERE NOT spans) q JOIN rec USING (id) WHERE rn <= 50""")
+def evidence_failures(spark, sf_dir):
+    """The first fifty failing rows of each panel and model, as the report lists them."""
+    return evidence.failures(evidence.outcomes(*panelled(spark, sf_dir)), order=F.col("id").cast("long")).select("panel", "model", "id", "text", "rn")
+
+
+@query(OUT + """ SELECT c.country, c.country IS NULL AS every, count(*) AS rows, count(*) FILTER (ok) AS exact_field_map, avg(ok::INT) AS accuracy
+FROM (SELECT country, c_custkey % 9 > 0 AND c_custkey % 4 > 0 AS ok FROM rec), LATERAL (VALUES (country), (NULL)) c(country) GROUP BY ALL""")
+def teacher_scores(spark, sf_dir):
+    """The second model as a teacher: other case and width are no error, another country or field is."""
+    g, p = gold_and_predictions(spark, sf_dir)
+    wide = F.transform("components", lambda s: S.span(s["label"], s["start"], s["end"], F.translate(s["raw"], LETTERS, WIDE)))
+    return evidence.teacher_report(g, p.where("model = 'b'").select("id", wide.alias("components")))
+
+
 @query(OUT + """ SELECT a.country, count(*) FILTER (a.exact AND b.exact) AS "both", count(*) FILTER (a.exact AND NOT b.exact) AS only_a, count(*) FILTER (NOT a.exact AND b.exact) AS only_b,
   count(*) FILTER (NOT a.exact AND NOT b.exact) AS neither FROM x a JOIN x b USING (id) WHERE a.model = 'a' AND b.model = 'b' GROUP BY a.country""")
 def model_comparison(spark, sf_dir):
