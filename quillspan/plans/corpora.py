@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import edits
 from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
 from ..operators import admit, augment, corpus, protect, score, select
+from ..sources.shared import Tables
 
 
 def mapped(sources: dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -150,6 +152,72 @@ def selected(candidates: DataFrame, limit: int) -> DataFrame:
     return select.round_robin(candidates.where("reason is null"), "split", "state", "kind", "grp", "rank", "novel", limit)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """Adds loose (identity of the text), grp and streets (group and street keys) and sign (labelled content)."""
+    c = F.col("components")
+    named = {"loose": X.identity(F.col("text")), "grp": S.group_key(F.col("country"), F.col("text"), c), "streets": S.street_keys(F.col("country"), c)}
+    return df.withColumns(named | {"sign": X.digest(F.to_json(S.signature(c)))})
+
+
+def near(rows: DataFrame, other: DataFrame, flag: str, *keys: str) -> DataFrame:
+    """Adds whether a row shares a street or one of the given keys with any row of other: a semi join for each, its ids joined once."""
+    ids = protect.overlapping(rows, other, "id", "streets").union(protect.matching(rows, other, "id", *[[k] for k in keys]))
+    return rows.join(ids.distinct().withColumn(flag, F.lit(True)), "id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def expanded_build(candidates: DataFrame, train: DataFrame, protected: DataFrame, caps: tuple[int, int] = (5000, 1000), per_group: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(candidates with split and reason, additions to train) of an existing corpus; candidates: id (unique, not null), source, country, text, components; train, protected: country, text, components.
+
+    Of the candidates that nothing speaks against the first by digest stands for its text. Quotas of
+    source, country and completeness and groups have room in the same order. A row goes to train if it
+    shares a group or street with train, or by its group's digest; else to source-dev, and train rows
+    that share a group or street with source-dev leave. Additions are the rows of train, their layout
+    variants and, where ideographs stand apart, compacted texts: those that could be held, whose text
+    is neither protected nor in source-dev, and whose labels no other row of the same text contradicts.
+    """
+    tables = Tables(candidates.sparkSession)
+    rank = X.digest(F.col("id").cast("string"))
+    r = keyed(corpus.audit(candidates).withColumnRenamed("reason", "bad").withColumn("rank", rank))
+    old, kept_out = keyed(train).select("loose", "grp", "streets", "sign"), keyed(protected).select("loose", "grp", "streets")
+    conflicts = protect.conflicting(r.where("loose is not null"), "loose", "sign").select("loose", F.lit(True).alias("differs"))
+    known = old.where("loose is not null").groupBy("loose").agg(F.collect_set("sign").alias("known"))
+    r = near(r, kept_out, "guarded", "loose", "grp").join(conflicts, "loose", "left").join(known, "loose", "left")
+    same = F.array_contains("known", F.col("sign")) & (F.size("known") == 1)
+    reason = F.coalesce("bad", corpus.first_reason(
+        ("conflicting-candidate-labels", F.col("differs")), ("existing-training-duplicate", F.coalesce(same, F.lit(False))), ("conflict-with-existing-training", F.col("known").isNotNull()),
+        ("protected-evaluation-overlap", F.col("guarded")),
+    ))
+    r, _ = tables.cut(r.select(*candidates.columns, "rank", "loose", "grp", "streets", "sign", reason.alias("reason")), "judged")
+    first = r.where("reason is null").groupBy("loose").agg(F.min("rank").alias("first"))
+    r = r.join(first, "loose", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("rank") != F.col("first"), "new-source-duplicate"))).drop("first")
+    has = lambda n: F.exists("components", lambda s: s["label"] == n)
+    left = r.where("reason is null").select("rank", "grp", F.struct("source", "country").alias("quota"), (has("house_number") & has("road")).alias("full"))
+    room = admit.joint_caps(left, "rank", "quota", "grp", "full", caps, per_group).select("rank", F.lit(True).alias("room"))
+    r = r.join(room, "rank", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("room").isNull(), "mixture-or-street-cap"))).drop("room")
+    r = near(r, old, "ours", "grp")
+    tenth = F.conv(F.substring("grp", 1, 8), 16, 10).cast("bigint") % 10 == 0
+    r, _ = tables.cut(r.withColumn("split", F.when(F.col("reason").isNull(), F.when(F.col("ours") | ~tenth, "train").otherwise("source-dev"))), "split")
+    held = r.where("split = 'source-dev'")
+    r = near(r, held, "near", "grp").withColumn("reason", F.coalesce("reason", F.when((F.col("split") == "train") & F.col("near"), "supplementary-holdout-overlap")))
+    decided = r.withColumn("split", F.when(F.col("reason").isNull(), F.col("split")))
+    made = additions(decided.where("split = 'train'")).withColumn("loose", X.identity(F.col("text")))
+    made = protect.without(made, kept_out.select("loose").union(held.select("loose")), ["loose"])
+    made = representable(made).where("fits").withColumn("sign", X.digest(F.to_json(S.signature(F.col("components")))))
+    differs = protect.conflicting(made.select("loose", "sign").union(old.select("loose", "sign")), "loose", "sign")
+    made = made.join(differs.select("loose"), "loose", "left_anti")
+    return decided.select(*candidates.columns, "split", "reason"), made.select("id", "origin", "kind", "country", "text", "components")
+
+
+def additions(rows: DataFrame) -> DataFrame:
+    """(id, origin, kind, country, text, components): the rows, a layout variant of each and compacted ideographs; origin is the row's own id."""
+    rows = rows.withColumn("id", F.col("id").cast("string"))
+    plain = rows.select("id", F.col("id").alias("origin"), F.lit("original").alias("kind"), "country", "text", "components")
+    laid = augment.layouts(rows).withColumn("origin", F.regexp_replace("id", ":layout$", "")).join(rows.select(F.col("id").alias("origin"), "country"), "origin")
+    apart = rows.where(F.col("country").isin("cn", "tw", "jp") & F.col("text").rlike(edits.IDEOGRAPH_GAPS)).withColumn("m", edits.compact_ideographs(F.col("text"), F.col("components")))
+    tight = apart.select(F.concat("id", F.lit(":compact")).alias("id"), F.col("id").alias("origin"), F.lit("compact").alias("kind"), "country", "m.text", F.col("m.spans").alias("components"))
+    return plain.unionByName(laid.select(*plain.columns)).unionByName(tight)
+
+
 def country_pilot(rows: DataFrame, previous: DataFrame, countries: list[str], per_stratum: int) -> tuple[DataFrame, DataFrame]:
     """(first rows by hash of each country and type, one row of counts: how many of them a previous set holds too)."""
     r = rows.where(F.col("country").isin(*countries)).withColumn("type", S.address_type(F.col("components")))
