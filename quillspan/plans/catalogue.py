@@ -612,6 +612,23 @@ def expansion(spark, sf_dir):
     return out.groupBy(reason.alias("reason")).agg(F.count("*").alias("rows"))
 
 
+@query(f"""WITH {REC}, c AS (SELECT id, p2 AS source, country, c_custkey AS k, sha256(concat_ws('|', country, {ident('p2')}, {ident('p4')})) AS grp FROM rec),
+every AS (SELECT * FROM c UNION ALL SELECT id || 'd', source, country, k, grp FROM c WHERE k % 13 = 0 UNION ALL SELECT id || 'x', source, country, k, grp FROM c WHERE k % 17 = 0),
+judged AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'conflicting-candidate-labels' WHEN k % 50 = 0 THEN 'existing-training-duplicate' WHEN grp IN (SELECT grp FROM c WHERE k % 501 = 7) THEN 'protected-evaluation-overlap' END AS r0 FROM every),
+once AS (SELECT *, coalesce(r0, CASE WHEN sha256(id) > min(sha256(id)) FILTER (r0 IS NULL) OVER (PARTITION BY k) THEN 'new-source-duplicate' END) AS r1 FROM judged),
+capped AS (SELECT *, coalesce(r1, CASE WHEN row_number() OVER (PARTITION BY source, country, r1 IS NULL ORDER BY sha256(id)) > 30 THEN 'mixture-or-street-cap' END) AS reason FROM once)
+SELECT id, CASE WHEN reason IS NULL THEN CASE WHEN grp IN (SELECT grp FROM c WHERE k % 50 = 0) OR CAST(concat('0x', substr(grp, 1, 8)) AS BIGINT) % 10 > 0 THEN 'train' ELSE 'source-dev' END END AS split, reason FROM capped""")
+def expanded_build(spark, sf_dir):
+    """Records as candidates, some twice and some under other labels; every fiftieth is in train already, and the groups of a few are protected. Quotas of 30 bind, groups have room."""
+    r = records(spark, sf_dir).withColumn("source", F.col("components")[1]["raw"])
+    k, wanted = F.col("c_custkey"), ["id", "source", "country", "text", "components"]
+    other = F.transform("components", lambda s: S.span(F.when(s["label"] == "city", "suburb").otherwise(s["label"]), s["start"], s["end"], s["raw"]))
+    again = r.where(k % 13 == 0).withColumn("id", F.concat("id", F.lit("d"))).select(wanted)
+    differs = r.where(k % 17 == 0).withColumn("id", F.concat("id", F.lit("x"))).withColumn("components", other).select(wanted)
+    decided, _ = corpora.expanded_build(r.select(wanted).union(again).union(differs), r.where(k % 50 == 0), r.where(k % 501 == 7), (30, 30), 1_000_000)
+    return decided.select("id", "split", "reason")
+
+
 @query("""WITH e AS (SELECT s_suppkey AS k, 'fdic:' || s_suppkey AS id, s_suppkey % 4 = 1 AS bare, CASE WHEN s_suppkey % 3 = 0 THEN 'VT' ELSE 'NY' END AS stratum, sha256('f|fdic:' || s_suppkey) AS rank, s_nationkey AS n FROM supplier),
 x AS (SELECT *, CASE WHEN bare THEN 'missing-required-field' WHEN n = 3 THEN 'blocked-entity' END AS r FROM e),
 y AS (SELECT *, coalesce(r, CASE WHEN k % 10 IN (4, 8) AND rank > min(rank) FILTER (r IS NULL) OVER (PARTITION BY k % 10 IN (4, 8), n) THEN 'duplicate-entity' END) AS r2 FROM x),
