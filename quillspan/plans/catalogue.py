@@ -875,6 +875,48 @@ def score_report_nulls(spark, sf_dir):
     return corpora.score_report(g, p.select("id", "model", "components")).select("country", "every", "model", "rows", "exact", "field_f1")
 
 
+@query(f"""WITH {REC}, r AS (SELECT *, len(regexp_extract_all(p4, '{TOKEN_SQL}')) AS city, len(regexp_extract_all(text, '{TOKEN_SQL}')) AS n FROM rec),
+w AS (SELECT n, CASE WHEN c_custkey % 7 = 0 THEN city WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS wrong FROM r)
+SELECT count(*) AS rows, count(*) FILTER (wrong = 0) AS exact, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n - wrong) AS BIGINT) AS correct_tokens,
+  count(*) FILTER (wrong = 0) / count(*) AS supported_accuracy, count(*) FILTER (wrong = 0) / (count(*) + 40) AS all_inputs_accuracy, sum(n - wrong) / sum(n) AS token_accuracy FROM w""")
+def accuracy_denominators(spark, sf_dir):
+    """The first model's spans and the tags of its tokens, with forty inputs that could not be held."""
+    g, p = gold_and_predictions(spark, sf_dir)
+    df = g.select("id", "text", F.col("components").alias("gold")).join(p.where("model = 'a'").select("id", F.col("components").alias("pred")), "id").withColumn("o", S.token_spans(F.col("text")))
+    return score.accuracies(df.select("gold", "pred", S.spans_to_bio(F.col("gold"), F.col("o")).alias("gold_tags"), S.spans_to_bio(F.col("pred"), F.col("o")).alias("pred_tags")), 40)
+
+
+@query(OUT + """, v AS (SELECT a.exact AS b, kind, b.exact AND (kind = 'upper' OR a.c_custkey % 6 > 0) AS v FROM x a JOIN x b USING (id), (VALUES ('upper'), ('lower')) k(kind) WHERE a.model = 'a' AND b.model = 'b' AND (kind = 'upper' OR a.c_custkey % 2 = 0))
+SELECT kind, count(*) FILTER (b AND v) AS "both", count(*) FILTER (b AND NOT v) AS only_base, count(*) FILTER (NOT b AND v) AS only_variant, count(*) FILTER (NOT b AND NOT v) AS neither FROM v GROUP BY kind""")
+def variant_flips(spark, sf_dir):
+    """Rows that the first model has right against two kinds of variants, the lower one of every other row, as the second model has them."""
+    x, k = score.row_outcomes(outcomes(spark, sf_dir)), F.col("id").cast("long")
+    kinds = F.explode(F.when(k % 2 == 0, F.array(F.lit("upper"), F.lit("lower"))).otherwise(F.array(F.lit("upper")))).alias("kind")
+    v = x.where("model = 'b'").select("id", "exact", kinds)
+    v = v.select(F.concat_ws(":", "id", "kind").alias("id"), (F.col("exact") & ((F.col("kind") == "upper") | (k % 6 > 0))).alias("exact"))
+    return score.variant_outcomes(v, x.where("model = 'a'"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS key, CASE c_custkey % 3 WHEN 0 THEN 'train' ELSE 'dev' END AS split, 0 AS n FROM customer),
+b AS (SELECT o_custkey + 5 AS key, CASE WHEN max(o_totalprice) > 300000 THEN 'train' ELSE 'dev' END AS split, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, split = 'train' AS best, 0 AS late FROM a UNION ALL SELECT *, split = 'train', 1 FROM b)
+SELECT key, split, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY best DESC, late DESC) AS rn FROM p) WHERE rn = 1""")
+def alias_upsert(spark, sf_dir):
+    """Keys with a split, upserted by others, of which a few are new: train goes before any other split, and what is new before what was there."""
+    old = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "train").otherwise("dev").alias("split"), F.lit(0).cast("long").alias("n"))
+    new = t(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 5).alias("key")).agg(F.when(F.max("o_totalprice") > 300000, "train").otherwise("dev").alias("split"), F.count("*").alias("n"))
+    return protect.upsert(old, new, ["key"], F.when(F.col("split") == "train", 1).otherwise(0))
+
+
+@query(f"""WITH {REC}, r AS (SELECT *, row_number() OVER (PARTITION BY country, p3 IS NULL ORDER BY sha256('2026|' || id), id) AS rn FROM rec WHERE country IN ('asia', 'europe'))
+SELECT id, country, (SELECT count(*) FROM r WHERE rn <= 12 AND (c_custkey % 3 = 0 OR c_custkey % 10 = 4)) AS overlap FROM r WHERE rn <= 12""")
+def country_pilot(spark, sf_dir):
+    """Twelve rows of each kind in two countries, and how many of them a previous set holds in other case or twice."""
+    r = records(spark, sf_dir)
+    k = F.col("c_custkey")
+    some, counts = corpora.country_pilot(r, r.where(k % 3 == 0).withColumn("text", F.upper("text")).union(r.where(k % 10 == 4)), ["asia", "europe"], 12)
+    return some.select("id", "country").crossJoin(F.broadcast(counts.select("overlap")))  # one row
+
+
 # Panels are thirds of the records. A prediction that moves, drops or adds a part has other spans; one that changes case too.
 PANELS = OUT + """, v AS (SELECT x.*, 'p' || CAST(c_custkey % 3 AS VARCHAR) AS panel, CASE model WHEN 'a' THEN c_custkey % 7 > 0 AND c_custkey % 5 > 0 ELSE c_custkey % 9 > 0 AND c_custkey % 4 > 0 END AS spans FROM x)"""
 
