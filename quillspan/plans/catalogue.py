@@ -19,7 +19,7 @@ from ..functions import spans as S
 from ..functions import text as X
 from ..operators import admit, augment, corpus, evidence, model, protect, score, select, verify
 from ..sources import mappers, readers, resumable, spool
-from ..sources.shared import Tables
+from ..sources.shared import Tables, dealt
 from . import corpora
 
 QUERIES: dict = {}
@@ -55,7 +55,7 @@ SCORER_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s,]"
 
 def records(spark, sf_dir) -> DataFrame:
     """Annotated rows rendered from customers."""
-    c = t(spark, sf_dir, "customer").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
+    c = dealt(t(spark, sf_dir, "customer"), "c_custkey").join(F.broadcast(t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 and 5 rows
     text, spans = S.render(S.parts(("house_number", F.col("c_custkey")), ("road", F.col("c_mktsegment")), ("unit", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Unit "), F.col("c_custkey") % 100))), ("city", F.col("n_name")), ("country", F.col("r_name"))), ", ")
     return c.select(F.col("c_custkey").cast("string").alias("id"), "c_custkey", F.col("n_name").alias("nation"), F.lower("r_name").alias("country"), text.alias("text"), spans.alias("components"))
 

@@ -32,3 +32,15 @@ class Tables:
         schema = df.schema
         df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
         return self.spark.read.schema(schema).parquet(path), seen.get
+
+
+ROWS = 8192
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """The rows dealt out by key, about ``rows`` to a task: a table of few splits is not worked on by few tasks, and a task's work and memory do not grow with the table.
+
+    The rows are counted first, which for a table read as it is takes only the footers of its files.
+    """
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > 1 else df
