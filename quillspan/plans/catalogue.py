@@ -653,7 +653,7 @@ def arrival_admission(spark, sf_dir):
     """Orders in hash order, each admitted unless an earlier admitted one has its customer or one of its suppliers."""
     suppliers = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("suppliers"))
     o = t(spark, sf_dir, "orders").join(suppliers, "o_orderkey", "left")
-    o = o.select("o_orderkey", select.hash_rank("o_orderkey", seed="a").alias("rank"), F.array_append(F.coalesce("suppliers", F.array().cast("array<string>")), F.concat(F.lit("c"), "o_custkey")).alias("keys"))
+    o = o.select("o_orderkey", F.unhex(select.hash_rank("o_orderkey", seed="a")).alias("rank"), F.array_append(F.coalesce("suppliers", F.array().cast("array<string>")), F.concat(F.lit("c"), "o_custkey")).alias("keys"))
     return admit.in_order(o, "rank", "keys").select("o_orderkey", (F.col("outcome") == "admitted").alias("admitted"))
 
 

@@ -93,3 +93,19 @@ def test_joint_caps_equal_the_walk(spark, monkeypatch, head):
         got = admit.joint_caps(df, "r", "q", "g", "f", caps, per_group)
         assert sorted(x.r for x in got.collect()) == walk(rows, caps, per_group)
     assert admit.joint_caps(df.where("false"), "r", "q", "g", "f").count() == 0
+
+
+def test_most_rows_never_enter_a_round(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(k, [f"a{r.randrange(200)}", f"b{r.randrange(200)}"], [], None, None, None) for k in r.sample(range(10**6), 12_000)]
+    written, cut = [], admit.Tables.cut
+
+    def counted(self, df, name, **metrics):
+        table, seen = cut(self, df, name, **metrics)
+        written.append((name, seen["rows"]))
+        return table, seen
+
+    monkeypatch.setattr(admit.Tables, "cut", counted)
+    got = outcomes(admit.in_order(spark.createDataFrame(rows, SCHEMA), "rank", "sole"))
+    assert got == {k: (o, None) for k, (o, _) in loop(rows).items()}
+    assert sum(n for name, n in written if name != "rows") < len(rows)  # of 24,000 pairs of a row and a key
