@@ -22,3 +22,13 @@ def test_dealt_keeps_every_row(spark):
     got = dealt(df, "k", rows=30)
     assert got.rdd.getNumPartitions() == 4 and sorted(r.id for r in got.collect()) == list(range(100))
     assert dealt(df, "k", rows=100).rdd.getNumPartitions() == 1 and dealt(df.where("false"), "k").count() == 0
+
+
+def test_variants_of_one_split_are_many_tasks(spark, sf, tmp_path):
+    """structural_variants and parse work on records row by row, so they have as many tasks as the records."""
+    few = spark.range(3 * ROWS).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment"))
+    few.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for q in ("structural_variants", "parse"):
+        assert catalogue.QUERIES[q](spark, str(tmp_path)).rdd.getNumPartitions() == 3
