@@ -365,8 +365,8 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         if not pairs._rows:
             return
         need = pairs.select("tag", F.explode(F.array("a", "b")).alias("v")).distinct()
-        # the first round asks for most sets, later ones for few
-        there = sets.join(scratch.small(need, rows=2 * pairs._rows), "v") if known else sets.hint("merge").join(need, "v")
+        # wanted names go to the sets, which do not move for this as long as the names fit a broadcast
+        there = sets.join(scratch.small(need, rows=2 * pairs._rows), "v")
         tested, known = tested.union(pairs.select("a", "b")), known + pairs._rows
         null = lambda t: F.lit(None).cast(t)
         both = there.select("tag", "v", "s", null("long").alias("a"), null("long").alias("b")).union(pairs.select("tag", null("long"), null("array<long>"), "a", "b"))
@@ -430,7 +430,11 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         verify(found, found._rows)
         if found._seen["dense"]:
             where = found.where("a is null").select(*GROUP).distinct()
-            connect(scratch.cut(links(both.join(scratch.small(where, 40, found._seen["dense"]), GROUP, "left_semi").join(sets, "v"), percent), "found"))
+            crowd = scratch.cut(both.join(scratch.small(where, 40, found._seen["dense"]), GROUP, "left_semi"), "crowd")
+            # only the sets of dense chunks move
+            theirs = sets.join(scratch.small(crowd.select("v").distinct(), rows=crowd._rows), "v", "left_semi")
+            connect(scratch.cut(links(crowd.join(theirs, "v"), percent), "found"))
+            scratch.drop(crowd)
         scratch.drop(found)
         if level == depth or not left._seen["open"]:
             break
