@@ -48,24 +48,30 @@ def at_most(breaks: Column, x: Column) -> Column:
 def without(text: Column, spans: Column, pattern: str) -> Column:
     """(text, spans): the text without what matches ``pattern``, and its spans where they then lie.
 
-    An end inside a removed run lies where the run was; a span of which nothing is left goes.
+    An end inside a removed run lies where the run was; a span of which nothing is left goes. A
+    mask has one letter for each character, kept or gone; an end lies behind the kept ones before
+    it, counted from the start of its block on, so work follows the text and the ends.
     """
-    gone = running(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.length))
-    kept = running(F.transform(F.split(text, pattern), F.length))
-    sums = F.struct(gone.alias("gone"), kept.alias("kept"))
-    both = let(sums, lambda m: F.struct(F.regexp_replace(text, pattern, "").alias("text"), m["gone"].alias("gone"), F.zip_with(m["kept"], m["gone"], lambda k, g: k + g).alias("ends"), m["kept"].alias("kept")))
+    gone, kept = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), F.split(text, pattern)
+    both = F.zip_with(kept, gone, lambda k, g: F.concat(F.repeat(F.lit("k"), F.length(k)), F.repeat(F.lit("-"), F.coalesce(F.length(g), F.lit(0)))))
+    mask = F.array_join(both, "").cast("binary")
+    left = lambda m, at, n: F.length(F.replace(F.substring(m, at + 1, n).cast("string"), F.lit("-"), F.lit("")))
+
+    def counted(m: Column) -> Column:
+        starts = F.when(F.length(m) > 0, F.sequence(F.lit(0), F.length(m) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.struct(m.alias("mask"), F.length(m).alias("n"), running(F.transform(starts, lambda i: left(m, i, F.lit(BLOCK)))).alias("upto"), F.regexp_replace(text, pattern, "").alias("text"))
 
     def move(m: Column, x: Column) -> Column:
-        n = at_most(m["ends"], x)
-        before = F.when(n > 0, F.get(m["gone"], n - 1)).otherwise(0)
-        return F.least(x - before, F.get(m["kept"], n))
+        x = F.least(x, m["n"])
+        block = F.floor(x / BLOCK).cast("int")
+        return F.when(x <= 0, x).otherwise(F.when(block > 0, F.get(m["upto"], block - 1)).otherwise(0) + left(m["mask"], block * BLOCK, x - block * BLOCK))
 
     def moved(m: Column) -> Column:
         new = F.transform(spans, lambda s: F.struct(s["label"].alias("label"), move(m, s["start"]).alias("start"), move(m, s["end"]).alias("end")))
         new = F.transform(new, lambda s: F.struct(s["label"].alias("label"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), m["text"].substr(s["start"] + 1, s["end"] - s["start"]).alias("raw")))
         return F.struct(m["text"].alias("text"), F.filter(new, lambda s: s["end"] > s["start"]).alias("spans"))
 
-    return F.when(text.isNotNull() & spans.isNotNull(), let(both, moved))
+    return F.when(text.isNotNull() & spans.isNotNull(), let(mask, lambda m: let(counted(m), moved)))
 
 
 def compact_ideographs(text: Column, spans: Column) -> Column:
