@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 64
 FAN = 6
+FEW = 48
 BEYOND = r"[^\x{0}-\x{7f}]"
 # Hangul syllables are composed by arithmetic: first syllable, first leading, vowel and trailing letter, and their numbers.
 S, L, V, T, LS, VS, TS = 0xAC00, 0x1100, 0x1161, 0x11A7, 19, 21, 28
@@ -167,8 +168,20 @@ def folded(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(piece), F.lit(0))
     run = lambda p: F.when(p.rlike(BEYOND), translated(p, one)).otherwise(F.lower(p))
     short = lambda p: F.when(F.length(p) == 1, F.coalesce(alone(p), p)).otherwise(replaced(composed(p), t["folds"]))
-    parts = F.transform(pieces, lambda p: F.when(p.rlike(segment), short(p)).otherwise(run(p)))
-    return F.when(text.rlike(odd), F.array_join(parts, "")).otherwise(run(text))
+    form = lambda p: F.when(p.rlike(segment), short(p)).otherwise(run(p))
+
+    def parts(ps: Column) -> Column:
+        """Forms of the pieces. A text repeats its segments: if different ones are few, each is formed once and looked up."""
+        odd_ones = F.array_distinct(F.filter(ps, lambda p: p.rlike(segment)))
+        few = lambda own: F.size(own) <= FEW
+
+        def found(own: Column) -> Column:
+            named = lambda forms: bound(F.map_from_arrays(own, forms), lambda m: F.transform(ps, lambda p: F.coalesce(F.try_element_at(m, p), run(p))))
+            return bound(F.transform(F.when(few(own), own).otherwise(ps), form), lambda forms: F.when(few(own), named(forms)).otherwise(forms))
+
+        return bound(odd_ones, found)
+
+    return F.when(text.rlike(odd), F.array_join(bound(pieces, parts), "")).otherwise(run(text))
 
 
 @cache

@@ -19,7 +19,7 @@ from ..functions import spans as S
 from ..functions import text as X
 from ..operators import admit, augment, corpus, evidence, model, protect, score, select, verify
 from ..sources import mappers, readers, resumable, spool
-from ..sources.shared import Tables, dealt
+from ..sources.shared import TEXTS, Tables, dealt
 from . import corpora
 
 QUERIES: dict = {}
@@ -135,7 +135,7 @@ def strict_keys(spark, sf_dir):
         style = style.when(k == i, reduce(lambda v, p: F.replace(v, *map(F.lit, p)), pairs, text))
     f = F.col("f")
     keys = X.digest(compat.letters(f)).alias("identity"), X.digest(compat.letters(f, "_")).alias("key"), X.digest(compat.single_spaced(f)).alias("canonical")
-    return t(spark, sf_dir, "documents").select("doc_id", compat.folded(style).alias("f")).select("doc_id", *keys)
+    return dealt(t(spark, sf_dir, "documents"), "doc_id", rows=TEXTS).select("doc_id", compat.folded(style).alias("f")).select("doc_id", *keys)
 
 
 @query("""SELECT doc_id, CASE WHEN b < 5 THEN 'dev' WHEN b < 10 THEN 'test' ELSE 'train' END AS split
@@ -1139,7 +1139,7 @@ def compacted_spans(spark, sf_dir):
     n = F.length("text")
     part = lambda i: F.floor(n * i / 9).cast("int")
     spans = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: S.span(i.cast("string"), part(i), part(i + 1), F.lit("")))
-    d = t(spark, sf_dir, "documents").where("text is not null").select("doc_id", edits.without(F.col("text"), spans, r"[ \n\t]+").alias("m"))
+    d = dealt(t(spark, sf_dir, "documents"), "doc_id", rows=TEXTS).where("text is not null").select("doc_id", edits.without(F.col("text"), spans, r"[ \n\t]+").alias("m"))
     return d.select("doc_id", F.explode("m.spans").alias("s")).select("doc_id", F.col("s.label").cast("long").alias("i"), "s.start", "s.end", "s.raw")
 
 

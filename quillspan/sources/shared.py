@@ -34,7 +34,7 @@ class Tables:
         return self.spark.read.schema(schema).parquet(path), seen.get
 
 
-ROWS = 8192
+ROWS, TEXTS = 8192, 1024  # rows of a task; where each is a whole text
 
 
 def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:

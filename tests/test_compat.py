@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import pandas as pd
@@ -47,3 +48,13 @@ def test_arrow_forms_agree(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.range(3).select(X.identity_strict(F.col("id").cast("string")).alias("x"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_segments_are_formed_once(spark):
+    """A text of few different segments takes little longer than its pieces, one of many is formed piece by piece; both are right."""
+    rows = ["ẹ́a" * 20_000, "".join(chr(0x1EA0 + i % 90) + "́b" for i in range(300))]
+    got = [r.f for r in spark.createDataFrame([(r,) for r in rows], "t string").coalesce(1).select(compat.folded(F.col("t")).alias("f")).collect()]
+    assert got == [unicodedata.normalize("NFKC", r).casefold() for r in rows]
+    few = spark.createDataFrame([(rows[0] * 5,)], "t string").coalesce(1).select(F.length(compat.folded(F.col("t"))).alias("n"))
+    t0 = time.time()
+    assert few.first().n > 0 and time.time() - t0 < 12

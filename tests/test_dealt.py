@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspan.plans import catalogue
-from quillspan.sources.shared import ROWS, dealt
+from quillspan.sources.shared import ROWS, TEXTS, dealt
 
 
 def test_records_of_one_split_are_many_tasks(spark, sf, tmp_path):
@@ -32,3 +32,10 @@ def test_variants_of_one_split_are_many_tasks(spark, sf, tmp_path):
         spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     for q in ("structural_variants", "parse"):
         assert catalogue.QUERIES[q](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_texts_of_one_split_are_many_tasks(spark, tmp_path):
+    """compacted_spans and strict_keys work on texts row by row."""
+    spark.range(3 * TEXTS).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for q in ("compacted_spans", "strict_keys"):
+        assert catalogue.QUERIES[q](spark, str(tmp_path)).rdd.getNumPartitions() == 3
