@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, components, partitions
-from .textkit import U64, buffers, chunks, mix, ragged, words
+from .store import Scratch, components, partitions, tidy
+from .textkit import SMALL, U64, buffers, chunks, mix, ragged, words
 
 COORDS = 64
 ALIKE = 36
@@ -86,7 +86,7 @@ def features(docs: DataFrame, k: int = 4) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = buffers(b.column(1))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SMALL):
                 sets = shingles(data, offs[i : j + 1], k)
                 size = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
@@ -97,7 +97,7 @@ def features(docs: DataFrame, k: int = 4) -> DataFrame:
                 roots = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig[:, ROOTS].view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), v, roots, pa.array([next(sketch).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "v", "roots", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, v long, roots array<int>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, v long, roots array<int>, sketch binary")
 
 
 def with_class(docs: DataFrame, name: str, k: int = 4) -> DataFrame:
@@ -106,11 +106,11 @@ def with_class(docs: DataFrame, name: str, k: int = 4) -> DataFrame:
     def run(batches):
         for b in batches:
             data, offs = buffers(b.column(b.num_columns - 1))
-            v = [fingerprint(s) if len(s) else None for i, j in chunks(offs) for s in shingles(data, offs[i : j + 1], k)]
+            v = [fingerprint(s) if len(s) else None for i, j in chunks(offs, SMALL) for s in shingles(data, offs[i : j + 1], k)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(v, pa.int64())], [*b.schema.names[:-1], name])
 
     schema = docs.schema
-    return docs.select("*", F.col("text").alias(name)).mapInArrow(run, type(schema)([*schema.fields]).add(name, "long"))
+    return docs.select("*", F.col("text").alias(name)).mapInArrow(tidy(run), type(schema)([*schema.fields]).add(name, "long"))
 
 
 def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -120,14 +120,14 @@ def full_sets(docs: DataFrame, k: int = 4) -> DataFrame:
         for b in batches:
             data, offs = buffers(b.column(1))
             want = b.column(0).to_pylist()
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SMALL):
                 sets = ((fingerprint(s), s, w) for s, w in zip(shingles(data, offs[i : j + 1], k), want[i:j]) if len(s))
                 keep = [(v, s) for v, s, w in sets if w is None or v == w]
                 if keep:
                     at = np.concatenate([[0], np.cumsum([len(s) for _, s in keep])])
                     yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in keep], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([s for _, s in keep]).view(np.int64)))], ["v", "s"])
 
-    return docs.mapInArrow(run, "v long, s array<long>")
+    return docs.mapInArrow(tidy(run), "v long, s array<long>")
 
 
 class Group:
@@ -241,7 +241,7 @@ def candidates(members: DataFrame, percent: int, forest: bool, dense: int = DENS
         return pa.RecordBatch.from_arrays([pa.array(g.key[at, c]) for c in range(3)] + ends, [*GROUP, "a", "b"])
 
     dealt = members.select(*GROUP, *MEMBER).repartition(n, *GROUP).sortWithinPartitions(*GROUP)
-    return dealt.mapInArrow(lambda batches: by_group(batches, BLOCK_ROWS, work), "node long, chunk long, block long, a long, b long")
+    return dealt.mapInArrow(tidy(lambda batches: by_group(batches, BLOCK_ROWS, work)), "node long, chunk long, block long, a long, b long")
 
 
 def links(members: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +264,7 @@ def links(members: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     dealt = members.select(*GROUP, *MEMBER, "s").repartition(n, *GROUP).sortWithinPartitions(*GROUP)
-    return dealt.mapInArrow(lambda batches: by_group(batches, 1, work), "a long, b long")
+    return dealt.mapInArrow(tidy(lambda batches: by_group(batches, 1, work)), "a long, b long")
 
 
 def similar(flat: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -311,7 +311,7 @@ def confirm(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     dealt = rows.select("tag", "v", "s", "a", "b").repartition(n, "tag").sortWithinPartitions("tag", F.col("v").asc_nulls_last())
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_components(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, chunk: int = CHUNK, depth: int = 12, dense: int = DENSE, rows: bool = False) -> DataFrame:

@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, partitions
+from .store import Scratch, partitions, tidy
 from .suffix import join_texts, plcp, suffix_array
-from .textkit import _LUT, U64, buffers, chunks, mix, ragged
+from .textkit import _LUT, SMALL, U64, buffers, chunks, mix, ragged
 
 GRAM = 32
 CUT = 512
@@ -96,7 +96,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             data, offs = buffers(b.column(0))
             n, w = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SMALL):
                 row, at, count, key, twin = segments(data, offs[i : j + 1], length)
                 if not len(row):
                     continue
@@ -106,7 +106,7 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 r = row + i
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(seg, pa.binary()), b.column(1).take(pa.array(r))] + [pa.array(x) for x in (n[r], at.astype(np.int32), count.astype(np.int32), w[r].astype(np.int32), twin)], names)
 
-    return docs.select("text", "h", "n", "weight").where(F.col("n") >= length).mapInArrow(run, "key long, seg binary, h binary, n int, at int, windows int, weight int, twin boolean")
+    return docs.select("text", "h", "n", "weight").where(F.col("n") >= length).mapInArrow(tidy(run), "key long, seg binary, h binary, n int, at int, windows int, weight int, twin boolean")
 
 
 def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +148,7 @@ def shard_matches(segs: DataFrame, length: int) -> DataFrame:
             yield out(match(rows, length))
 
     dealt = segs.select("key", "seg", "windows", "bytes").repartition(partitions(segs.sparkSession), "key").sortWithinPartitions("key", "seg")
-    return dealt.mapInArrow(run, "key long, seg binary, lo long, hi long")
+    return dealt.mapInArrow(tidy(run), "key long, seg binary, lo long, hi long")
 
 
 def window_matches(segs: DataFrame, length: int) -> DataFrame:
@@ -161,7 +161,7 @@ def window_matches(segs: DataFrame, length: int) -> DataFrame:
                 cols = [pa.array([key] * windows), pa.array([seg] * windows, pa.binary()), pa.array(range(windows), pa.int64()), pa.array([(x >> 64) - (1 << 63) for x in h]), pa.array([(x & (1 << 64) - 1) - (1 << 63) for x in h])]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "seg", "lo", "w1", "w2"])
 
-    w = segs.select("key", "seg", "windows", "bytes").mapInArrow(run, "key long, seg binary, lo long, w1 long, w2 long")
+    w = segs.select("key", "seg", "windows", "bytes").mapInArrow(tidy(run), "key long, seg binary, lo long, w1 long, w2 long")
     twice = w.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
     return w.join(twice, ["w1", "w2"]).select("key", "seg", "lo", (F.col("lo") + 1).alias("hi"))
 
@@ -193,7 +193,7 @@ def repeats(spark: SparkSession, texts: DataFrame, length: int = 200, broadcast_
                 kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "seg", "kinds", "windows", "bytes"])
 
-    cutout = scratch.cut(bodies.join(held, ["h", "n"]).select("text", "want").mapInArrow(cut, "key long, seg binary, kinds long, windows long, bytes binary"), "bodies")
+    cutout = scratch.cut(bodies.join(held, ["h", "n"]).select("text", "want").mapInArrow(tidy(cut), "key long, seg binary, kinds long, windows long, bytes binary"), "bodies")
     found = shard_matches(cutout.where(F.col("kinds") <= HOT), length).union(window_matches(cutout.where(F.col("kinds") > HOT), length))
     whole = segs.where("c > 1").select("key", "seg", F.lit(0).cast("long").alias("lo"), F.col("at.windows").cast("long").alias("hi"))
     found = found.join(whole.select("key", "seg"), ["key", "seg"], "left_anti").union(whole)
@@ -269,7 +269,7 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, length: int = 200, broad
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks() if isinstance(t.column(0), pa.ChunkedArray) else t.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(gone, pa.int64()), pa.array(count, pa.int64())], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     hit = texts.where("hit is not null and copy is null").join(spans, ["h", "n"]).select("row", "text", "spans")
-    hit = hit.mapInArrow(run, rest.schema)
+    hit = hit.mapInArrow(tidy(run), rest.schema)
     return rest.unionByName(copies).unionByName(hit)
 
 

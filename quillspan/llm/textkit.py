@@ -15,6 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POW = {"p": np.ones(1, U64), "q": np.ones(1, U64)}
 CHUNK = 1 << 20
+SMALL = 1 << 18  # where a chunk takes some hundred bytes of memory for each byte of text
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
