@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import text as X
-from . import protect
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
@@ -51,17 +50,20 @@ def consolidate(rows: DataFrame, protected: DataFrame) -> DataFrame:
     """
     cols = rows.columns
     r = rows.withColumn("_text", F.coalesce(F.concat(F.lit("="), "text"), F.concat(F.lit("#"), F.col("id").cast("string")), F.lit("")))
+    # a row without a model input has a key of its own, so that such rows do not meet in one task
+    r = r.withColumn("_model", F.coalesce(F.concat(F.lit("="), "model_input"), F.concat(F.lit("#"), F.col("id").cast("string"))))
     r = r.withColumn("_sign", F.coalesce(F.concat(F.lit("="), F.col("signature").cast("string")), F.lit("")))
     loose = r.join(protected.select("loose").distinct(), "loose", "left_semi").select("_text")
     street = r.select("_text", F.explode("street_keys").alias("_k")).join(protected.select(F.explode("street_keys").alias("_k")).distinct(), "_k", "left_semi").select("_text")
     hit = loose.union(street).distinct().withColumn("_hit", F.lit(True))
-    texts = r.where("text is not null").groupBy("_text").agg((F.countDistinct("_sign") > 1).alias("_exact"))
-    model = r.where("model_input is not null").groupBy("model_input").agg((F.countDistinct("_sign") > 1).alias("_model"))
-    first = r.where("text is not null").groupBy("_text", "_sign").agg(F.min("id").alias("_first"))
-    r = r.join(hit, "_text", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
-    r = protect.propagate(r, "model_input", "_hit")
-    r = r.join(texts, "_text", "left").join(model, "model_input", "left").join(first, ["_text", "_sign"], "left")
-    reason = first_reason(("protected", F.col("_hit")), ("exact-label-conflict", F.col("_exact")), ("model-input-conflict", F.col("_model")), ("duplicate", F.col("id") != F.col("_first")))
+    # the first row counts only where a text has one signature, so it is the text's
+    texts = r.where("text is not null").groupBy("_text", "_sign").agg(F.min("id").alias("_first")).groupBy("_text").agg((F.count("*") > 1).alias("_exact"), F.min("_first").alias("_first"))
+    model = r.where("model_input is not null").select("_model", "_sign").distinct().groupBy("_model").agg((F.count("*") > 1).alias("_other"))
+    # joins on one key follow each other, so rows are dealt and sorted once for the texts and once for the model inputs
+    r = r.join(hit, "_text", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False))).join(texts.hint("shuffle_hash"), "_text", "left")
+    hot = r.where("_hit and model_input is not null").select("_model").distinct().withColumn("_p", F.lit(True))
+    r = r.join(hot, "_model", "left").join(model.hint("shuffle_hash"), "_model", "left")
+    reason = first_reason(("protected", F.coalesce("_p", "_hit")), ("exact-label-conflict", F.col("_exact")), ("model-input-conflict", F.col("_other")), ("duplicate", F.col("id") != F.col("_first")))
     return r.select(*cols, reason.alias("reason"))
 
 
