@@ -6,41 +6,71 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import spans as S
 from ..functions import text as X
-from ..sources.shared import Tables
+from ..sources.shared import ROWS, Tables, dealt
 
 Z = 1.95996398454
 
 
-def field_tokens(df: DataFrame, id: str = "id", components: str = "components", by: list[str] = ()) -> DataFrame:
-    """(id, .., field, token, n): token multiset of each projected field."""
-    c = df.select(id, *by, F.explode(components).alias("c")).select(id, *by, S.field_of(F.col("c.label")).alias("field"), F.explode(X.scorer_tokens(F.col("c.raw"))).alias("token"))
-    return c.where("field is not null").groupBy(id, *by, "field", "token").agg(F.count("*").alias("n"))
+TOKENS = "array<struct<field:string,tokens:array<string>>>"
+SCORED = 8 * ROWS  # gold and predicted rows of a task: what is scored of a row is small
 
 
-def field_lists(df: DataFrame, id: str = "id", components: str = "components", by: list[str] = ()) -> DataFrame:
-    """(id, .., field, tokens): the multiset as a sorted array, comparable by value."""
-    t = field_tokens(df, id, components, by)
-    return t.groupBy(id, *by, "field").agg(F.array_sort(F.collect_list(F.struct("token", "n"))).alias("tokens"))
+def tokenised(components: Column) -> Column:
+    """(field, tokens) of the parts that belong to a field and hold a token; no array counts as an empty one."""
+    each = F.transform(components, lambda c: F.struct(S.field_of(c["label"]).alias("field"), X.scorer_tokens(c["raw"]).alias("tokens")))
+    return F.coalesce(F.filter(each, lambda c: c["field"].isNotNull() & (F.size(c["tokens"]) > 0)), F.array().cast(TOKENS))
 
 
-def field_outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
+def multiset(tokens: Column) -> Column:
+    """The tokens of all parts as one sorted array, comparable by value."""
+    return F.array_sort(F.flatten(F.collect_list(tokens)))
+
+
+def field_lists(df: DataFrame, id: str = "id", components: str = "components") -> DataFrame:
+    """(id, field, tokens): the token multiset of each projected field."""
+    c = dealt(df.select(id, tokenised(F.col(components)).alias("c")), id, rows=SCORED)
+    return c.select(id, F.explode("c").alias("c")).groupBy(id, F.col("c.field").alias("field")).agg(multiset(F.col("c.tokens")).alias("tokens"))
+
+
+def answering(gold: DataFrame, pred: DataFrame) -> tuple[Column, int]:
+    """(the models as an array, tasks of gold and predictions together), from one count of each."""
+    seen = pred.groupBy("model").count().collect()  # a few
+    kind = pred.schema["model"].dataType
+    models = F.array(*[F.struct(F.lit(r["model"]).cast(kind).alias("model")) for r in seen]) if seen else F.array().cast(ArrayType(StructType([StructField("model", kind)])))
+    return models, max(1, -(-(gold.count() + sum(r["count"] for r in seen)) // SCORED))
+
+
+def field_outcomes(gold: DataFrame, pred: DataFrame, seen: tuple[Column, int] | None = None) -> DataFrame:
     """(id, model, field, in_gold, in_pred, correct): the fields of gold and prediction compared as multisets.
 
     Every model answers for every gold row: one without a prediction is missed. Where neither gold
     nor prediction has a field, one correct outcome without a field stands for the row.
+
+    Both sides are dealt out once, by id alone, and met by grouping: neither the multisets nor what
+    is grouped by id and model later is shuffled again, and a task's rows do not grow with the table.
     """
-    models = F.broadcast(pred.select("model").distinct())  # a few
-    g = field_lists(gold).crossJoin(models).select("id", "model", "field", F.col("tokens").alias("g"))
-    p = field_lists(pred, by=["model"]).select("id", "model", "field", F.col("tokens").alias("p"))
-    j = g.join(p, ["id", "model", "field"], "full_outer")
-    out = j.select("id", "model", "field", F.col("g").isNotNull().alias("in_gold"), F.col("p").isNotNull().alias("in_pred"), F.coalesce(F.col("g") == F.col("p"), F.lit(False)).alias("correct"))
-    some = F.exists("components", lambda c: S.field_of(c["label"]).isNotNull() & (F.size(X.scorer_tokens(c["raw"])) > 0))
-    bare = gold.where(~F.coalesce(some, F.lit(False))).select("id").distinct().crossJoin(models).join(p.select("id", "model").distinct(), ["id", "model"], "left_anti")
-    return out.union(bare.select("id", "model", F.lit(None).cast("string"), F.lit(False), F.lit(False), F.lit(True)))
+    models, tasks = seen or answering(gold, pred)
+    side = lambda df, model, own: df.select("id", model.alias("model"), F.lit(own).alias("own"), tokenised(F.col("components")).alias("c"))
+    both = side(gold, F.lit(None).cast(pred.schema["model"].dataType), True).union(side(pred, F.col("model"), False)).repartition(tasks, "id")
+    # a part without a field tells that gold has none, or that a prediction has some
+    none, bare = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("array<string>").alias("tokens"))), F.size("c") == 0
+    parts = F.when(F.col("own") & bare, none).when(F.col("own") | bare, F.col("c")).otherwise(F.concat("c", none))
+    of = F.when(F.col("own"), models).otherwise(F.array(F.struct("model")))
+    e = both.select("id", "own", parts.alias("c"), F.explode(of).alias("m"))
+    e = e.select("id", "m.model", "own", F.explode("c").alias("c")).select("id", "model", "own", "c.*")
+    alone = F.when(F.col("id").isNull() | F.col("model").isNull(), F.col("own")).alias("alone")  # nulls meet nothing
+    mine = lambda own: (multiset(F.when(F.col("own") == own, F.col("tokens"))), F.count_if(F.col("own") == own) > 0)
+    (g, in_gold), (p, in_pred) = mine(True), mine(False)
+    j = e.groupBy("id", "model", "field", alone).agg(g.alias("g"), p.alias("p"), in_gold.alias("in_gold"), in_pred.alias("in_pred"))
+    there = F.col("field").isNotNull()
+    j = j.where(there | (F.col("in_gold") & ~F.col("in_pred")))
+    correct = F.when(there, F.col("in_gold") & F.col("in_pred") & (F.col("g") == F.col("p"))).otherwise(True)
+    return j.select("id", "model", "field", (there & F.col("in_gold")).alias("in_gold"), (there & F.col("in_pred")).alias("in_pred"), correct.alias("correct"))
 
 
 def f1(tp: Column, predicted: Column, gold: Column) -> Column:
