@@ -15,10 +15,12 @@ from . import score, select, verify
 
 def outcomes(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """(id, panel, model, fields, spans, text, gold, predicted): whether a model's fields, as token multisets, and its ordered spans are gold's; spans is null where gold has no offsets."""
-    exact = score.row_outcomes(score.field_outcomes(gold.select("id", "components"), pred)).withColumnRenamed("exact", "fields")
+    seen = score.answering(gold, pred)
+    exact = score.row_outcomes(score.field_outcomes(gold.select("id", "components"), pred, seen)).withColumnRenamed("exact", "fields")
     g = gold.select("id", "panel", "text", F.col("components").alias("gold"))
-    p = pred.select("id", "model", F.col("components").alias("predicted"))
-    j = exact.join(g, "id").join(p, ["id", "model"], "left")
+    p = pred.select("id", F.struct("model", F.col("components").alias("predicted")).alias("p")).repartition(seen[1], "id").groupBy("id").agg(F.collect_list("p").alias("p"))  # one for a model
+    j = exact.join(g, "id").join(p, "id", "left")  # by id alone, so that what is dealt out stays where it is
+    j = j.select("*", F.explode_outer(F.filter("p", lambda x: x["model"] == F.col("model"))).alias("of")).select("*", "of.predicted")
     placed = F.forall("gold", lambda s: s["start"].isNotNull())
     spans = F.when(placed, F.coalesce(F.col("gold") == F.col("predicted"), F.lit(False)))
     return j.select("id", "panel", "model", "fields", spans.alias("spans"), "text", "gold", "predicted")
